@@ -21,8 +21,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_decontaminate": op8_decontaminate,
         "op9_bpe": op9_bpe,
     }
 
