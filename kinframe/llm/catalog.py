@@ -21,6 +21,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.ngram_join import ngram_jaccard
+
+    return ngram_jaccard(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinframe.llm.decontaminate import decontaminate
 
@@ -29,6 +35,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_ngram_join": op4_ngram_join,
         "op8_decontaminate": op8_decontaminate,
         "op9_bpe": op9_bpe,
     }
