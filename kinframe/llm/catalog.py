@@ -27,6 +27,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinframe.llm.decontaminate import decontaminate
 
@@ -36,6 +42,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_ngram_join": op4_ngram_join,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_bpe": op9_bpe,
     }
