@@ -39,12 +39,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.quality import fit, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_ngram_join": op4_ngram_join,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_bpe": op9_bpe,
+        "op10_quality": op10_quality,
     }
 
 
