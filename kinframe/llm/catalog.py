@@ -21,6 +21,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.token_store import read_tokens, write_tokens
+
+    path = write_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+    return read_tokens(spark, path)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinframe.llm.ngram_join import ngram_jaccard
 
@@ -48,6 +61,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
+        "op3_token_store": op3_token_store,
         "op4_ngram_join": op4_ngram_join,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_decontaminate": op8_decontaminate,
