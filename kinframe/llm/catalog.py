@@ -21,6 +21,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.site_style import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinframe.llm.pii import find_pii
 
@@ -40,12 +46,25 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.warc import read_warc, write_warc
+
+    base = write_warc(table(spark, sf_dir, "pages"), min_payload_bytes=0)
+    return read_warc(spark, base)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinframe.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"), window=50)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinframe.llm.decontaminate import decontaminate
 
@@ -59,15 +78,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_site_style": op1_site_style,
         "op2_pii": op2_pii,
         "op3_token_store": op3_token_store,
         "op4_ngram_join": op4_ngram_join,
+        "op5_warc": op5_warc,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
+        "pipeline": pipeline,
     }
 
 

@@ -148,7 +148,8 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
     """One row per document: hit words, items found, longest verbatim match and its place.
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
-    runs (disjoint word ranges), longest_match (words), longest_at (word index).
+    runs (disjoint word ranges), longest_match (words), longest_at (word index),
+    text_md5.
     """
     short_batches(docs.sparkSession)
     tests = tests.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
@@ -171,7 +172,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
                 F.max(F.struct("longest_match", "longest_at")).alias("m"),
             )
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select("doc_id", "n_words", "runs", "items", "m.longest_match", "m.longest_at")
+            .select("doc_id", "text_md5", "n_words", "runs", "items", "m.longest_match", "m.longest_at")
         )
     united = F.aggregate(
         F.array_sort("runs"),
@@ -189,4 +190,5 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
         "runs",
         "longest_match",
         "longest_at",
+        "text_md5",
     )

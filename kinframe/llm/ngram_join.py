@@ -318,15 +318,15 @@ def _join(tasks: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
 
 
 def _classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, cls, n of every row; cls is null for empty sets."""
+    """doc_id, text_md5, cls, n of every row; cls is null for empty sets."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(class_of(s) if len(s) else None, len(s)) for s in shingle_sets(W.as_bytes(batch.column(1)), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], names=["doc_id", "cls", "n"])
+            sets = [(class_of(s) if len(s) else None, len(s)) for s in shingle_sets(W.as_bytes(batch.column(2)), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([c for c, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], names=["doc_id", "text_md5", "cls", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long")
+    return docs.select("doc_id", F.md5("text").alias("text_md5"), "text").mapInArrow(run, "doc_id long, text_md5 string, cls long, n long")
 
 
 def _members(docs: DataFrame, size: int) -> DataFrame:
@@ -349,7 +349,7 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
 
 
 def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and text_md5 of every row.
 
     Links join documents whose sets of ``size``-word shingles have a Jaccard
     similarity of at least ``num / den``, found exactly.
@@ -380,7 +380,7 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     lowest = first.join(linked, "cls").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     of_class = first.join(linked, "cls", "left").join(lowest, "component", "left").select("cls", F.coalesce("lowest", "doc_id").alias("component_id"))
     return every.join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_md5"
     )
 
 
