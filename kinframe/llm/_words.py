@@ -78,17 +78,21 @@ class Words:
         inside = is_word[buf].view(np.int8)
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.buf, self.starts, self.ends = raw, edge[0::2], edge[1::2]
-        up, down = _BYTES.get(len(buf))
-        total = np.empty(len(buf) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_MIX[buf] * up[: len(buf)], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = byte_spans(buf, self.starts, self.ends)
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.offsets = 1 + np.concatenate([[0], np.cumsum(sizes + 1)])
         self.first = np.searchsorted(self.starts, self.offsets)  # text k has words first[k]:first[k + 1]
 
 
+def byte_spans(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of each byte range lo:hi."""
+    up, down = _BYTES.get(len(buf))
+    total = np.empty(len(buf) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_MIX[buf] * up[: len(buf)], out=total[1:])
+    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive items of ``h``; empty if there are fewer."""
     n = len(h) - k + 1

@@ -12,9 +12,8 @@ each packed and the high parts in unary in a bit vector of n + (u >> low) bits:
 2 + log2(u / n) bits a value and no 64-bit table. ``select`` finds the i-th one through
 samples every ``SAMPLE`` ones and popcounts in between.
 
-Texts are encoded by the public tokenizers library: each distinct pre-token once per
-worker (a bounded cache), which gives the ids of the whole text, as the library
-never merges across pre-tokens. Documents are dealt by ranges of doc_id and sorted, so
+Texts are encoded by the public tokenizers library, each distinct unit (white space and
+the word after it) once while it is in a worker's bounded cache. Documents are dealt by ranges of doc_id and sorted, so
 shards are in ascending order; shards are rows of a Parquet table, written by Spark's
 committer, so lost executors and repeated tasks leave no half-written file. Each range's
 total is read back from the table's small columns; its running sum, one number
@@ -27,7 +26,6 @@ ignored; an empty table gives an empty store.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,13 +35,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinframe.llm import _words as W
+from kinframe.llm._units import UnitCoder
 from kinframe.llm._work import fresh_path, short_batches
 
 MAGIC = b"KFT1"
 SAMPLE = 512
 #: Most ids of a shard, unless one document has more.
 SHARD_IDS = 1 << 21
-CACHE_WORDS = 400_000
 _HEAD = struct.Struct("<4sBxxxqqqq")
 _EF = struct.Struct("<qqB7xq")
 
@@ -111,62 +110,43 @@ class EliasFano:
 
 
 @lru_cache(2)
-def _library(path: str):
-    """A text encoder on the tokenizers library with a cache of distinct pre-tokens."""
+def _library(path: str) -> tuple[UnitCoder, int]:
+    """A text encoder on the tokenizers library, by distinct units, and the vocabulary's size."""
     from tokenizers import Tokenizer
 
-    from kinframe.llm.bpe import splitter
-
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    special = {str(t.content): i for i, t in library.get_added_tokens_decoder().items()}
-    split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-    split = splitter().findall
-    words: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
-
-    def learn(new: list[str]) -> None:
-        nonlocal words, older
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, got in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
-                words[w] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal words, older
-        pieces = []
-        for text in texts:
-            parts = split_special.split(text) if split_special else [text]
-            tokens: list[str] = []
-            for k, part in enumerate(parts):
-                tokens += [part] if k % 2 else split(part)
-            pieces.append(tokens)
-        if len(words) >= CACHE_WORDS:
-            words, older = {}, words
-        new = set()
-        for tokens in pieces:
-            new.update(tokens)
-        unknown = [w for w in new if w not in words]
-        if older:
-            words.update((w, older[w]) for w in unknown if w in older)
-            unknown = [w for w in unknown if w not in words]
-        learn(unknown)
-        out = [b"".join([words[w] for w in tokens]) for tokens in pieces]
-        for w in unknown:
-            if len(w) > 64:
-                del words[w]
+
+    special = {str(t.content): i for i, t in library.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word)}
+    fence, fence_id = next(iter(special.items()), ("", -1))
+
+    def encode_many(texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        alone = [i for i, t in enumerate(texts) if not fence or len(t) > 256 or any(s in t for s in special)]
+        for i, got in zip(alone, library.encode_batch([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(got.ids, np.uint32)
+        # the library encodes what stands between special tokens on its own, so many
+        # short texts go through one call with special tokens between them
+        together = np.setdiff1d(np.arange(len(texts)), alone).tolist()
+        for lo in range(0, len(together), 2048):
+            part = together[lo : lo + 2048]
+            ids = np.array(library.encode(fence.join([texts[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(ids == fence_id)
+            for i, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                out[i] = ids[a:b]
         return out
 
-    return encode, library.get_vocab_size(with_added_tokens=True)
+    strings = [str(t.content) for t in library.get_added_tokens_decoder().values()]
+    return UnitCoder(encode_many, strings), library.get_vocab_size(with_added_tokens=True)
 
 
-def shard(doc_ids: list[int | None], ids: list[bytes], base: int, width: int) -> bytes:
+def shard(doc_ids: list[int | None], ids: list[np.ndarray], base: int, width: int) -> bytes:
     """A shard of the documents, in the order given (null ids first)."""
-    ends = np.cumsum([len(x) // 4 for x in ids])
+    ends = np.cumsum([len(x) for x in ids])
     given = [d for d in doc_ids if d is not None]
     first = given[0] if given else 0
-    values = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
+    values = np.concatenate(ids).astype(f"<u{width}")
     head = _HEAD.pack(MAGIC, width, len(ids), len(values), len(doc_ids) - len(given), base)
     names = EliasFano.encode(np.array([d - first for d in given], np.uint64)).to_bytes()
     return b"".join([head, struct.pack("<q", first), EliasFano.encode(ends).to_bytes(), names, values.tobytes()])
@@ -200,14 +180,14 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str | None = None,
     spark = docs.sparkSession
     short_batches(spark)
     path = path or fresh_path(spark, "tokens")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = _library(vocabulary_path)
+        coder, size = _library(vocabulary_path)
         width = 2 if max(size - 1, end_id) < 1 << 16 else 4
         part, number, base = TaskContext.get().partitionId(), 0, 0
         names: list = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
@@ -218,15 +198,12 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=columns)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            doc_ids = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 128):
-                for name, got in zip(doc_ids[lo : lo + 128], encode(texts[lo : lo + 128]), strict=True):
-                    names.append(name)
-                    ids.append(got + end)
-                    held += len(got) // 4 + 1
-                    if held >= shard_ids:
-                        yield flush()
+            for name, got in zip(batch.column(0).to_pylist(), coder.encode(W.as_bytes(batch.column(1))), strict=True):
+                names.append(name)
+                ids.append(np.concatenate([got, end]))
+                held += len(got) + 1
+                if held >= shard_ids:
+                    yield flush()
         if names:
             yield flush()
 
