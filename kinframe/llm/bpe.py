@@ -5,8 +5,8 @@ An Aho-Corasick automaton over the vocabulary (suffix automaton matches) lists
 the tokens that end at the prefix; a candidate is the last token exactly when it
 is compatible with the last token of the prefix in front of it, that is, when no
 merge would cross the seam between the two. Following the stored tokens backward
-from the end emits the ids. Results are cached per distinct pre-token in a table
-of bounded size, and the seam tests per token pair.
+from the end emits the ids. Results are cached per distinct unit (white space and the
+word after it) and pre-token in tables of bounded size, the seam tests per token pair.
 
 Defined results: a null or empty text has no ids; extra columns are ignored;
 repeated rows give repeated results; special token strings in a text become the
@@ -25,10 +25,12 @@ from itertools import groupby
 import numpy as np
 from pyspark.sql import DataFrame
 
+from kinframe.llm import _words as W
+from kinframe.llm._units import Pool, UnitCoder
 from kinframe.llm._work import short_batches
 
 #: Most distinct pre-tokens in each of two generations, and most token pairs, that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -106,6 +108,9 @@ class Encoder:
         for i in vocabulary.usable:
             self.trie.add_word(vocabulary.bytes[i].decode("latin-1"), (i, len(vocabulary.bytes[i])))
         self.trie.make_automaton()
+        self.tokens = Pool(np.uint8)
+        self.tokens.add([np.frombuffer(b, np.uint8) for b in vocabulary.bytes])
+        self.units = UnitCoder(self.encode_many, vocabulary.special)
         self.split = splitter().findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -219,9 +224,14 @@ class Encoder:
         self._plain(text[at:] if at else text, out)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        table = self.v.bytes
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(self.encode(t), np.uint32) for t in texts]
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        return self.tokens.take(ids.astype(np.int64))[0].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -244,11 +254,10 @@ def bpe_codec(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", tex
         codec = encoder(vocabulary_path)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text or "")
-                decoded = codec.decode(ids)
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()]
-                rows.append(row + [ids] * keep_ids + [decoded] * keep_text)
+            for ids in codec.units.encode(W.as_bytes(batch.column(1))):
+                raw, decoded = ids.astype("<u4").tobytes(), codec.decode(ids)
+                row = [len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()]
+                rows.append(row + [raw] * keep_ids + [decoded] * keep_text)
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
