@@ -1,0 +1,181 @@
+"""PII (op 2), embeddings (op 7), quality (op 10), the pipeline, and the registry."""
+
+import os
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinframe.llm import embedding_dedup, pii, quality
+
+from .helpers import AWKWARD, docs, empty, sha
+
+SF = "/root/testdata/sf0.001"
+
+PII = "Mail a.b+c@mail.example.com or x@y, card 4111 1111-1111 1111, 1.2.3.4 and 1.2.3.456, call +1 (555) 010-9999 or +12."
+
+
+def test_base_spans():
+    found = [(k, PII[a:b]) for k, a, b in pii.base_spans(PII)]
+    assert found == [("email", "a.b+c@mail.example.com"), ("card", "4111 1111-1111 1111"), ("ip", "1.2.3.4"), ("phone", "+1 (555) 010-9999")]
+
+
+def test_base_spans_match_the_patterns():
+    import random
+
+    rng = random.Random(5)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    for _ in range(4000):
+        t = "".join(rng.choice("ab1.2@-+5( )é904") for _ in range(rng.randint(0, 60)))
+        want = [("email", *m.span()) for m in email.finditer(t)] + [("ip", *m.span()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+        want += [("card", *m.span()) for m in card.finditer(t) if 12 <= len(d := re.sub("[ -]", "", m.group())) <= 19 and pii._luhn(d)]
+        want += [("phone", *m.span()) for m in phone.finditer(t) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+        assert pii.base_spans(t) == sorted(want, key=pii._place)
+
+
+def model():
+    m = pii.SemiCrf()
+    m.weights = pii.trained()
+    return m
+
+
+def test_semi_crf_on_unseen_sentences():
+    m, right, told, true = model(), 0, 0, 0
+    for text, gold in pii.training_sentences(150, seed=77):
+        got = set(pii.added_spans(text, m, []))
+        right, told, true = right + len(got & set(gold)), told + len(got), true + len(gold)
+    assert right / told > 0.97 and right / true > 0.97
+
+
+def test_semi_crf_decoding_is_the_best_segmentation():
+    """The decoder's score equals that of exhaustive search."""
+    m = model()
+    for text, _ in pii.training_sentences(25, seed=5):
+        tokens = [x.span() for x in pii._TOKEN.finditer(text)][:14]
+        score = {(tokens[i][0], tokens[j - 1][1]): (i, j, {y: m.score(y, f) for y in pii.ADDED}) for i, j, f in m.candidates(text, tokens)}
+        best = [0.0] * (len(tokens) + 1)
+        for j in range(1, len(tokens) + 1):
+            best[j] = max([best[j - 1]] + [best[i] + s for i, k, ys in score.values() if k == j for s in ys.values()])
+        got = sum(score[a, b][2][y] for y, a, b in m.decode(text, tokens))
+        assert got == pytest.approx(best[-1])
+
+
+def test_find_pii(spark):
+    rows = AWKWARD + [(20, PII), (21, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'), (22, "1" * 50_000), (23, "a1b2 " * 3000)]
+    got = pii.find_pii(docs(spark, rows), keep=("cls",), redacted=True).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert (by[20].n_email, by[20].n_ip, by[20].n_card, by[20].n_phone) == (1, 1, 1, 1) and by[20].base_sha256 == sha(pii.told(pii.base_spans(PII)))
+    assert by[21].spans == "secret:9:49" and by[21].redacted == 'token = "[SECRET]" end' and by[21].base_sha256 == sha("")
+    assert by[2].spans == "" and by[2].redacted == "" and by[21].cls == "x"
+    assert by[20].redacted.startswith("Mail [EMAIL] or x@y, card [CARD], [IP] and 1.2.3.456, call [PHONE]")
+    assert pii.find_pii(empty(spark)).count() == 0
+
+
+def vectors(seed=0, n=300):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        if rows and rng.random() < 0.5:
+            v = np.array(rows[rng.integers(len(rows))][1]) + rng.normal(0, rng.choice([0, 0.02, 0.1]), 24)
+        else:
+            v = rng.normal(0, 1, 24)
+        rows.append((i, v.tolist(), int(rng.integers(2))))
+    return rows + [(900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [1.0, 2.0], 1), (904, [2.0, 4.0], 1), (905, [1.0, 2.0], None), (906, [], 1), (3, rows[3][1], rows[3][2]), (None, rows[3][1], rows[3][2]), (907, [1e300] * 24, 1), (908, [1e-300] * 24, 1)]
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_embedding_dedup(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rows = vectors()
+    ok = [i for i, (k, v, y) in enumerate(rows) if k is not None and y is not None and v and np.isfinite(v).all() and any(v)]
+    links, up = [set() for _ in rows], list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    unit = {i: (x := np.array(rows[i][1]) / np.abs(rows[i][1]).max()) / np.linalg.norm(x) for i in ok}
+    for i in ok:
+        for j in ok:
+            if i < j and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98:
+                links[i].add(j), links[j].add(i)
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    least = {}
+    for i, (k, _, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("h", "g", "cls", "v", "w", "bucket")})
+    got = embedding_dedup.embedding_dedup(df).collect()
+    want = {(k, len(links[i]), least.get(find(i))) for i, (k, _, _) in enumerate(rows)}
+    found = {(r.vec_id, r.n_links, r.component_id) for r in got}
+    assert len(got) == len(rows) and len(found & want) >= 0.99 * len(want)  # recall is 0.999 a pair
+    assert sum(r.n_links for r in got) >= 0.98 * sum(map(len, links)) and sum(r.n_links for r in got) <= sum(map(len, links))
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+    assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.quality_scores(d, quality.fit(d, labels)).join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").collect()
+    good, bad = ([r for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(r.predicted for r in good) / len(good) > 0.98 and sum(r.predicted for r in bad) / len(bad) < 0.05
+
+
+def test_quality_awkward_rows(spark):
+    text = [(i, ("word and more words of prose, plainly " * (1 + i % 5)) if i % 2 else "!!! $$$ ### " * (1 + i % 7)) for i in range(80)]
+    labels = [(i, i % 2) for i in range(80)] + [(3, 0), (None, 1), (999, 1), (5, None)]
+    d = docs(spark, text + AWKWARD)
+    fitted = quality.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = quality.quality_scores(d, fitted, keep=("cls",)).collect()
+    assert len(got) == len(text) + len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    none = quality.fit(d, spark.createDataFrame([], "doc_id long, quality int"))
+    assert none is None and {r.score for r in quality.quality_scores(d, none).collect()} == {0.5}
+    assert quality.quality_scores(empty(spark), fitted).count() == 0
+
+
+def test_quality_ignores_held_out_labels(spark):
+    d = docs(spark, [(i, f"text {i} " * 5) for i in range(60)])
+    flip = lambda i: 1 if zlib.crc32(str(i).encode()) % 5 else 0
+    a = quality.fit(d, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    b = quality.fit(d, spark.createDataFrame([(i, i % 2 if flip(i) else 1 - i % 2) for i in range(60)], "doc_id long, quality int"))
+    assert (a.labels == b.labels).all() and np.allclose(a.vectors, b.vectors)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_pipeline(spark):
+    import corpus_pipeline as C
+    from kinframe.llm.decontaminate import decontaminate
+    from kinframe.llm.ngram_join import ngram_jaccard
+
+    names = [n for n, _ in C.STAGES]
+    assert names == ["quality", "near_duplicates", "decontamination", "pii", "bpe"] and C.ORACLE_SQL is None
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = [d]
+    for _, stage in C.STAGES:
+        steps.append(stage(spark, steps[-1], SF).cache())
+        if len(steps) <= len(C.STAGES):
+            assert steps[-1].columns == C.COLUMNS and [t for _, t in steps[-1].dtypes] == [t for _, t in d.dtypes]
+    counts = [s.count() for s in steps]
+    assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0] and counts[-1] == counts[-2]
+    assert ngram_jaccard(steps[2], 5, 80, 100).where("doc_id <> component_id").count() == 0
+    assert decontaminate(steps[3], spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 0
+    assert all(r.n_chars == len(r.text) and not pii.base_spans(r.text) for r in steps[4].collect())
+    assert {tuple(r) for r in C.run(spark, SF).collect()} == {tuple(r) for r in steps[-1].collect()}
+
+
+def test_registry():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert {m.group() for n in names if (m := re.match(r"op\d+(?=_)", n))} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
