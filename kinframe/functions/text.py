@@ -107,8 +107,8 @@ def relation_label(gen: Column) -> Column:
 
 
 def era_label(first: Column, last: Column) -> Column:
-    """Span of the known birth years, or empty."""
-    return F.when(first.isNull(), "").when(first == last, first.cast("string")).otherwise(F.concat_ws("–", first.cast("string"), last.cast("string")))
+    """Span of the known birth years."""
+    return F.when(first.isNull(), "dates unknown").otherwise(F.concat(F.lit("c. "), first.cast("string"), F.lit("–"), last.cast("string"), F.lit(" AD")))
 
 
 def name_variants(names: Column, given: Column, married: Column, surname: Column) -> Column:
@@ -151,7 +151,8 @@ def spanish_date(day: Column, month: Column, year: Column) -> Column:
     """Day, month name and year of a passenger entry, as far as they are known."""
     months = F.array(*(F.lit(m) for m in "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()))
     name = F.when(month.between(1, 12), F.try_element_at(months, month))
-    return F.when((day > 0) & name.isNotNull(), F.concat_ws(" ", day.cast("string"), name, year.cast("string"))).otherwise(F.coalesce(year.cast("string"), F.lit("")))
+    known = (day > 0) & name.isNotNull() & (year > 0)
+    return F.when(known, F.concat_ws(" ", day.cast("string"), name, year.cast("string"))).otherwise(F.coalesce(F.when(year > 0, year.cast("string")), F.lit("—")))
 
 
 def elided_path(path: Column, ends: int = 7) -> Column:

@@ -133,6 +133,36 @@ def migration_flows(placed: DataFrame, edges: DataFrame, least_degrees: float =
     return grouped.select("from_lat", "from_lng", "to_lat", "to_lng", F.explode(thin(F.col("years"), gap)).alias("y"))
 
 
+def flows_at(flows: DataFrame, years: DataFrame, window: int = 25, least: float = 0.12) -> DataFrame:
+    """Flows shown at each year: those of the last ``window`` years, fading with their age.
+
+    A flow is exploded to the years it is shown in, an equi join with the asked ones.
+    """
+    shown = flows.withColumn("year", F.explode(F.sequence(F.col("y"), F.col("y") + window)))
+    rows = shown.join(years.select("year").distinct(), "year")
+    return rows.withColumn("alpha", F.greatest(F.lit(least), 1 - (F.col("year") - F.col("y")) / window))
+
+
+def merged_relations(clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """Parents and children of a duplicate cluster's members together: (key, role, id, n, shared).
+
+    ``shared`` marks relatives that all members have.
+    """
+    members = clusters.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("key"), F.size("ids").alias("many"), F.explode("ids").alias("member"))
+    up = members.join(edges.select(F.col("t").alias("member"), F.col("s").alias("id")), "member").withColumn("role", F.lit("parent"))
+    down = members.join(edges.select(F.col("s").alias("member"), F.col("t").alias("id")), "member").withColumn("role", F.lit("child"))
+    rows = up.unionByName(down).groupBy("key", "many", "role", "id").agg(F.count_distinct("member").alias("n"))
+    return rows.select("key", "role", "id", "n", (F.col("n") == F.col("many")).alias("shared"))
+
+
+def find_text(df: DataFrame, text: str, columns: list[str], **equal: str) -> DataFrame:
+    """Rows whose columns hold a text, whatever its case, and equal the other conditions."""
+    found = F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(text.lower()))
+    for column, value in equal.items():
+        found = found & (F.col(column) == value)
+    return df.where(found)
+
+
 def alive_at(people: DataFrame, years: DataFrame) -> DataFrame:
     """(year, id) of people shown at each year: born, and dead for at most 5 years or born within 80.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.functions import naming, rules
+from kinframe.functions import display, naming, rules
 from kinframe.functions import text as T
 from kinframe.operators import graph, matching, merge, outline, reports
 from kinframe.operators.asof import asof_header, asof_parent
@@ -555,6 +555,33 @@ def _alive_at(spark, sf):
     return reports.alive_at(relation(spark, sf, PEOPLE), years).groupBy("year").agg(F.count("*").alias("n"))
 
 
+@query("flows_at", f"""WITH {WITH_PEOPLE}, {WITH_EDGES}, fl AS (SELECT e.s, e.t, b.birth AS y FROM e JOIN n b ON b.id = e.t WHERE b.birth IS NOT NULL), ys AS (SELECT unnest([1000, 1500]) AS year)
+SELECT s, t, CAST(year AS BIGINT) AS year, round(greatest(0.12, 1 - (year - y) / 25.0), 6) AS alpha FROM fl JOIN ys ON y <= year AND y >= year - 25""")
+def _flows_at(spark, sf):
+    flows = relation(spark, sf, EDGES).join(relation(spark, sf, PEOPLE).select(F.col("id").alias("t"), F.col("birth").alias("y")), "t").where("y IS NOT NULL")
+    shown = reports.flows_at(flows, spark.createDataFrame([(1000,), (1500,)], "year int"))
+    return shown.select("s", "t", "year", F.round("alpha", 6).alias("alpha"))
+
+
+@query("merged_relations", f"""WITH {WITH_EDGES}, m AS (SELECT unnest([10, 11, 12]) AS id), u AS (SELECT 'parent' AS role, e.s AS id, m.id AS member FROM e JOIN m ON m.id = e.t UNION SELECT 'child', e.t, m.id FROM e JOIN m ON m.id = e.s)
+SELECT '10,11,12' AS key, role, id, count(DISTINCT member) AS n, count(DISTINCT member) = 3 AS shared FROM u GROUP BY role, id""")
+def _merged_relations(spark, sf):
+    return reports.merged_relations(spark.createDataFrame([([10, 11, 12],)], "ids array<bigint>"), relation(spark, sf, EDGES))
+
+
+@query("find_text", "SELECT page_id FROM pages WHERE contains(lower(url || ' ' || html), 'thering')")
+def _find_text(spark, sf):
+    return reports.find_text(_t(spark, sf, "pages"), "THERing", ["url", "html"]).select("page_id")
+
+
+@query("display_labels", f"""WITH {WITH_PEOPLE} SELECT id, CASE cat WHEN 'royal' THEN 'Royalty' WHEN 'noble' THEN 'Nobility' WHEN 'clergy' THEN 'Clergy' ELSE 'Untitled' END AS label, CASE cat WHEN 'royal' THEN '#e8b820' WHEN 'noble' THEN '#c83040' WHEN 'clergy' THEN '#9040c0' ELSE '#7a6e5a' END AS color,
+CAST(CASE cat WHEN 'royal' THEN 7.0 WHEN 'noble' THEN 5.5 ELSE 4.0 END + CASE WHEN mult * 50 > 100 THEN 2 WHEN mult * 50 > 10 THEN 1 ELSE 0 END AS DOUBLE) AS radius,
+CAST(CASE WHEN gen < 8 THEN 0.95 WHEN gen < 20 THEN 0.8 WHEN gen < 40 THEN 0.65 ELSE 0.5 END AS DOUBLE) AS opacity, CASE WHEN birth > 1821 THEN 'Mexico' WHEN birth > 1492 THEN 'Iberia + New Spain' WHEN birth > 1200 THEN 'Iberia + France' ELSE 'Iberia' END AS region FROM n""")
+def _display_labels(spark, sf):
+    n, c = relation(spark, sf, PEOPLE), F.col
+    return n.select("id", display.category_label(c("cat")).alias("label"), display.category_color(c("cat")).alias("color"), display.marker_radius(c("cat"), c("mult") * 50).alias("radius"), display.age_opacity(c("gen")).alias("opacity"), display.stage_region(c("birth")).alias("region"))
+
+
 @query("top_collapsed", f"WITH {WITH_OUTLINE} SELECT key, count(*) AS mult FROM o GROUP BY key ORDER BY mult DESC, key LIMIT 10")
 def _top_collapsed(spark, sf):
     return reports.top_by(outline.collapse(relation(spark, sf, OUTLINE)), "mult", 10, "key").where("mult > 1").select("key", "mult")
