@@ -11,7 +11,7 @@ from kinframe.functions import display, naming, rules
 from kinframe.functions import text as T
 from kinframe.operators import graph, matching, merge, outline, reports
 from kinframe.operators.asof import asof_header, asof_parent
-from kinframe.plans.relations import EDGES, OUTLINE, PEOPLE, SOURCES, oracle, plain, relation
+from kinframe.plans.relations import EDGES, LAYERS, OUTLINE, PEOPLE, SOURCES, oracle, plain, relation
 from kinframe.sources import graphs as G
 from kinframe.sources import lines as L
 from kinframe.sources import search
@@ -57,7 +57,7 @@ def _roots(spark: SparkSession, *ids: int) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline -> as-of links -> collapse -> ids -> path counts -> implex by generation."""
-    people = relation(spark, sf_dir, OUTLINE).where("src < 20")
+    people = relation(spark, sf_dir, OUTLINE)
     nodes = outline.dense_ids(outline.collapse(people))
     edges = outline.translate_edges(outline.edges_of(people), nodes)
     root = nodes.orderBy("gen", "id").limit(1).select("id").first()["id"]
@@ -272,19 +272,23 @@ def _implex_summary(spark, sf):
     return graph.implex_summary(graph.path_counts(relation(spark, sf, EDGES), 0, DEPTH))
 
 
-@query("topo_rank", f"""WITH RECURSIVE {WITH_EDGES}, g AS (SELECT s, t FROM e WHERE s < 24), n AS (SELECT p_partkey AS id FROM part WHERE p_partkey < 24),
-r(id, d) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT t FROM g) UNION SELECT g.t, r.d + 1 FROM r JOIN g ON g.s = r.id) SELECT id, CAST(max(d) AS BIGINT) AS rank, false AS cyclic FROM r GROUP BY id""")
+WITH_LAYERS = f"g AS ({oracle(LAYERS)})"
+
+
+@query("topo_rank", f"""WITH RECURSIVE {WITH_LAYERS}, r(id, d) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT t FROM g) UNION SELECT g.t, r.d + 1 FROM r JOIN g ON g.s = r.id)
+SELECT id, CAST(max(d) AS BIGINT) AS rank, false AS cyclic FROM r GROUP BY id""")
 def _topo_rank(spark, sf):
-    return graph.topo_rank(relation(spark, sf, PEOPLE).where("id < 24"), relation(spark, sf, EDGES).where("s < 24"))
+    return graph.topo_rank(relation(spark, sf, PEOPLE), relation(spark, sf, LAYERS))
 
 
-@query("wright_f", f"""WITH RECURSIVE {WITH_EDGES}, g AS (SELECT s, t FROM e WHERE s < 20), par AS (SELECT t, min(s) AS p1, max(s) AS p2, count(*) AS n FROM g GROUP BY t),
-k(root, a, b, w) AS (SELECT t, p1, p2, CAST(1.0 AS DOUBLE) FROM par WHERE n = 2 AND t < 4 UNION ALL
-SELECT k.root, g.s, CASE WHEN k.a = k.b THEN par.p2 ELSE greatest(k.a, k.b) END, CASE WHEN k.a = k.b THEN k.w / 2 ELSE k.w / par.n END FROM k JOIN par ON par.t = least(k.a, k.b) JOIN g ON g.t = par.t WHERE k.a <> k.b OR (par.n = 2 AND g.s = par.p1))
-SELECT root AS id, round(sum(CASE WHEN a = b THEN w / 2 ELSE 0 END), 9) AS f, 'ok' AS status FROM k GROUP BY root""")
+@query("wright_f", f"""WITH RECURSIVE {WITH_LAYERS}, par AS (SELECT t, min(s) AS p1, max(s) AS p2, count(*) AS n FROM g GROUP BY t),
+k(root, a, b, w) AS (SELECT t, p1, p2, CAST(1.0 AS DOUBLE) FROM par WHERE n = 2 UNION ALL
+SELECT k.root, g.s, CASE WHEN k.a = k.b THEN par.p2 ELSE (CASE WHEN par.t = k.a THEN k.b ELSE k.a END) END, CASE WHEN k.a = k.b THEN k.w / 2 ELSE k.w / par.n END
+FROM k JOIN par ON par.t = (CASE WHEN k.a % 5 < k.b % 5 OR (k.a % 5 = k.b % 5 AND k.a < k.b AND k.a IN (SELECT t FROM par)) OR (k.a % 5 = k.b % 5 AND k.b NOT IN (SELECT t FROM par)) THEN k.a ELSE k.b END) JOIN g ON g.t = par.t WHERE k.a <> k.b OR (par.n = 2 AND g.s = par.p1)),
+f AS (SELECT root, sum(CASE WHEN a = b THEN w / 2 ELSE 0 END) AS f FROM k GROUP BY root) SELECT p_partkey AS id, round(f, 9) AS f, CASE WHEN f IS NULL THEN 'undefined' ELSE 'ok' END AS status FROM part LEFT JOIN f ON root = p_partkey""")
 def _wright_f(spark, sf):
-    f = graph.inbreeding(relation(spark, sf, PEOPLE).where("id < 20"), relation(spark, sf, EDGES).where("s < 20"), _roots(spark, 0, 1, 2, 3))
-    return f.withColumn("f", F.round("f", 9))
+    nodes = relation(spark, sf, PEOPLE)
+    return graph.inbreeding(nodes, relation(spark, sf, LAYERS), nodes).withColumn("f", F.round("f", 9))
 
 
 @query("find_root", f"WITH {WITH_EDGES}, {WITH_PEOPLE} SELECT id FROM n WHERE id NOT IN (SELECT s FROM e)")
@@ -292,10 +296,10 @@ def _find_root(spark, sf):
     return graph.sinks(relation(spark, sf, PEOPLE), relation(spark, sf, EDGES)).select("id")
 
 
-@query("drop_dangling", f"WITH {WITH_EDGES} SELECT s, t FROM e WHERE s < 500 AND t < 500")
+@query("drop_dangling", f"WITH {WITH_EDGES}, {WITH_PEOPLE} SELECT s, t FROM e WHERE s IN (SELECT id FROM n WHERE NOT placeholder) AND t IN (SELECT id FROM n WHERE NOT placeholder)")
 def _drop_dangling(spark, sf):
     loops = relation(spark, sf, "SELECT p_partkey AS s, p_partkey AS t FROM {part}")
-    return graph.drop_self_and_dangling(relation(spark, sf, PEOPLE).where("id < 500"), relation(spark, sf, EDGES).unionByName(loops))
+    return graph.drop_self_and_dangling(relation(spark, sf, PEOPLE).where("NOT placeholder"), relation(spark, sf, EDGES).unionByName(loops))
 
 
 @query("edge_repair", f"WITH {WITH_EDGES}, {WITH_PEOPLE} SELECT e.s, e.t FROM e JOIN n a ON a.id = e.s JOIN n b ON b.id = e.t WHERE a.gen > b.gen")
@@ -344,10 +348,10 @@ def _contracted_nodes(spark, sf):
     return graph.contract(nodes, relation(spark, sf, EDGES), nodes.where("id % 10 = 1").select(F.col("id").alias("dup"), (F.col("id") - 1).alias("canon")))[0]
 
 
-@query("keep_connected", f"WITH {WITH_PEOPLE}, {WITH_EDGES}, x AS (SELECT s, t FROM e WHERE s % 3 = 0) SELECT id FROM n WHERE id < 50 OR id IN (SELECT s FROM x) OR id IN (SELECT t FROM x)")
+@query("keep_connected", f"{_BFS}, {WITH_PEOPLE}, x AS (SELECT * FROM ({oracle(LAYERS)})) SELECT id FROM n WHERE id IN (SELECT id FROM m) OR id IN (SELECT s FROM x) OR id IN (SELECT t FROM x)")
 def _keep_connected(spark, sf):
-    nodes = relation(spark, sf, PEOPLE)
-    return graph.keep_connected(nodes, relation(spark, sf, EDGES).where("s % 3 = 0"), nodes.where("id < 50")).select("id")
+    reached = graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH)
+    return graph.keep_connected(relation(spark, sf, PEOPLE), relation(spark, sf, LAYERS), reached).select("id")
 
 
 # ---- merge ------------------------------------------------------------------
@@ -400,12 +404,12 @@ def _incremental_keys(spark, sf):
 
 @query("incremental_merge")
 def _incremental_merge(spark, sf):
-    """Outline lines of documents in two batches; equal to one batch up to first-seen fields."""
+    """Outline lines made of all line items, in two batches."""
     name = F.concat_ws(" ", F.col("l_returnflag"), F.lit("Person"), (F.col("l_partkey") % 97).cast("string"))
     line = F.concat((1 + F.col("l_partkey") % 6).cast("string"), F.lit(". "), name, F.lit(" b. "), (1500 + F.col("l_partkey") % 97).cast("string"))
-    rows = _t(spark, sf, "lineitem").where("l_suppkey < 20").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), line.alias("line"))
-    first = merge_batch(None, rows.where("src < 's15'"))
-    return merge_batch(first, rows.where("src >= 's15'"))[0].select("key", "gen", "mult", "cat")
+    rows = _t(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), line.alias("line"))
+    first = merge_batch(None, rows.where("src < 's5'"))
+    return merge_batch(first, rows.where("src >= 's5'"))[0].select("key", "gen", "mult", "cat")
 
 
 # ---- matching ---------------------------------------------------------------
@@ -422,11 +426,11 @@ def _match_first(spark, sf):
 
 @query("match_positional")
 def _match_positional(spark, sf):
-    nodes, edges = relation(spark, sf, PEOPLE).where("id < 60"), relation(spark, sf, EDGES).where("s < 60")
+    nodes, edges = relation(spark, sf, PEOPLE), relation(spark, sf, LAYERS)
     g = lambda c: F.concat(F.lit("g"), F.col(c).cast("string"))
     first = lambda c: (F.col(c) % 7).cast("string")
     people = nodes.select(g("id").alias("ged_id"), first("id").alias("first"), F.col("id").alias("ord"))
-    start = nodes.where("id = 0").select(g("id").alias("ged_id"), "id")
+    start = graph.sinks(nodes, edges).select(g("id").alias("ged_id"), "id")
     return matching.match_by_position(people, edges.select(g("s").alias("s"), g("t").alias("t")), nodes.select("id", first("id").alias("first")), edges, start, max_passes=4)
 
 
@@ -563,10 +567,12 @@ def _flows_at(spark, sf):
     return shown.select("s", "t", "year", F.round("alpha", 6).alias("alpha"))
 
 
-@query("merged_relations", f"""WITH {WITH_EDGES}, m AS (SELECT unnest([10, 11, 12]) AS id), u AS (SELECT 'parent' AS role, e.s AS id, m.id AS member FROM e JOIN m ON m.id = e.t UNION SELECT 'child', e.t, m.id FROM e JOIN m ON m.id = e.s)
-SELECT '10,11,12' AS key, role, id, count(DISTINCT member) AS n, count(DISTINCT member) = 3 AS shared FROM u GROUP BY role, id""")
+@query("merged_relations", f"""WITH {WITH_EDGES}, m AS (SELECT p_partkey AS id, p_partkey - p_partkey % 3 AS k, count(*) OVER (PARTITION BY p_partkey - p_partkey % 3) AS many, string_agg(CAST(p_partkey AS VARCHAR), ',') OVER (PARTITION BY p_partkey - p_partkey % 3 ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS key FROM part),
+u AS (SELECT key, many, 'parent' AS role, e.s AS id, m.id AS member FROM e JOIN m ON m.id = e.t UNION SELECT key, many, 'child', e.t, m.id FROM e JOIN m ON m.id = e.s)
+SELECT key, role, id, count(DISTINCT member) AS n, count(DISTINCT member) = many AS shared FROM u GROUP BY key, many, role, id""")
 def _merged_relations(spark, sf):
-    return reports.merged_relations(spark.createDataFrame([([10, 11, 12],)], "ids array<bigint>"), relation(spark, sf, EDGES))
+    clusters = relation(spark, sf, PEOPLE).groupBy((F.col("id") - F.col("id") % 3).alias("k")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return reports.merged_relations(clusters, relation(spark, sf, EDGES))
 
 
 @query("find_text", "SELECT page_id FROM pages WHERE contains(lower(url || ' ' || html), 'thering')")

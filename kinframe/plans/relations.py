@@ -32,6 +32,14 @@ SELECT DISTINCT s, t FROM (
 ) AS x WHERE s < (SELECT COUNT(*) FROM {part})
 """
 
+#: A shallow graph over all parts: five generations, collapse within each.
+LAYERS = """
+SELECT DISTINCT s, t FROM (
+  SELECT p_partkey + 1 + 5 * ((p_partkey * 3) % 11) AS s, p_partkey AS t FROM {part} WHERE p_partkey % 5 < 4
+  UNION ALL SELECT p_partkey + 1 + 5 * ((p_partkey * 7) % 13) AS s, p_partkey AS t FROM {part} WHERE p_partkey % 5 < 4
+) AS x WHERE s < (SELECT COUNT(*) FROM {part})
+"""
+
 #: People: one per part.
 PEOPLE = """
 SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_partkey % 40 AS INT) AS gen,
