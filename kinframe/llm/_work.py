@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,42 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow; at its end the worker gives unused memory back to the system."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for applyInArrow, after groups that held much."""
+
+    def wrapped(group):
+        out = run(group)
+        if group.nbytes > 4 << 20:
+            _release()
+        return out
+
+    return wrapped
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 
 from kinframe.llm import _words as W
 from kinframe.llm._units import Pool, UnitCoder
-from kinframe.llm._work import short_batches
+from kinframe.llm._work import short_batches, tidy
 
 #: Most distinct pre-tokens in each of two generations, and most token pairs, that a worker remembers.
-CACHE_WORDS = 200_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 60_000
+CACHE_PAIRS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -264,4 +264,4 @@ def bpe_codec(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", tex
     kinds = [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * keep_ids + [pa.string()] * keep_text
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids + ["decoded"] * keep_text
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids + ", decoded string" * keep_text
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(tidy(run), schema)

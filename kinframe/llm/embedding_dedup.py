@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm._components import components
-from kinframe.llm._work import put
+from kinframe.llm._work import put, tidy, tidy_group
 
 BITS = 16
 TABLES = 16
@@ -106,7 +106,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int = BIT
     # a class is named by a hash of label and content, as ids may repeat
     named = firsts.select(F.xxhash64("label", "h", "g").alias("cls"), F.col("vec_id").alias("cid"), "v", "w", "label")
     labels = named.select("cls", "label")
-    signed = put(named.select("cls", "cid", "v", "w").mapInArrow(sign, "cls long, cid long, unit binary, codes binary, w long"), "signed")
+    signed = put(named.select("cls", "cid", "v", "w").mapInArrow(tidy(sign), "cls long, cid long, unit binary, codes binary, w long"), "signed")
     labels = put(labels.withColumn("label", F.xxhash64("label")), "labels")
     four = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("t"), F.substring("codes", t * 4 + 1, F.lit(4)).alias("code")))
     dealt = signed.join(labels, "cls").select("cls", "label", F.octet_length("unit").alias("dim"), F.explode(four).alias("s"))
@@ -138,7 +138,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int = BIT
         keep = np.flatnonzero((links > 0) | (root != np.arange(n)))
         return pa.table({"cls": ids[keep], "root": ids[root[keep]], "links": links[keep].astype(np.int64)})
 
-    found = put(members.join(signed, "cls").groupBy("bucket", "x", "y").applyInArrow(link, "cls long, root long, links long"), "links")
+    found = put(members.join(signed, "cls").groupBy("bucket", "x", "y").applyInArrow(tidy_group(link), "cls long, root long, links long"), "links")
     of_class = found.groupBy("cls").agg(F.sum("links").alias("links"))
     linked = components(found, "cls", "root").withColumnRenamed("id", "cls")
     lowest = put(signed.select("cls", "cid").join(linked, "cls").groupBy("component").agg(F.min("cid").alias("lowest")), "lowest")

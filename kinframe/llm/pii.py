@@ -31,7 +31,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm._work import short_batches
+from kinframe.llm._work import short_batches, tidy
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "iban", "ssn")
@@ -385,4 +385,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     types = [pa.int64()] * len(BASE) + [pa.string(), pa.string()] + [pa.string()] * redacted
     own = docs.select(*(F.col(c) for c in keep if c not in (id_col, *names)), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_searched_text"))
     fields = [T.StructField(n, T.LongType() if t == pa.int64() else T.StringType()) for n, t in zip(names, types, strict=True)]
-    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], *fields]))
+    return own.mapInArrow(tidy(run), T.StructType([*own.schema.fields[:-1], *fields]))

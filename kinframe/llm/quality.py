@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
-from kinframe.llm._work import short_batches
+from kinframe.llm._work import short_batches, tidy
 
 #: Most labelled rows that the model is fitted on.
 MAX_LABELLED = 4096
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     marked = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").where(fold("k") != 0)
     marked = marked.groupBy("k").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_labelled)
     mine = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(marked), "k")  # max_labelled rows at most
-    rows = mine.select("y", "t").mapInArrow(run, "y double, x binary").limit(2 * max_labelled).collect()
+    rows = mine.select("y", "t").mapInArrow(tidy(run), "y double, x binary").limit(2 * max_labelled).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r["x"]), r["y"]))
@@ -155,4 +155,4 @@ def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     own = docs.select(*(F.col(c) for c in keep if c != id_col), F.col(id_col), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("_scored_text"))
     schema = T.StructType([*own.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    return own.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= accept).cast("int"))
+    return own.mapInArrow(tidy(run), schema).withColumn("predicted", (F.col("score") >= accept).cast("int"))

@@ -37,7 +37,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm._work import put, short_batches
+from kinframe.llm._work import put, short_batches, tidy, tidy_group
 
 #: Weight of the children against the presentation in composites, per child.
 GAMMA = 0.9
@@ -259,7 +259,7 @@ def low_branches(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES)
         cut = [n for n, _, pages, _, _ in rows if pages >= min_pages and value[n] < low]
         return pa.table({"host": [group.column("host")[0].as_py()], "low": pa.array([sorted(cut)], pa.list_(pa.int64()))})
 
-    found = pages.select("host", "digest", "html").mapInArrow(facts, "host string, digest long, node long, parent long, value long, is_text boolean")
+    found = pages.select("host", "digest", "html").mapInArrow(tidy(facts), "host string, digest long, node long, parent long, value long, is_text boolean")
     # one count per distinct page, so that copies of a page don't make it look like a template
     found = found.distinct().groupBy("host", "node", "parent", "is_text", "value").count()
     c = F.col("count").cast("double")
@@ -274,7 +274,7 @@ def low_branches(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES)
         F.when(F.col("pages") > 1, (F.ln("pages") - F.col("clnc") / F.col("pages")) / F.ln("pages")).otherwise(1.0).alias("presentation"),
         F.when(F.col("texts") > 0, F.when(F.col("pages") > 1, 1 - F.col("text_ln") / (F.col("texts") * F.ln("pages"))).otherwise(1.0)).alias("content"),
     )
-    return nodes.groupBy("host").applyInArrow(judge, "host string, low array<long>").where(F.size("low") > 0)
+    return nodes.groupBy("host").applyInArrow(tidy_group(judge), "host string, low array<long>").where(F.size("low") > 0)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -294,4 +294,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     from pyspark.sql import types as T
 
     joined = own.join(low, "host", "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(run, T.StructType([*joined.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return joined.mapInArrow(tidy(run), T.StructType([*joined.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -33,7 +33,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm._work import fresh_path, put, short_batches
+from kinframe.llm._work import fresh_path, put, short_batches, tidy
 
 ARCHIVE_BYTES = 128 << 20
 GAP_BYTES = 64 << 10
@@ -144,7 +144,7 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
                 out.close()
 
     joined = own.join(again, "page_id", "left").select("page_id", "url", "html", "again")
-    joined.mapInArrow(run, INDEX).write.mode("overwrite").parquet(f"{base}/index")
+    joined.mapInArrow(tidy(run), INDEX).write.mode("overwrite").parquet(f"{base}/index")
     return base
 
 
@@ -210,4 +210,4 @@ def read_warc(spark: SparkSession, base: str, selected: DataFrame | None = None,
     # archives are of bounded size, so an archive is a bounded share of a task
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = index.select("archive", "offset", "length", "url").repartition(parts, "archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
-    return plan.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * keep_html)
+    return plan.mapInArrow(tidy(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * keep_html)
