@@ -1,25 +1,28 @@
 """Exact Jaccard self-join of word-shingle sets with count-vector R-trees.
 
 1. *Shards.* One R-tree over all documents can't be held by one executor, so the
-   documents are first dealt into cells that can't lose a link. A set is cut by
-   hash range into m groups. Sets with Jaccard >= t differ in at most
-   (1 - t) / t * (smaller size) shingles, each of which spoils one group, so for m
-   above that figure, plus the groups that may be empty, two linked sets agree on
-   the content of a whole non-empty group. m is fixed per size band; a set near
-   the lower edge of its band also takes part in the band below. Cells are combined
-   in the map tasks (a batch passes on one member of each cell and the links of the
-   rest to it), so a cell may hold any share of the rows. Connected cells form
-   candidate groups; no linked pair lies across two of them.
-2. *R-tree.* In a candidate group (or a pair of blocks of a large one) each set is a
-   point: its shingles hashed into ``DIMENSIONS`` groups and counted. The points
-   are packed into an R-tree; the overlap with anything below a node is at most the
-   sum of coordinate minima with the node's upper corner, and subtrees below the
-   needed overlap are skipped.
-3. *Verification.* Surviving pairs are verified exactly on the shingle sets. Only
-   links that join two still separate parts are kept, never all pairs of a group.
-   Groups above ``BLOCK`` members are cut by size band and salt; blocks are first
-   held against a pivot block, and only blocks whose members are still separate are
-   then held against each other.
+   documents are first parted into candidate groups that can't lose a link. A set is
+   cut by hash range into m parts. Sets with Jaccard >= t differ in at most
+   (1 - t) / t * (smaller size) shingles, each of which spoils one part, so for m above
+   that figure, plus the parts that may be empty, two linked sets agree on the content
+   of a whole non-empty part. m is fixed per size band (powers of two); a set near the
+   lower edge of its band also takes part in the band below. Shingles in a ``HOT``-th of
+   all documents (counted over all of them) are left out of the parts, so that common
+   lines connect nothing: that keeps the guarantee for every set that still has more
+   parts than can be spoiled, and the others, made of common lines, take part with
+   whole parts too. Sets that agree on a part are connected, through one of them, and
+   connected sets form a group. Map tasks combine first and pass on one member per
+   part, so any share of the rows may agree.
+2. *R-tree.* Each set is a point: its shingles hashed into groups (about one for
+   eight shingles) and counted. In a group, or a pair of blocks of a large one, the
+   points are packed into leaves; the overlap of two sets is at most the sum of their
+   coordinate minima, that of two leaves at most that of their upper corners. Leaf
+   pairs, then point pairs, below the needed overlap are dropped. Surviving pairs are
+   verified; their connected parts are the only sets whose shingles are shipped.
+3. *Verification.* Surviving pairs are verified exactly on the shingle sets. A task
+   returns one edge from each member to its part, never all pairs. Groups above
+   ``BLOCK`` members are cut by size band and salt; blocks are first held against a
+   pivot block, and only blocks whose members are still apart against each other.
 
 Words and shingles are compared by 64-bit hashes; equal sets are one class,
 identified by a 64-bit sum of hashes and the size.
@@ -41,14 +44,19 @@ from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
 from kinframe.llm._components import components
-from kinframe.llm._work import put, short_batches
+from kinframe.llm._work import put, short_batches, tidy, tidy_group
 
+#: Coordinates at least, and shingles per coordinate at most, of a count vector.
 DIMENSIONS = 32
-LEAF = 16
+PER_DIMENSION = 8
+LEAF = 32
 #: Most members of a candidate group, or of a block of one, in a task.
 BLOCK = 1024
-#: Cell keys gathered by a map task before they are combined and passed on.
+#: Keys gathered by a map task before they are combined and passed on.
 FLUSH = 1_500_000
+#: Shingles in this share of the documents are common; at most so many are kept.
+HOT = 1_000
+HOT_MOST = 500_000
 
 
 class Threshold:
@@ -56,23 +64,27 @@ class Threshold:
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
+        self.ratio = math.log(den / num * 1.0001)
+        self._parts: dict[int, int] = {}
 
     def spoiled(self, n: int) -> int:
         """Most shingles in which a set of n and a linked, no smaller one can differ."""
         return n * (self.den - self.num) // self.num
 
+    def groups(self, band: int) -> int:
+        """Parts in a band: one more than can be spoiled or (but for odds of 1e-12) empty."""
+        if band not in self._parts:
+            top = (2 << band) - 1
+            m = spoiled = self.spoiled(top) + 1
+            for _ in range(20):
+                empty = m * math.exp(-top / m)
+                m = spoiled + math.ceil(empty + 7 * math.sqrt(empty)) + (top > 8)
+            self._parts[band] = m
+        return self._parts[band]
+
     def needed(self, total):
         """Least overlap of two linked sets with ``total`` shingles together."""
-        return -(-self.num * total // (self.num + self.den))
-
-    def groups(self, band: int) -> int:
-        """Groups of a band: one more than can be spoiled or (but for odds of 1e-12) empty."""
-        top = (2 << band) - 1
-        m = spoiled = self.spoiled(top) + 1
-        for _ in range(20):
-            empty = m * math.exp(-top / m)
-            m = spoiled + math.ceil(empty + 7 * math.sqrt(empty)) + (top > 8)
-        return m
+        return -((-self.num * total) // (self.num + self.den))
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -94,70 +106,85 @@ def class_of(s: np.ndarray) -> int:
         return int(W.mix(np.array([W.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def cell_keys(s: np.ndarray, t: Threshold, sizes: dict[int, int]) -> np.ndarray:
-    """Keys of the non-empty groups of a set, in its band and maybe the one below."""
+def vector_of(s: np.ndarray) -> np.ndarray:
+    """Counts of the shingles in groups; the number of groups is a power of two, so it folds."""
+    dim = DIMENSIONS
+    while dim * PER_DIMENSION < len(s):
+        dim *= 2
+    return np.bincount((s & np.uint64(dim - 1)).astype(np.int64), minlength=dim).astype(np.uint16)
+
+
+def fold(v: np.ndarray, dim: int) -> np.ndarray:
+    return v.reshape(-1, dim).sum(0, dtype=np.uint16) if len(v) > dim else v
+
+
+def keys_of(s: np.ndarray, t: Threshold, hot: np.ndarray) -> np.ndarray:
+    """Keys of the non-empty parts of a set, in its band and maybe the one below."""
     n, out = len(s), []
     band = n.bit_length() - 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    value = W.mix(s ^ np.uint64(0x5851F42D4C957F2D))
+    rare = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s if len(hot) else np.ones(n, bool)
+    mixed = not rare.all()
     lower = band > 0 and -(-t.num * n // t.den) <= (1 << band) - 1
     for at in (band, band - 1)[: 1 + lower]:
-        m = sizes.get(at) or sizes.setdefault(at, t.groups(at))
-        # group of h is h * m >> 64, through the upper half
-        group = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        content = total[np.r_[begin[1:], n]] - total[begin]
-        out.append(W.mix(content + (group[begin] * np.uint64(64) + np.uint64(at)) * np.uint64(0x9E3779B97F4A7C15)))
+        m = t.groups(at)
+        part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        name = (part[begin] * np.uint64(64) + np.uint64(at)) * np.uint64(0x9E3779B97F4A7C15)
+        if mixed:
+            left = np.add.reduceat(rare.astype(np.int64), begin) > 0
+            out.append(W.mix(np.add.reduceat(value * rare, begin)[left] + name[left]))
+            if left.sum() > min(t.spoiled(n), t.spoiled((2 << at) - 1)):
+                continue
+        out.append(W.mix(np.add.reduceat(value, begin) + name))
     return np.concatenate(out)
 
 
 def combine(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One member of each key, and the edges from it to the key's other members."""
+    """One member of each key, and the edges from it to the others."""
     order = np.lexsort((members, keys))
     keys, members = keys[order], members[order]
-    head = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
-    first = members[np.flatnonzero(head)][np.cumsum(head) - 1] if len(keys) else members
-    other = ~head & (members != first)
-    other[1:] &= ~((members[1:] == members[:-1]) & (keys[1:] == keys[:-1]))
+    if not len(keys):
+        return keys, members, members, members
+    head = np.r_[True, keys[1:] != keys[:-1]]
+    first = members[np.flatnonzero(head)][np.cumsum(head) - 1]
+    other = members != first
     return keys[head], members[head], first[other], members[other]
 
 
-def _cells(docs: DataFrame, size: int, t: Threshold, parts: int) -> DataFrame:
-    """Distinct edges (a, b) between classes that share a cell."""
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    return np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
+
+
+def _cells(docs: DataFrame, size: int, t: Threshold, hot: np.ndarray, parts: int) -> DataFrame:
+    """Distinct edges (a, b) that connect the classes agreeing on a part."""
     import pyarrow as pa
 
+    told = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST shingles at most
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes: dict[int, int] = {}
         keys: list[np.ndarray] = []
-        members: list[np.ndarray] = []
+        about: list[int] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            k, m, a, b = combine(np.concatenate(keys), np.concatenate(members))
-            pid = ((k >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            sizes = [len(k) for k in keys]
+            k, m, a, b = combine(np.concatenate(keys), np.repeat(np.array(about, np.int64), sizes))
+            pid = ((k >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(pid, kind="stable")
             cut = np.searchsorted(pid[order], np.arange(parts + 1))
-            k, m = k[order], m[order]
-            pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            cut_b = np.linspace(0, len(pair), parts + 1).astype(int)
-            keys.clear(), members.clear()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(parts), pa.int32()),
-                    pa.array([k[cut[i] : cut[i + 1]].tobytes() for i in range(parts)], pa.binary()),
-                    pa.array([m[cut[i] : cut[i + 1]].tobytes() for i in range(parts)], pa.binary()),
-                    pa.array([pair[cut_b[i] : cut_b[i + 1]].tobytes() for i in range(parts)], pa.binary()),
-                ],
-                names=["pid", "keys", "members", "edges"],
-            )
+            k, m, edges = k[order], m[order], _distinct(np.stack([a, b], 1))
+            share = np.linspace(0, len(edges), parts + 1).astype(int)
+            keys.clear(), about.clear()
+            split = lambda x, at: pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(parts)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), split(k, cut), split(m, cut), split(edges, share)], names=["pid", "keys", "members", "edges"])
 
         for batch in batches:
             for s in shingle_sets(W.as_bytes(batch.column(0)), size):
                 if len(s):
-                    got = cell_keys(s, t, sizes)
-                    keys.append(got)
-                    members.append(np.full(len(got), class_of(s), np.int64))
-                    count += len(got)
+                    keys.append(keys_of(s, t, told.value))
+                    about.append(class_of(s))
+                    count += len(keys[-1])
                 if count >= FLUSH:
                     yield flush()
                     count = 0
@@ -167,91 +194,86 @@ def _cells(docs: DataFrame, size: int, t: Threshold, parts: int) -> DataFrame:
     def meet(group: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
         _, _, a, b = combine(whole("keys", np.uint64), whole("members", np.int64))
-        pair = np.concatenate([np.stack([a, b], 1), whole("edges", np.int64).reshape(-1, 2)])
-        pair = np.unique(pair, axis=0) if len(pair) else pair
+        pair = _distinct(np.concatenate([np.stack([a, b], 1), whole("edges", np.int64).reshape(-1, 2)]))
         return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
-    dealt = docs.select("text").mapInArrow(deal, "pid int, keys binary, members binary, edges binary")
-    return dealt.groupBy("pid").applyInArrow(meet, "a long, b long").distinct()
+    dealt = docs.select("text").mapInArrow(tidy(deal), "pid int, keys binary, members binary, edges binary")
+    return dealt.groupBy("pid").applyInArrow(tidy_group(meet), "a long, b long").where("a <> b").distinct()
 
 
-class RTree:
-    """Points packed by halving on the widest coordinate; nodes keep upper corners."""
+def survivors(vectors: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, t: Threshold) -> np.ndarray:
+    """Mask of the pairs whose summed coordinate minima reach the needed overlap.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        self.points, self.sizes = points, sizes
-        self.root = self._node(np.arange(len(points)))
+    Rows of side 0 are held against those of side 1, or all against all if there are
+    none. Each side is packed into the leaves of an R-tree by size and then by the
+    widest coordinate; leaf pairs are tested by their corners first.
+    """
+    n = len(vectors)
+    coarse = np.stack([fold(v, DIMENSIONS) for v in vectors]).astype(np.int32)
 
-    def _node(self, rows: np.ndarray) -> tuple:
-        p = self.points[rows]
-        corner, least = p.max(0), self.sizes[rows].min()
+    def leaves(rows: np.ndarray) -> list[np.ndarray]:
         if len(rows) <= LEAF:
-            return corner, least, rows, None
-        whole = np.c_[p, self.sizes[rows]]
+            return [rows]
+        whole = np.c_[coarse[rows], sizes[rows]]
         axis = int(np.argmax(whole.max(0) - whole.min(0)))
         order = rows[np.argsort(whole[:, axis], kind="stable")]
         half = len(order) // 2
-        return corner, least, None, (self._node(order[:half]), self._node(order[half:]))
-
-    def search(self, point: np.ndarray, size: int, t: Threshold) -> np.ndarray:
-        """Rows whose summed coordinate minima with ``point`` reach the needed overlap."""
-        out, stack = [], [self.root]
-        while stack:
-            corner, least, rows, below = stack.pop()
-            if np.minimum(corner, point).sum() < t.needed(size + int(least)):
+        return leaves(order[:half]) + leaves(order[half:])
+
+    both = bool(side.any())
+    left = leaves(np.flatnonzero(side == 0))
+    right = leaves(np.flatnonzero(side == 1)) if both else left
+    mask = np.zeros((n, n), bool)
+    if not (len(left[0]) and len(right[0])):
+        return mask
+    corner_l, corner_r = (np.stack([coarse[x].max(0) for x in side_]) for side_ in (left, right))
+    least_l, least_r = (np.array([sizes[x].min() for x in side_]) for side_ in (left, right))
+    folded: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def points(which: int, k: int, rows: np.ndarray, dim: int) -> np.ndarray:
+        if (which, k, dim) not in folded:
+            folded[which, k, dim] = np.stack([fold(vectors[i], dim) for i in rows])
+        return folded[which, k, dim]
+
+    dims = [[min(len(vectors[i]) for i in rows) for rows in side_] for side_ in (left, right)]
+    for i, a in enumerate(left):
+        bound = np.minimum(corner_l[i], corner_r).sum(1)
+        for j in np.flatnonzero(bound >= t.needed(least_l[i] + least_r)).tolist():
+            if not both and j < i:
                 continue
-            if below is None:
-                out.append(rows)
-            else:
-                stack += below
-        rows = np.concatenate(out) if out else np.empty(0, np.int64)
-        bound = np.minimum(self.points[rows], point).sum(1)
-        return rows[bound >= t.needed(size + self.sizes[rows])]
-
-
-class _Forest:
-    """Union-find over the rows of a task."""
-
-    def __init__(self, labels: list) -> None:
-        first: dict = {}
-        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def links(ids: list[int], points: np.ndarray, sets: list[np.ndarray], labels: list, side: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """Verified links between rows with side 0 and 1 (or all, if side is all 0) that join separate parts."""
-    n, sizes = len(ids), np.array([len(s) for s in sets])
-    forest, out = _Forest(labels), []
-    right = np.flatnonzero(side == 1) if side.any() else np.arange(n)
-    left = np.flatnonzero(side == 0)
-    if not len(right) or not len(left):
+            b = right[j]
+            dim = min(dims[0][i], dims[1][j])
+            x, y = points(0, i, a, dim), points(int(both), j, b, dim)
+            near = np.minimum(x[:, None, :], y[None, :, :]).sum(2, dtype=np.int32) >= t.needed(sizes[a][:, None] + sizes[b][None, :])
+            mask[np.ix_(a, b)] = near
+            mask[np.ix_(b, a)] = near.T
+    np.fill_diagonal(mask, False)
+    return mask
+
+
+def parts(mask: np.ndarray) -> np.ndarray:
+    """The least row of each row's connected part."""
+    label = np.arange(len(mask))
+    while True:
+        near = np.where(mask, label[None, :], len(mask)).min(1, initial=len(mask))
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def verified(mask: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, t: Threshold) -> np.ndarray:
+    """The pairs of the mask that are linked, by their exact overlaps."""
+    i, j = np.nonzero(np.triu(mask))
+    out = np.zeros_like(mask)
+    if not len(i):
         return out
-    tree = RTree(points[right], sizes[right])
-    overlap = None
-    tested = 0
-    for i in left.tolist():
-        near = right[tree.search(points[i], int(sizes[i]), t)]
-        if not side.any():
-            near = near[near > i]
-        for j in near.tolist():
-            if forest.find(i) == forest.find(j):
-                continue
-            tested += 1
-            if overlap is None and tested > 8 * n:
-                overlap = _overlaps(sets)
-            both = overlap[i, j] if overlap is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= t.needed(int(sizes[i] + sizes[j])) and forest.join(i, j):
-                out.append((ids[i], ids[j]))
+    if len(i) > 4 * len(sets):
+        out = mask & (_overlaps(sets) >= t.needed(sizes[:, None] + sizes[None, :]))
+        return out
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        out[a, b] = out[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= t.needed(int(sizes[a] + sizes[b]))
     return out
 
 
@@ -259,10 +281,13 @@ def _overlaps(sets: list[np.ndarray], wide: int = 8192) -> np.ndarray:
     """All overlaps of the sets of a task, as products of blocks of a 0/1 matrix."""
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    # shingles of one set alone overlap with nothing
+    shared = np.bincount(column) > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(column[-1]) + 1, wide):
+    for lo in range(0, int(shared.sum()), wide):
         a, b = np.searchsorted(column, [lo, lo + wide])
         block = np.zeros((len(sets), wide), np.float32)
         block[row[a:b], column[a:b] - lo] = 1
@@ -270,67 +295,109 @@ def _overlaps(sets: list[np.ndarray], wide: int = 8192) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _tasks(members: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Members of small candidate groups by group, and of large ones by blocks."""
-    counts = members.groupBy("grp").agg(F.count("*").alias("many"))
-    members = members.join(counts, "grp")
-    small = members.where(F.col("many") <= BLOCK).drop("many")
-    ratio = math.log(t.den / t.num * 1.0001)
-    large = members.where(F.col("many") > BLOCK).drop("many").withColumn("band", F.floor(F.log("n") / ratio).cast("int"))
-    bands = large.groupBy("grp", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("salts"))
-    bands = bands.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("band", "salts"))).alias("bands"))
-    large = large.join(bands, "grp").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("bands")[F.col("band")]).cast("int"))
-    return small, large
+def _tasks(members: DataFrame, t: Threshold, block: int) -> tuple[DataFrame, DataFrame]:
+    """Members of small groups by group, and of large ones with their blocks.
+
+    The sizes of groups are counted from (grp, n) alone; large groups are at most one
+    in ``block`` rows, and that table is joined by Spark's choice.
+    """
+    band = F.floor(F.log("n") / F.lit(t.ratio)).cast("int")
+    counts = members.groupBy("grp", band.alias("band")).agg(F.count("*").alias("many"))
+    sizes = counts.groupBy("grp").agg(F.sum("many").alias("many"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("many") / block).cast("int").alias("salts")))).alias("bands"))
+    big = put(sizes.where(F.col("many") > block).drop("many"), "big")
+    small = members.join(big.select("grp"), "grp", "left_anti")
+    large = members.withColumn("band", band).join(big, "grp")
+    return small, large.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("bands")[F.col("band")]).cast("int"))
 
 
-def _pairs_of_blocks(large: DataFrame, first: bool) -> DataFrame:
+def _pairs_of_blocks(large: DataFrame, which: str) -> DataFrame:
     """Each member once for every pair of blocks its block is in.
 
-    First round: a block with itself and with the pivot block (salt 0) of its band
-    and of the bands beside it. Second round: the pairs left out before.
+    ``first``: a block with itself and with the pivot block (salt 0) of its band
+    and of the bands beside it. ``rest``: the pairs left out by that. ``all``: all.
     """
     own = F.struct("band", "salt")
-    here = F.coalesce(F.try_element_at("bands", F.col("band") - 1), F.lit(0))
-    up = F.coalesce(F.try_element_at("bands", F.col("band") + 1), F.lit(0))
-    some = lambda count, d: F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda s: F.struct((F.col("band") + d).cast("int").alias("band"), s.cast("int").alias("salt")))).otherwise(F.array().cast("array<struct<band:int,salt:int>>"))
-    beside = F.concat(some(here, -1), some(F.col("bands")[F.col("band")], 0), some(up, 1))
-    out = large.withColumn("other", F.explode(beside)).withColumn("own", own)
-    pivot = (F.col("other.salt") == 0) | (F.col("own.salt") == 0)
-    same = F.col("other") == F.col("own")
-    out = out.where(pivot | same if first else ~(pivot | same))
+    none = F.array().cast("array<struct<band:int,salt:int>>")
+
+    def blocks(d: int):
+        count = F.coalesce(F.try_element_at("bands", F.col("band") + d), F.lit(0))
+        made = F.transform(F.sequence(F.lit(0), count - 1), lambda s: F.struct((F.col("band") + d).cast("int").alias("band"), s.cast("int").alias("salt")))
+        return F.when(count > 0, made).otherwise(none)
+
+    out = large.withColumn("other", F.explode(F.concat(blocks(-1), blocks(0), blocks(1)))).withColumn("own", own)
+    chosen = (F.col("other.salt") == 0) | (F.col("own.salt") == 0) | (F.col("other") == F.col("own"))
+    if which != "all":
+        out = out.where(chosen if which == "first" else ~chosen)
     return out.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") == F.col("x"), 0).otherwise(1))
 
 
-def _join(tasks: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
+def _join(tasks: DataFrame, keys: list[str], t: Threshold, exact: bool) -> DataFrame:
+    """Edges (a, b) from members to their parts, by surviving or by verified pairs."""
     import pyarrow as pa
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("cls").to_pylist()
-        points = np.stack([np.frombuffer(x, np.int32) for x in group.column("vec").to_pylist()])
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        labels, side = group.column("label").to_pylist(), np.array(group.column("side").to_pylist())
-        order = np.argsort(np.array(ids), kind="stable")
+        ids = np.array(group.column("cls").to_pylist(), np.int64)
+        side = np.array(group.column("side").to_pylist())
+        _, order = np.unique(ids * 2 + side, return_index=True)  # a repeated row counts once
         pick = order.tolist()
-        found = links([ids[i] for i in pick], points[order], [sets[i] for i in pick], [labels[i] for i in pick], side[order], t)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        take = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).take(pick).to_pylist()]
+        ids, side = ids[order], side[order]
+        sizes = np.array(group.column("n").to_pylist(), np.int64)[order]
+        mask = survivors(take("vec", np.uint16), sizes, side, t)
+        if exact:
+            mask = verified(mask, take("shingles", np.uint64), sizes, t)
+        root = parts(mask)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(ids[root[moved]], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
+
+    columns = [*keys, "cls", "n", "vec", "side"] + ["shingles"] * exact
+    return tasks.select(columns).groupBy(*keys).applyInArrow(tidy_group(run), "a long, b long")
+
+
+def _classes(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """doc_id, text_md5, cls, n, vec of every row (cls is null for empty sets), and
+    rows with the common shingles of each stretch of rows (shingle, n)."""
+    import pyarrow as pa
 
-    return tasks.groupBy(*keys).applyInArrow(run, "a long, b long")
+    names = ["doc_id", "text_md5", "cls", "n", "vec", "shingle"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[np.ndarray] = []
+        count = 0
 
-def _classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_md5, cls, n of every row; cls is null for empty sets."""
-    import pyarrow as pa
+        def often() -> pa.RecordBatch:
+            value, times = np.unique(np.concatenate(first), return_counts=True)
+            # what is in a HOT-th of all documents is so in one stretch at least
+            keep = times >= max(2, len(first) // HOT)
+            value, times = value[keep].view(np.int64), times[keep]
+            if len(value) > HOT_MOST:
+                pick = np.argsort(-times, kind="stable")[:HOT_MOST]
+                value, times = value[pick], times[pick]
+            first.clear()
+            none = [None] * len(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([none, none, none, times, none, value], kinds, strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(class_of(s) if len(s) else None, len(s)) for s in shingle_sets(W.as_bytes(batch.column(2)), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([c for c, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], names=["doc_id", "text_md5", "cls", "n"])
+            rows = []
+            for s in shingle_sets(W.as_bytes(batch.column(2)), size):
+                rows.append((class_of(s), len(s), vector_of(s).tobytes()) if len(s) else (None, 0, None))
+                if len(s):
+                    first.append(s)
+                    count += len(s)
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(c), k) for c, k in zip(columns, kinds[2:5], strict=True)), pa.nulls(len(rows), pa.int64())], names=names)
+            if count >= 3 * FLUSH:
+                yield often()
+                count = 0
+        if count:
+            yield often()
 
-    return docs.select("doc_id", F.md5("text").alias("text_md5"), "text").mapInArrow(run, "doc_id long, text_md5 string, cls long, n long")
+    return docs.select("doc_id", F.md5("text").alias("text_md5"), "text").mapInArrow(tidy(run), "doc_id long, text_md5 string, cls long, n long, vec binary, shingle long")
 
 
 def _members(docs: DataFrame, size: int) -> DataFrame:
-    """grp, cls, n, vec and shingles of one document of each class in a candidate group."""
+    """grp, cls, n, vec and shingles of the documents that stand for their classes."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,14 +405,13 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
             kept = []
             rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(W.as_bytes(batch.column(0)), size), strict=True)
             for cls, grp, s in rows:
-                if len(s) and class_of(s) == cls:
-                    vec = np.bincount((s & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
-                    kept.append((grp, cls, len(s), vec.tobytes(), s.tobytes()))
+                if len(s) and class_of(s) == cls:  # ids may repeat with other texts
+                    kept.append((grp, cls, len(s), vector_of(s).tobytes(), s.tobytes()))
             columns = list(zip(*kept, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["grp", "cls", "n", "vec", "shingles"])
 
-    return docs.select("text", "cls", "grp").mapInArrow(run, "grp long, cls long, n long, vec binary, shingles binary").dropDuplicates(["cls"])
+    return docs.select("text", "cls", "grp").mapInArrow(tidy(run), "grp long, cls long, n long, vec binary, shingles binary")
 
 
 def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,26 +425,39 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     t = Threshold(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = put(_classes(docs, size), "classes")
-    shared = put(_cells(named, size, t, parts), "cells")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = put(_classes(docs, size, t), "classes")
+    every = told.where("shingle IS NULL")
+    least = max(16, every.count() // HOT)
+    often = told.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    hot = np.array([r["shingle"] for r in often.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).select("shingle").collect()], np.int64)
+    hot = np.sort(hot.view(np.uint64))
+
+    # candidate groups, then the parts of them that the count vectors can't rule out
+    shared = put(_cells(named, size, t, hot, spread), "cells")
     groups = components(shared).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
-    first = every.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    members = put(_members(named.join(groups.join(first, "cls"), "doc_id"), size), "members")
-
-    small, large = _tasks(members, t)
-    found = put(_join(small.withColumn("label", F.col("cls")).withColumn("side", F.lit(0)), ["grp"], t), "links")
-    if not (large := put(large, "large")).isEmpty():
-        tasks = _pairs_of_blocks(large.withColumn("label", F.col("cls")), True)
-        found = put(found.union(_join(tasks, ["grp", "x", "y"], t)), "links")
-        parted = large.join(components(found).withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
-        several = parted.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
-        left = put(_uneven(_pairs_of_blocks(parted.drop("component").join(several, "grp", "left_semi"), False)), "pairs")
-        if not left.isEmpty():
-            found = put(found.union(_join(left, ["grp", "x", "y"], t)), "links")
+    classes = every.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("vec").alias("vec"))
+    first = put(classes.select("cls", "doc_id"), "first")
+    points = put(classes.select("cls", "n", "vec").join(groups, "cls"), "points")
+    small, large = _tasks(points, t, 2 * BLOCK)
+    near = _join(small.withColumn("side", F.lit(0)), ["grp"], t, False).union(_join(_pairs_of_blocks(large, "all"), ["grp", "x", "y"], t, False))
+    groups = components(put(near, "near")).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+
+    chosen = put(groups.join(first, "cls"), "chosen")
+    members = put(_members(named.join(chosen, "doc_id"), size), "members")
+    small, large = _tasks(members, t, BLOCK)
+    found = put(_join(small.withColumn("side", F.lit(0)), ["grp"], t, True).union(_join(_pairs_of_blocks(large, "first"), ["grp", "x", "y"], t, True)), "links")
     linked = components(found).withColumnRenamed("id", "cls")
-    lowest = first.join(linked, "cls").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    of_class = first.join(linked, "cls", "left").join(lowest, "component", "left").select("cls", F.coalesce("lowest", "doc_id").alias("component_id"))
+    left = large.join(linked, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+    left = put(_uneven(_pairs_of_blocks(left, "rest")), "pairs")
+    if not left.isEmpty():
+        found = put(found.union(_join(left, ["grp", "x", "y"], t, True)), "links")
+        linked = components(found).withColumnRenamed("id", "cls")
+    tied = put(first.join(linked, "cls"), "tied")
+    lowest = put(tied.groupBy("component").agg(F.min("doc_id").alias("lowest")), "lowest")
+    of_class = tied.join(lowest, "component").select("cls", F.col("lowest").alias("component_id"))
+    alone = first.join(linked, "cls", "left_anti").select("cls", F.col("doc_id").alias("component_id"))
+    of_class = put(of_class.union(alone), "of_class")
     return every.join(of_class, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_md5"
     )
