@@ -117,9 +117,23 @@ def first_match(c: Column, table: Sequence[tuple[str, str]], otherwise: Column)
     return otherwise if chain is None else chain.otherwise(otherwise)
 
 
+def any_of(patterns: Sequence[str]) -> str:
+    """One pattern for several: those that open at a word boundary share the boundary and
+    their first letters, so a position inside a word is given up at once."""
+    by_letter: dict[str, list[str]] = {}
+    rest = []
+    for p in patterns:
+        if p.startswith(r"\b") and p[2:3].isalpha():
+            by_letter.setdefault(p[2], []).append(p[3:])
+        else:
+            rest.append(p)
+    words = [f"{letter}(?:{'|'.join(tails)})" for letter, tails in by_letter.items()]
+    return "|".join(([rf"\b(?:{'|'.join(words)})"] if words else []) + rest)
+
+
 def classify(name: Column, categories: Sequence = CATEGORIES) -> Column:
     """Category key of a name; categories in order, one alternation each."""
-    table = [(f"(?:{'|'.join(row[-1])})", row[0]) for row in categories]
+    table = [(any_of(row[-1]), row[0]) for row in categories]
     return first_match(F.lower(strip_accents(name)), table, F.lit(UNTITLED[0]))
 
 

@@ -11,7 +11,7 @@ from kinframe.functions import display, naming, rules
 from kinframe.functions import text as T
 from kinframe.operators import graph, matching, merge, outline, reports
 from kinframe.operators.asof import asof_header, asof_parent
-from kinframe.plans.relations import EDGES, LAYERS, OUTLINE, PEOPLE, SOURCES, oracle, plain, relation
+from kinframe.plans.relations import EDGES, LAYERS, OUTLINE, PEOPLE, SOURCES, oracle, plain, relation, spread
 from kinframe.sources import graphs as G
 from kinframe.sources import lines as L
 from kinframe.sources import search
@@ -51,6 +51,10 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(_t(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _roots(spark: SparkSession, *ids: int) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "id long")
 
@@ -108,7 +112,7 @@ SELECT src, min(pos) AS pos, CAST(max(CASE WHEN opens THEN CAST(regexp_extract(l
   md5(string_agg(CASE WHEN opens THEN regexp_extract(line, '^\\s*(\\d+)\\.\\s+(.*\\S)\\s*$', 2) ELSE trim(line) END, ' ' ORDER BY pos)) AS text_md5
 FROM g WHERE grp > 0 GROUP BY src, grp""")
 def _stitch_lines(spark, sf):
-    rows = L.split_lines(_t(spark, sf, "documents").select(F.col("doc_id").alias("src"), F.replace("text", F.lit("\r"), F.lit("")).alias("value")))
+    rows = L.split_lines(_texts(spark, sf).select(F.col("doc_id").alias("src"), F.replace("text", F.lit("\r"), F.lit("")).alias("value")))
     rows = rows.withColumn("line", F.when(F.col("pos") % 3 == 0, F.concat((1 + F.col("pos") % 7).cast("string"), F.lit(". "), F.col("line"))).otherwise(F.col("line")))
     return outline.stitch(rows).select("src", "pos", "gen", F.md5("raw_text").alias("text_md5"))
 
@@ -121,14 +125,14 @@ _NORM = "trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^a-z0-9
 @query("norm_text", f"SELECT doc_id, md5({_NORM.format(c='text')}) AS norm_md5, length({_NORM.format(c='text')}) AS n FROM documents")
 def _norm_text(spark, sf):
     n = T.norm(F.col("text"))
-    return _t(spark, sf, "documents").select("doc_id", F.md5(n).alias("norm_md5"), F.length(n).cast("long").alias("n"))
+    return _texts(spark, sf).select("doc_id", F.md5(n).alias("norm_md5"), F.length(n).cast("long").alias("n"))
 
 
 @query("norm_variants", """SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]+', '', 'g')), '\\s+', ' ', 'g'))) AS gedcom_md5,
 md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS review_md5, md5(trim(lower(strip_accents(text)))) AS voyage_md5 FROM documents""")
 def _norm_variants(spark, sf):
     c = F.col("text")
-    return _t(spark, sf, "documents").select("doc_id", F.md5(T.norm_gedcom(c)).alias("gedcom_md5"), F.md5(T.norm_review(c)).alias("review_md5"), F.md5(T.norm_voyage(c)).alias("voyage_md5"))
+    return _texts(spark, sf).select("doc_id", F.md5(T.norm_gedcom(c)).alias("gedcom_md5"), F.md5(T.norm_review(c)).alias("review_md5"), F.md5(T.norm_voyage(c)).alias("voyage_md5"))
 
 
 @query("slugify", "SELECT page_id, regexp_replace(regexp_replace(lower(strip_accents(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
@@ -173,7 +177,7 @@ def _classify_category(spark, sf):
 
 @query("classify_documents", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(strip_accents(text)), '(?:{'|'.join(p)})') THEN '{k}'" for k, _, _, p in rules.CATEGORIES) + " ELSE 'untitled' END AS cat FROM documents")
 def _classify_documents(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", rules.classify(F.col("text")).alias("cat"))
+    return _texts(spark, sf).select("doc_id", rules.classify(F.col("text")).alias("cat"))
 
 
 @query("classify_wide", f"""WITH v AS ({oracle(TITLED)}) SELECT id, CASE {_M} WHEN 0 THEN 'royal' WHEN 1 THEN 'noble' WHEN 2 THEN 'clergy' WHEN 3 THEN 'military' WHEN 4 THEN 'official' WHEN 5 THEN 'indigenous' ELSE 'untitled' END AS cat FROM v""")
@@ -454,7 +458,7 @@ def _family_pairs(spark, sf):
 SELECT doc_id, word AS surname, display, priority FROM w JOIN (SELECT unnest(['the', 'der', 'para']) AS s, unnest(['English', 'German', 'Spanish']) AS display, CAST(unnest([1, 1, 2]) AS BIGINT) AS priority) ON s = word""")
 def _surname_match(spark, sf):
     table = spark.createDataFrame([("the", "English", 1), ("der", "German", 1), ("para", "Spanish", 2)], "surname string, display string, priority int")
-    return matching.surname_matches(_t(spark, sf, "documents"), table, F.col("text")).select("doc_id", "surname", "display", "priority")
+    return matching.surname_matches(_texts(spark, sf), table, F.col("text")).select("doc_id", "surname", "display", "priority")
 
 
 @query("asof_header", """SELECT event_id, CAST(last_value(CASE WHEN event_type = 'login' OR event_id % 10 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS header FROM events""")

@@ -80,6 +80,15 @@ def oracle(sql: str) -> str:
     return sql.format(**{t: t for t in tables_of(sql)}).replace(" AS STRING)", " AS VARCHAR)")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores dealt over all cores, for costly expressions.
+
+    Large tables have splits enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as BIGINT, so that schemas agree with the oracle's casts."""
     return df.select(*(df[c].cast("bigint").alias(c) if kind in ("int", "smallint", "tinyint") or kind.startswith("decimal") else df[c] for c, kind in df.dtypes))
