@@ -141,3 +141,50 @@ def test_extend_graph(spark):
     people = spark.createDataFrame([("c", "ana", 0, None, None), ("m", "rosa", 1, 1500, None)], "ged_id string, name string, gen int, birth int, death int")
     got, edges = matching.extend_graph(nodes, spark.createDataFrame([], "s long, t long"), people, spark.createDataFrame([("m", "c")], "s string, t string"), spark.createDataFrame([("c", 0)], "ged_id string, id long"))
     assert {r.id: r.name for r in got.collect()} == {0: "ana", 1: "rosa"} and [tuple(r) for r in edges.collect()] == [(1, 0)]
+
+
+def test_decisions(spark):
+    nodes = nodes_of(spark, 8)
+    edges = spark.createDataFrame([(s, 0) for s in (1, 2, 5, 6)] + [(1, 3), (2, 3), (4, 3)], "s long, t long")
+    found = reports.conflicts(nodes, edges, second_source_from=5)
+    rows = {r.id: ([p.id for p in r.group_a], [p.id for p in r.group_b]) for r in found.collect()}
+    assert rows == {0: ([1, 2], [5, 6]), 3: ([1], [2, 4])}
+    left = reports.apply_conflict_decisions(edges, found, spark.createDataFrame([(0, "keep-b"), (3, "flag")], "id long, decision string"))
+    assert {tuple(r) for r in left.collect()} == {(5, 0), (6, 0), (1, 3), (2, 3), (4, 3)}
+    clusters = spark.createDataFrame([([1, 2, 3],), ([4, 5],)], "ids array<bigint>")
+    remap = reports.merge_decisions(clusters, spark.createDataFrame([("1,2,3", "merge-last"), ("4,5", "distinct")], "key string, decision string"))
+    assert {tuple(r) for r in remap.collect()} == {(1, 3), (2, 3)}
+
+
+def test_change_policies(spark):
+    nodes = spark.createDataFrame([(0, "Ana", 1500, None, "", "")], "id long, name string, birth int, death int, country string, region string")
+    people = spark.createDataFrame([("g", "Ana Sol", 1501, 1560, "Peru", "unknown")], "ged_id string, name string, birth int, death int, country string, region string")
+    match = spark.createDataFrame([("g", 0)], "ged_id string, id long")
+    over = {(r.field, r.old, r.new) for r in matching.change_set(match, people, nodes).collect()}
+    assert over == {("name", "Ana", "Ana Sol"), ("birth", "1500", "1501"), ("death", None, "1560"), ("country", "", "Peru")}
+    fill = matching.change_set(match, people, nodes, "fill", root=0)
+    assert {r.field for r in fill.collect()} == {"death", "country"}
+    new = matching.apply_changes(nodes, fill).first()
+    assert (new.name, new.birth, new.death, new.country) == ("Ana", 1500, 1560, "Peru")
+
+
+def test_branch_ids_follow_generations(spark):
+    people = spark.createDataFrame([(x,) for x in "abcde"], "ged_id string")
+    got = matching.branch(people, spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "c"), ("b", "d")], "s string, t string"), "a")
+    assert {r.ged_id: (r.gen, r.id) for r in got.collect()} == {"a": (0, 0), "b": (1, 1), "c": (1, 2), "d": (2, 3)}
+
+
+def test_houses_and_pages(spark, tmp_path):
+    from kinframe.sources import graphs
+
+    rows = [(i, f"n{i}", "Lara & Co", "royal" if i else "noble", 900 + i if i else None, None, i) for i in range(4)] + [(9, "x", "", "noble", 1, None, 1)]
+    nodes = spark.createDataFrame(rows, "id long, name string, house string, cat string, birth int, death int, gen int")
+    stats = reports.house_stats(nodes)
+    one = stats.first()
+    assert (one.members, one.slug, one.era, one.n_royal) == (4, "lara-co", "c. 901–903 AD", 3)
+    members = reports.house_members(nodes)
+    assert [r.id for r in members.orderBy("place").collect()] == [1, 2, 3, 0]
+    pages = graphs.house_pages(stats, members)
+    graphs.write_pages(pages, str(tmp_path / "pages"))
+    assert "Lara &amp; Co" in spark.read.text(str(tmp_path / "pages")).first()[0]
+    assert "lara-co.html" in graphs.index_page(reports.house_rank(stats))
