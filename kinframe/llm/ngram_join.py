@@ -444,7 +444,8 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     groups = components(put(near, "near")).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
 
     chosen = put(groups.join(first, "cls"), "chosen")
-    members = put(_members(named.join(chosen, "doc_id"), size), "members")
+    # merged at any size: what is chosen follows the input, and so should the plan
+    members = put(_members(named.join(chosen.hint("merge"), "doc_id"), size), "members")
     small, large = _tasks(members, t, BLOCK)
     found = put(_join(small.withColumn("side", F.lit(0)), ["grp"], t, True).union(_join(_pairs_of_blocks(large, "first"), ["grp", "x", "y"], t, True)), "links")
     linked = components(found).withColumnRenamed("id", "cls")
