@@ -187,6 +187,11 @@ def generation_histogram(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("gen").agg(F.count("*").alias("n"))
 
 
+def tag_source(nodes: DataFrame, second_from: int, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """Nodes with the source they come from, by the first id of the second one."""
+    return nodes.withColumn("source", F.when(F.col("id") < second_from, names[0]).otherwise(names[1]))
+
+
 def with_decisions(candidates: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
     """Candidates with their reviewers' decisions; null where there is none."""
     return candidates.join(decisions.select(key, "decision"), key, "left")

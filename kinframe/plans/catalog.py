@@ -382,6 +382,13 @@ def _anchored_merge(spark, sf):
     return merge.anchored_merge(relation(spark, sf, SOURCES), "src0").select("key", "gen", "mult", F.array_join("sources", ",").alias("sources"))
 
 
+@query("backfill", f"""WITH v AS ({oracle(TITLED)}) SELECT id, CASE WHEN id % 3 = 0 THEN 'noble' ELSE CASE {_M} WHEN 0 THEN 'royal' WHEN 1 THEN 'noble' WHEN 2 THEN 'clergy' WHEN 3 THEN 'military' WHEN 4 THEN 'official' WHEN 5 THEN 'indigenous' ELSE 'untitled' END END AS cat,
+CASE {_M} WHEN 1 THEN 'Lara' WHEN 6 THEN 'Guzmán' ELSE '' END AS house FROM v""")
+def _backfill(spark, sf):
+    nodes = relation(spark, sf, TITLED).select("id", "name", F.when(F.col("id") % 3 == 0, "nobility").otherwise("untitled").alias("cat"), F.lit("").alias("house"), F.lit(None).cast("string").alias("region"))
+    return merge.backfill(nodes).select("id", "cat", "house")
+
+
 @query("anchor_offsets", f"""WITH {WITH_SOURCES}, b AS (SELECT key, min(gen) AS gen FROM f WHERE file_ord = 0 GROUP BY key), s AS (SELECT f.file_ord, b.gen - f.gen AS o, b.gen, f.key, f.gen AS own FROM f JOIN b USING (key) WHERE f.file_ord > 0)
 SELECT CAST(file_ord AS BIGINT) AS file_ord, CAST(o AS BIGINT) AS "offset" FROM s QUALIFY row_number() OVER (PARTITION BY file_ord ORDER BY gen, key, own) = 1""")
 def _anchor_offsets(spark, sf):
@@ -628,4 +635,4 @@ def _conflict_decisions(spark, sf):
 
 @query("source_tags", f"WITH {WITH_PEOPLE} SELECT id, CASE WHEN id < 1000 THEN 'first' ELSE 'second' END AS source FROM n")
 def _source_tags(spark, sf):
-    return relation(spark, sf, PEOPLE).select("id", F.when(F.col("id") < 1000, "first").otherwise("second").alias("source"))
+    return reports.tag_source(relation(spark, sf, PEOPLE), 1000).select("id", "source")
