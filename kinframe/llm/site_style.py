@@ -6,8 +6,9 @@ entropy of the child sequences it has across pages (base: pages that have it); i
 content importance is one less the mean entropy of its text blocks over pages, so a
 block found on every page counts 0 and one found once counts 1. The composite
 importance of a node mixes its presentation with its children's composites, as in
-the method's published form, bottom up. Branches of containers with low composite
-importance, seen on at least ``MIN_PAGES`` distinct pages, are cut from every page.
+the method's published form, bottom up. Branches of containers in which no node's
+composite importance reaches ``LOW``, seen on at least ``MIN_PAGES`` distinct pages,
+are cut from every page.
 
 *Roles.* Menus, headers, footers, sidebars, notices, adverts, forms and comments are
 also known by element, ARIA role or class name and cut, whatever their importance (an
@@ -41,7 +42,7 @@ from kinframe.llm._work import put, short_batches, tidy, tidy_group
 
 #: Weight of the children against the presentation in composites, per child.
 GAMMA = 0.9
-#: Branches of a composite importance below this are cut.
+#: Branches with all composite importances below this are cut.
 LOW = 0.2
 #: Distinct pages that must have a node before it is judged.
 MIN_PAGES = 6
@@ -216,14 +217,17 @@ class Page:
         return out
 
 
-def _composites(rows: list[tuple[int, int, int, float, float | None]]) -> dict[int, float]:
-    """Composite importance by node; rows: node, parent, pages, presentation, content."""
+def _composites(rows: list[tuple[int, int, int, float, float | None]]) -> dict[int, tuple[float, float]]:
+    """Composite importance of each node, and the highest one in its branch.
+
+    Rows: node, parent, pages, presentation, content.
+    """
     below: dict[int, list[int]] = {}
     about = {r[0]: r for r in rows}
     for node, parent, *_ in rows:
         if parent in about:
             below.setdefault(parent, []).append(node)
-    out: dict[int, float] = {}
+    out: dict[int, tuple[float, float]] = {}
     todo = [r[0] for r in rows if r[1] not in about]
     order = []
     while todo:
@@ -232,12 +236,14 @@ def _composites(rows: list[tuple[int, int, int, float, float | None]]) -> dict[i
         todo += below.get(node, ())
     for node in reversed(order):
         _, _, _, presentation, content = about[node]
-        parts = [out[c] for c in below.get(node, ())] + ([content] if content is not None else [])
-        if not below.get(node):
-            out[node] = content if content is not None else 0.0
-        else:
+        own = [] if content is None else [content]
+        children = [out[c] for c in below.get(node, ())]
+        value = own[0] if own else 0.0
+        if children:
+            parts = [c for c, _ in children] + own
             g = GAMMA ** len(parts)
-            out[node] = (1 - g) * presentation + g * sum(parts) / len(parts)
+            value = (1 - g) * presentation + g * sum(parts) / len(parts)
+        out[node] = value, max([value, *own, *(top for _, top in children)])
     return out
 
 
@@ -256,7 +262,7 @@ def low_branches(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES)
     def judge(group: pa.Table) -> pa.Table:
         rows = list(zip(*(group.column(c).to_pylist() for c in ("node", "parent", "pages", "presentation", "content")), strict=True))
         value = _composites(rows)
-        cut = [n for n, _, pages, _, _ in rows if pages >= min_pages and value[n] < low]
+        cut = [n for n, _, pages, _, _ in rows if pages >= min_pages and value[n][1] < low]
         return pa.table({"host": [group.column("host")[0].as_py()], "low": pa.array([sorted(cut)], pa.list_(pa.int64()))})
 
     found = pages.select("host", "digest", "html").mapInArrow(tidy(facts), "host string, digest long, node long, parent long, value long, is_text boolean")

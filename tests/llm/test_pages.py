@@ -48,7 +48,15 @@ def test_low_branches_are_cut_and_articles_kept(spark):
 def test_composites():
     # a parent of two leaves, one found on every page (0), one always new (1)
     got = site_style._composites([(1, 0, 9, 0.0, None), (2, 1, 9, 0.0, 0.0), (3, 1, 9, 0.0, 1.0)])
-    assert got[2] == 0 and got[3] == 1 and got[1] == pytest.approx(0.81 * 0.5)
+    assert got[2] == (0, 0) and got[3] == (1, 1) and got[1] == (pytest.approx(0.81 * 0.5), 1)
+
+
+def test_a_wrapper_of_boxes_keeps_its_one_story(spark):
+    """A branch is cut only if nothing in it matters, however many boxes surround the story."""
+    boxes = "".join(f"<div class='box{k}x'><p>Fixed text {w}</p></div>" for k, w in enumerate("abcdefghij"))
+    rows = [(i, f"http://boxed.example/{i}", f"<body><div class='page'>{boxes}<div class='core'><p>Story number {i} only.</p></div></div></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story number {i} only." for i in range(12))
 
 
 @pytest.mark.parametrize(("least", "size"), [(0, 1 << 20), (20, 300)])
