@@ -36,16 +36,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id", F.col("text_md5").alias("md5"))
     kept = put(kept, "kept").withColumnRenamed("doc_id", "id")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_md5").eqNullSafe(F.col("md5"))
-    found = docs.select(*COLUMNS, F.md5("text").alias("text_md5")).join(kept, same, "left_semi")
+    # merged at any size: what is kept follows the input, and so should the plan
+    found = docs.select(*COLUMNS, F.md5("text").alias("text_md5")).join(kept.hint("merge"), same, "left_semi")
     return found.dropDuplicates(["doc_id", "text_md5"]).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = put(found.where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_md5").alias("md5")), "hit")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_md5").eqNullSafe(F.col("md5"))
-    return docs.select(*COLUMNS, F.md5("text").alias("text_md5")).join(hit, same, "left_anti").select(COLUMNS)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(c for c in COLUMNS if c != "doc_id"))
+    return found.where("NOT contaminated").select(COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
-from kinframe.llm._work import put, short_batches
+from kinframe.llm._work import put, short_batches, tidy
 
 #: Most bytes of test text that are broadcast at once.
 MAX_TEST_BYTES = 32 << 20
@@ -115,16 +115,17 @@ def _document(hits: list[np.ndarray], base: int, names: list) -> tuple:
     return runs, found, int(length[best]), int(p[start[best]] - base)
 
 
-def _search(docs: DataFrame, items: list, window: int, id_col: str, text_col: str) -> DataFrame:
+def _search(docs: DataFrame, items: list, window: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     import pyarrow as pa
+    from pyspark.sql import types as T
 
     tests = docs.sparkSession.sparkContext.broadcast(Tests(items, window))
     run_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-    names = ["doc_id", "text_md5", "n_words", "runs", "items", "longest_match", "longest_at"]
+    names = ["n_words", "runs", "items", "longest_match", "longest_at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = W.as_bytes(batch.column(2))
+            texts = W.as_bytes(batch.column(batch.num_columns - 1))
             out: list[tuple] = []
             for lo, hi in W.chunks([len(t) for t in texts]):
                 words = W.Words(texts[lo:hi], W.ALNUM, True)
@@ -138,25 +139,29 @@ def _search(docs: DataFrame, items: list, window: int, id_col: str, text_col: st
                     out.append((int(words.first[k + 1] - words.first[k]), *found))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.int64(), run_type, pa.list_(pa.string()), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names[:-1], *names])
 
-    schema = "doc_id long, text_md5 string, n_words long, runs array<struct<s:long,e:long>>, items array<string>, longest_match long, longest_at long"
-    return docs.select(F.col(id_col).cast("long"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    text = F.col(text_col).cast("string")
+    own = docs.select(*(F.col(c) for c in keep), F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_md5"), text.alias("_searched_text"))
+    run_kind = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
+    made = [T.LongType(), run_kind, T.ArrayType(T.StringType()), T.LongType(), T.LongType()]
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, k) for n, k in zip(names, made, strict=True))])
+    return own.mapInArrow(tidy(run), schema)
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_test_bytes: int = MAX_TEST_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_test_bytes: int = MAX_TEST_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: hit words, items found, longest verbatim match and its place.
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
     runs (disjoint word ranges), longest_match (words), longest_at (word index),
-    text_md5.
+    text_md5; before them the ``keep`` columns of the documents (none of these names).
     """
     short_batches(docs.sparkSession)
     tests = tests.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total * 5 // (4 * max_test_bytes))) if total > max_test_bytes else 1
     if blocks == 1:
-        found = _search(docs, [tuple(r) for r in tests.collect()], window, id_col, text_col)
+        found = _search(docs, [tuple(r) for r in tests.collect()], window, id_col, text_col, keep)
     else:
         parts = None
         for k in range(blocks):
@@ -171,15 +176,20 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
                 F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
                 F.max(F.struct("longest_match", "longest_at")).alias("m"),
             )
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select("doc_id", "text_md5", "n_words", "runs", "items", "m.longest_match", "m.longest_at")
+            .select("doc_id", "text_md5", "n_words", "runs", "items", "m.longest_match", "m.longest_at", "copies")
         )
+        if keep:
+            own = docs.select(*(F.col(c) for c in keep), F.col(id_col).cast("long").alias("_id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_md5"))
+            found = own.join(found, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_md5") == F.col("text_md5")))
+        else:
+            found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     united = F.aggregate(
         F.array_sort("runs"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda x, r: F.struct((x.n + F.greatest(F.lit(0), r.e - F.greatest(r.s, x.to))).alias("n"), F.greatest(x.to, r.e).alias("to")),
     )["n"]
     return found.select(
+        *keep,
         "doc_id",
         "n_words",
         united.alias("n_hit"),

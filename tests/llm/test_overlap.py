@@ -134,6 +134,8 @@ def test_decontaminate(spark, most):
     got = found.collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == sorted(want, key=repr)
     assert all((r.longest_match > 0) == r.contaminated for r in got)
+    kept = decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(TESTS, "item_id long, text string"), max_test_bytes=most, keep=("text", "cls")).collect()
+    assert sorted(((r.doc_id, r.text or "", r.n_hit) for r in kept), key=repr) == sorted(((d, t or "", h) for (d, t), (_, _, h, *_) in zip(rows, want, strict=True)), key=repr)
 
 
 def test_decontaminate_empty(spark):
