@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
-from kinframe.llm._work import put, short_batches
+from kinframe.llm._work import put, short_batches, tidy
 
 SEED = 10
 
@@ -80,11 +80,11 @@ def _index(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 out = [doc[lo + text], rid[lo + text], anchor.view(np.int64), print_.view(np.int64), a.astype(np.int32), b.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "rid", "anchor", "fp", "lo", "hi"])
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, anchor long, fp long, lo int, hi int")
+    return docs.select("doc_id", "rid", "text").mapInArrow(tidy(run), "doc_id long, rid long, anchor long, fp long, lo int, hi int")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """Hash, doc_id, rid and place of each window of the given ranges of a text."""
+    """Hash, doc_id, rid, first and last place of each run of equal windows in the given ranges."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +94,21 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             ranges = batch.column(3).to_pylist()
             for lo, hi in W.chunks([len(t) for t in texts]):
                 words = W.Words(texts[lo:hi], W.SPACED, False)
-                total, out = W.prefix(words.hashes), ([], [], [])
+                total, out = W.prefix(words.hashes), ([], [], [], [])
                 for k in range(lo, hi):
                     at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges[k]]))
                     begin = at + words.first[k - lo]
-                    out[0].append(W.spans(total, begin, begin + window).view(np.int64))
-                    out[1].append(np.full(len(at), k))
-                    out[2].append(at.astype(np.int32))
-                wh, row, at = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(doc[row]), pa.array(rid[row]), pa.array(at)], names=["wh", "doc_id", "rid", "at"])
+                    wh = W.spans(total, begin, begin + window).view(np.int64)
+                    # a text of one word over and over has one run, not a row per window
+                    fresh = np.flatnonzero(np.r_[True, (wh[1:] != wh[:-1]) | (at[1:] != at[:-1] + 1)])
+                    out[0].append(wh[fresh])
+                    out[1].append(np.full(len(fresh), k))
+                    out[2].append(at[fresh].astype(np.int32))
+                    out[3].append(at[np.r_[fresh[1:], len(at)] - 1].astype(np.int32))
+                wh, row, first, last = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(doc[row]), pa.array(rid[row]), pa.array(first), pa.array(last)], names=["wh", "doc_id", "rid", "lo", "hi"])
 
-    return docs.select("doc_id", "rid", "text", "ranges").mapInArrow(run, "wh long, doc_id long, rid long, at int")
+    return docs.select("doc_id", "rid", "text", "ranges").mapInArrow(tidy(run), "wh long, doc_id long, rid long, lo int, hi int")
 
 
 def _cut(docs: DataFrame, keep_text: bool) -> DataFrame:
@@ -128,7 +132,7 @@ def _cut(docs: DataFrame, keep_text: bool) -> DataFrame:
 
     kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    return docs.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -144,14 +148,15 @@ def substring_dedup(docs: DataFrame, window: int = 50, seed: int = SEED, id_col:
     named = docs.where("doc_id IS NOT NULL")
     index = put(_index(named, window, seed), "blocks")
     shared = index.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("fp").alias("c"), F.max("fp").alias("d"))
-    shared = shared.where("a <> b").select("anchor", (F.col("c") != F.col("d")).alias("mixed"))
+    # minima are written before they are joined, so that both sides of each join can be split
+    shared = put(shared.where("a <> b").select("anchor", (F.col("c") != F.col("d")).alias("mixed")), "shared")
     held = put(index.join(shared, "anchor").select("doc_id", "rid", "fp", "lo", "hi", "mixed"), "held")
-    first = held.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = put(held.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
     held = put(held.join(first, "fp"), "factors")
     whole = held.where("doc_id > first").select("rid", "lo", (F.col("hi") + window).alias("hi"))
     edges = held.where("doc_id = first AND mixed").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     lookups = put(_windows(named.join(edges, "rid"), window), "windows")
     earliest = lookups.groupBy("wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("wh", "first")
-    single = lookups.join(earliest, "wh").where("doc_id > first").select("rid", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
+    single = lookups.join(put(earliest, "earliest"), "wh").where("doc_id > first").select("rid", "lo", (F.col("hi") + window).alias("hi"))
     spans = whole.union(single).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return _cut(docs.join(spans, "rid", "left"), keep_text)
