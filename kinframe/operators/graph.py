@@ -18,7 +18,9 @@ EVERY = 3
 def bfs(edges: DataFrame, roots: DataFrame, up: bool = True, max_depth: int = 1_000, keep_path: bool = False, start: int = 0) -> DataFrame:
     """(id, depth, pred[, path]): least depth of everything reached from the roots (id).
 
-    ``up`` follows child to parent. ``pred`` is the smallest predecessor of the level.
+    ``up`` follows child to parent. ``pred`` is the smallest predecessor of the level;
+    with ``keep_path`` it is the one a queue would meet first (neighbours in id order),
+    and ``path`` leads from the root through it.
     """
     child, parent = ("t", "s") if up else ("s", "t")
     step = edges.select(F.col(child).alias("id"), F.col(parent).alias("to")).distinct()
@@ -29,7 +31,9 @@ def bfs(edges: DataFrame, roots: DataFrame, up: bool = True, max_depth: int = 1_
     frontier, depth = seen, start
     while depth - start < max_depth and not frontier.isEmpty():
         depth += 1
-        found = frontier.join(step, "id").groupBy("to").agg(F.min("id").alias("pred"), *([F.min_by("path", "id").alias("path")] if keep_path else []))
+        reached = frontier.join(step, "id").groupBy("to")
+        # of equally short paths the least one is the one that is discovered first
+        found = reached.agg(F.min("path").alias("path")).withColumn("pred", F.element_at("path", -1)) if keep_path else reached.agg(F.min("id").alias("pred"))
         found = found.join(seen.select(F.col("id").alias("to")), "to", "left_anti")
         columns = [F.col("to").alias("id"), F.lit(depth).alias("depth"), "pred"]
         frontier = cut(found.select(*columns, *([F.concat("path", F.array("to")).alias("path")] if keep_path else [])))
@@ -52,8 +56,8 @@ def path_counts(edges: DataFrame, root: int, max_gen: int = 25, mode: str = "exa
     """
     step = edges.select(F.col("t").alias("id"), F.col("s").alias("to")).distinct()
     if mode == "bfs":
-        found = bfs(edges, edges.sparkSession.createDataFrame([(root,)], "id long"), True, max_gen)
-        rank = cut(found.select("id", F.struct("depth", "pred", "id").alias("r")))
+        found = bfs(edges, edges.sparkSession.createDataFrame([(root,)], "id long"), True, max_gen, keep_path=True)
+        rank = cut(found.select("id", F.struct("depth", "path").alias("r")))  # the order of discovery
         a, b = rank.withColumnRenamed("r", "ra"), rank.select(F.col("id").alias("to"), F.col("r").alias("rb"))
         last = step.join(a, "id").join(b, "to").where("ra < rb").select("id", "to")
         passes = cut(last)

@@ -242,9 +242,8 @@ def _bfs_depth(spark, sf):
     return graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH).select("id", "depth")
 
 
-@query("shortest_path", f"""{_BFS}, q AS (SELECT a.id, a.depth, min(p.id) AS pred FROM m a JOIN e ON e.s = a.id JOIN m p ON p.id = e.t AND p.depth = a.depth - 1 GROUP BY ALL),
-r(id, path, depth) AS (SELECT CAST(0 AS BIGINT), '0', 0 UNION ALL SELECT q.id, r.path || ',' || CAST(q.id AS VARCHAR), q.depth FROM r JOIN q ON q.pred = r.id AND q.depth = r.depth + 1)
-SELECT id, path FROM r""")
+@query("shortest_path", f"""{_BFS}, r(id, path, depth) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 0 UNION ALL SELECT m.id, list_append(r.path, m.id), m.depth FROM r JOIN e ON e.t = r.id JOIN m ON m.id = e.s AND m.depth = r.depth + 1)
+SELECT id, array_to_string(min(path), ',') AS path FROM r GROUP BY id""")
 def _shortest_path(spark, sf):
     found = graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH, keep_path=True)
     return found.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))

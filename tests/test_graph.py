@@ -57,6 +57,31 @@ def test_path_counts_exact_and_bfs(spark):
     assert other[3, 2] == 1 and (3, 3) not in other
 
 
+def queue_model(parents, root, max_gen):
+    """Breadth-first order, then contributions node by node in that order."""
+    order, seen = [root], {root}
+    for v in order:
+        for p in parents.get(v, []):
+            if p not in seen:
+                seen.add(p)
+                order.append(p)
+    ways = defaultdict(Counter)
+    ways[root][0] = 1
+    for v in order:
+        for d, w in list(ways[v].items()):
+            if d < max_gen:
+                for p in parents.get(v, []):
+                    ways[p][d + 1] += w
+    return {(v, d): w for v in ways for d, w in ways[v].items() if d}
+
+
+def test_queue_order_matches_a_sequential_model(spark):
+    rng = random.Random(11)
+    parents = {i: sorted(rng.sample(range(i + 1, 22), min(3, 21 - i))) for i in range(21)}
+    got = {(r.id, r.depth): int(r.ways) for r in graph.path_counts(edges_of(spark, parents), 0, 6, mode="bfs").collect()}
+    assert got == queue_model(parents, 0, 6)
+
+
 def test_bfs_paths_and_cycles(spark):
     edges = edges_of(spark, {0: [1], 1: [2], 2: [0, 3]})  # with a cycle
     found = {r.id: (r.depth, r.path) for r in graph.bfs(edges, spark.createDataFrame([(0,)], "id long"), keep_path=True).collect()}
