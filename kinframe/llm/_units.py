@@ -21,8 +21,8 @@ import numpy as np
 from kinframe.llm import _words as W
 
 #: Most units in the cache; it starts anew beyond that.
-CACHE_UNITS = 500_000
-SLOT_BITS = 21
+CACHE_UNITS = 2_000_000
+SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 CHUNK = 1 << 20
 _WIDE = re.compile("[\x85\xa0      　]")
@@ -109,7 +109,7 @@ class UnitCoder:
         plain, odd = [], []
         for i, t in enumerate(texts):
             if t:
-                whole = any(s in t for s in self.special) or any(h in t for h in _HINTS) and _WIDE.search(t.decode())
+                whole = any(s in t for s in self.special) or not t.isascii() and any(h in t for h in _HINTS) and _WIDE.search(t.decode())
                 (odd if whole else plain).append(i)
         for lo, hi in W.chunks([len(texts[i]) for i in plain], CHUNK):
             for i, ids in zip(plain[lo:hi], self._chunk([texts[i] for i in plain[lo:hi]]), strict=True):
