@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
 from kinframe.llm._units import UnitCoder
-from kinframe.llm._work import fresh_path, short_batches
+from kinframe.llm._work import fresh_path, short_batches, tidy
 
 MAGIC = b"KFT1"
 SAMPLE = 512
@@ -212,7 +212,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str | None = None,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(run, "part int, number int, base long, n_ids long, shard binary").write.mode("overwrite").parquet(path)
+    dealt.mapInArrow(tidy(run), "part int, number int, base long, n_ids long, shard binary").write.mode("overwrite").parquet(path)
     return path
 
 
@@ -235,7 +235,7 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # shards are large rows
     store = spark.read.schema("part int, number int, base long, n_ids long, shard binary").parquet(path)
-    # one row per written range, whose number follows the cluster's partitions
+    # one row per written range, at most as many as the shuffle has partitions
     totals = store.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return store.join(before, "part").select("before", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return store.join(F.broadcast(before), "part").select("before", "shard").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
