@@ -10,7 +10,7 @@
    all documents (counted over all of them) are left out of the parts, so that common
    lines connect nothing: that keeps the guarantee for every set that still has more
    parts than can be spoiled, and the others, made of common lines, take part with
-   whole parts too. Sets that agree on a part are connected, through one of them, and
+   whole parts too (and, should too many be empty, with single shingles). Sets that agree on a part are connected, through one of them, and
    connected sets form a group. Map tasks combine first and pass on one member per
    part, so any share of the rows may agree.
 2. *R-tree.* Each set is a point: its shingles hashed into groups (about one for
@@ -71,8 +71,12 @@ class Threshold:
         """Most shingles in which a set of n and a linked, no smaller one can differ."""
         return n * (self.den - self.num) // self.num
 
+    def prefix(self, n: int) -> int:
+        """How many first shingles of a set of n meet those of any linked set."""
+        return n + 1 + (-self.num * n) // self.den
+
     def groups(self, band: int) -> int:
-        """Parts in a band: one more than can be spoiled or (but for odds of 1e-12) empty."""
+        """Parts in a band: one more than can be spoiled or are likely to be empty."""
         if band not in self._parts:
             top = (2 << band) - 1
             m = spoiled = self.spoiled(top) + 1
@@ -119,8 +123,15 @@ def fold(v: np.ndarray, dim: int) -> np.ndarray:
 
 
 def keys_of(s: np.ndarray, t: Threshold, hot: np.ndarray) -> np.ndarray:
-    """Keys of the non-empty parts of a set, in its band and maybe the one below."""
-    n, out = len(s), []
+    """Keys of a set: its rare parts; its whole parts, if too few are rare; and its first
+    shingles, if too many parts are empty. Linked sets have a key in common.
+
+    Of two linked sets one with more non-empty parts than can be spoiled has an
+    unspoiled one, which the other has too. Where neither has enough rare parts both
+    give whole parts, and where neither has enough of these both give first shingles
+    (prefix filter).
+    """
+    n, out, short = len(s), [], False
     band = n.bit_length() - 1
     value = W.mix(s ^ np.uint64(0x5851F42D4C957F2D))
     rare = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s if len(hot) else np.ones(n, bool)
@@ -128,15 +139,19 @@ def keys_of(s: np.ndarray, t: Threshold, hot: np.ndarray) -> np.ndarray:
     lower = band > 0 and -(-t.num * n // t.den) <= (1 << band) - 1
     for at in (band, band - 1)[: 1 + lower]:
         m = t.groups(at)
+        spoiled = min(t.spoiled(n), t.spoiled((2 << at) - 1))
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         name = (part[begin] * np.uint64(64) + np.uint64(at)) * np.uint64(0x9E3779B97F4A7C15)
         if mixed:
             left = np.add.reduceat(rare.astype(np.int64), begin) > 0
             out.append(W.mix(np.add.reduceat(value * rare, begin)[left] + name[left]))
-            if left.sum() > min(t.spoiled(n), t.spoiled((2 << at) - 1)):
+            if left.sum() > spoiled:
                 continue
         out.append(W.mix(np.add.reduceat(value, begin) + name))
+        short |= len(begin) <= spoiled
+    if short:
+        out.append(W.mix(s[: t.prefix(n)] ^ np.uint64(0x2545F4914F6CDD1D)))
     return np.concatenate(out)
 
 

@@ -63,6 +63,16 @@ def test_ngram_join(spark, monkeypatch, k, num, den, block, hot):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard(rows, k, num, den)
 
 
+@pytest.mark.parametrize("share", [0.3, 1.0])
+def test_ngram_join_with_too_few_parts(spark, monkeypatch, share):
+    """The guarantee holds where parts are empty or fewer than can be spoiled."""
+    monkeypatch.setattr(ngram_join.Threshold, "groups", lambda t, band: max(1, int(share * t.spoiled((2 << band) - 1))))
+    monkeypatch.setattr(ngram_join, "HOT", 30)
+    rows = invented(random.Random(21), 200)
+    got = ngram_join.ngram_jaccard(docs(spark, rows), 2, 70, 100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard(rows, 2, 70, 100)
+
+
 def test_ngram_join_dense_group(spark, monkeypatch):
     """Many near copies, few of which are linked with the first."""
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
