@@ -1,4 +1,4 @@
-"""Iterative graph operators: one shuffle per level, lineage cut by reliable checkpoints.
+"""Iterative graph operators: one shuffle per level, lineage cut by written tables.
 
 Edges are (s parent, t child). Loops are driven by small counts; the frontier,
 the visited set and all results stay distributed.
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinframe.operators.tables import cut
 
-#: Levels between checkpoints.
+#: Levels between written tables.
 EVERY = 3
 
 

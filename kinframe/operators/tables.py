@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+    """``df`` as a table in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, is an own folder used.
+    A written table survives lost executors, is computed once, and tells its size, so
+    later joins can choose to broadcast it. Only where the folder is unset, as in local
+    tests, is an own one used. Tables are deleted when the driver ends.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="kinframe-")
-        context.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="kinframe-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/kinframe-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone with its files' owner
+            return
 
 
 def filled(c: Column) -> Column:
