@@ -21,8 +21,8 @@ import numpy as np
 from kinframe.llm import _words as W
 
 #: Most units in the cache; it starts anew beyond that.
-CACHE_UNITS = 2_000_000
-SLOT_BITS = 22
+CACHE_UNITS = 1_000_000
+SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 CHUNK = 1 << 20
 _WIDE = re.compile("[\x85\xa0      　]")

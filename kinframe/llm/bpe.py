@@ -30,8 +30,8 @@ from kinframe.llm._units import Pool, UnitCoder
 from kinframe.llm._work import short_batches, tidy
 
 #: Most distinct pre-tokens in each of two generations, and most token pairs, that a worker remembers.
-CACHE_WORDS = 60_000
-CACHE_PAIRS = 300_000
+CACHE_WORDS = 20_000
+CACHE_PAIRS = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:

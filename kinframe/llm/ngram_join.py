@@ -454,7 +454,7 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     classes = every.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("vec").alias("vec"))
     first = put(classes.select("cls", "doc_id"), "first")
     points = put(classes.select("cls", "n", "vec").join(groups, "cls"), "points")
-    small, large = _tasks(points, t, 2 * BLOCK)
+    small, large = _tasks(points, t, BLOCK)
     near = _join(small.withColumn("side", F.lit(0)), ["grp"], t, False).union(_join(_pairs_of_blocks(large, "all"), ["grp", "x", "y"], t, False))
     groups = components(put(near, "near")).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
 
