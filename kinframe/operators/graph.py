@@ -13,23 +13,26 @@ from kinframe.operators.tables import cut
 
 #: Levels between written tables.
 EVERY = 3
+#: Levels of a search after which what was found is written as one table.
+TOGETHER = 16
 
 
-def bfs(edges: DataFrame, roots: DataFrame, up: bool = True, max_depth: int = 1_000, keep_path: bool = False, start: int = 0) -> DataFrame:
+def bfs(edges: DataFrame, roots: DataFrame, up: bool = True, max_depth: int | None = None, keep_path: bool = False, start: int = 0) -> DataFrame:
     """(id, depth, pred[, path]): least depth of everything reached from the roots (id).
 
+    Ends when a level finds nothing new; ``max_depth`` ends it after so many levels.
     ``up`` follows child to parent. ``pred`` is the smallest predecessor of the level;
     with ``keep_path`` it is the one a queue would meet first (neighbours in id order),
     and ``path`` leads from the root through it.
     """
     child, parent = ("t", "s") if up else ("s", "t")
-    step = edges.select(F.col(child).alias("id"), F.col(parent).alias("to")).distinct()
+    step = cut(edges.select(F.col(child).alias("id"), F.col(parent).alias("to")).distinct())
     seen = roots.select("id", F.lit(start).alias("depth"), F.lit(None).cast("long").alias("pred"))
     if keep_path:
         seen = seen.withColumn("path", F.array("id"))
     seen = cut(seen)
     frontier, depth = seen, start
-    while depth - start < max_depth and not frontier.isEmpty():
+    while (max_depth is None or depth - start < max_depth) and not frontier.isEmpty():
         depth += 1
         reached = frontier.join(step, "id").groupBy("to")
         # of equally short paths the least one is the one that is discovered first
@@ -38,10 +41,12 @@ def bfs(edges: DataFrame, roots: DataFrame, up: bool = True, max_depth: int = 1_
         columns = [F.col("to").alias("id"), F.lit(depth).alias("depth"), "pred"]
         frontier = cut(found.select(*columns, *([F.concat("path", F.array("to")).alias("path")] if keep_path else [])))
         seen = seen.unionByName(frontier)
+        if (depth - start) % TOGETHER == 0:  # else plans grow with the depth
+            seen = cut(seen)
     return seen
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All ancestors and descendants of the roots, with their signed distance."""
     above = bfs(edges, roots, True, max_depth).select("id", F.col("depth").alias("distance"))
     below = bfs(edges, roots, False, max_depth).where("depth > 0").select("id", (-F.col("depth")).alias("distance"))

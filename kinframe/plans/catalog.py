@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
-#: Levels that the graph queries climb.
+#: Levels that the graph queries with a recursive oracle climb; those named ``_whole`` climb to the end.
 DEPTH = 8
 WITH_EDGES = f"e AS ({oracle(EDGES)})"
 WITH_PEOPLE = f"n AS ({oracle(PEOPLE)})"
@@ -249,6 +249,17 @@ def _shortest_path(spark, sf):
     return found.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
+@query("bfs_depth_whole")
+def _bfs_depth_whole(spark, sf):
+    return graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0)).select("id", "depth")
+
+
+@query("shortest_path_whole")
+def _shortest_path_whole(spark, sf):
+    found = graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), keep_path=True)
+    return found.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
 @query("ancestor_closure", f"""WITH RECURSIVE {WITH_EDGES}, a(id, d) AS (SELECT CAST(100 AS BIGINT), 0 UNION SELECT e.s, a.d + 1 FROM a JOIN e ON e.t = a.id WHERE a.d < 4),
 c(id, d) AS (SELECT CAST(100 AS BIGINT), 0 UNION SELECT e.t, c.d + 1 FROM c JOIN e ON e.s = c.id WHERE c.d < 4)
 SELECT id, CAST(min(d) AS BIGINT) AS distance FROM a GROUP BY id UNION ALL SELECT id, CAST(-min(d) AS BIGINT) FROM c GROUP BY id HAVING min(d) > 0""")
@@ -256,6 +267,11 @@ def _ancestor_closure(spark, sf):
     return graph.closure(relation(spark, sf, EDGES), _roots(spark, 100), 4)
 
 
+@query("ancestor_closure_whole")
+def _ancestor_closure_whole(spark, sf):
+    return graph.closure(relation(spark, sf, EDGES), _roots(spark, 100))
+
+
 _WAYS = f"""WITH RECURSIVE {WITH_EDGES}, p(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT e.s, p.depth + 1 FROM p JOIN e ON e.t = p.id WHERE p.depth < {DEPTH}),
 w AS (SELECT id, depth, count(*) AS ways FROM p WHERE depth > 0 GROUP BY id, depth)"""
 
@@ -531,6 +547,11 @@ def _house_nearest(spark, sf):
     return reports.house_nearest(relation(spark, sf, PEOPLE), graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH))
 
 
+@query("house_nearest_whole")
+def _house_nearest_whole(spark, sf):
+    return reports.house_nearest(relation(spark, sf, PEOPLE), graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0)))
+
+
 _ERAS = "CASE " + " ".join(f"WHEN birth BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in rules.ERAS) + " ELSE 'Unknown Era' END"
 
 
