@@ -22,16 +22,19 @@ def match_by_name(people: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.join(named, "norm").groupBy("ged_id").agg(F.min_by("id", F.struct("ord", "id")).alias("id"))
 
 
-def match_by_position(people: DataFrame, person_edges: DataFrame, nodes: DataFrame, node_edges: DataFrame, matched: DataFrame, max_passes: int = 15) -> DataFrame:
+def match_by_position(people: DataFrame, person_edges: DataFrame, nodes: DataFrame, node_edges: DataFrame, matched: DataFrame, max_passes: int | None = None) -> DataFrame:
     """Extend (ged_id, id): unmatched parents of matched children with the same first word.
 
     people: ged_id, first, ord; nodes: id, first; edges: s parent, t child. One-to-one;
-    competing candidates go by ord, then by node id. Repeats until nothing is found.
+    competing candidates go by ord, then by node id. Repeats until nothing is found, or
+    ``max_passes`` times.
     """
     found = cut(matched.select("ged_id", "id"))
     p = people.select(F.col("ged_id").alias("g"), F.col("first").alias("fw"), "ord")
     n = nodes.select(F.col("id").alias("h"), F.col("first").alias("fw"))
-    for _ in range(max_passes):
+    passes = 0
+    while max_passes is None or passes < max_passes:
+        passes += 1
         open_parents = person_edges.select(F.col("s").alias("g"), F.col("t").alias("ged_id")).join(found.select(F.col("ged_id").alias("g")), "g", "left_anti")
         at_child = open_parents.join(found, "ged_id").select("g", F.col("id").alias("child"))
         free = node_edges.select(F.col("s").alias("h"), F.col("t").alias("child")).join(found.select(F.col("id").alias("h")), "h", "left_anti")

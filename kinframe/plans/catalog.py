@@ -457,7 +457,7 @@ def _match_positional(spark, sf):
     first = lambda c: (F.col(c) % 7).cast("string")
     people = nodes.select(g("id").alias("ged_id"), first("id").alias("first"), F.col("id").alias("ord"))
     start = graph.sinks(nodes, edges).select(g("id").alias("ged_id"), "id")
-    return matching.match_by_position(people, edges.select(g("s").alias("s"), g("t").alias("t")), nodes.select("id", first("id").alias("first")), edges, start, max_passes=4)
+    return matching.match_by_position(people, edges.select(g("s").alias("s"), g("t").alias("t")), nodes.select("id", first("id").alias("first")), edges, start)
 
 
 @query("change_set", """WITH p AS (SELECT s_suppkey AS id, 1500 + s_suppkey + (s_suppkey % 2) AS nb, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 1500 + s_suppkey END AS ob FROM supplier)

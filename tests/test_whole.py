@@ -7,7 +7,7 @@ import pytest
 
 from kinframe.operators import graph
 from kinframe.plans import catalog
-from kinframe.plans.relations import EDGES, PEOPLE, relation
+from kinframe.plans.relations import EDGES, LAYERS, PEOPLE, relation
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
@@ -64,3 +64,28 @@ def test_a_search_has_no_bound_of_its_own():
 
     assert signature(graph.bfs).parameters["max_depth"].default is None
     assert signature(graph.closure).parameters["max_depth"].default is None
+
+
+@tables
+def test_positional_matching_reaches_its_fixed_point(spark):
+    """Competitors that lose a node need a fifth pass on these tables."""
+    parents = defaultdict(set)
+    for r in relation(spark, SF, LAYERS).collect():
+        parents[r.t].add(r.s)
+    ids = {r.id for r in relation(spark, SF, PEOPLE).collect()}
+    found = {i: i for i in ids - set().union(*parents.values())}  # nobody's parents
+    passes = 0
+    while True:
+        taken, wish = set(found.values()), {}
+        for child, node in found.items():
+            for g in parents[child] - set(found):
+                for h in parents[node] - taken:
+                    if g % 7 == h % 7:
+                        wish[g] = min(h, wish.get(g, h))
+        new = {h: g for g, h in sorted(wish.items(), reverse=True)}  # of competitors the least wins
+        if not new:
+            break
+        passes += 1
+        found |= {g: h for h, g in new.items()}
+    assert passes == 5
+    assert {r.ged_id: r.id for r in rows(spark, "match_positional")} == {f"g{g}": h for g, h in found.items()}
