@@ -65,7 +65,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = outline.dense_ids(outline.collapse(people))
     edges = outline.translate_edges(outline.edges_of(people), nodes)
     root = nodes.orderBy("gen", "id").limit(1).select("id").first()["id"]
-    return plain(graph.implex(graph.path_counts(edges, root, 6)))
+    return graph.implex(graph.path_counts(edges, root)).withColumn("gen", F.col("gen").cast("bigint"))  # places of 25 generations outgrow a BIGINT
 
 
 # ---- outline ----------------------------------------------------------------
@@ -291,6 +291,21 @@ def _implex_summary(spark, sf):
     return graph.implex_summary(graph.path_counts(relation(spark, sf, EDGES), 0, DEPTH))
 
 
+@query("path_counts_whole")
+def _path_counts_whole(spark, sf):
+    return graph.path_counts(relation(spark, sf, EDGES), 0)
+
+
+@query("implex_by_gen_whole")
+def _implex_by_gen_whole(spark, sf):
+    return graph.implex(graph.path_counts(relation(spark, sf, EDGES), 0)).withColumn("collapse", F.round("collapse", 9))
+
+
+@query("implex_summary_whole")
+def _implex_summary_whole(spark, sf):
+    return graph.implex_summary(graph.path_counts(relation(spark, sf, EDGES), 0))
+
+
 WITH_LAYERS = f"g AS ({oracle(LAYERS)})"
 
 

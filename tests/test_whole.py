@@ -89,3 +89,23 @@ def test_positional_matching_reaches_its_fixed_point(spark):
         found |= {g: h for h, g in new.items()}
     assert passes == 5
     assert {r.ged_id: r.id for r in rows(spark, "match_positional")} == {f"g{g}": h for g, h in found.items()}
+
+
+@tables
+def test_path_counts_and_implex_reach_25_generations(spark, parents):
+    ways, want = {0: 1}, {}
+    for gen in range(1, 26):
+        above = defaultdict(int)
+        for v, w in ways.items():
+            for p in parents[v]:
+                above[p] += w
+        ways = dict(above)
+        want |= {(v, gen): w for v, w in ways.items()}
+    assert {(r.id, r.depth): r.ways for r in rows(spark, "path_counts_whole")} == want
+    filled, distinct = defaultdict(int), defaultdict(int)
+    for (_, gen), w in want.items():
+        filled[gen] += w
+        distinct[gen] += 1
+    assert {r.gen: (r.filled, r.distinct_ancestors) for r in rows(spark, "implex_by_gen_whole")} == {g: (filled[g], distinct[g]) for g in filled}
+    assert [tuple(r) for r in rows(spark, "implex_summary_whole")] == [(sum(filled.values()), len({v for v, _ in want}), 25)]
+    assert {r.gen for r in catalog.flagship(spark, SF).collect()} == set(range(1, 26))
