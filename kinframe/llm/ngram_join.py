@@ -119,7 +119,11 @@ def vector_of(s: np.ndarray) -> np.ndarray:
 
 
 def fold(v: np.ndarray, dim: int) -> np.ndarray:
-    return v.reshape(-1, dim).sum(0, dtype=np.uint16) if len(v) > dim else v
+    """Counts in fewer groups; wider numbers where 16 bits don't hold them."""
+    if len(v) <= dim:
+        return v
+    out = v.reshape(-1, dim).sum(0, dtype=np.int64)
+    return out.astype(np.uint16) if out.max() < 1 << 16 else out
 
 
 def keys_of(s: np.ndarray, t: Threshold, hot: np.ndarray) -> np.ndarray:
