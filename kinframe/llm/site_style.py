@@ -13,8 +13,8 @@ are cut from every page.
 *Roles.* Menus, headers, footers, sidebars, notices, adverts, forms and comments are
 also known by element, ARIA role or class name and cut, whatever their importance (an
 advert that differs from page to page looks important). The text kept is that of
-``article`` elements, else of ``main``, else of the body; prose blocks inside them are
-never cut for low importance, only containers are.
+``article`` elements, else of ``main``, else of the body. Nothing inside ``article`` or
+``main`` is cut for low importance; elsewhere containers are, prose blocks aren't.
 
 Blocks and child sequences are counted as hashes by grouped sums over (host, node), so
 one host may hold any share of the pages; only the nodes of a host's tree (its
@@ -173,7 +173,7 @@ class Page:
             self.sign.append(sign)
             self.path.append(path)
             # an article's own header holds its title; the page's header doesn't
-            gone.append(gone[up] or cut or header and zone[up] < 2 or path in low and name in _CONTAINERS)
+            gone.append(gone[up] or cut or header and zone[up] < 2 or zone[up] == 0 and path in low and name in _CONTAINERS)
             zone.append(2 if name == "article" else max(zone[up], 1 if name == "main" or 'role="main"' in attributes else 0))
             if name in _RAW:
                 stop = re.compile(f"</{name}", re.I).search(html, at)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from kinframe.llm import ngram_join
+from kinframe.llm import ngram_join, site_style
 
 
 def test_near_copies_of_very_long_texts_survive():
@@ -15,3 +15,11 @@ def test_near_copies_of_very_long_texts_survive():
         assert mask[0, 1] == mask[1, 0] == linked
     for dim in (32, 64):
         assert ngram_join.fold(ngram_join.vector_of(s), dim).sum(dtype=np.int64) == len(s)
+
+
+def test_repeated_articles_keep_their_wrapped_prose(spark):
+    """Variants of one article: nothing in it is new on any page, and all of it is kept."""
+    story = "<div class='prose'><p>The very same story.</p><ul><li>one</li><li>two</li></ul></div>"
+    rows = [(10 * i + k, f"http://{tag}.example/", f"<body><p>menu {i}</p><{tag}>{story}</{tag}></body>") for k, tag in enumerate(("article", "main")) for i in range(8)]
+    got = site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 16 and {r.text for r in got} == {"The very same story. one two"}
