@@ -1,6 +1,9 @@
-"""Duplicate word spans by relative Lempel-Ziv parsing against all earlier texts.
+"""Duplicate word spans by anchor blocks (winnowing), against all earlier texts.
 
-Every text is factored against the corpus itself. The reference index holds one
+Anchor blocks replace relative Lempel-Ziv parsing: there is no reference dictionary
+and no greedy longest factor. Each text is cut into blocks by its own words alone, so
+a text needs none of the earlier ones at hand, and whole blocks, then windows, are
+joined by hash. Below, a factor is such a block. The index holds one
 block per *anchor*: in each window of ``window`` words the least hash of its
 ``seed``-word sequences is the window's anchor, and the words of the consecutive
 windows with one anchor are a block. Equal windows have equal anchors, so all
