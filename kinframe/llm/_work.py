@@ -10,23 +10,34 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to Python. Texts may be long, so batches are kept short.
-BATCH_ROWS = 512
+#: Most rows and bytes that a worker handles at once; Spark itself bounds the bytes of the
+#: batches it sends (spark.sql.execution.arrow.maxBytesPerBatch), and no setting is changed.
+PIECE_ROWS = 512
+PIECE_BYTES = 4 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; a path without one is on Hadoop's default file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) is an own folder made and set.
+    Only in local mode, where it may be unset, is an own folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kinframe-")
         spark.conf.set("spark.checkpoint.dir", base)
         _made.append((spark, base))
-    return base.rstrip("/")
+    return qualified(spark, base.rstrip("/"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -40,7 +51,15 @@ def put(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``put`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._written_to)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -48,17 +67,30 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bound the bytes of one Arrow batch for columns that hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def pieces(batches: Iterator) -> Iterator:
+    """The batches in pieces of at most ``PIECE_ROWS`` rows and about ``PIECE_BYTES`` bytes."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            yield batch
+            continue
+        todo = [(lo, min(PIECE_ROWS, n - lo)) for lo in range(0, n, PIECE_ROWS)][::-1]
+        while todo:
+            lo, many = todo.pop()
+            piece = batch.slice(lo, many)
+            if many > 1 and piece.nbytes > PIECE_BYTES:
+                half = many // 2
+                todo += [(lo + half, many - half), (lo, half)]
+            else:
+                yield piece
 
 
 def tidy(run: Callable) -> Callable:
-    """``run`` for mapInArrow; at its end the worker gives unused memory back to the system."""
+    """``run`` for mapInArrow, over pieces; at its end the worker gives unused memory back to the system."""
 
     def wrapped(batches: Iterator) -> Iterator:
         try:
-            yield from run(batches)
+            yield from run(pieces(batches))
         finally:
             _release()
 

@@ -248,7 +248,6 @@ def bpe_codec(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", tex
     """
     import pyarrow as pa
 
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(vocabulary_path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
-from kinframe.llm._work import put, short_batches, tidy
+from kinframe.llm._work import put, tidy
 
 #: Most bytes of test text that are broadcast at once.
 MAX_TEST_BYTES = 32 << 20
@@ -156,7 +156,6 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
     runs (disjoint word ranges), longest_match (words), longest_at (word index),
     text_md5; before them the ``keep`` columns of the documents (none of these names).
     """
-    short_batches(docs.sparkSession)
     tests = tests.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total * 5 // (4 * max_test_bytes))) if total > max_test_bytes else 1

@@ -363,7 +363,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    short_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

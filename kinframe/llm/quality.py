@@ -125,7 +125,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
             x = terms(W.as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
-    short_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").where(fold("k") != 0)
     marked = marked.groupBy("k").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_labelled)
     mine = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(marked), "k")  # max_labelled rows at most
@@ -141,7 +140,6 @@ def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    short_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
-from kinframe.llm._work import put, short_batches, tidy
+from kinframe.llm._work import put, tidy
 
 SEED = 10
 
@@ -144,7 +144,6 @@ def substring_dedup(docs: DataFrame, window: int = 50, seed: int = SEED, id_col:
     Words are removed that lie in a window of ``window`` words which also starts in
     a text with a smaller id.
     """
-    short_batches(docs.sparkSession)
     seed = min(seed, window)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
 from kinframe.llm._units import UnitCoder
-from kinframe.llm._work import fresh_path, short_batches, tidy
+from kinframe.llm._work import fresh_path, tidy
 
 MAGIC = b"KFT1"
 SAMPLE = 512
@@ -178,7 +178,6 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str | None = None,
     from pyspark import TaskContext
 
     spark = docs.sparkSession
-    short_batches(spark)
     path = path or fresh_path(spark, "tokens")
     end = np.array([end_id], np.uint32)
 
@@ -233,7 +232,6 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # shards are large rows
     store = spark.read.schema("part int, number int, base long, n_ids long, shard binary").parquet(path)
     # one row per written range, at most as many as the shuffle has partitions
     totals = store.groupBy("part").agg(F.sum("n_ids").alias("n"))
