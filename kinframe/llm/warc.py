@@ -5,8 +5,11 @@ of at most ``ARCHIVE_BYTES``. Of pages with equal payloads the one with the smal
 id is the response and the rest are revisit records that name its digest and
 target. Which page that is comes from a grouped minimum over (digest, size), so a
 payload may be shared by any share of the rows; no html is shuffled for pages that
-are alone. The task returns one index row per record: archive, offset, length, URL,
-digest and ids. Archives are first written under a name of the attempt's own and
+are alone. A response's record id follows from its page and digest, so a revisit in any
+archive names it in WARC-Refers-To; where equal rows (same id and payload) are responses,
+their ids follow from their places and the page id alone tells which is meant. Each
+archive opens with a warcinfo record. The task returns one index row per record:
+archive, offset, length, URL, digest and ids. Archives are first written under a name of the attempt's own and
 only count through the index rows that Spark commits, so a repeated or lost task
 leaves nothing that is read.
 
@@ -33,7 +36,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm._work import fresh_path, put, short_batches, tidy
+from kinframe.llm._work import forget, fresh_path, put, qualified, tidy
 
 ARCHIVE_BYTES = 128 << 20
 GAP_BYTES = 64 << 10
@@ -48,24 +51,36 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _uri(page_id: int | None) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def record_id(*about: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, about)))}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response, or a revisit with the response's headers alone."""
+def _block(head: list[str], body: bytes) -> bytes:
+    head = ["WARC/1.1", *head, f"WARC-Date: {_DATE}", f"WARC-Block-Digest: sha1:{digest32(body)}", f"Content-Length: {len(body)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def warcinfo(archive: str) -> bytes:
+    """The record that opens an archive."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(archive)}", f"WARC-Filename: {archive}", "Content-Type: application/warc-fields"]
+    return _block(head, b"software: kinframe\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, own_id: str, other_id: str | None = None) -> bytes:
+    """One WARC/1.1 record: a response, or a revisit with the response's headers alone.
+
+    ``other_id`` is the record id of the response that a revisit refers to.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + payload if refers_to is None else http
-    kind = "response" if refers_to is None else "revisit"
     target = quote(url or "", safe=":/?#[]@!$&'()*+,;=%-._~")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}')}>", f"WARC-Date: {_DATE}",
-        f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {_uri(page_id)}",
-        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own_id}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Page-ID: {'' if page_id is None else page_id}", "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: <{_uri(refers_to)}>"]
-    return ("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+        head += [f"WARC-Profile: {_REVISIT}", f"X-Refers-To-Page-ID: {refers_to}"] + [f"WARC-Refers-To: {other_id}"] * (other_id is not None)
+    return _block(head, body)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -100,19 +115,19 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
     import pyarrow as pa
 
     spark = pages.sparkSession
-    short_batches(spark)
     base = base or fresh_path(spark, "warc")
-    if "://" not in base:
-        base = f"file://{base}"
+    base = qualified(spark, base)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     html = F.coalesce("html", F.lit(""))
     small = own.where("page_id IS NOT NULL").select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("n"))
-    small = put(small.where(F.col("n") >= min_payload_bytes), "digests")
-    first = small.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
-    first = put(first.drop("last"), "first")
-    again = small.join(first, ["digest", "n"]).where("page_id > refers_to").select("page_id", "digest", "n", "refers_to").distinct()
+    small = put(small.groupBy("page_id", "digest", "n").agg(F.count("*").alias("copies")), "digests")
+    first = small.where(F.col("n") >= min_payload_bytes).groupBy("digest", "n").agg(F.min_by(F.struct("page_id", "copies"), "page_id").alias("first"), F.max("page_id").alias("last"))
+    first = put(first.where("first.page_id < last").select("digest", "n", F.col("first.page_id").alias("refers_to"), (F.col("first.copies") == 1).alias("known")), "first")
+    again = small.join(first, ["digest", "n"]).where("page_id > refers_to").select("page_id", "digest", "copies", "refers_to", "known")
+    # several equal rows can't share a record id
+    twice = small.where("copies > 1").select("page_id", "digest", "copies", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("known"))
     # ids may repeat with another payload, so the digest is compared again in the task
-    again = again.groupBy("page_id").agg(F.collect_list(F.struct("digest", "refers_to")).alias("again"))
+    again = again.union(twice).groupBy("page_id").agg(F.collect_list(F.struct("digest", "copies", "refers_to", "known")).alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open_store(base)
@@ -124,12 +139,20 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
                     payload = (text or "").encode()
                     hexed = hashlib.sha1(payload).hexdigest()
                     digest = base64.b32encode(bytes.fromhex(hexed)).decode()
-                    refers = next((a["refers_to"] for a in again or () if a["digest"] == hexed), None)
+                    told = [a for a in again or () if a["digest"] == hexed]
+                    revisit = next((a for a in told if a["refers_to"] is not None), None)
+                    refers = revisit["refers_to"] if revisit else None
                     if out is None:
-                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        name = f"{uuid.uuid4().hex}.warc.gz"
                         store.create_dir(folder, recursive=True)
                         out = store.open_output_stream(f"{folder}/{name}", compression=None)
-                    member = _gzip(record(page_id, url, payload, digest, refers))
+                        opening = _gzip(warcinfo(name))
+                        out.write(opening)
+                        at = len(opening)
+                    alone = page_id is not None and not any(a["copies"] > 1 for a in told)
+                    own_id = record_id(page_id, digest) if alone else record_id(page_id, digest, name, at)
+                    other_id = record_id(refers, digest) if revisit and revisit["known"] else None
+                    member = _gzip(record(page_id, url, payload, digest, refers, own_id, other_id))
                     out.write(member)
                     rows.append((page_id, url, name, at, len(member), digest, "response" if refers is None else "revisit", refers))
                     at += len(member)
@@ -145,6 +168,7 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
 
     joined = own.join(again, "page_id", "left").select("page_id", "url", "html", "again")
     joined.mapInArrow(tidy(run), INDEX).write.mode("overwrite").parquet(f"{base}/index")
+    forget(small, first)
     return base
 
 
@@ -172,7 +196,6 @@ def read_warc(spark: SparkSession, base: str, selected: DataFrame | None = None,
     """
     import pyarrow as pa
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open_store(base)
@@ -196,8 +219,7 @@ def read_warc(spark: SparkSession, base: str, selected: DataFrame | None = None,
                         kind = warc["WARC-Type"]
                         if kind == "response" and digest32(payload) != digest:
                             raise ValueError(f"digest of record at {archive[k]}:{offset[k]} doesn't match its payload")
-                        page = warc["X-Page-ID"].rpartition(":")[2]
-                        refers = warc.get("WARC-Refers-To", "").strip("<>").rpartition(":")[2]
+                        page, refers = warc["X-Page-ID"], warc.get("X-Refers-To-Page-ID", "")
                         row = [int(page) if page else None, urls[k], int(http["Content-Length"]), digest, kind, int(refers) if refers else None]
                         rows.append(row + [payload.decode() if kind == "response" else None] * keep_html)
                         k += 1
