@@ -82,5 +82,105 @@ def test_warc(spark, least, size):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_records_can_be_followed(spark):
+    """Record ids are distinct, and a revisit names its response's id."""
+    import gzip
+
+    from pyarrow import fs
+
+    rows = [(1, "http://a.example/", "same"), (2, "http://b.example/", "same"), (3, "http://c.example/", "x" * 3_000_000), (4, None, "twice"), (4, None, "twice"), (5, "u", "twice"), (None, None, "same")]
+    base = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    store, folder = fs.FileSystem.from_uri(base)
+    ids, refers, infos = [], {}, 0
+    for found in store.get_file_info(fs.FileSelector(folder)):
+        if found.path.endswith(".warc.gz"):
+            raw = gzip.decompress(store.open_input_file(found.path).read())
+            while raw:
+                head, _, rest = raw.partition(b"\r\n\r\n")
+                fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
+                size = int(fields["Content-Length"])
+                assert fields["WARC-Block-Digest"] == "sha1:" + warc.digest32(rest[:size])
+                assert rest[size : size + 4] == b"\r\n\r\n"
+                infos += fields["WARC-Type"] == "warcinfo"
+                ids.append(fields["WARC-Record-ID"])
+                refers[fields.get("X-Page-ID")] = fields.get("WARC-Refers-To"), fields["WARC-Record-ID"]
+                raw = rest[size + 4 :]
+    assert len(ids) == len(set(ids)) == len(rows) + infos
+    assert refers["2"][0] == refers["1"][1]
+    assert refers["5"][0] is None  # two equal rows are responses
+    got = {r.page_id: r for r in warc.read_warc(spark, base).collect()}
+    assert got[2].refers_to == 1 and got[5].refers_to == 4 and got[3].payload_bytes == 3_000_000 and got[None].record_type == "response"
+
+
 def test_ranges_are_coalesced():
     assert warc.coalesce_ranges([(0, 10), (10, 5), (100, 5), (1000, 5)], gap=90, most=120) == [(0, 105, 3), (1000, 5, 1)]
+
+
+def told(spark, rows):
+    return {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_nothing_of_the_article_goes_by_a_name(spark):
+    rows = [
+        (1, "http://one.example/", "<article><p>Long enough a story.</p><div class='social-history'><p>The social history.</p></div><p class='ad'>An ad, discussed.</p><p class='tags'>Tags too.</p></article>"),
+        (2, "http://two.example/", "<body><div class='widget-page'><p>All the words.</p></div></body>"),
+        (3, "http://three.example/", "<title>Title | site</title><body><h1>Title</h1><article><p>Words of it, and some more of them.</p></article><div class='x'><p>See also</p></div></body>"),
+        (4, "http://four.example/", "<body><main><p>Words of main.</p></main><article><p>Words of the article.</p></article></body>"),
+        (5, "http://five.example/", "<article><header><h1>Own title</h1></header><p>Words.</p><aside>side</aside><footer>foot</footer></article><header>site</header>"),
+        (6, "http://six.example/", "<body><div class='sidebar'><p>few words</p></div><div><p>The story has many more words than that, and it stays whole.</p></div><section id='comments'>"
+            + "<p>readers say much</p>" * 30 + "</section></body>"),
+    ]
+    assert told(spark, rows) == {
+        1: "Long enough a story. The social history. An ad, discussed. Tags too.", 2: "All the words.", 3: "Title Words of it, and some more of them.", 4: "Words of main. Words of the article.",
+        5: "Own title Words.", 6: "The story has many more words than that, and it stays whole.",
+    }
+
+
+def opaque_site(n, host="plain.example"):
+    """Pages without a telling element or name; every text differs, and some stories are shorter than the advert."""
+    rows = []
+    for i in range(n):
+        story = " ".join(f"<p>Sentence {i} {k} of the story goes on.</p>" for k in range(1 if i % 4 == 0 else 12))
+        rows.append((i, f"http://{host}/{i}", f"<body><div class='a1'><ul><li><a href='/'>go{i}</a></li><li><a href='/'>see{i}</a></li></ul></div><div class='a2'>Buy thing {i} now, thing {i + 1} is cheap as well.</div>"
+                     f"<div class='a3'><h1>Story {i}</h1>{story}</div><div class='a4'>&copy; {i} people of the site {i}</div></body>"))
+    return rows
+
+
+def test_the_tree_finds_the_content_of_opaque_pages(spark):
+    rows = opaque_site(24)
+    want = {i: " ".join([f"Story {i}"] + [f"Sentence {i} {k} of the story goes on." for k in range(1 if i % 4 == 0 else 12)]) for i in range(24)}
+    assert told(spark, rows) == want
+    alone = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), use_trees=False).collect()}
+    assert alone != want  # short pages need what the tree knows
+    assert all(alone[i] == want[i] for i in range(24) if i % 4)
+
+
+def test_importances_by_brute_force(spark):
+    """Entropies, shares and the content node, worked out page by page."""
+    import math
+    from collections import Counter
+
+    rows = opaque_site(9) + [(90, "http://plain.example/x", "<body><div class='a2'>Buy thing 1 now, thing 2 is cheap as well.</div><div class='a9'>once</div></body>")]
+    df = spark.createDataFrame(rows, "page_id long, host string, html string").selectExpr("'h' AS host", "page_id AS digest", "html")
+    (got,) = site_style.style_trees(df).collect()
+    tree = site_style.Tree(bytes(got.tree))
+    pages = [site_style.Page(h) for _, _, h in rows]
+    path = {t: next(p.path[k] for p in pages for k in range(len(p.path)) if p.sign[k] == site_style._signature("div", f" class='{t}'")[0]) for t in ("a1", "a2", "a3", "a4", "a9")}
+    assert tree.root == path["a3"]
+    have = [p for p in pages if path["a2"] in p.path]
+    m = len(have)
+    assert m == 10
+    share = sum(p.words[p.path.index(path["a2"])] / p.words[0] for p in have) / m
+    texts = Counter(t for p in have for k, t in p.blocks if p.path[k] == path["a2"])
+    content = 1 - sum(math.log(c) / math.log(m) for c in texts.values()) / len(texts)
+    content = 1 - (1 - content) * m / (m + 1)
+    assert tree.about[path["a2"]] == (pytest.approx(share, abs=1e-5), pytest.approx(content))
+    assert path["a9"] not in tree.about  # on one page alone
+    body = next(p.path[k] for p in pages for k in range(len(p.path)) if p.tag[k] == "body")
+    assert tree.about[body][0] == pytest.approx(1)
+
+
+def test_very_long_pages_and_many_hosts(spark):
+    rows = [(1, "http://long.example/", "<body>" + "<p>word word</p>" * 40_000 + "</body>"), (2, "http://long.example/2", "<nav>x</nav>" * 3 + "<p>one</p>")]
+    got = told(spark, rows)
+    assert got[1] == " ".join(["word word"] * 40_000) and got[2] == "one"
