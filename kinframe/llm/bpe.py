@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from kinframe.llm import _words as W
 from kinframe.llm._units import Pool, UnitCoder
-from kinframe.llm._work import short_batches, tidy
+from kinframe.llm._work import tidy
 
 #: Most distinct pre-tokens in each of two generations, and most token pairs, that a worker remembers.
 CACHE_WORDS = 20_000

@@ -31,7 +31,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm._work import short_batches, tidy
+from kinframe.llm._work import tidy
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "iban", "ssn")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
-from kinframe.llm._work import short_batches, tidy
+from kinframe.llm._work import tidy
 
 #: Most labelled rows that the model is fitted on.
 MAX_LABELLED = 4096
