@@ -3,16 +3,25 @@
 The base kinds (email, ip, card, phone) are found by their patterns, leftmost and
 not overlapping per kind, in linear time. The semi-Markov conditional random field
 adds ``secret``, ``iban`` and ``ssn`` spans: a candidate segment of at most
-``MAX_TOKENS`` tokens and ``MAX_CHARS`` characters is scored by features of the
-whole span (shape, alphabet, length, digit share, variety) and of the words around
-it, and dynamic programming over the tokens chooses boundaries and types jointly.
-An entity must hold a digit and ``MIN_CORE`` word characters in a row (or groups of
-four, as IBANs have), so only the neighbourhoods of such cores are decoded; elsewhere
-"outside" (score 0) is the only label. The weights are trained here, by stochastic gradient on the
-log-likelihood (forward-backward over segments), on sentences generated by rule
-from invented values; the training set and so the model are fixed and small.
-
-Base spans stay as they are; added spans that touch one are dropped.
+``MAX_TOKENS`` tokens is scored by features of the whole span (shape, alphabet, length,
+digit share, variety, known heads), of the words and marks around it, and by the labels
+of neighbouring segments (transition weights); dynamic programming over the tokens
+chooses boundaries and types jointly. The bound on an entity is in tokens alone: a run of
+word characters is one token however long it is, so no secret is too long.
+
+Only neighbourhoods of *cores* are decoded, elsewhere "outside" is the only label: runs
+of at least ``MIN_CORE`` word characters with a digit or several changes from lower to
+upper case, whatever follows a telling name and a mark of assignment (``password =``),
+and groups of four as IBANs have. Letters in one case with no telling name before them
+look like any word and aren't candidates.
+
+The weights are trained here, by stochastic gradient on the log-likelihood
+(forward-backward over segments and labels), on sentences generated by rule from
+invented values; the training set and so the model are fixed and small. Digests, commit
+ids and UUIDs count as secrets only where a name says so.
+
+Base spans stay as they are. An added span may hold whole base spans (a long secret has
+digits that pass for a card); one that a base span equals, covers or cuts is dropped.
 Defined results: a null text is empty and has no spans; every row is kept, repeated
 rows too; other columns are ignored unless named in ``keep``.
 """
@@ -37,8 +46,8 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "iban", "ssn")
 KINDS = BASE + ADDED
 MAX_TOKENS = 9
-MAX_CHARS = 128
 MIN_CORE = 8
+#: Characters around a core whose tokens are decoded with it.
 AROUND = 48
 
 Span = tuple[str, int, int]
@@ -100,55 +109,77 @@ def _place(span: Span) -> tuple[int, int, int]:
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+(?:[_+/-]+[A-Za-z0-9]+)*|[^\sA-Za-z0-9]")
 _SPACED = re.compile(r"\b[A-Z]{2}[0-9]{2} [0-9A-Z]{4} [0-9A-Z]{2}")
-_RUN = re.compile(r"[0-9]+")
+_WITH_DIGIT = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+")
+_LETTERS = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z_+/-]{16,}+(?![0-9])")
+_TURN = re.compile(r"[a-z][A-Z]")
 _WORDY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
+_SYMBOLS, _DIGITS, _UPPER, _LOWER = (re.compile(x) for x in (r"[^A-Za-z0-9]+", r"[0-9]+", r"[A-Z]+", r"[a-z]+"))
+_SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "key", "pass", "bearer", "credential", "authorization")
+_CUES = (*_SECRET_CUES, "iban", "ssn", "account", "social", "security")
+_OTHER_CUES = ("commit", "sha", "md5", "checksum", "digest", "uuid", "hash", "etag", "revision", "blob", "order", "ref", "id")
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|credentials?)[\"']?[ \t]{0,3}(?:[:=]{1,2}|=>)[ \t]{0,3}[\"']?")
+_HEADS = ("AKI", "ASI", "ghp", "gho", "xox", "eyJ", "sk_", "sk-", "pk_", "AIz")  # fixed values: heads of well-known keys
+OUTSIDE = "outside"
+LABELS = (OUTSIDE, *ADDED)
 
 
 def _shape(s: str) -> str:
-    out = []
-    for c in s:
-        k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out) if len(out) <= 5 else "mixed" + "".join(sorted(set(out)))
+    out = _LOWER.sub("a", _UPPER.sub("A", _DIGITS.sub("9", s)))
+    return out if len(out) <= 5 else "mixed" + "".join(sorted(set(out)))
 
 
 def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
     """Features of the segment of tokens i..j-1 as a whole, and of its surroundings."""
     s = text[tokens[i][0] : tokens[j - 1][1]]
-    solid = "".join(c for c in s if c.isalnum())
-    n, digits = len(solid), sum(c.isdigit() for c in solid)
-    if all(c in "0123456789abcdef" for c in solid):
+    solid = _SYMBOLS.sub("", s)
+    n = len(solid)
+    digits = n - len(_DIGITS.sub("", solid))
+    kinds = set(solid)
+    if kinds <= frozenset("0123456789abcdef"):
         alphabet = "digits" if digits == n else "hex"
-    elif all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" for c in solid):
-        alphabet = "upper"
+    elif kinds <= frozenset("0123456789ABCDEF"):
+        alphabet = "HEX"
+    elif kinds <= frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        alphabet = "upper" if digits else "UPPER"
     else:
-        alphabet = "mixed" if not solid.islower() else "lower"
-    before = [text[a:b].lower() for a, b in tokens[max(0, i - 3) : i]]
-    words = [w for w in before if w[0].isalnum()]
-    cue = next((w for w in reversed(words) for c in ("token", "secret", "password", "passwd", "pwd", "key", "iban", "ssn", "account", "social", "security", "pass", "bearer", "credential") if c in w), "")
-    mark = before[-1] if before and not before[-1][0].isalnum() else ""
-    groups = s.replace("-", " ").split()
+        alphabet = ("lower" if digits else "letters") if solid == solid.lower() else "mixed" if digits else "Letters"
+    before = [text[a : min(b, a + 24)].lower() for a, b in tokens[max(0, i - 5) : i]]
+    marks = ""
+    while before and not before[-1][0].isalnum() and len(marks) < 3:
+        marks = before.pop()[0] + marks
+    words = [w for w in before if w[0].isalnum()][-3:]
+    cue = next((w for w in reversed(words) for c in _CUES if c in w), "")
+    told = next((c for c in _CUES if cue and c in cue), "")
+    close = bool(words) and any(c in words[-1] for c in _CUES)
+    other = bool(words) and any(c in words[-1] for c in _OTHER_CUES) and not close
+    groups = s.replace("-", " ").replace(".", " ").split()
+    head = s[:3] if s[:3] in _HEADS else ""
+    a, b = tokens[i][0], tokens[j - 1][1]
+    goes_on = text[b : b + 1] in (".", "-") and text[b + 1 : b + 2].isalnum() or a > 1 and text[a - 1] in ".-" and text[a - 2].isalnum()
+    size = min(n, 48) // 4
     return [
         "bias",
         f"shape {_shape(s)}",
         f"alphabet {alphabet}",
-        f"length {min(n, 40) // 4}",
-        f"alphabet and length {alphabet} {min(n, 40) // 4}",
-        f"digits {round(4 * digits / max(1, n))}",
-        f"variety {min(5, len(set(solid)) // 4)}",
+        f"length {size}",
+        f"alphabet and length {alphabet} {size}",
+        f"digits {round(4 * digits / max(1, n))}" if alphabet not in ("hex", "HEX") else "digits hex",
+        f"variety {min(5, len(kinds) // 4)}",
         f"tokens {j - i}",
         f"groups {len(groups)} {len(groups[0]) if len(groups) > 1 else 0}",
-        f"head {''.join('9' if c.isdigit() else 'A' if c.isupper() else 'a' for c in solid[:4])} {alphabet}",
-        f"cue {bool(cue)}",
-        f"cue {cue}",
-        f"mark {mark}",
-        f"cue and mark {bool(cue)} {mark}",
+        f"start {_shape(solid[:4]) if solid[:1].isupper() else ''} {alphabet}",
+        f"head {head}",
+        f"goes on {goes_on} {head}",
+        f"cue {told}",
+        f"cue and marks {close} {marks}",
+        f"cue, marks and alphabet {close} {marks[:1]} {alphabet}",
+        f"cue, assignment and alphabet {told} {close and marks[:1] in ('=', ':')} {alphabet}",
+        f"other cue {other} {alphabet}",
     ]
 
 
 class SemiCrf:
-    """Weights by (label, feature); outside tokens score 0."""
+    """Weights by (label, feature); a token outside scores 0 but for the transition to it."""
 
     def __init__(self) -> None:
         self.weights: dict[tuple[str, str], float] = {}
@@ -162,9 +193,11 @@ class SemiCrf:
                 continue
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
                 c, d = tokens[j - 1]
-                if j - 1 > i and c - tokens[j - 2][1] > 1 or d - a > MAX_CHARS or not (text[c].isalnum() or text[c] == "-"):
+                gap = c - tokens[j - 2][1] if j - 1 > i else 0
+                mark = not text[c].isalnum()
+                if gap > 1 or mark and (text[c] not in "-." or gap or j == len(tokens) or text[c] == "." and tokens[j][0] != d):
                     break
-                if text[c].isalnum() and d - a >= MIN_CORE and _DIGIT.search(text, a, d):
+                if not mark and d - a >= MIN_CORE and (j == i + 1 or _DIGIT.search(text, a, d)):
                     out.append((i, j, span_features(text, tokens, i, j)))
         return out
 
@@ -172,73 +205,110 @@ class SemiCrf:
         w = self.weights
         return sum(w.get((label, f), 0.0) for f in features)
 
+    def transitions(self) -> list[list[float]]:
+        """Weights of label pairs, previous label first."""
+        return [[self.weights.get((y, f"after {x}"), 0.0) for y in LABELS] for x in LABELS]
+
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
-        """The best segmentation: entities among the tokens."""
+        """The best segmentation and labels: entities among the tokens."""
         ending: dict[int, list] = {}
         for i, j, features in self.candidates(text, tokens):
-            label, best = max(((y, self.score(y, features)) for y in ADDED), key=lambda x: x[1])
-            if best > 0:
-                ending.setdefault(j, []).append((i, label, best))
+            for y, label in enumerate(ADDED, 1):
+                s = self.score(label, features)
+                if s > -20:
+                    ending.setdefault(j, []).append((i, y, s))
         if not ending:
             return []
-        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
+        move = self.transitions()
+        labels = range(len(LABELS))
+        best = [[0.0] + [-math.inf] * len(ADDED)]
+        back: list[list] = [[None] * len(LABELS)]
         for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
-            for i, label, s in ending.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, label)
+            best.append([-math.inf] * len(LABELS))
+            back.append([None] * len(LABELS))
+            for i, y, s in ((j - 1, 0, 0.0), *ending.get(j, ())):
+                x = max(labels, key=lambda x: best[i][x] + move[x][y])  # noqa: B023
+                value = best[i][x] + move[x][y] + s
+                if value > best[j][y]:
+                    best[j][y], back[j][y] = value, (i, x)
         out, j = [], len(tokens)
+        y = max(labels, key=best[j].__getitem__)
         while j:
-            if back[j]:
-                i, label = back[j]
-                out.append((label, tokens[i][0], tokens[j - 1][1]))
-                j = i
-            else:
-                j -= 1
+            i, x = back[j][y]
+            if y:
+                out.append((LABELS[y], tokens[i][0], tokens[j - 1][1]))
+            j, y = i, x
         return out[::-1]
 
-    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 8, rate: float = 0.5) -> None:
+    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 5, rate: float = 0.5) -> None:
         """Stochastic gradient (AdaGrad) on the log-likelihood of the segmentations."""
         squares: dict[tuple[str, str], float] = {}
         lattices = []
         for text, gold in examples:
             tokens = [m.span() for m in _TOKEN.finditer(text)]
             segments = self.candidates(text, tokens)
-            wanted = {(a, b): y for y, a, b in gold}
-            truth = [wanted.get((tokens[i][0], tokens[j - 1][1])) for i, j, _ in segments]
+            wanted = {(a, b): LABELS.index(y) for y, a, b in gold}
+            truth = [wanted.get((tokens[i][0], tokens[j - 1][1]), 0) for i, j, _ in segments]
             lattices.append((len(tokens), segments, truth))
         for _ in range(rounds):
             for n, segments, truth in lattices:
                 gradient: dict[tuple[str, str], float] = {}
                 scores = [[self.score(y, f) for y in ADDED] for _, _, f in segments]
-                forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
-                forward[0] = backward[n] = 0.0
-                by_end: dict[int, list[int]] = {}
-                by_start: dict[int, list[int]] = {}
-                for k, (i, j, _) in enumerate(segments):
-                    by_end.setdefault(j, []).append(k)
-                    by_start.setdefault(i, []).append(k)
-                for j in range(1, n + 1):
-                    forward[j] = _logsum([forward[j - 1], *(forward[segments[k][0]] + s for k in by_end.get(j, ()) for s in scores[k])])
-                for i in range(n - 1, -1, -1):
-                    backward[i] = _logsum([backward[i + 1], *(backward[segments[k][1]] + s for k in by_start.get(i, ()) for s in scores[k])])
+                move = self.transitions()
+                into, beyond, starts, total, forward = forward_backward(n, [(i, j) for i, j, _ in segments], scores, move)
                 for (i, j, features), per, gold in zip(segments, scores, truth, strict=True):
-                    for y, s in zip(ADDED, per, strict=True):
-                        gap = (y == gold) - math.exp(forward[i] + s + backward[j] - forward[n])
+                    for y, s in enumerate(per, 1):
+                        gap = (y == gold) - math.exp(into[i][y] + s + beyond[j][y] - total)
                         if abs(gap) > 1e-4:
                             for f in features:
-                                gradient[y, f] = gradient.get((y, f), 0.0) + gap
+                                gradient[LABELS[y], f] = gradient.get((LABELS[y], f), 0.0) + gap
+                path = {i: (j, y) for (i, j, _), y in zip(segments, truth, strict=True) if y}
+                at, last = 0, 0
+                while at < n:
+                    at_next, y = path.get(at, (at + 1, 0))
+                    for k in range(at, at_next):  # expected transitions at each place, true ones where a segment starts
+                        for x in range(len(LABELS)):
+                            for z in range(len(LABELS)):
+                                if x or z:
+                                    gap = (k == at and x == last and z == y) - math.exp(forward[k][x] + move[x][z] + starts[k][z] - total)
+                                    if abs(gap) > 1e-4:
+                                        key = LABELS[z], f"after {LABELS[x]}"
+                                        gradient[key] = gradient.get(key, 0.0) + gap
+                    at, last = at_next, y
                 for k, g in gradient.items():
                     squares[k] = squares.get(k, 0.1) + g * g
                     self.weights[k] = 0.9999 * self.weights.get(k, 0.0) + rate * g / math.sqrt(squares[k])
 
 
+def forward_backward(n: int, segments: list[tuple[int, int]], scores: list[list[float]], move: list[list[float]]) -> tuple:
+    """Log sums over all segmentations: into a label at a place, beyond a label that ends there,
+    of segments that start there, of everything, and of what ends there."""
+    none = [-math.inf] * len(LABELS)
+    by_end: dict[int, list[int]] = {}
+    by_start: dict[int, list[int]] = {}
+    for k, (i, j) in enumerate(segments):
+        by_end.setdefault(j, []).append(k)
+        by_start.setdefault(i, []).append(k)
+    labels = range(len(LABELS))
+    forward, into = [[0.0, *none[1:]]], []
+    for j in range(n + 1):
+        if j:
+            ends = [[into[j - 1][0]], *([into[segments[k][0]][y] + scores[k][y - 1] for k in by_end.get(j, ())] for y in labels[1:])]
+            forward.append([_logsum(e) for e in ends])
+        into.append([_logsum([forward[j][x] + move[x][y] for x in labels]) for y in labels])
+    beyond, starts = [none] * n + [[0.0] * len(LABELS)], [none] * n
+    for i in range(n - 1, -1, -1):
+        starts[i] = [beyond[i + 1][0], *(_logsum([scores[k][y - 1] + beyond[segments[k][1]][y] for k in by_start.get(i, ())]) for y in labels[1:])]
+        beyond[i] = [_logsum([move[x][y] + starts[i][y] for y in labels]) for x in labels]
+    return into, beyond, starts, _logsum(forward[n]), forward
+
+
 def _logsum(x: list[float]) -> float:
-    top = max(x)
+    top = max(x, default=-math.inf)
     return top + math.log(sum(math.exp(v - top) for v in x)) if top > -math.inf else top
 
 
-def training_sentences(count: int = 600, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def training_sentences(count: int = 1000, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Invented sentences with their entities, made by rule."""
     rng = random.Random(seed)
     pick = rng.choice
@@ -251,29 +321,42 @@ def training_sentences(count: int = 600, seed: int = 11) -> list[tuple[str, list
         return made if _DIGIT.search(made) else digit_in(make)
 
     def secret() -> tuple[str, str, str]:
-        form = rng.randrange(6)
+        form = rng.randrange(8)
         if form == 0:
-            return "", pick("AGBX") + pick("KSL") + some("IAP", 2) + digit_in(lambda: some(uppers, 16)), ""
-        value = digit_in(lambda: some(pick((hexes, hexes, every)), pick((16, 18, 20, 24, 32, 40, 48, 64))))
-        name = pick(("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "key"))
+            return "", pick("AG") + pick("KS") + "I" + pick("AP") + digit_in(lambda: some(uppers, 16)), ""
         if form == 1:
-            return "", digit_in(lambda: some(hexes, pick((32, 40, 64)))), ""
-        return (f'{name} = "', value, '"') if form < 4 else (f"{name}{pick(('=', ': ', ' = '))}", value, "")
+            return pick(("", "authorization: bearer ", "token: ")), "eyJ" + ".".join(digit_in(lambda: some(every, rng.randint(16, 160))) for _ in range(3)), ""
+        if form == 2:
+            return pick(("", "key ", "token = ")), pick(("ghp_", "sk_", "xoxb-", "AIza")) + digit_in(lambda: some(every, rng.randint(24, 44))), ""
+        value = digit_in(lambda: some(pick((hexes, hexes, hexes.upper(), every)), pick((16, 18, 20, 24, 32, 40, 48, 64, 96, 160, 400))))
+        if form == 3:
+            value = pick((lambda: "".join(word() for _ in range(rng.randint(3, 6))), lambda: some(every[:52], rng.randint(10, 40)), lambda: some(every, rng.randint(9, 16))))()
+            value = value if len(value) >= 12 else value + some("abcdefghijklmnopqrstuvwxyz", 12)
+        name = pick(("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "key"))
+        name = name.upper() if rng.random() < 0.2 else name
+        return (f'{name} = "', value, '"') if form < 6 else (f"{name}{pick(('=', ': ', ' = '))}", value, "")
 
     def iban() -> tuple[str, str, str]:
         body = some("0123456789", rng.randint(13, 24))
+        body = some("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4) + body[4:] if rng.random() < 0.3 else body
         flat = some("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2) + some("0123456789", 2) + body
-        return pick(("", "iban ", "account ")), flat if rng.random() < 0.5 else " ".join(flat[i : i + 4] for i in range(0, len(flat), 4)), ""
+        return pick(("", "iban ", "IBAN ", "IBAN: ", "account ")), flat if rng.random() < 0.5 else " ".join(flat[i : i + 4] for i in range(0, len(flat), 4)), ""
 
     def ssn() -> tuple[str, str, str]:
         return pick(("", "ssn ", "ssn: ", "social security ")), f"{some('0123456789', 3)}-{some('0123456789', 2)}-{some('0123456789', 4)}", ""
 
     def other() -> str:
+        cue = lambda: pick(("token", "secret", "password", "key", "the password", "api key", "account"))
+        digest = lambda: some(hexes, pick((32, 40, 64)))
         return pick((
             lambda: some("0123456789", rng.randint(8, 17)), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}",
             lambda: f"{word()}{rng.randint(1, 99)}", lambda: f"{some('ABCDEFGH', 2)}-{some('0123456789', 6)}", lambda: f"{word()}-{rng.randint(1, 999)}", lambda: f"{word()}_{word()}_{rng.randint(1, 99)}",
             lambda: f"({some('0123456789', 3)}) 555-{some('0123456789', 4)}", lambda: f"{word()}/{word()}/{rng.randint(1, 9999)}", lambda: " ".join(some("0123456789", 4) for _ in range(4)), lambda: word().upper() + str(rng.randint(1, 99)),
             lambda: f"{rng.randint(1000000, 99999999)} {word()}", lambda: f"{word()}{word()}{rng.randint(1000, 9999)}",
+            lambda: pick(("", "commit ", "sha256 ", "md5: ", "checksum ", "revision ")) + digest(), lambda: pick(("", "uuid ", "id=")) + "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12)),
+            lambda: f"{cue()} {word()}{pick(('ation', 'ing', 'ed', 'ment'))}", lambda: f"{cue()}{pick((': ', ' = ', '='))}{pick(('required', 'none', 'null', 'invalid', 'optional', 'disabled', 'unchanged', 'incorrect'))}",
+            lambda: f"{word()}{rng.randint(1, 99)}.{word()}.com", lambda: f"{word()}.{rng.randint(2000, 2030)}.pdf", lambda: f"{rng.randint(1, 999)}.{some('0123456789', 6)}", lambda: f"{word()}{word().title()}{word().title()}{pick(('', '2'))}",
+            lambda: f"{word()}{word()}{word()}", lambda: f"https://{word()}.org/{word()}/{rng.randint(1000, 99999999)}",
         ))()
 
     out = []
@@ -281,7 +364,7 @@ def training_sentences(count: int = 600, seed: int = 11) -> list[tuple[str, list
         text, spans = "", []
         for _ in range(rng.randint(2, 4)):
             text += " ".join(word() for _ in range(rng.randint(1, 4))) + " "
-            if rng.random() < 0.55:
+            if rng.random() < 0.5:
                 kind = pick(("secret", "secret", "iban", "ssn"))
                 left, value, right = {"secret": secret, "iban": iban, "ssn": ssn}[kind]()
                 spans.append((kind, len(text) + len(left), len(text) + len(left) + len(value)))
@@ -301,19 +384,19 @@ def trained() -> dict[tuple[str, str], float]:
 
 def _cores(text: str) -> list[tuple[int, int]]:
     """Merged neighbourhoods of the places where an entity can be."""
-    found, done, n = [], 0, len(text)
-    for run in _RUN.finditer(text):
-        if run.start() < done:
-            continue
-        a, b = run.start(), min(run.end(), run.start() + MAX_CHARS)
-        while a > done and a > b - MAX_CHARS and text[a - 1] in _WORDY:
-            a -= 1
-        while b < n and b < a + 2 * MAX_CHARS and text[b] in _WORDY:
-            b += 1
-        done = b
-        if b - a >= MIN_CORE:
-            found.append((a, b))
-    found += [(m.start(), min(n, m.end() + MAX_CHARS // 3)) for m in _SPACED.finditer(text)]
+    n = len(text)
+    found: list[tuple[int, int]] = []
+    if _DIGIT.search(text):
+        found += [m.span() for m in _WITH_DIGIT.finditer(text) if m.end() - m.start() >= MIN_CORE]
+        found += [(m.start(), min(n, m.end() + 40)) for m in _SPACED.finditer(text)]
+    found += [m.span() for m in _LETTERS.finditer(text) if len(_TURN.findall(text, m.start(), m.end())) > 2]
+    low = text.lower()
+    if any(c in low for c in _SECRET_CUES):
+        for m in _ASSIGNED.finditer(text):
+            b = m.end()
+            while b < n and text[b] in _WORDY:
+                b += 1
+            found.append((m.start(), b))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         lo, hi = max(0, a - AROUND), min(n, b + AROUND)
@@ -321,7 +404,7 @@ def _cores(text: str) -> list[tuple[int, int]]:
             lo += 1
         while b < hi < n and text[hi] in _WORDY:
             hi -= 1
-        if out and lo <= out[-1][1]:
+        if out and lo <= out[-1][1] + 2:  # a mark or a blank between them
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
             out.append((lo, hi))
@@ -338,7 +421,12 @@ def added_spans(text: str, model: SemiCrf, base: list[Span]) -> list[Span]:
         return out
     begins = [a for _, a, _ in base]
     ends = list(accumulate((b for _, _, b in base), max))
-    return [s for s in out if not (k := bisect_left(begins, s[2])) or ends[k - 1] <= s[1]]
+
+    def stands(a: int, b: int) -> bool:
+        lo, hi = bisect_left(begins, a), bisect_left(begins, b)
+        return (not lo or ends[lo - 1] <= a) and all(y <= b and (x, y) != (a, b) for _, x, y in base[lo:hi])
+
+    return [s for s in out if stands(s[1], s[2])]
 
 
 def told(spans: list[Span]) -> str:
