@@ -1,13 +1,22 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-Each shard (a bounded run of neighbouring documents inside a task) gets a suffix
-array: the word suffixes that can match at all (their first words open some test
-window), sorted by their following words. Every distinct test suffix is
-binary-searched in every shard; the range it hits gives all verbatim locations,
-and chained hits of one test item give the longest match. Nothing is shuffled:
-the tests are broadcast while they are within ``MAX_TEST_BYTES``; larger test sets
-are cut into blocks of at most that size, the shards are searched once per block
-and the hits of a document are united.
+A shard is a run of neighbouring documents inside a task, of about ``SHARD_BYTES`` (or one
+longer text). Its suffix array holds all word suffixes that can match at all: those in
+stretches of words that occur in the tests, as long as the shortest window at least; a
+suffix ends with its stretch. It is built by prefix doubling (groups that are still tied
+are sorted by the ranks one doubled step on), to the length of the longest test item.
+
+Every test suffix is binary-searched in every shard, word by word: the range of suffixes
+that agree so far is narrowed by the next word until the range is empty. The range at a
+window's length gives all its occurrences; going on gives every place's longest verbatim
+match (each place keeps the greatest depth whose range holds it). Places are marked once
+per distinct range, and documents are paired with items once per distinct range, so
+neither repetitive texts nor repetitive tests multiply: memory is linear in a shard and
+in the answer.
+
+Nothing is shuffled: the tests are broadcast while they are within ``MAX_TEST_BYTES``;
+larger test sets are cut into blocks of at most that size, the shards are searched once
+per block and the hits of a document are united.
 
 Words are compared by 64-bit hashes. Defined results: null or empty text has no
 words and no hits; a test item without words never matches; rows are kept one to
@@ -27,92 +36,180 @@ from kinframe.llm._work import put, tidy
 
 #: Most bytes of test text that are broadcast at once.
 MAX_TEST_BYTES = 32 << 20
-#: Consecutive words that open a window, by which shards leave suffixes out.
-OPENING = 3
+#: Bytes of text after which a shard is searched.
+SHARD_BYTES = 4 << 20
+#: Pairs of document and item that are gathered before repeats are dropped.
+GATHERED = 1 << 20
 
 
 class Tests:
-    """Distinct windows of a block of test items, and which items hold them where."""
+    """The words of a block of test items as numbers, and the window that begins at each word."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         words = W.Words([(text or "").encode() for _, text in items], W.ALNUM, True)
         self.names = [name for name, _ in items]
-        at, owner, size = [], [], []
-        for k in range(len(items)):
-            lo, hi = words.first[k], words.first[k + 1]
-            n = min(window, hi - lo)
-            if n:
-                at += range(lo, hi - n + 1)
-                owner += [k] * (hi - lo - n + 1)
-                size += [n] * (hi - lo - n + 1)
-        at, owner, size = (np.array(x, np.int64) for x in (at, owner, size))
-        self.by_size: dict[int, tuple] = {}
-        for n in np.unique(size).tolist():
-            pick = np.flatnonzero(size == n)
-            rows = _rows(words.hashes, at[pick], n, at[pick] + n)
-            distinct, back = np.unique(rows, return_inverse=True)
-            by = np.argsort(back, kind="stable")
-            begin = np.searchsorted(back[by], np.arange(len(distinct) + 1))
-            q = min(OPENING, n)
-            opening = np.zeros(1 << 20, bool)
-            opening[_slot(W.grams(words.hashes, q)[at[pick]])] = True
-            self.by_size[n] = (distinct, begin, owner[pick][by], at[pick][by], q, opening)
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
-def _rows(h: np.ndarray, at: np.ndarray, n: int, end: np.ndarray) -> np.ndarray:
-    """The n words from each place as one byte string; places past ``end`` are zero."""
-    place = at[:, None] + np.arange(n)
-    got = np.where(place < end[:, None], h[np.minimum(place, max(len(h) - 1, 0))], np.uint64(0)) if len(h) else np.zeros((len(at), n), np.uint64)
-    return np.ascontiguousarray(got.astype(">u8")).view(f"S{8 * n}").ravel()
-
-
-def search(words: W.Words, tests: Tests) -> tuple[np.ndarray, ...]:
-    """All hits in a shard: word place, window size, item, place in the tests."""
-    h, first = words.hashes, words.first
-    out = [[], [], [], []]
-    for n, (distinct, begin, owner, at, q, opening) in tests.by_size.items():
-        openings = W.grams(h, q)
-        place = np.flatnonzero(opening[_slot(openings)]) if len(openings) else np.empty(0, np.int64)
-        end = first[np.searchsorted(first, place, "right")] if len(place) else place
-        place, end = place[place + n <= end], end[place + n <= end]
-        if not len(place):
+        self.vocabulary, ids = np.unique(words.hashes, return_inverse=True)
+        self.ids = ids.astype(np.int64) + 1  # 0 is any other word
+        first = words.first
+        sizes = first[1:] - first[:-1]
+        self.longest = int(sizes.max(initial=0))
+        item = np.repeat(np.arange(len(items)), sizes)
+        size = np.minimum(window, sizes)[item]
+        end = first[1:][item]
+        at = np.arange(len(ids))
+        valid = at + size <= end
+        #: places where a window begins, its item and size, and the item's end
+        self.at, self.item, self.size, self.end = at[valid], item[valid], size[valid], end[valid]
+        self.least = int(self.size.min(initial=1))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The concatenated ranges lo:hi."""
+    many = hi - lo
+    return np.arange(int(many.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+
+
+class SuffixArray:
+    """Sorted word suffixes of the stretches that can match."""
+
+    def __init__(self, words: W.Words, tests: Tests) -> None:
+        n = len(words.hashes)
+        near = np.minimum(np.searchsorted(tests.vocabulary, words.hashes), max(0, len(tests.vocabulary) - 1))
+        known = tests.vocabulary[near] == words.hashes if len(tests.vocabulary) else np.zeros(n, bool)
+        word = np.where(known, near + 1, 0)
+        # stretches of known words end at unknown ones and with their document
+        fresh = np.ones(n, bool)
+        fresh[1:] = known[1:] != known[:-1]
+        fresh[words.first[:-1][words.first[:-1] < n]] = True
+        start = np.flatnonzero(fresh)
+        stop = np.append(start[1:], n)
+        keep = known[start] & (stop - start >= tests.least) if n else known[:0]
+        start, stop = start[keep], stop[keep]
+        #: place in the shard of each word kept, its number, and where its stretch ends among those kept
+        self.place = _ranges(start, stop)
+        self.word = word[self.place]
+        self.end = np.repeat(np.cumsum(stop - start), stop - start)
+        self.order = self._sorted(tests.longest)
+
+    def _sorted(self, longest: int) -> np.ndarray:
+        n = len(self.word)
+        order = np.argsort(self.word, kind="stable")
+        ranked = self.word[order]
+        rank = np.empty(n, np.int64)
+        head = np.ones(n, bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        begin = np.flatnonzero(head)
+        rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
+        tied = np.flatnonzero(np.repeat(np.diff(np.append(begin, n)) > 1, np.diff(np.append(begin, n))))
+        step = 1
+        while len(tied) and step < longest:
+            own = order[tied]
+            on = own + step
+            inside = on < self.end[own]
+            then = np.where(inside, rank[np.minimum(on, n - 1)] + 1, 0)
+            again = np.lexsort((then, rank[own]))
+            own, then = own[again], then[again]
+            was = rank[own]
+            order[tied] = own
+            head = np.ones(len(tied), bool)
+            head[1:] = (was[1:] != was[:-1]) | (then[1:] != then[:-1])
+            begin = np.flatnonzero(head)
+            many = np.diff(np.append(begin, len(tied)))
+            rank[own] = np.repeat(tied[begin], many)
+            # what has ended stays tied for good
+            tied = tied[np.repeat(many > 1, many) & (then > 0)]
+            step *= 2
+        return order
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray, beyond: bool) -> np.ndarray:
+        """First suffix in lo:hi whose word at the depth isn't below (beyond: is above) the given one."""
+        lo, hi = lo.copy(), hi.copy()
+        while True:
+            open_ = lo < hi
+            if not open_.any():
+                return lo
+            mid = (lo + hi) >> 1
+            at = self.order[np.minimum(mid, len(self.order) - 1)]
+            on = at + depth
+            found = np.where(on < self.end[at], self.word[np.minimum(on, len(self.word) - 1)], 0)
+            up = open_ & ((found <= word) if beyond else (found < word))
+            lo = np.where(up, mid + 1, lo)
+            hi = np.where(open_ & ~up, mid, hi)
+
+    def search(self, tests: Tests) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Longest match at each suffix (0 below a window), and per window size the
+        ranges (lo, hi) of the windows found with their items."""
+        match, hits = np.zeros(len(self.order), np.int64), []
+        if not len(self.order):
+            return match, hits
+        here = np.zeros(len(tests.vocabulary) + 2, np.int64)
+        here[self.word] = 1
+        sums = np.concatenate([[0], np.cumsum(here[tests.ids])])
+        live = np.flatnonzero(sums[tests.at + tests.size] - sums[tests.at] == tests.size)  # all words of the window are here
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.order))
+        depth = 0
+        while len(live):
+            word = tests.ids[tests.at[live] + depth]
+            lo = self._bound(lo, hi, depth, word, False)
+            hi = self._bound(lo, hi, depth, word, True)
+            depth += 1
+            some = lo < hi
+            live, lo, hi = live[some], lo[some], hi[some]
+            size = tests.size[live]
+            done = size == depth
+            if done.any():
+                hits.append((depth, lo[done], hi[done], tests.item[live[done]]))
+            told = np.unique(np.stack([lo, hi], 1)[size <= depth], axis=0)
+            match[_ranges(told[:, 0], told[:, 1])] = depth
+            goes_on = tests.at[live] + depth < tests.end[live]
+            live, lo, hi = live[goes_on], lo[goes_on], hi[goes_on]
+        return match, hits
+
+
+def search(words: W.Words, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard: whether each word is hit, the longest match that begins at it, and the
+    distinct pairs of document (as ordered) and item."""
+    n = len(words.hashes)
+    array = SuffixArray(words, tests)
+    found, hits = array.search(tests)
+    match, edge = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+    match[array.place[array.order]] = found
+    whole = max(1, len(tests.names))
+    pairs, held, gathered = [np.empty(0, np.int64)], 0, np.empty(0, np.int64)
+    for size, lo, hi, item in hits:
+        ranges, which = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
+        at = array.place[array.order[_ranges(ranges[:, 0], ranges[:, 1])]]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + size, -1)
+        # documents and items of each distinct range, each once
+        docs = np.searchsorted(words.first, at, "right") - 1
+        of = np.repeat(np.arange(len(ranges)), ranges[:, 1] - ranges[:, 0])
+        docs_of = np.unique(np.stack([of, docs], 1), axis=0)
+        items_of = np.unique(np.stack([which.ravel(), item], 1), axis=0)
+        a, b = (np.searchsorted(x[:, 0], np.arange(len(ranges) + 1)) for x in (docs_of, items_of))
+        for k in range(len(ranges)):
+            mine, theirs = docs_of[a[k] : a[k + 1], 1], items_of[b[k] : b[k + 1], 1]
+            pairs.append((mine[:, None] * whole + theirs).ravel())
+            held += len(pairs[-1])
+            if held > GATHERED:
+                gathered, pairs, held = np.unique(np.concatenate([gathered, *pairs])), [], 0
+    gathered = np.unique(np.concatenate([gathered, *pairs]))
+    return np.cumsum(edge[:-1]) > 0, match, gathered // whole, gathered % whole
+
+
+def _documents(words: W.Words, tests: Tests) -> Iterator[tuple]:
+    """Words, disjoint runs of hit words, items, and the longest verbatim match of each document."""
+    hit, match, doc, item = search(words, tests)
+    cut = np.searchsorted(doc, np.arange(len(words.first)))
+    for k in range(len(words.first) - 1):
+        a, b = int(words.first[k]), int(words.first[k + 1])
+        if not hit[a:b].any():
+            yield b - a, [], [], 0, None
             continue
-        suffixes = _rows(h, place, n, end)
-        order = np.argsort(suffixes, kind="stable")  # the shard's suffix array
-        suffixes, place = suffixes[order], place[order]
-        lo, hi = np.searchsorted(suffixes, distinct, "left"), np.searchsorted(suffixes, distinct, "right")
-        for k in np.flatnonzero(hi > lo).tolist():
-            here, who = place[lo[k] : hi[k]], slice(begin[k], begin[k + 1])
-            many = begin[k + 1] - begin[k]
-            out[0].append(np.repeat(here, many))
-            out[1].append(np.full(len(here) * many, n))
-            out[2].append(np.tile(owner[who], len(here)))
-            out[3].append(np.tile(at[who], len(here)))
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
-
-
-def _document(hits: list[np.ndarray], base: int, names: list) -> tuple:
-    """Disjoint runs of hit words, the items found, and the longest verbatim match."""
-    place, size, item, at = hits
-    order = np.lexsort((place, place - at, item))  # one item and diagonal at a time
-    p, s, i, d = place[order], size[order], item[order], (place - at)[order]
-    fresh = np.ones(len(p), bool)
-    fresh[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
-    start = np.flatnonzero(fresh)
-    stop = np.append(start[1:], len(p)) - 1
-    length = p[stop] + s[stop] - p[start]
-    best = int(np.argmax(length))
-    lo = np.sort(p[start])
-    hi = np.maximum.accumulate((p[start] + length)[np.argsort(p[start], kind="stable")])
-    cut = np.ones(len(lo), bool)
-    cut[1:] = lo[1:] > hi[:-1]
-    runs = [{"s": int(a - base), "e": int(b - base)} for a, b in zip(lo[cut], hi[np.append(np.flatnonzero(cut)[1:], len(lo)) - 1], strict=True)]
-    found = sorted({names[k] for k in np.unique(i).tolist() if names[k] is not None})
-    return runs, found, int(length[best]), int(p[start[best]] - base)
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]])))
+        best = int(np.argmax(match[a:b]))
+        names = sorted({tests.names[i] for i in item[cut[k] : cut[k + 1]].tolist() if tests.names[i] is not None})
+        yield b - a, [{"s": int(x), "e": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)], names, int(match[a + best]), best
 
 
 def _search(docs: DataFrame, items: list, window: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -124,22 +221,24 @@ def _search(docs: DataFrame, items: list, window: int, id_col: str, text_col: st
     names = ["n_words", "runs", "items", "longest_match", "longest_at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts = [t for batch in held for t in W.as_bytes(batch.column(batch.num_columns - 1))]
+            found = iter([x for lo, hi in W.chunks([len(t) for t in texts], SHARD_BYTES) for x in _documents(W.Words(texts[lo:hi], W.ALNUM, True), tests.value)])
+            for batch in held:
+                columns = list(zip(*(next(found) for _ in range(batch.num_rows)), strict=True)) or [()] * 5
+                kinds = [pa.int64(), run_type, pa.list_(pa.string()), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names[:-1], *names])
+
         for batch in batches:
-            texts = W.as_bytes(batch.column(batch.num_columns - 1))
-            out: list[tuple] = []
-            for lo, hi in W.chunks([len(t) for t in texts]):
-                words = W.Words(texts[lo:hi], W.ALNUM, True)
-                hits = search(words, tests.value)
-                order = np.argsort(hits[0], kind="stable")
-                hits = [x[order] for x in hits]
-                cuts = np.searchsorted(hits[0], words.first)
-                for k in range(hi - lo):
-                    a, b = cuts[k], cuts[k + 1]
-                    found = _document([x[a:b] for x in hits], int(words.first[k]), tests.value.names) if b > a else ([], [], 0, None)
-                    out.append((int(words.first[k + 1] - words.first[k]), *found))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), run_type, pa.list_(pa.string()), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names[:-1], *names])
+            held.append(batch)
+            size += batch.column(batch.num_columns - 1).nbytes
+            if size >= SHARD_BYTES:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
 
     text = F.col(text_col).cast("string")
     own = docs.select(*(F.col(c) for c in keep), F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_md5"), text.alias("_searched_text"))

@@ -148,6 +148,62 @@ def test_decontaminate(spark, most):
     assert sorted(((r.doc_id, r.text or "", r.n_hit) for r in kept), key=repr) == sorted(((d, t or "", h) for (d, t), (_, _, h, *_) in zip(rows, want, strict=True)), key=repr)
 
 
+def brute_longest(text, items, window=10):
+    """The longest run of words of the text that an item holds too, of those that hold a window."""
+    w, best = ALNUM.findall(text.translate(LOW)), 0
+    for t in items:
+        v = ALNUM.findall((t or "").translate(LOW))
+        row = [0] * (len(v) + 1)
+        for x in w:
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(v)]
+            best = max([best] + [n for n in row if v and n >= min(window, len(v))])
+    return best
+
+
+@pytest.mark.parametrize("shard", [200, 1 << 22])
+def test_longest_matches(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    rng = random.Random(31)
+    items = [" ".join(f"p{i}" for i in range(70)), " ".join(rng.choice("ab") for _ in range(40)), "a b a", "", None, "x " * 25]
+    rows = [(i, " ".join(rng.choice(("a", "b", "x", "q", "P12 p13 p14 p15 p16 p17 p18 p19 p20 p21 p22")) for _ in range(rng.randint(0, 80)))) for i in range(60)]
+    rows += [(100, items[0].upper()), (101, items[1] + " z " + items[1]), (102, "x " * 60)]
+    tests = decontaminate.Tests([(str(k), t) for k, t in enumerate(items)], 10)
+    words = decontaminate.W.Words([t.encode() for _, t in rows], decontaminate.W.ALNUM, True)
+    found = list(decontaminate._documents(words, tests))
+    for (_, text), (_, runs, _, longest, at) in zip(rows, found, strict=True):
+        assert longest == brute_longest(text, items) and bool(runs) == (longest > 0)
+        if longest:
+            own = ALNUM.findall(text.translate(LOW))[at : at + longest]
+            assert any(" ".join(own) in " ".join(ALNUM.findall((t or "").translate(LOW))) for t in items)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.longest_match, len(r.runs)) for r in decontaminate.decontaminate(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {i: (f[3], len(f[1])) for (i, _), f in zip(rows, found, strict=True)}
+
+
+def test_suffixes_are_sorted():
+    rng = random.Random(2)
+    items = [" ".join(rng.choice("abc") for _ in range(50)) for _ in range(3)]
+    texts = [" ".join(rng.choice("abcz") for _ in range(rng.randint(0, 120))) for _ in range(30)] + ["a " * 40]
+    tests = decontaminate.Tests(list(enumerate(items)), 4)
+    array = decontaminate.SuffixArray(decontaminate.W.Words([t.encode() for t in texts], decontaminate.W.ALNUM, True), tests)
+    whole = [tuple(array.word[i : array.end[i]][: tests.longest]) for i in array.order.tolist()]
+    assert whole == sorted(whole) and len(set(array.order.tolist())) == len(array.word) > 500
+
+
+def test_repetitive_texts_stay_small():
+    """One repeated word against itself: places and owners aren't multiplied."""
+    import tracemalloc
+
+    tests = decontaminate.Tests([("x", "long " * 3600), ("y", "long " * 3000)], 10)
+    words = decontaminate.W.Words([b"long " * 30_000, b"short text", b"long " * 9], decontaminate.W.ALNUM, True)
+    tracemalloc.start()
+    (_, runs, items, longest, _), other, nine = decontaminate._documents(words, tests)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert runs == [{"s": 0, "e": 30_000}] and items == ["x", "y"] and longest == 3600 and not other[1] and not nine[1]
+    assert peak < 60 << 20
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(empty(spark), none).count() == 0
