@@ -146,23 +146,25 @@ class SuffixArray:
         here[self.word] = 1
         sums = np.concatenate([[0], np.cumsum(here[tests.ids])])
         live = np.flatnonzero(sums[tests.at + tests.size] - sums[tests.at] == tests.size)  # all words of the window are here
-        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.order))
-        depth = 0
+        # test suffixes that agree so far share one range
+        lo, hi, of = np.zeros(1, np.int64), np.full(1, len(self.order)), np.zeros(len(live), np.int64)
+        depth, words = 0, len(tests.vocabulary) + 1
         while len(live):
-            word = tests.ids[tests.at[live] + depth]
+            key, to = np.unique(of * words + tests.ids[tests.at[live] + depth], return_inverse=True)
+            lo, hi, word = lo[key // words], hi[key // words], key % words
             lo = self._bound(lo, hi, depth, word, False)
             hi = self._bound(lo, hi, depth, word, True)
             depth += 1
-            some = lo < hi
-            live, lo, hi = live[some], lo[some], hi[some]
+            some = (lo < hi)[to]
+            live, of = live[some], to[some]
             size = tests.size[live]
             done = size == depth
             if done.any():
-                hits.append((depth, lo[done], hi[done], tests.item[live[done]]))
-            told = np.unique(np.stack([lo, hi], 1)[size <= depth], axis=0)
-            match[_ranges(told[:, 0], told[:, 1])] = depth
+                hits.append((depth, lo[of[done]], hi[of[done]], tests.item[live[done]]))
+            told = np.unique(of[size <= depth])
+            match[_ranges(lo[told], hi[told])] = depth
             goes_on = tests.at[live] + depth < tests.end[live]
-            live, lo, hi = live[goes_on], lo[goes_on], hi[goes_on]
+            live, of = live[goes_on], of[goes_on]
         return match, hits
 
 
