@@ -1,30 +1,33 @@
-"""Duplicate word spans by anchor blocks (winnowing), against all earlier texts.
-
-Anchor blocks replace relative Lempel-Ziv parsing: there is no reference dictionary
-and no greedy longest factor. Each text is cut into blocks by its own words alone, so
-a text needs none of the earlier ones at hand, and whole blocks, then windows, are
-joined by hash. Below, a factor is such a block. The index holds one
-block per *anchor*: in each window of ``window`` words the least hash of its
-``seed``-word sequences is the window's anchor, and the words of the consecutive
-windows with one anchor are a block. Equal windows have equal anchors, so all
-places where a window can match are blocks under the same anchor.
-
-1. A factor that covers a whole block found in a text with a smaller id is long
-   enough by itself: all the block's windows are duplicates. One comparison of
-   block fingerprints with the first text that holds them decides this.
-2. At factor boundaries (blocks that are the first of their content, under an
-   anchor that other texts hold with other words around it) the windows are
-   looked up one by one among the first occurrences under the same anchor; later
-   occurrences add nothing, as their windows begin in the first text too.
-
-So every window of the input that also starts in a text with a smaller id is
-found, exactly, judged on the input. Blocks go through grouped minima and joins
-only, which combine early and split when skewed: no group is collected, and no
-pairs of a group are made.
+"""Duplicate word spans by relative Lempel-Ziv parsing against indexed reference blocks.
+
+*Reference blocks.* The reference of a text is all texts with smaller ids. It is cut into
+blocks by content, so that a block found in two texts is cut alike in both: in each
+window of ``window`` words the least hash of its ``seed``-word sequences is the window's
+anchor, and the words of the consecutive windows with one anchor are a block. The index
+holds one row per distinct block: its fingerprint and the first text and place with it.
+
+*Parsing.* A text is factored greedily from left to right: at a block that the index
+knows from an earlier text a factor (place, length, reference text, reference place)
+starts, and it is extended block by block as long as the reference goes on alike. Such
+factors are at least ``window`` words long, so they are duplicate spans as they are.
+
+*Factor boundaries.* Where the factors stop, a window may still begin in an earlier text
+inside a block that goes on differently there. Equal windows have equal anchors, so this
+can only be in blocks that are first of their content under an anchor that other texts
+hold with other words around it. These blocks' windows are looked up one by one among
+the first occurrences under such anchors; later occurrences add nothing, as their windows
+begin in the first text too. What is found joins the factors.
+
+So every window of the input that also starts in a text with a smaller id is found,
+exactly, judged on the input. The index is never at one place: seeds (anchors) and
+fingerprints meet in grouped minima and joins, which combine early and split when
+skewed: no group is collected, and no pairs of a group are made. Only the parse itself is
+a map over texts, each with its own references (at most one per block of the text).
 
 Words and blocks are compared by 64-bit hashes. Defined results: null, empty and
 short texts keep all their words; rows with equal ids never remove each other's
-words; a null id neither removes nor loses words; other columns are ignored.
+words; a null id neither removes nor loses words; repeated rows are kept and cost no
+more than as many different rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
-from kinframe.llm._work import put, tidy
+from kinframe.llm._work import forget, put, tidy
 
 SEED = 10
 
@@ -114,32 +117,53 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "rid", "text", "ranges").mapInArrow(tidy(run), "wh long, doc_id long, rid long, lo int, hi int")
 
 
-def _cut(docs: DataFrame, keep_text: bool) -> DataFrame:
+def parse(references: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (place, words, reference text, reference place) of a text, left to right.
+
+    References: first and last window of a block (or of a looked-up run of equal windows),
+    and the text and place in which its first window begins.
+    """
+    out: list[list[int]] = []
+    for lo, hi, doc, at in sorted(references):
+        if out:
+            place, words, ref, ref_at = out[-1]
+            if lo <= place + words - window + 1 and ref == doc and ref_at + lo - place == at:
+                out[-1][1] = max(words, hi + window - place)  # the reference goes on alike
+                continue
+        out.append([lo, hi + window - lo, doc, at])
+    return [tuple(f) for f in out]
+
+
+def _cut(docs: DataFrame, window: int, keep_text: bool, keep_factors: bool) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(W.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, references in zip(W.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
                 kept = words
-                if spans:
+                factors = parse([(r["lo"], r["hi"], r["ref"], r["at"]) for r in references or ()], window)
+                if factors:
                     gone = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(gone, [s["lo"] for s in spans], 1)
-                    np.add.at(gone, [s["hi"] for s in spans], -1)
+                    np.add.at(gone, [at for at, _, _, _ in factors], 1)
+                    np.add.at(gone, [at + n for at, n, _, _ in factors], -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
                 left = b" ".join(kept)
-                rows.append([len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest()] + [left.decode()] * keep_text)
+                row = [len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest()] + [left.decode()] * keep_text
+                rows.append(row + [[dict(zip(parts, f, strict=True)) for f in factors]] * keep_factors)
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
-    return docs.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    parts = ("at", "words", "ref_doc", "ref_at")
+    kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text + [pa.list_(pa.struct([(p, pa.int64()) for p in parts]))] * keep_factors
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text + ["factors"] * keep_factors
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
+    return docs.select("doc_id", "text", "references").mapInArrow(tidy(run), schema + ", factors array<struct<at: long, words: long, ref_doc: long, ref_at: long>>" * keep_factors)
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and ``kept``) of every row.
+def substring_dedup(docs: DataFrame, window: int = 50, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep_factors: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (``kept`` and ``factors``) of every row.
 
     Words are removed that lie in a window of ``window`` words which also starts in
     a text with a smaller id.
@@ -153,12 +177,16 @@ def substring_dedup(docs: DataFrame, window: int = 50, seed: int = SEED, id_col:
     # minima are written before they are joined, so that both sides of each join can be split
     shared = put(shared.where("a <> b").select("anchor", (F.col("c") != F.col("d")).alias("mixed")), "shared")
     held = put(index.join(shared, "anchor").select("doc_id", "rid", "fp", "lo", "hi", "mixed"), "held")
-    first = put(held.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
-    held = put(held.join(first, "fp"), "factors")
-    whole = held.where("doc_id > first").select("rid", "lo", (F.col("hi") + window).alias("hi"))
-    edges = held.where("doc_id = first AND mixed").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    forget(index, shared)
+    first = F.min(F.struct("doc_id", "lo")).alias("first")
+    reference = put(held.groupBy("fp").agg(first).select("fp", F.col("first.doc_id").alias("ref"), F.col("first.lo").alias("at")), "reference")
+    known = put(held.join(reference, "fp"), "known")
+    forget(held, reference)
+    whole = known.where("doc_id > ref").select("rid", "lo", "hi", "ref", "at")
+    edges = known.where("doc_id = ref AND mixed").groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     lookups = put(_windows(named.join(edges, "rid"), window), "windows")
-    earliest = lookups.groupBy("wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("wh", "first")
-    single = lookups.join(put(earliest, "earliest"), "wh").where("doc_id > first").select("rid", "lo", (F.col("hi") + window).alias("hi"))
-    spans = whole.union(single).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return _cut(docs.join(spans, "rid", "left"), keep_text)
+    earliest = lookups.groupBy("wh").agg(first, F.max("doc_id").alias("last")).where("first.doc_id < last")
+    earliest = put(earliest.select("wh", F.col("first.doc_id").alias("ref"), F.col("first.lo").alias("at")), "earliest")
+    single = lookups.join(earliest, "wh").where("doc_id > ref").select("rid", "lo", "hi", "ref", "at")
+    references = whole.union(single).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "ref", "at")).alias("references"))
+    return _cut(docs.join(references, "rid", "left"), window, keep_text, keep_factors)

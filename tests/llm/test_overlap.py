@@ -118,6 +118,39 @@ def test_substring_dedup(spark, window):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_factors_are_copies_of_the_reference(spark):
+    """Each factor is found at its reference in an earlier text; copies are one factor, not one per block."""
+    rng = random.Random(8)
+    rows = [(d + 50, t) for d, t in invented(rng, 120)]
+    long = " ".join(f"v{rng.randint(0, 3000)}" for _ in range(900))
+    rows += [(5000, long), (5001, "before " + long + " after"), (5002, long[: len(long) // 2] + " other " + long)]
+    words = defaultdict(list)
+    for d, t in rows:
+        words[d].append(SPACED.findall(t or ""))
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 20, keep_factors=True).collect()}
+    found = 0
+    for d, r in got.items():
+        covered = set()
+        for f in r.factors:
+            own = words[d][0][f.at : f.at + f.words]
+            assert f.ref_doc < d and len(own) == f.words >= 20 and any(w[f.ref_at : f.ref_at + 20] == own[:20] for w in words[f.ref_doc])
+            if len(set(own)) > 1:  # runs of one word stand for all their windows
+                assert any(w[f.ref_at : f.ref_at + f.words] == own for w in words[f.ref_doc])
+            covered.update(range(f.at, f.at + f.words))
+            found += 1
+        assert len(covered) == r.n_removed
+    assert found > 50
+    assert [(f.at, f.words, f.ref_doc, f.ref_at) for f in got[5001].factors] == [(1, 900, 5000, 0)]
+
+
+def test_repeated_rows_are_linear(spark):
+    """A row repeated many times beside one that shares its passages."""
+    text = " ".join(f"w{i % 97}" for i in range(300))
+    rows = [(7, text)] * 1500 + [(8, "x " + text + " y")] * 700 + [(9, " ".join(f"w{i % 97}" for i in range(100)) + " tail")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in got) == [(7, 300, 0, 1500), (8, 302, 300, 700), (9, 101, 100, 1)]
+
+
 TESTS = [(1, "p3 p4 p5 p6 p7 p8 p9 p10 p11 p12 p13 p14"), (2, "Anna went to The market"), (10, "nothing of the kind is in there at all, or is it so"), (3, None), (4, " . "), (5, "a"), (2, "Anna went to The market"), (None, "p5 p6 p7 p8 p9 p10 p11 p12 p13 p14")]
 
 
