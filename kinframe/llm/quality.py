@@ -1,13 +1,13 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are the trigrams of its byte classes (``CLASSES``, so layout,
-case, digits and symbols in any language) and binned rates of repetition: words
-equal to the word before, distinct words, distinct word trigrams, repeated lines,
-word length, and text length. Counts are damped and weighted by inverse document
-frequency; the leading singular directions of the labelled sample are the latent
-space. The labelled vectors are broadcast (at most ``max_labelled`` x ``rank``
-numbers), each document's exact cosines with all of them are computed in blocks,
-and its ``neighbours`` nearest vote with weights that grow with the similarity.
+A text's terms are its words (lower-case, hashed into ``WORDS`` terms), the trigrams of
+its byte classes (``CLASSES``, so layout, case, digits and symbols in any language) and
+binned rates of repetition: words equal to the word before, distinct words, distinct word
+trigrams, repeated lines, word length, and text length. Counts are damped and weighted by
+inverse document frequency; the leading singular directions of the labelled sample are
+the latent space. The labelled vectors are broadcast (at most ``max_labelled`` x ``rank``
+numbers), each document's exact cosines with all of them are computed in blocks, and its
+``neighbours`` nearest vote with weights that grow with the similarity.
 
 The model is fitted on at most ``max_labelled`` labelled rows outside the held-out
 fifth, those with the smallest hash of their id; every document is scored over its
@@ -15,7 +15,8 @@ whole text. Nothing but the text enters a score.
 
 Defined results: null text is empty; an empty text is scored like any other (its
 terms say it is empty); a null id isn't held out; contradicting labels of an id are
-averaged; with no usable labels every score is 0.5. Other columns are ignored.
+averaged, and of rows with one id a single one is learnt from, the same in every run;
+with no usable labels every score is 0.5. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ for _k, _chars in enumerate(CLASSES):
     _OF[list(_chars.encode())] = _k
 _BINS = 8
 _RATES = 6
-TERMS = _N**3 + _RATES * _BINS
+#: Hashed word terms, and their weight beside the other terms.
+WORDS = 2048
+WORD_WEIGHT = 0.2
+_SHAPES = _N**3
+_AT_WORDS = _SHAPES + _RATES * _BINS
+TERMS = _AT_WORDS + WORDS
 
 
 def terms(texts: list[bytes]) -> np.ndarray:
@@ -65,9 +71,12 @@ def terms(texts: list[bytes]) -> np.ndarray:
         for k in range(hi - lo):
             text, (a, b), at = texts[lo + k], first[k : k + 2], words.offsets[k]
             n = int(b - a)
+            if n:
+                bucket = (h[a:b] >> np.uint64(20)).astype(np.int64) % WORDS
+                out[lo + k, _AT_WORDS:] = WORD_WEIGHT * np.sqrt(np.bincount(bucket, minlength=WORDS) / n)
             # the blanks beside a text belong to every text alike
-            seen = np.bincount(code[at - 1 : at + len(text) - 1], minlength=_N**3) if len(text) else np.zeros(_N**3)
-            out[lo + k, : _N**3] = np.sqrt(seen / max(1, len(text)))
+            seen = np.bincount(code[at - 1 : at + len(text) - 1], minlength=_SHAPES) if len(text) else np.zeros(_SHAPES)
+            out[lo + k, : _SHAPES] = np.sqrt(seen / max(1, len(text)))
             lines = [x for x in text.split(b"\n") if x.strip()]
             rates = (
                 again[a:b].mean() if n else 0.0,
@@ -80,11 +89,24 @@ def terms(texts: list[bytes]) -> np.ndarray:
             for r, x in enumerate(rates):
                 place = min(float(x), 1.0) * (_BINS - 1)
                 low = min(int(place), _BINS - 2)
-                at_bin = _N**3 + r * _BINS + low
+                at_bin = _SHAPES + r * _BINS + low
                 out[lo + k, at_bin : at_bin + 2] = 0.25 * (low + 1 - place), 0.25 * (place - low)
     return out
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The terms of a text that it has."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    out = np.zeros(TERMS, np.float32)
+    out[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return out
+
+
 class Model:
     """Weights, latent directions, and the labelled vectors."""
 
@@ -122,17 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = terms(W.as_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+            x = [packed(r) for r in terms(W.as_bytes(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["k", "y", "x"])
 
-    marked = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").where(fold("k") != 0)
+    marked = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("double").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").where(fold("k") != 0)
     marked = marked.groupBy("k").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_labelled)
-    mine = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(marked), "k")  # max_labelled rows at most
-    rows = mine.select("y", "t").mapInArrow(tidy(run), "y double, x binary").limit(2 * max_labelled).collect()
+    mine = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(marked), "k")  # max_labelled rows at most
+    # one row for each labelled id, so max_labelled at most
+    rows = mine.select("k", "y", "t").mapInArrow(tidy(run), "k long, y double, x binary").groupBy("k", "y").agg(F.min("x").alias("x")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r["x"]), r["y"]))
-    return Model(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["y"] for r in rows]))
+    return Model(np.stack([unpacked(bytes(r["x"])) for r in rows]), np.array([r["y"] for r in rows]))
 
 
 def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), accept: float = ACCEPT) -> DataFrame:

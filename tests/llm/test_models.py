@@ -203,6 +203,40 @@ def test_quality_awkward_rows(spark):
     assert quality.quality_scores(empty(spark), fitted).count() == 0
 
 
+def test_quality_votes_of_the_nearest_by_brute_force():
+    """Scores against cosines of the latent vectors worked out pair by pair."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], rng.integers(0, 40))).encode() for _ in range(130)]
+    model = quality.Model(quality.terms(texts[:100]), rng.integers(0, 2, 100).astype(float), rank=12)
+    got = model.score(quality.terms(texts[100:]), neighbours=7)
+    for x, score in zip(quality.terms(texts[100:]), got, strict=True):
+        y = (x * model.idf) @ model.directions
+        near = []
+        for v, label in zip(model.vectors, model.labels, strict=True):
+            near.append((sum(float(a) * float(b) for a, b in zip(v, y, strict=True)) / max(1e-12, sum(float(b) ** 2 for b in y) ** 0.5), float(label)))
+        near = sorted(near, reverse=True)[:7]
+        weight = [min(1, max(1e-6, c)) ** quality.SHARPNESS for c, _ in near]
+        assert score == pytest.approx(sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+
+
+def test_quality_knows_words(spark):
+    """Texts of the same letter shapes are told apart by their words."""
+    rng = np.random.default_rng(3)
+    words = [[f"{a}{b}n" for b in "aeiou" for a in "bcdfg"], [f"{a}{b}n" for b in "aeiou" for a in "hjklm"]]
+    rows = [(i, " ".join(rng.choice(words[i % 2], 30))) for i in range(200)]
+    d = docs(spark, rows)
+    fitted = quality.fit(d, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    got = quality.quality_scores(d, fitted).where("held_out").collect()
+    assert len(got) > 20 and sum((r.score > 0.5) == bool(r.doc_id % 2) for r in got) / len(got) > 0.95
+
+
+def test_quality_fit_is_the_same_in_every_run(spark):
+    rows = [(i % 40, f"text {i} " * 5) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = (quality.fit(docs(spark, rows[::step]).repartition(7), labels) for step in (1, -1))
+    assert len(a.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40)) and (a.labels == b.labels).all() and np.allclose(a.vectors, b.vectors)
+
+
 def test_quality_ignores_held_out_labels(spark):
     d = docs(spark, [(i, f"text {i} " * 5) for i in range(60)])
     flip = lambda i: 1 if zlib.crc32(str(i).encode()) % 5 else 0
