@@ -9,8 +9,10 @@ A shard is one self-contained record of bounded size:
 
 An Elias-Fano sequence of n values up to u keeps the low floor(log2(u / n)) bits of
 each packed and the high parts in unary in a bit vector of n + (u >> low) bits: about
-2 + log2(u / n) bits a value and no 64-bit table. ``select`` finds the i-th one through
-samples every ``SAMPLE`` ones and popcounts in between.
+2 + log2(u / n) bits a value and no 64-bit table. Beside the bit vector the shard stores
+the place of every ``SAMPLE``-th one; ``select`` finds the i-th one by popcounts from its
+sample on, and ``window`` a stretch of them from the samples around it. All reading goes
+through these two, so no table of boundaries is made, in the file or in memory.
 
 Texts are encoded by the public tokenizers library, each distinct unit (white space and
 the word after it) once while it is in a worker's bounded cache. Documents are dealt by ranges of doc_id and sorted, so
@@ -50,9 +52,8 @@ _EF = struct.Struct("<qqB7xq")
 class EliasFano:
     """A non-decreasing sequence of integers from 0 on, with select."""
 
-    def __init__(self, n: int, top: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.top, self.low_bits, self.low, self.high = n, top, low_bits, low, high
-        self._samples: np.ndarray | None = None
+    def __init__(self, n: int, top: int, low_bits: int, low: np.ndarray, samples: np.ndarray, high: np.ndarray) -> None:
+        self.n, self.top, self.low_bits, self.low, self.samples, self.high = n, top, low_bits, low, samples, high
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -62,20 +63,22 @@ class EliasFano:
         low = values & np.uint64((1 << low_bits) - 1)
         bits = (low[:, None] >> np.arange(low_bits, dtype=np.uint64)).astype(np.uint8) & 1
         high = np.zeros(n + (top >> low_bits) + 1, np.uint8)
-        high[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, top, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(high, bitorder="little"))
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        high[ones] = 1
+        return cls(n, top, low_bits, np.packbits(bits.ravel(), bitorder="little"), ones[::SAMPLE].astype("<u8"), np.packbits(high, bitorder="little"))
 
     def to_bytes(self) -> bytes:
-        return _EF.pack(self.n, self.top, self.low_bits, len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return _EF.pack(self.n, self.top, self.low_bits, len(self.high)) + self.low.tobytes() + self.samples.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_buffer(cls, buf: bytes, at: int) -> tuple[EliasFano, int]:
         n, top, low_bits, size = _EF.unpack_from(buf, at)
         at += _EF.size
-        low_size = (n * low_bits + 7) // 8
+        low_size, many = (n * low_bits + 7) // 8, -(-n // SAMPLE)
         low = np.frombuffer(buf, np.uint8, low_size, at)
-        high = np.frombuffer(buf, np.uint8, size, at + low_size)
-        return cls(n, top, low_bits, low, high), at + low_size + size
+        samples = np.frombuffer(buf, "<u8", many, at + low_size)
+        high = np.frombuffer(buf, np.uint8, size, at + low_size + 8 * many)
+        return cls(n, top, low_bits, low, samples, high), at + low_size + 8 * many + size
 
     def _lows(self, lo: int, hi: int) -> np.ndarray:
         if not self.low_bits:
@@ -85,29 +88,36 @@ class EliasFano:
         bits = np.unpackbits(self.low[first // 8 : (last + 7) // 8], bitorder="little")[first % 8 : first % 8 + last - first]
         return bits.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
-    def decode(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._lows(0, self.n)
-
     def select(self, i: int) -> int:
-        """The i-th value, without decoding the rest."""
-        if self._samples is None:
-            counts = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
-            self._samples = np.searchsorted(counts, np.arange(0, self.n, SAMPLE), "right")
-            self._before = np.concatenate([[0], counts])[self._samples]
-        k = i // SAMPLE
-        at, seen = int(self._samples[k]), int(self._before[k])
+        """The i-th value, from the sample before it."""
+        at, left = divmod(int(self.samples[i // SAMPLE]), 8)
+        seen = i // SAMPLE * SAMPLE - int(self.high[at] & ((1 << left) - 1)).bit_count()  # ones before this byte
         while True:
             block = np.bitwise_count(self.high[at : at + 64]).astype(np.int64)
-            if seen + int(block.sum()) > i:
+            ones = int(block.sum())
+            if seen + ones > i:
                 break
-            at, seen = at + 64, seen + int(block.sum())
+            at, seen = at + 64, seen + ones
         byte = int(np.searchsorted(np.cumsum(block), i - seen, "right"))
         seen += int(block[:byte].sum())
         bit = np.flatnonzero(np.unpackbits(self.high[at + byte : at + byte + 1], bitorder="little"))[i - seen]
         return (((at + byte) * 8 + int(bit) - i) << self.low_bits) | int(self._lows(i, i + 1)[0])
 
+    def decode(self) -> np.ndarray:
+        """All values, for small sequences."""
+        return self.window(0, self.n)
+
+    def window(self, lo: int, hi: int) -> np.ndarray:
+        """The values lo to hi - 1, from the samples around them."""
+        if hi <= lo:
+            return np.empty(0, np.int64)
+        k, end = lo // SAMPLE, -(-hi // SAMPLE)
+        first = int(self.samples[k]) // 8
+        last = int(self.samples[end]) // 8 + 1 if end < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little")) + first * 8
+        ones = ones[np.searchsorted(ones, int(self.samples[k])) :][lo - k * SAMPLE : hi - k * SAMPLE]
+        return ((ones - np.arange(lo, hi)) << self.low_bits) | self._lows(lo, hi)
+
 
 @lru_cache(2)
 def _library(path: str) -> tuple[UnitCoder, int]:
@@ -165,7 +175,18 @@ class Shard:
         self.ids = np.frombuffer(buf, f"<u{width}", self.total, at)
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.decode() + self.first).tolist()
+        return [i for ids, _, _ in self.windows() for i in ids]
+
+    def windows(self, most: int = SAMPLE) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+        """doc_ids, begins and ends of up to ``most`` documents at a time."""
+        before = 0
+        for lo in range(0, self.n, most):
+            hi = min(self.n, lo + most)
+            ends = self.ends.window(lo, hi)
+            begins = np.concatenate([[before], ends[:-1]])
+            before = int(ends[-1])
+            named = self.names.window(max(0, lo - self.nulls), max(0, hi - self.nulls)) + self.first
+            yield [None] * (hi - lo - len(named)) + named.tolist(), begins, ends
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, by two selects."""
@@ -223,13 +244,12 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
         for batch in batches:
             for before, buf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = Shard(buf)
-                ends = got.ends.decode()
-                begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                ids = got.ids.astype("<u4")
-                raw = [ids[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                columns = [got.doc_ids(), begins + before + got.base, ends - begins, [zlib.crc32(x) for x in raw]] + [raw] * keep_ids
-                kinds = [pa.int64()] * 4 + [pa.binary()] * keep_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                for doc_ids, begins, ends in got.windows():
+                    ids, at = got.ids[begins[0] : ends[-1]].astype("<u4"), begins[0]
+                    raw = [ids[a:b].tobytes() for a, b in zip((begins - at).tolist(), (ends - at).tolist(), strict=True)]
+                    columns = [doc_ids, begins + before + got.base, ends - begins, [zlib.crc32(x) for x in raw]] + [raw] * keep_ids
+                    kinds = [pa.int64()] * 4 + [pa.binary()] * keep_ids
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
     store = spark.read.schema("part int, number int, base long, n_ids long, shard binary").parquet(path)

@@ -62,6 +62,10 @@ def test_elias_fano(n, top):
     got, at = token_store.EliasFano.from_buffer(b"xx" + made.to_bytes(), 2)
     assert (got.decode() == values).all() and at == 2 + len(made.to_bytes())
     assert all(got.select(i) == values[i] for i in range(n))
+    assert got.samples.dtype == np.dtype("<u8") and len(got.samples) == -(-n // token_store.SAMPLE)
+    for lo in range(0, n, 37):
+        for size in (0, 1, 36, 511, 512, 600):
+            assert (got.window(lo, min(n, lo + size)) == values[lo : lo + size]).all()
     if n > 500:
         assert 8 * len(made.to_bytes()) / n < 2.6 + max(0, np.log2(top / n)) + 0.5
 
@@ -85,3 +89,16 @@ def test_shard_document_access():
     ids = [np.arange(n, dtype=np.uint32) for n in (3, 1, 700)]
     s = token_store.Shard(token_store.shard([None, -5, 7], ids, 10, 2))
     assert s.doc_ids() == [None, -5, 7] and [s.document(k).tolist() for k in range(3)] == [i.tolist() for i in ids] and s.base == 10
+
+
+def test_shards_are_read_in_windows():
+    """Boundaries and ids of many documents come window by window, null ids first."""
+    rng = np.random.default_rng(4)
+    ids = [np.arange(k, dtype=np.uint32) for k in rng.integers(1, 40, 1500)]
+    names = [None] * 600 + np.sort(rng.integers(-(10**12), 10**12, 900)).tolist()
+    s = token_store.Shard(token_store.shard(names, ids, 5, 2))
+    got = list(s.windows())
+    assert [len(x) for x, _, _ in got] == [512, 512, 476] and [i for x, _, _ in got for i in x] == names
+    ends = np.cumsum([len(x) for x in ids])
+    assert (np.concatenate([e for _, _, e in got]) == ends).all() and (np.concatenate([b for _, b, _ in got]) == ends - [len(x) for x in ids]).all()
+    assert s.document(0).tolist() == ids[0].tolist() and s.document(1499).tolist() == ids[1499].tolist()
