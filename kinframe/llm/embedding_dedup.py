@@ -2,9 +2,11 @@
 
 Each vector gets ``bits`` signs in each of ``tables`` tables; vectors of one label
 that agree on all signs of a table share a bucket. Two vectors at the threshold
-cosine agree on a sign with probability 1 - arccos(c) / pi, so with 16 bits and 16
-tables a pair at cosine 0.98 is missed with probability about 0.001, a closer one
-less. Every pair in a bucket is verified by its exact double-precision cosine, in
+cosine agree on a sign with probability p = 1 - arccos(c) / pi. The number of bits grows
+with the number of distinct vectors (``BITS`` at least, one more for each doubling above
+2 ** ``BITS``), so buckets of unlike vectors don't grow with the table, and the number of tables
+with the bits, so that a pair at the threshold is missed in all of them with probability
+(1 - p ** bits) ** tables of at most ``MISSED``, a closer one less: 16 tables of 16 bits at 0.98. Every pair in a bucket is verified by its exact double-precision cosine, in
 blocks of a matrix product, and counts in the first table in which it meets only.
 
 Equal vectors are one weighted class from the start, so copies may hold any share of
@@ -21,6 +23,7 @@ ignored. A row with a null id has a null component and isn't kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,19 @@ from pyspark.sql import functions as F
 from kinframe.llm._components import components
 from kinframe.llm._work import put, tidy, tidy_group
 
-BITS = 16
-TABLES = 16
+#: Signs per table at least and at most, and the odds at which a pair at the threshold is missed.
+BITS, MOST_BITS = 16, 31
+MISSED = 0.0012
 BLOCK = 1024
 
 
+def plan(classes: int, threshold: float) -> tuple[int, int]:
+    """Bits and tables for so many distinct vectors."""
+    bits = min(MOST_BITS, max(BITS, (max(1, classes) - 1).bit_length()))
+    met = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, 1 if met >= 1 else max(1, math.ceil(math.log(MISSED) / math.log1p(-met)))
+
+
 def planes(dim: int, bits: int, tables: int) -> np.ndarray:
     """The hyperplanes' normals for vectors of a length; the same in every task."""
     return np.random.Generator(np.random.PCG64(dim * 1_000_003 + bits * 101 + tables)).standard_normal((dim, bits * tables))
@@ -80,7 +91,7 @@ def _parts(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int = BITS, tables: int = TABLES, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int | None = None, tables: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     import pyarrow as pa
 
@@ -89,6 +100,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int = BIT
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
     own = own.withColumn("h", F.when(usable, F.xxhash64("v"))).withColumn("g", F.when(usable, F.xxhash64(F.lit(7), "v", F.size("v"))))
     classes = put(own.where("h IS NOT NULL").groupBy("label", "h", "g").agg(F.min("vec_id").alias("cid"), F.count("*").alias("w")), "classes")
+    if bits is None or tables is None:
+        bits, tables = plan(classes.count(), threshold)
     # one row of each class; equal rows of the least id are told apart by nothing, any will do
     firsts = own.join(classes.withColumnRenamed("cid", "vec_id"), ["label", "h", "g", "vec_id"]).dropDuplicates(["label", "vec_id", "h", "g"])
 

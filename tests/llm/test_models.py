@@ -148,6 +148,14 @@ def vectors(seed=0, n=300):
     return rows + [(900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [1.0, 2.0], 1), (904, [2.0, 4.0], 1), (905, [1.0, 2.0], None), (906, [], 1), (3, rows[3][1], rows[3][2]), (None, rows[3][1], rows[3][2]), (907, [1e300] * 24, 1), (908, [1e-300] * 24, 1)]
 
 
+def test_bits_follow_the_table():
+    assert embedding_dedup.plan(10, 0.98) == embedding_dedup.plan(1 << 16, 0.98) == (16, 16)
+    for n in (1 << 17, 10**9, 10**12):
+        bits, tables = embedding_dedup.plan(n, 0.98)
+        assert bits == min(31, (n - 1).bit_length()) and (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= embedding_dedup.MISSED
+    assert embedding_dedup.plan(1000, 1.0) == (16, 1)
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_embedding_dedup(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
