@@ -5,8 +5,8 @@
    cut by hash range into m parts. Sets with Jaccard >= t differ in at most
    (1 - t) / t * (smaller size) shingles, each of which spoils one part, so for m above
    that figure, plus the parts that may be empty, two linked sets agree on the content
-   of a whole non-empty part. m is fixed per size band (powers of two); a set near the
-   lower edge of its band also takes part in the band below. Shingles in a ``HOT``-th of
+   of a whole non-empty part. m is fixed per size band (powers of two); a set also takes
+   part in all bands below that hold sets small enough to be linked with it. Shingles in a ``HOT``-th of
    all documents (counted over all of them) are left out of the parts, so that common
    lines connect nothing: that keeps the guarantee for every set that still has more
    parts than can be spoiled, and the others, made of common lines, take part with
@@ -20,8 +20,8 @@
    pairs, then point pairs, below the needed overlap are dropped. Surviving pairs are
    verified; their connected parts are the only sets whose shingles are shipped.
 3. *Verification.* Surviving pairs are verified exactly on the shingle sets. A task
-   returns one edge from each member to its part, never all pairs. Groups above
-   ``BLOCK`` members are cut by size band and salt; blocks are first held against a
+   returns one edge from each member to its part, never all pairs. In both steps groups
+   above ``BLOCK`` members are cut by size band and salt; blocks are first held against a
    pivot block, and only blocks whose members are still apart against each other.
 
 Words and shingles are compared by 64-bit hashes; equal sets are one class,
@@ -140,8 +140,8 @@ def keys_of(s: np.ndarray, t: Threshold, hot: np.ndarray) -> np.ndarray:
     value = W.mix(s ^ np.uint64(0x5851F42D4C957F2D))
     rare = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s if len(hot) else np.ones(n, bool)
     mixed = not rare.all()
-    lower = band > 0 and -(-t.num * n // t.den) <= (1 << band) - 1
-    for at in (band, band - 1)[: 1 + lower]:
+    lowest = max(1, -(-t.num * n // t.den)).bit_length() - 1  # the band of the smallest set that can be linked
+    for at in range(band, lowest - 1, -1):
         m = t.groups(at)
         spoiled = min(t.spoiled(n), t.spoiled((2 << at) - 1))
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -333,7 +333,7 @@ def _pairs_of_blocks(large: DataFrame, which: str) -> DataFrame:
     """Each member once for every pair of blocks its block is in.
 
     ``first``: a block with itself and with the pivot block (salt 0) of its band
-    and of the bands beside it. ``rest``: the pairs left out by that. ``all``: all.
+    and of the bands beside it. ``rest``: the pairs left out by that.
     """
     own = F.struct("band", "salt")
     none = F.array().cast("array<struct<band:int,salt:int>>")
@@ -345,8 +345,7 @@ def _pairs_of_blocks(large: DataFrame, which: str) -> DataFrame:
 
     out = large.withColumn("other", F.explode(F.concat(blocks(-1), blocks(0), blocks(1)))).withColumn("own", own)
     chosen = (F.col("other.salt") == 0) | (F.col("own.salt") == 0) | (F.col("other") == F.col("own"))
-    if which != "all":
-        out = out.where(chosen if which == "first" else ~chosen)
+    out = out.where(chosen if which == "first" else ~chosen)
     return out.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") == F.col("x"), 0).otherwise(1))
 
 
@@ -457,21 +456,12 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     classes = every.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("vec").alias("vec"))
     first = put(classes.select("cls", "doc_id"), "first")
     points = put(classes.select("cls", "n", "vec").join(groups, "cls"), "points")
-    small, large = _tasks(points, t, BLOCK)
-    near = _join(small.withColumn("side", F.lit(0)), ["grp"], t, False).union(_join(_pairs_of_blocks(large, "all"), ["grp", "x", "y"], t, False))
-    groups = components(put(near, "near")).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+    groups = _linked(points, t, False).withColumnRenamed("component", "grp")
 
     chosen = put(groups.join(first, "cls"), "chosen")
     # merged at any size: what is chosen follows the input, and so should the plan
     members = put(_members(named.join(chosen.hint("merge"), "doc_id"), size), "members")
-    small, large = _tasks(members, t, BLOCK)
-    found = put(_join(small.withColumn("side", F.lit(0)), ["grp"], t, True).union(_join(_pairs_of_blocks(large, "first"), ["grp", "x", "y"], t, True)), "links")
-    linked = components(found).withColumnRenamed("id", "cls")
-    left = large.join(linked, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-    left = put(_uneven(_pairs_of_blocks(left, "rest")), "pairs")
-    if not left.isEmpty():
-        found = put(found.union(_join(left, ["grp", "x", "y"], t, True)), "links")
-        linked = components(found).withColumnRenamed("id", "cls")
+    linked = _linked(members, t, True)
     tied = put(first.join(linked, "cls"), "tied")
     lowest = put(tied.groupBy("component").agg(F.min("doc_id").alias("lowest")), "lowest")
     of_class = tied.join(lowest, "component").select("cls", F.col("lowest").alias("component_id"))
@@ -482,6 +472,24 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     )
 
 
+def _linked(members: DataFrame, t: Threshold, exact: bool) -> DataFrame:
+    """(cls, component) of the classes joined by surviving, or by verified, pairs of their group.
+
+    In a large group each block meets itself and the pivot blocks first; of the other
+    pairs of blocks only those whose members aren't all in one part yet are dealt out,
+    so a group of near copies takes a number of tasks in step with its size.
+    """
+    small, large = _tasks(members, t, BLOCK)
+    found = put(_join(small.withColumn("side", F.lit(0)), ["grp"], t, exact).union(_join(_pairs_of_blocks(large, "first"), ["grp", "x", "y"], t, exact)), "links")
+    linked = components(found).withColumnRenamed("id", "cls")
+    left = large.join(linked, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+    left = put(_uneven(_pairs_of_blocks(left, "rest")), "pairs")
+    if not left.isEmpty():
+        found = put(found.union(_join(left, ["grp", "x", "y"], t, exact)), "links")
+        linked = components(found).withColumnRenamed("id", "cls")
+    return linked
+
+
 def _uneven(pairs: DataFrame) -> DataFrame:
     """Pairs of blocks whose members aren't all in one part yet."""
     mixed = pairs.groupBy("grp", "x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp", "x", "y")

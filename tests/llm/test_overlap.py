@@ -54,7 +54,7 @@ def jaccard(rows, k, num, den):
     return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize(("k", "num", "den", "block", "hot"), [(3, 90, 100, 1024, 1000), (5, 80, 100, 8, 20), (1, 50, 100, 16, 1000), (2, 100, 100, 8, 5)])
+@pytest.mark.parametrize(("k", "num", "den", "block", "hot"), [(3, 90, 100, 1024, 1000), (5, 80, 100, 8, 20), (1, 50, 100, 16, 1000), (2, 100, 100, 8, 5), (1, 30, 100, 8, 20)])
 def test_ngram_join(spark, monkeypatch, k, num, den, block, hot):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "HOT", hot)
@@ -88,6 +88,14 @@ def test_ngram_join_dense_group(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard(rows, 1, 90, 100)
 
 
+def test_links_over_several_size_bands(spark):
+    """15 of 40 shingles at a threshold of 0.3: the sizes lie two powers of two apart."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:15])), (3, " ".join(words[:11]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), 1, 30, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.ngram_jaccard(empty(spark)).count() == 0
 
