@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinframe.operators.tables import cut
+from kinframe.operators.tables import cut, cut_counted, drop
 
 #: Levels between written tables.
 EVERY = 3
@@ -30,20 +30,22 @@ def bfs(edges: DataFrame, roots: DataFrame, up: bool = True, max_depth: int | No
     seen = roots.select("id", F.lit(start).alias("depth"), F.lit(None).cast("long").alias("pred"))
     if keep_path:
         seen = seen.withColumn("path", F.array("id"))
-    seen = cut(seen)
-    frontier, depth = seen, start
-    while (max_depth is None or depth - start < max_depth) and not frontier.isEmpty():
+    frontier, found_now = cut_counted(seen)
+    levels, depth = [frontier], start
+    while (max_depth is None or depth - start < max_depth) and found_now:
         depth += 1
         reached = frontier.join(step, "id").groupBy("to")
         # of equally short paths the least one is the one that is discovered first
         found = reached.agg(F.min("path").alias("path")).withColumn("pred", F.element_at("path", -1)) if keep_path else reached.agg(F.min("id").alias("pred"))
-        found = found.join(seen.select(F.col("id").alias("to")), "to", "left_anti")
+        found = found.join(_all(levels).select(F.col("id").alias("to")), "to", "left_anti")
         columns = [F.col("to").alias("id"), F.lit(depth).alias("depth"), "pred"]
-        frontier = cut(found.select(*columns, *([F.concat("path", F.array("to")).alias("path")] if keep_path else [])))
-        seen = seen.unionByName(frontier)
-        if (depth - start) % TOGETHER == 0:  # else plans grow with the depth
-            seen = cut(seen)
-    return seen
+        frontier, found_now = cut_counted(found.select(*columns, *([F.concat("path", F.array("to")).alias("path")] if keep_path else [])))
+        levels.append(frontier)
+        if len(levels) > TOGETHER:  # else plans grow with the depth
+            whole = cut(_all(levels))
+            drop(*levels[:-1])
+            levels = [whole]
+    return _all(levels)
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -53,9 +55,11 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     return above.unionByName(below)
 
 
-def path_counts(edges: DataFrame, root: int, max_gen: int = 25, mode: str = "exact") -> DataFrame:
+def path_counts(edges: DataFrame, root: int, max_gen: int | None = 25, mode: str = "exact") -> DataFrame:
     """(id, depth, ways): number of lines of descent of each length from the root.
 
+    Up to ``max_gen`` generations, or to the last one (None; such graphs must have no cycle).
+
     ``exact`` counts every path. ``bfs`` reproduces the order-dependent variant in
     which a contribution passes on only to nodes discovered later in breadth-first order.
     """
@@ -71,16 +75,16 @@ def path_counts(edges: DataFrame, root: int, max_gen: int = 25, mode: str = "exa
         passes = everyone = cut(step)
     start = edges.sparkSession.createDataFrame([(root,)], "id long")
     frontier, levels = start.select("id", F.lit(0).alias("depth"), F.lit(1).cast("decimal(38,0)").alias("ways")), []
-    for depth in range(1, max_gen + 1):
+    depth, left = 0, 1
+    while left and (max_gen is None or depth < max_gen):
+        depth += 1
         to = lambda s, f: f.join(s, "id").groupBy("to").agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
         told = to(everyone, frontier).select(F.col("to").alias("id"), F.lit(depth).alias("depth"), "ways")
         levels.append(told)
-        frontier = to(passes, frontier).select(F.col("to").alias("id"), F.lit(depth).alias("depth"), "ways")
+        frontier = told if passes is everyone else to(passes, frontier).select(F.col("to").alias("id"), F.lit(depth).alias("depth"), "ways")
         if depth % EVERY == 0:
-            frontier = cut(frontier)
-            levels = [cut(_all(levels))]
-            if frontier.isEmpty():
-                break
+            frontier, left = cut_counted(frontier)
+            levels = [cut(_all([*levels[:-1], frontier] if passes is everyone else levels))]
     return _all(levels)
 
 
@@ -91,22 +95,33 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def topo_rank(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(id, rank, cyclic): peeling rounds, ancestors first; what is left lies on or below cycles."""
-    left = cut(nodes.select("id"))
+def topo_rank(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(id, rank, cyclic): peeling rounds, ancestors first; what is left lies on or below cycles.
+
+    Each round takes the nodes whose parents are all done; ``max_rounds`` raises beyond so many.
+    """
+    ids = nodes.select("id")
     live = cut(edges.select("s", "t").distinct())
-    done, rank = None, 0
-    while rank < max_rounds:
-        ready = cut(left.join(live.select(F.col("t").alias("id")), "id", "left_anti"))
-        if ready.isEmpty():
-            break
-        part = ready.select("id", F.lit(rank).alias("rank"), F.lit(False).alias("cyclic"))
-        done = part if done is None else done.unionByName(part)
-        left = cut(left.join(ready, "id", "left_anti"))
-        live = cut(live.join(ready.withColumnRenamed("id", "s"), "s", "left_anti"))
+    targets = lambda e: e.select(F.col("t").alias("id"))
+    ready, many = cut_counted(ids.join(targets(live), "id", "left_anti"))
+    done, rank = [], 0
+    while many:
+        if max_rounds is not None and rank >= max_rounds:
+            raise RuntimeError(f"more than {max_rounds} ranks")
+        done.append(ready.select("id", F.lit(rank).alias("rank"), F.lit(False).alias("cyclic")))
         rank += 1
-    rest = left.select("id", F.lit(rank).alias("rank"), F.lit(True).alias("cyclic"))
-    return rest if done is None else done.unionByName(rest)
+        own = ready.withColumnRenamed("id", "s")
+        children = live.join(own, "s", "left_semi")
+        rest = cut(live.join(own, "s", "left_anti"))
+        ready, many = cut_counted(targets(children).distinct().join(ids, "id", "left_semi").join(targets(rest), "id", "left_anti"))
+        drop(live)
+        live = rest
+        if len(done) > TOGETHER:
+            done = [cut(_all(done))]
+    if not done:
+        return ids.select("id", F.lit(0).alias("rank"), F.lit(True).alias("cyclic"))
+    left = ids.join(_all(done), "id", "left_anti").select("id", F.lit(rank).alias("rank"), F.lit(True).alias("cyclic"))
+    return _all([*done, left])
 
 
 def first_parents(edges: DataFrame, most: int = 2, order: str = "s") -> DataFrame:
@@ -115,40 +130,82 @@ def first_parents(edges: DataFrame, most: int = 2, order: str = "s") -> DataFram
     return edges.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def kinship(edges: DataFrame, ranks: DataFrame, pairs: DataFrame, unknown_parent: str = "renormalise", max_rounds: int = 10_000) -> DataFrame:
+def kinship(edges: DataFrame, ranks: DataFrame, pairs: DataFrame, unknown_parent: str = "renormalise") -> DataFrame:
     """Kinship coefficient of each pair (a, b): (a, b, phi).
 
-    Linear push form: weights flow from pairs to pairs of their parents. A pair (x, x)
-    adds w / 2 and passes w / 2 to its parents' pair; any other passes its weight to
-    the pairs that replace the later-ranked member by each of its parents. Equal pairs
-    are summed at every round, so the work is bounded by pairs, not by paths.
+    The pairs that are needed are worked out once each. Going up, rank by rank from the
+    youngest, each distinct pair is replaced by the pairs of its later-ranked member's
+    parents with the other member ((x, x) by the pair of its two parents); what refers
+    to what is written per rank. Coming down, each rank is solved from those above it:
+    phi(x, x) = (1 + phi(parents)) / 2, any other phi is the weighted sum of those it
+    refers to, and 0 where the later-ranked member has no parents. The work is bounded
+    by distinct pairs, however many origins share them. Ranks on cycles aren't allowed.
 
     With ``renormalise`` a single known parent has the whole weight, else half of it.
     """
     parents = first_parents(edges).groupBy("t").agg(F.sort_array(F.collect_list("s")).alias("ps"))
     about = cut(ranks.select("id", "rank").join(parents.withColumnRenamed("t", "id"), "id", "left").select("id", "rank", F.coalesce("ps", F.array().cast("array<long>")).alias("ps")))
-    live = pairs.select("a", "b", F.struct("a", "b").alias("of"), F.lit(1.0).alias("w"))
-    sums = None
-    share = (lambda n: 1.0 / n) if unknown_parent == "renormalise" else (lambda n: F.lit(0.5))
-    for _ in range(max_rounds):
-        live = cut(live.groupBy("of", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
-        if live.isEmpty():
-            break
-        gained = live.where("a = b").groupBy("of").agg((F.sum("w") / 2).alias("phi"))
-        sums = gained if sums is None else sums.unionByName(gained)
-        x = about.select(F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("ps").alias("pa"))
-        y = about.select(F.col("id").alias("b"), F.col("rank").alias("rb"), F.col("ps").alias("pb"))
-        rows = live.join(x, "a").join(y, "b")
-        same = rows.where("a = b AND size(pa) = 2").select("of", F.col("pa")[0].alias("a"), F.col("pa")[1].alias("b"), (F.col("w") / 2).alias("w"))
-        later = F.struct("ra", "a") > F.struct("rb", "b")
-        apart = rows.where("a <> b").select("of", F.when(later, F.col("b")).otherwise(F.col("a")).alias("stay"), F.when(later, F.col("pa")).otherwise(F.col("pb")).alias("ps"), "w")
-        apart = apart.where(F.size("ps") > 0).select("of", F.col("stay").alias("a"), F.explode("ps").alias("b"), (F.col("w") * share(F.size("ps"))).alias("w"))
-        live = same.unionByName(apart)
+    x = about.select(F.col("id").alias("x"), F.col("rank").alias("rx"), F.col("ps").alias("px"))
+    y = about.select(F.col("id").alias("y"), F.col("rank").alias("ry"), F.col("ps").alias("py"))
+    later = F.struct("rx", "x") >= F.struct("ry", "y")
+
+    def ordered(p: DataFrame) -> DataFrame:
+        """Distinct (a, ra, pa, b, rb): the later-ranked member first, with its parents."""
+        rows = p.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(x, "x").join(y, "y")
+        pick = lambda u, v: F.when(later, F.col(u)).otherwise(F.col(v))
+        return rows.select(pick("x", "y").alias("a"), pick("rx", "ry").alias("ra"), pick("px", "py").alias("pa"), pick("y", "x").alias("b"), pick("ry", "rx").alias("rb"))
+
+    share = 1.0 / F.size("pa") if unknown_parent == "renormalise" else F.lit(0.5)
+    same = F.col("a") == F.col("b")
+    up = F.when(same, F.when(F.size("pa") == 2, F.array(F.struct(F.col("pa")[0].alias("c"), F.col("pa")[1].alias("d"), F.lit(0.5).alias("w"))))).otherwise(
+        F.transform("pa", lambda p: F.struct(p.alias("c"), F.col("b").alias("d"), share.alias("w"))))
+
+    def needs(p: DataFrame) -> DataFrame:
+        """(a, b, c, d, w): what each pair refers to; c is null where it refers to nothing."""
+        return p.select("a", "b", F.explode_outer(up).alias("r")).select("a", "b", F.least("r.c", "r.d").alias("c"), F.greatest("r.c", "r.d").alias("d"), "r.w")
+
+    def beyond(n: DataFrame) -> DataFrame:
+        return n.where("c IS NOT NULL").select(F.col("c").alias("x"), F.col("d").alias("y"))
+
+    wanted = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    pool = cut(ordered(wanted))
+    told: list[DataFrame] = []  # what pairs refer to; solved last to first
+    rank = pool.agg(F.max("ra")).first()[0]
+    while rank is not None:
+        mine = pool.where(F.col("ra") == rank)
+        # two members of one rank first: what they refer to may be of this rank too
+        peers = cut(needs(mine.where("ra = rb")))
+        fresh = ordered(beyond(peers))
+        lower = pool.where(F.col("ra") < rank).unionByName(fresh.where(F.col("ra") < rank))
+        uneven = cut(needs(mine.where("ra > rb").unionByName(fresh.where(F.col("ra") == rank)).distinct()))
+        rest = cut(lower.unionByName(ordered(beyond(uneven))).distinct())
+        told += [peers, uneven]
+        drop(pool)
+        pool, was = rest, rank
+        rank = pool.agg(F.max("ra")).first()[0]
+        if rank is not None and rank >= was:
+            raise ValueError("the pairs lead into a cycle")
+    known: list[DataFrame] = []
+    for refers in reversed(told):
+        if known:
+            phi = _all(known).select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("phi").alias("_phi"))
+            value = refers.join(phi, ["c", "d"], "left")
+        else:
+            value = refers.withColumn("_phi", F.lit(None).cast("double"))
+        value = value.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.coalesce(F.col("w") * F.col("_phi"), F.lit(0.0)).alias("part"))
+        solved = value.groupBy("a", "b").agg(F.sum("part").alias("phi"))
+        known.append(cut(solved.select("a", "b", (F.col("phi") + F.when(same, 0.5).otherwise(0.0)).alias("phi"))))
+        if len(known) > TOGETHER:
+            whole = cut(_all(known))
+            drop(*known)
+            known = [whole]
+    if told:
+        drop(*told)
     total = pairs.select("a", "b").distinct()
-    if sums is None:
+    if not known:
         return total.withColumn("phi", F.lit(0.0))
-    sums = sums.groupBy("of").agg(F.sum("phi").alias("phi")).select("of.a", "of.b", "phi")
-    return total.join(sums, ["a", "b"], "left").select("a", "b", F.coalesce("phi", F.lit(0.0)).alias("phi"))
+    phi = _all(known).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "phi")
+    return total.join(phi, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left").select("a", "b", F.coalesce("phi", F.lit(0.0)).alias("phi"))
 
 
 def inbreeding(nodes: DataFrame, edges: DataFrame, ids: DataFrame, unknown_parent: str = "renormalise") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinframe.functions import rules
 from kinframe.functions import text as T
 from kinframe.operators.asof import asof_parent
-from kinframe.operators.tables import filled, first_known
+from kinframe.operators.tables import cut, filled, first_known
 
 ENTRY = r"^\s*(\d+)\.\s+(.*\S)\s*$"
 HEADER = r"^(Ancestors of|Exported from)\b"
@@ -95,10 +95,12 @@ def dense_ids(nodes: DataFrame, order: str = "first_seen", start: int = 0) -> Da
     """Ids 0, 1, ... in an explicit order.
 
     Counts per range of the order are summed, so no task sees all rows: the rows are
-    range-partitioned, numbered inside a partition, and offset by the rows before.
+    range-partitioned, numbered inside a partition, and offset by the rows before. The
+    numbered rows are written once, so that rows and counts speak of the same ranges
+    (ranges are sampled anew, and joined anew by adaptive execution, in each plan).
     """
     ranged = nodes.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    inside = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    inside = cut(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order))))
     before = inside.groupBy("_p").agg(F.count("*").alias("n"))
     offset = before.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_o"))  # one row per partition
     return inside.join(F.broadcast(offset), "_p").withColumn("id", F.col("_i") + F.col("_o") - 1 + start).drop("_p", "_i", "_o")

@@ -6,36 +6,67 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that the cluster names in spark.checkpoint.dir.
+def work_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    A written table survives lost executors, is computed once, and tells its size, so
-    later joins can choose to broadcast it. Only where the folder is unset, as in local
-    tests, is an own one used. Tables are deleted when the driver ends.
+    Only in local mode, where it may be unset, is an own one made and set. A folder
+    without a scheme is on the default file system.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kinframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/kinframe-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    A written table survives lost executors, is computed once, and tells its size, so
+    later joins can choose to broadcast it. Loops delete those that they no longer read
+    (``drop``); the others are deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/kinframe-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, which is counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_to)
+        _written.remove((df.sparkSession, df._written_to))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session is gone with its files' owner
             return
 

@@ -11,7 +11,7 @@ from kinframe.functions import display, naming, rules
 from kinframe.functions import text as T
 from kinframe.operators import graph, matching, merge, outline, reports
 from kinframe.operators.asof import asof_header, asof_parent
-from kinframe.plans.relations import EDGES, LAYERS, OUTLINE, PEOPLE, SOURCES, oracle, plain, relation, spread
+from kinframe.plans.relations import EDGES, LAYERS, OUTLINE, PEDIGREE, PEOPLE, SOURCES, oracle, plain, relation, spread
 from kinframe.sources import graphs as G
 from kinframe.sources import lines as L
 from kinframe.sources import search
@@ -21,8 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
-#: Levels that the graph queries with a recursive oracle climb; those named ``_whole`` climb to the end.
-DEPTH = 8
 WITH_EDGES = f"e AS ({oracle(EDGES)})"
 WITH_PEOPLE = f"n AS ({oracle(PEOPLE)})"
 WITH_OUTLINE = f"o AS ({oracle(OUTLINE)})"
@@ -233,77 +231,47 @@ def _search_scores(spark, sf):
 
 # ---- graph ------------------------------------------------------------------
 
-_BFS = f"""WITH RECURSIVE {WITH_EDGES}, b(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.s, b.depth + 1 FROM b JOIN e ON e.t = b.id WHERE b.depth < {DEPTH}),
+WITH_PEDIGREE = f"d AS ({oracle(PEDIGREE)})"
+_BFS = f"""WITH RECURSIVE {WITH_PEDIGREE}, b(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT d.s, b.depth + 1 FROM b JOIN d ON d.t = b.id),
 m AS (SELECT id, min(depth) AS depth FROM b GROUP BY id)"""
 
 
 @query("bfs_depth", f"{_BFS} SELECT id, CAST(depth AS BIGINT) AS depth FROM m")
 def _bfs_depth(spark, sf):
-    return graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH).select("id", "depth")
+    return graph.bfs(relation(spark, sf, PEDIGREE), _roots(spark, 0)).select("id", "depth")
 
 
-@query("shortest_path", f"""{_BFS}, r(id, path, depth) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 0 UNION ALL SELECT m.id, list_append(r.path, m.id), m.depth FROM r JOIN e ON e.t = r.id JOIN m ON m.id = e.s AND m.depth = r.depth + 1)
+@query("shortest_path", f"""{_BFS}, r(id, path, depth) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 0 UNION ALL SELECT m.id, list_append(r.path, m.id), m.depth FROM r JOIN d ON d.t = r.id JOIN m ON m.id = d.s AND m.depth = r.depth + 1)
 SELECT id, array_to_string(min(path), ',') AS path FROM r GROUP BY id""")
 def _shortest_path(spark, sf):
-    found = graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH, keep_path=True)
+    found = graph.bfs(relation(spark, sf, PEDIGREE), _roots(spark, 0), keep_path=True)
     return found.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-@query("bfs_depth_whole")
-def _bfs_depth_whole(spark, sf):
-    return graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0)).select("id", "depth")
-
-
-@query("shortest_path_whole")
-def _shortest_path_whole(spark, sf):
-    found = graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), keep_path=True)
-    return found.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
-
-
-@query("ancestor_closure", f"""WITH RECURSIVE {WITH_EDGES}, a(id, d) AS (SELECT CAST(100 AS BIGINT), 0 UNION SELECT e.s, a.d + 1 FROM a JOIN e ON e.t = a.id WHERE a.d < 4),
-c(id, d) AS (SELECT CAST(100 AS BIGINT), 0 UNION SELECT e.t, c.d + 1 FROM c JOIN e ON e.s = c.id WHERE c.d < 4)
-SELECT id, CAST(min(d) AS BIGINT) AS distance FROM a GROUP BY id UNION ALL SELECT id, CAST(-min(d) AS BIGINT) FROM c GROUP BY id HAVING min(d) > 0""")
+@query("ancestor_closure", f"""WITH RECURSIVE {WITH_PEDIGREE}, a(id, k) AS (SELECT CAST(100 AS BIGINT), 0 UNION SELECT d.s, a.k + 1 FROM a JOIN d ON d.t = a.id),
+c(id, k) AS (SELECT CAST(100 AS BIGINT), 0 UNION SELECT d.t, c.k + 1 FROM c JOIN d ON d.s = c.id)
+SELECT id, CAST(min(k) AS BIGINT) AS distance FROM a GROUP BY id UNION ALL SELECT id, CAST(-min(k) AS BIGINT) FROM c GROUP BY id HAVING min(k) > 0""")
 def _ancestor_closure(spark, sf):
-    return graph.closure(relation(spark, sf, EDGES), _roots(spark, 100), 4)
-
+    return graph.closure(relation(spark, sf, PEDIGREE), _roots(spark, 100))
 
-@query("ancestor_closure_whole")
-def _ancestor_closure_whole(spark, sf):
-    return graph.closure(relation(spark, sf, EDGES), _roots(spark, 100))
 
-
-_WAYS = f"""WITH RECURSIVE {WITH_EDGES}, p(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT e.s, p.depth + 1 FROM p JOIN e ON e.t = p.id WHERE p.depth < {DEPTH}),
+_WAYS = f"""WITH RECURSIVE {WITH_PEDIGREE}, p(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT d.s, p.depth + 1 FROM p JOIN d ON d.t = p.id),
 w AS (SELECT id, depth, count(*) AS ways FROM p WHERE depth > 0 GROUP BY id, depth)"""
 
 
 @query("path_counts", f"{_WAYS} SELECT id, CAST(depth AS BIGINT) AS depth, ways FROM w")
 def _path_counts(spark, sf):
-    return graph.path_counts(relation(spark, sf, EDGES), 0, DEPTH)
+    return graph.path_counts(relation(spark, sf, PEDIGREE), 0, None)
 
 
 @query("implex_by_gen", f"""{_WAYS} SELECT CAST(depth AS BIGINT) AS gen, CAST(sum(ways) AS BIGINT) AS filled, count(*) AS distinct_ancestors, round(1 - count(*) / CAST(sum(ways) AS DOUBLE), 9) AS collapse, pow(2.0, depth) AS theoretical FROM w GROUP BY depth""")
 def _implex_by_gen(spark, sf):
-    return graph.implex(graph.path_counts(relation(spark, sf, EDGES), 0, DEPTH)).withColumn("collapse", F.round("collapse", 9))
+    return graph.implex(graph.path_counts(relation(spark, sf, PEDIGREE), 0, None)).withColumn("collapse", F.round("collapse", 9))
 
 
 @query("implex_summary", f"{_WAYS} SELECT CAST(sum(ways) AS BIGINT) AS total_filled, count(DISTINCT id) AS total_distinct, CAST(max(depth) AS BIGINT) AS generations FROM w")
 def _implex_summary(spark, sf):
-    return graph.implex_summary(graph.path_counts(relation(spark, sf, EDGES), 0, DEPTH))
-
-
-@query("path_counts_whole")
-def _path_counts_whole(spark, sf):
-    return graph.path_counts(relation(spark, sf, EDGES), 0)
-
-
-@query("implex_by_gen_whole")
-def _implex_by_gen_whole(spark, sf):
-    return graph.implex(graph.path_counts(relation(spark, sf, EDGES), 0)).withColumn("collapse", F.round("collapse", 9))
-
-
-@query("implex_summary_whole")
-def _implex_summary_whole(spark, sf):
-    return graph.implex_summary(graph.path_counts(relation(spark, sf, EDGES), 0))
+    return graph.implex_summary(graph.path_counts(relation(spark, sf, PEDIGREE), 0, None))
 
 
 WITH_LAYERS = f"g AS ({oracle(LAYERS)})"
@@ -384,7 +352,7 @@ def _contracted_nodes(spark, sf):
 
 @query("keep_connected", f"{_BFS}, {WITH_PEOPLE}, x AS (SELECT * FROM ({oracle(LAYERS)})) SELECT id FROM n WHERE id IN (SELECT id FROM m) OR id IN (SELECT s FROM x) OR id IN (SELECT t FROM x)")
 def _keep_connected(spark, sf):
-    reached = graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH)
+    reached = graph.bfs(relation(spark, sf, PEDIGREE), _roots(spark, 0))
     return graph.keep_connected(relation(spark, sf, PEOPLE), relation(spark, sf, LAYERS), reached).select("id")
 
 
@@ -559,12 +527,7 @@ def _house_members(spark, sf):
 
 @query("house_nearest", f"""{_BFS}, {WITH_PEOPLE} SELECT house, coalesce(arg_min(n.id, CASE WHEN depth IS NOT NULL THEN depth * CAST(1000000 AS BIGINT) + n.id END), arg_min(n.id, coalesce(birth, 9999) * CAST(1000000 AS BIGINT) + n.id)) AS id, CAST(min(depth) AS BIGINT) AS depth FROM n LEFT JOIN m ON m.id = n.id WHERE house <> '' GROUP BY house""")
 def _house_nearest(spark, sf):
-    return reports.house_nearest(relation(spark, sf, PEOPLE), graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0), max_depth=DEPTH))
-
-
-@query("house_nearest_whole")
-def _house_nearest_whole(spark, sf):
-    return reports.house_nearest(relation(spark, sf, PEOPLE), graph.bfs(relation(spark, sf, EDGES), _roots(spark, 0)))
+    return reports.house_nearest(relation(spark, sf, PEOPLE), graph.bfs(relation(spark, sf, PEDIGREE), _roots(spark, 0)))
 
 
 _ERAS = "CASE " + " ".join(f"WHEN birth BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in rules.ERAS) + " ELSE 'Unknown Era' END"

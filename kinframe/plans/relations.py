@@ -32,6 +32,14 @@ SELECT DISTINCT s, t FROM (
 ) AS x WHERE s < (SELECT COUNT(*) FROM {part})
 """
 
+#: A pedigree that reaches all parts from 0: parents floor(7 p / 4) + 1 and + 2, so that every fourth
+#: couple shares a parent with the next and the depth grows with the logarithm.
+PEDIGREE = """
+SELECT s, t FROM (
+  SELECT 2 * p_partkey - CAST((p_partkey + 3 - (p_partkey + 3) % 4) / 4 AS BIGINT) + k AS s, p_partkey AS t FROM {part} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) AS y
+) AS x WHERE s < (SELECT COUNT(*) FROM {part})
+"""
+
 #: A shallow graph over all parts: five generations, collapse within each.
 LAYERS = """
 SELECT DISTINCT s, t FROM (
