@@ -124,8 +124,22 @@ def branch(people: DataFrame, person_edges: DataFrame, start: str) -> DataFrame:
 def surname_matches(entries: DataFrame, surnames: DataFrame, text: Column) -> DataFrame:
     """Entries joined with a surname dictionary (surname, display, priority) on whole words.
 
-    Single-word keys make it an equi join on the entry's words, never a theta join.
+    A key may have several words or marks between them. It is an equi join of the entry's
+    runs of as many words as keys have (the few lengths that occur), never a theta join;
+    what meets is held against the key with its marks, between word boundaries.
     """
-    words = entries.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all(T.norm_voyage(text), F.lit(r"([a-z0-9_]+)"), F.lit(1)))))
-    keys = surnames.select(T.norm_voyage(F.col("surname")).alias("word"), "surname", "display", "priority").dropDuplicates(["word", "display"])
-    return words.join(keys, "word").drop("word")
+    word = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
+    keys = surnames.select("surname", "display", "priority", T.norm_voyage(F.col("surname")).alias("_key")).withColumn("_words", word(F.col("_key"))).where(F.size("_words") > 0)
+    keys = keys.withColumn("_run", F.array_join("_words", " ")).dropDuplicates(["_key", "display"])
+    lengths = sorted(r[0] for r in keys.select(F.size("_words")).distinct().collect())
+    rows = entries.withColumn("_text", T.norm_voyage(text)).withColumn("_words", word(F.col("_text")))
+
+    def runs(n: int) -> Column:
+        begin = F.sequence(F.lit(1), F.size("_words") - n + 1)
+        return F.when(F.size("_words") >= n, F.transform(begin, lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs_of = F.col("_words") if lengths == [1] else F.concat(*(runs(n) for n in lengths)) if lengths else F.array().cast("array<string>")
+    met = rows.withColumn("_run", F.explode(F.array_distinct(runs_of))).drop("_words").join(keys.drop("_words"), "_run")
+    plain = F.col("_key").rlike(r"(?U)^\w+$")
+    bounded = F.concat(F.lit(r"(?U)\b\Q"), F.col("_key"), F.lit(r"\E\b"))
+    return met.where(plain | F.regexp_like("_text", bounded)).drop("_run", "_key", "_text")

@@ -38,27 +38,31 @@ def duplicate_clusters(nodes: DataFrame, edges: DataFrame, band: int = 5) -> Dat
 
     Greedy leaders in id order: a node joins the first cluster whose seed's birth is
     unknown together with its own, or within ``band`` years; else it seeds a new one.
+    Which cluster that is depends on the birth alone (when a birth first occurs its
+    cluster exists or is made, and later ones come after it), so only the distinct births
+    of a name are folded, in order of their first id: as many as there are years, however
+    many people share a name.
     """
-    unknown = lambda b: b.isNull() | (b == 0)
-    item = F.struct("id", F.coalesce("birth", F.lit(0)).cast("int").alias("birth"))
-    grouped = nodes.withColumn("norm", T.norm_review(F.col("name"))).groupBy("norm", "gen").agg(F.array_sort(F.collect_list(item)).alias("items")).where(F.size("items") > 1)
-    kind = "array<struct<seed:int,ids:array<bigint>>>"
-
-    def near(c: Column, x: Column) -> Column:
-        return (unknown(c.seed) & unknown(x.birth)) | (~unknown(c.seed) & ~unknown(x.birth) & (F.abs(c.seed - x.birth) <= band))
-
-    def add(clusters: Column, x: Column) -> Column:
-        hits = F.filter(F.transform(clusters, lambda c, i: F.struct(i.alias("i"), near(c, x).alias("ok"))), lambda h: h.ok)
-        at = F.get(hits, F.lit(0))["i"]
-        joined = F.transform(clusters, lambda c, i: F.when(i == at, F.struct(c.seed.alias("seed"), F.array_append(c.ids, x.id).alias("ids"))).otherwise(c))
-        fresh = F.array(F.struct(x.birth.alias("seed"), F.array(x.id).alias("ids")))
-        return F.when(at.isNotNull(), joined).otherwise(F.concat(clusters, fresh)).cast(kind)
-
-    clusters = F.aggregate("items", F.array().cast(kind), add)
-    found = grouped.select("norm", "gen", F.explode(F.filter(clusters, lambda c: F.size(c.ids) > 1)).alias("c")).select("norm", "gen", F.col("c.ids").alias("ids"))
+    year = F.when(F.col("birth") != 0, F.col("birth")).cast("int")
+    people = nodes.select("id", "gen", T.norm_review(F.col("name")).alias("norm"), year.alias("birth"))
+    births = people.groupBy("norm", "gen", "birth").agg(F.min("id").alias("first"))
+    known = births.where("birth IS NOT NULL").groupBy("norm", "gen").agg(F.array_sort(F.collect_list(F.struct("first", "birth"))).alias("births"))
+
+    def near(seed: Column, b: Column) -> Column:
+        return F.abs(seed - b) <= band
+
+    def add(seeds: Column, x: Column) -> Column:
+        return F.when(F.exists(seeds, lambda s: near(s, x.birth)), seeds).otherwise(F.array_append(seeds, x.birth))
+
+    seeds = F.aggregate("births", F.array().cast("array<int>"), add)
+    known = known.withColumn("seeds", seeds).select("norm", "gen", F.explode("births.birth").alias("birth"), "seeds")
+    seed_of = known.select(F.col("norm").alias("_n"), F.col("gen").alias("_g"), F.col("birth").alias("_b"), F.get(F.filter("seeds", lambda s: near(s, F.col("birth"))), F.lit(0)).alias("seed"))
+    same = F.col("norm").eqNullSafe(F.col("_n")) & F.col("gen").eqNullSafe(F.col("_g")) & (F.col("birth") == F.col("_b"))
+    placed = people.join(seed_of, same, "left").select("norm", "gen", "id", "seed")
     linked = edges.select(F.explode(F.array("s", "t")).alias("id")).distinct().withColumn("linked", F.lit(True))
-    members = found.select("norm", "gen", "ids", F.explode("ids").alias("id")).join(linked, "id", "left")
-    return members.groupBy("norm", "gen", "ids").agg((~F.coalesce(F.bool_or("linked"), F.lit(False))).alias("is_orphan")).orderBy("is_orphan", "gen", "norm", "ids")
+    members = placed.join(linked, "id", "left")
+    found = members.groupBy("norm", "gen", "seed").agg(F.array_sort(F.collect_list("id")).alias("ids"), (~F.coalesce(F.bool_or("linked"), F.lit(False))).alias("is_orphan"))
+    return found.where(F.size("ids") > 1).select("norm", "gen", "ids", "is_orphan").orderBy("is_orphan", "gen", "norm", "ids")
 
 
 def house_stats(nodes: DataFrame, least: int = 3) -> DataFrame:

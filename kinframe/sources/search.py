@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Client = Callable[[str], Sequence[tuple[str, str]]]
+
 # fixed values
 KEYWORDS = ("blason", "escudo", "wappen", "coat_of_arms", "coat of arms", "armas", "arms", "shield", "stemma", "blason")
 TOO_GENERAL = ("_es.svg", "_pt.svg", "espana", "portugal", "castilla_generic")
 #: A result this good ends the search; below the second figure the next wiki is asked; the third is accepted.
 STOP, FALL_BACK, ACCEPT = 8, 6, 4
+#: Searches asked of the first wiki, and of each later one.
+ASKED = (4, 5)
+SUFFIXES = ("svg", "png", "jpg", "jpeg")
+HEADS = ("escudo casa ", "blason maison ", "coat of arms house ", "wappen ", "armas ", "escudo ")
 
 
 def score(title: Column, house: Column, slug: Column) -> Column:
@@ -26,50 +34,98 @@ def score(title: Column, house: Column, slug: Column) -> Column:
     return total - sum((has(F.lit(k), 3) for k in TOO_GENERAL), F.lit(0))
 
 
+def score_of(title: str, house: str, slug: str) -> int:
+    """``score`` of one title, for workers that decide while they search."""
+    t = title.lower()
+    total = sum(2 for k in KEYWORDS if k in t) + sum(4 for w in re.split(r"\W+", house.lower()) if len(w) > 2 and w in t)
+    total += 6 * (slug.replace("-", " ") in t) + 6 * (slug in t.replace(" ", "_"))
+    total += 3 if title.lower().endswith(".svg") else 1 if title.lower().endswith(".png") else 0
+    return total - sum(3 for k in TOO_GENERAL if k in t)
+
+
 def queries_for(house: Column, slug: Column) -> Column:
     """Search texts for a house, best first."""
     words = F.replace(slug, F.lit("-"), F.lit(" "))
-    heads = ("escudo casa ", "blason maison ", "coat of arms house ", "wappen ", "armas ", "escudo ")
-    return F.array(*(F.concat(F.lit(h), words) for h in heads), F.concat(F.lit("coat of arms "), house), house)
+    return F.array(*(F.concat(F.lit(h), words) for h in HEADS), F.concat(F.lit("coat of arms "), house), house)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, url, found) of a cache; an absent one is empty. A null url is a search without result."""
+    """(slug, url, found) of a cache, one row per slug; an absent one is empty. A null url is a search without result."""
     schema = "slug string, url string, found boolean"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.groupBy("slug").agg(F.max_by("url", "found").alias("url"), F.max("found").alias("found"))
 
 
-def lookup(houses: DataFrame, cache: DataFrame, client: Callable[[str], Sequence[tuple[str, str]]]) -> DataFrame:
-    """Search the houses (house, slug) missing from the cache; (slug, title, url, score).
+def best_of(house: str, slug: str, queries: Sequence[str], wikis: Sequence[Client], delay: float, failures: type | tuple = OSError) -> tuple[str | None, str | None, int, int, int]:
+    """Title, url and score of the best file, its wiki's number, and how many requests failed.
 
-    ``client(query)`` returns (title, url) pairs and is called on the executors; errors
-    count as no results. The best score wins if it is at least ``ACCEPT``.
+    Each wiki is asked its share of the searches until a result reaches ``STOP``; a later
+    wiki only while the best is below ``FALL_BACK``. Only picture files count.
+    """
+    best: tuple = (None, None, -1, -1)
+    failed = 0
+    for k, client in enumerate(wikis):
+        if k and best[2] >= FALL_BACK:
+            break
+        for q in queries[: ASKED[min(k, 1)]]:
+            try:
+                hits = client(q)
+            except failures:  # a failed request is an empty one; any other error is the client's bug
+                hits, failed = (), failed + 1
+            time.sleep(delay)
+            for title, url in hits:
+                name = title.removeprefix("File:").removeprefix("Datei:")
+                if url and name.rpartition(".")[2].lower() in SUFFIXES:
+                    best = max(best, (name, url, score_of(name, house, slug), k), key=lambda x: x[2])
+            if best[2] >= STOP:
+                break
+    return (*best, failed) if best[2] >= ACCEPT else (None, None, best[2], -1, failed)
+
+
+def lookup(houses: DataFrame, cache: DataFrame, client: Client | Sequence[Client], delay: float = 0.0) -> DataFrame:
+    """Search the houses (house, slug) missing from the cache; (slug, title, url, score, wiki, failed).
+
+    ``client(query)`` returns (title, url) pairs and is called on the executors; of
+    several clients the later ones are fallbacks. A result needs a score of ``ACCEPT``.
+    ``delay`` is the pause after each request, in seconds; time-outs are the client's.
     """
     import pyarrow as pa
 
+    wikis = [client] if callable(client) else list(client)
     todo = houses.join(cache.select("slug"), "slug", "left_anti").select("house", "slug", queries_for(F.col("house"), F.col("slug")).alias("queries"))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for house, slug, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for q in queries:
-                    try:
-                        found = client(q)
-                    except Exception:  # a failed request is an empty one
-                        found = ()
-                    out += [(house, slug, title, url) for title, url in found]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["house", "slug", "title", "url"])
-
-    hits = todo.mapInArrow(run, "house string, slug string, title string, url string").withColumn("score", score(F.col("title"), F.col("house"), F.col("slug")))
-    best = hits.groupBy("slug").agg(F.max(F.struct("score", "title", "url")).alias("b")).where(F.col("b.score") >= ACCEPT)
-    return todo.select("slug").join(best, "slug", "left").select("slug", "b.title", "b.url", "b.score")
-
-
-def extend_cache(cache: DataFrame, found: DataFrame) -> DataFrame:
-    """The cache with new results; failures are remembered as not found."""
-    return cache.unionByName(found.select("slug", "url", F.col("url").isNotNull().alias("found")))
+            out = [(slug, *best_of(house, slug, queries, wikis, delay)) for house, slug, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["slug", "title", "url", "score", "wiki", "failed"])
+
+    return todo.mapInArrow(run, "slug string, title string, url string, score int, wiki int, failed int")
+
+
+def extend_cache(cache: DataFrame, found: DataFrame, keep_failed: bool = True) -> DataFrame:
+    """The cache with new results, one row per slug; searches without a result are remembered as not found.
+
+    Without ``keep_failed`` those whose requests failed are left out, to be asked again.
+    """
+    told = found if keep_failed else found.where("failed = 0 OR url IS NOT NULL")
+    rows = cache.unionByName(told.select("slug", "url", F.col("url").isNotNull().alias("found")))
+    return rows.groupBy("slug").agg(F.max_by("url", "found").alias("url"), F.max("found").alias("found"))
+
+
+def lookup_into(houses: DataFrame, path: str, client: Client | Sequence[Client], chunks: int = 16, delay: float = 0.0, keep_failed: bool = True) -> DataFrame:
+    """The cache at ``path`` after searching all houses that it lacks.
+
+    Houses are searched in ``chunks`` parts by the hash of their slug; each part's results
+    are appended to the cache as soon as they are there, so a lost job asks at most one part again.
+    """
+    spark = houses.sparkSession
+    for k in range(chunks):
+        part = houses.where(F.pmod(F.xxhash64("slug"), F.lit(chunks)) == k).dropDuplicates(["slug"])
+        found = lookup(part, read_cache(spark, path), client, delay)
+        extend_cache(spark.createDataFrame([], "slug string, url string, found boolean"), found, keep_failed).write.mode("append").parquet(path)
+    return read_cache(spark, path)

@@ -4,7 +4,9 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from kinframe.functions import text as T
 from kinframe.operators import graph, matching, merge, reports
 
 
@@ -213,3 +215,40 @@ def test_houses_and_pages(spark, tmp_path):
     graphs.write_pages(pages, str(tmp_path / "pages"))
     assert "Lara &amp; Co" in spark.read.text(str(tmp_path / "pages")).first()[0]
     assert "lara-co.html" in graphs.index_page(reports.house_rank(stats))
+
+
+def test_surnames_of_several_words(spark):
+    """Keys with blanks, hyphens and one word, found between word boundaries only."""
+    import re
+
+    from kinframe.operators.matching import surname_matches
+
+    texts = ["Juan de Lara y Ponce de León", "saint-simon, duque", "saint simon", "delara", "Lara", "Ponce León", "", None, "x Ponce  de León-Lara"]
+    keys = [("lara", "Lara", 1), ("ponce de leon", "Ponce", 2), ("Saint-Simon", "Simon", 1), ("de lara", "Delara", 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {(r.i, r.display) for r in surname_matches(rows, spark.createDataFrame(keys, "surname string, display string, priority int"), F.col("text")).collect()}
+    plain = {r.i: r.t for r in rows.select("i", T.norm_voyage(F.col("text")).alias("t")).collect()}
+    want = {(i, d) for i, t in plain.items() for k, d, _ in keys if t and re.search(r"\b" + re.escape(k.lower()) + r"\b", t)}
+    assert got == want and {(0, "Lara"), (0, "Ponce"), (1, "Simon"), (0, "Delara")} <= got and (2, "Simon") not in got
+
+
+def test_duplicate_clusters_by_a_sequential_model(spark):
+    import random
+
+    rng = random.Random(3)
+    people = [(i, rng.choice(["Ana", "Luis", "N N"]), rng.randint(1, 2), rng.choice([None, 0, *range(1500, 1540)])) for i in range(400)]
+    want = set()
+    for key in {(n, g) for _, n, g, _ in people}:
+        clusters = []
+        for i, n, g, b in people:
+            if (n, g) == key:
+                for seed, ids in clusters:
+                    if (not seed and not b) or (seed and b and abs(seed - b) <= 5):
+                        ids.append(i)
+                        break
+                else:
+                    clusters.append((b, [i]))
+        want |= {(key[1], tuple(ids)) for _, ids in clusters if len(ids) > 1}
+    nodes = spark.createDataFrame(people, "id long, name string, gen int, birth int")
+    got = reports.duplicate_clusters(nodes, spark.createDataFrame([(1, 2)], "s long, t long")).collect()
+    assert {(r.gen, tuple(r.ids)) for r in got} == want and all(r.is_orphan != (1 in r.ids or 2 in r.ids) for r in got)

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinframe.operators import outline
@@ -99,6 +100,56 @@ def test_lookup(spark, tmp_path):
     assert search.read_cache(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_lookup_stops_and_falls_back(spark, tmp_path):
+    """A good result ends the search, a poor one asks the next wiki, and only pictures count."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def wiki(name, results):
+        def ask(q):
+            with open(asked / name, "a") as f:
+                f.write(q + "\n")
+            return [x for key, found in results.items() if key in q.lower() for x in found]
+
+        return ask
+
+    first = wiki("first", {"lara": [("File:Escudo de Lara.svg", "good"), ("Escudo armas Lara.pdf", "no picture")], "toro": [("toro.jpg", "poor")]})
+    second = wiki("second", {"toro": [("Escudo Toro.png", "better")], "nadie": [("x.png", "u")]})
+    houses = spark.createDataFrame([("Lara", "lara"), ("Toro", "toro"), ("Nadie", "nadie")], "house string, slug string").coalesce(1)
+    cache = search.read_cache(spark, str(tmp_path / "none"))
+    got = {r.slug: (r.title, r.url, r.wiki) for r in search.lookup(houses, cache, [first, second]).collect()}
+    assert got == {"lara": ("Escudo de Lara.svg", "good", 0), "toro": ("toro.jpg", "poor", 0), "nadie": (None, None, -1)}
+    lines_of = lambda n: (asked / n).read_text().splitlines()
+    assert sum("lara" in q.lower() for q in lines_of("first")) == 1 and not any("lara" in q.lower() for q in lines_of("second"))
+    assert sum("nadie" in q.lower() for q in lines_of("first")) == 4 and sum("nadie" in q.lower() for q in lines_of("second")) == 5
+    rows = [("Escudo de Lara.svg", "Lara", "lara"), ("Coat_of_arms of Castro del Río.png", "Castro del Río", "castro-del-rio"), ("portugal_es.svg", "Pereira", "pereira"), ("casa-de-x", "De X", "")]
+    df = spark.createDataFrame(rows, "t string, h string, s string")
+    assert [r[0] for r in df.select(search.score(F.col("t"), F.col("h"), F.col("s"))).collect()] == [search.score_of(*r) for r in rows]
+
+
+def test_a_bug_of_the_client_is_seen(spark):
+    houses = spark.createDataFrame([("Lara", "lara")], "house string, slug string")
+    with pytest.raises(Exception, match="no such attribute"):
+        search.lookup(houses, search.read_cache(spark, "/nowhere/at/all"), lambda q: (_ for _ in ()).throw(AttributeError("no such attribute"))).collect()
+
+
+def test_the_cache_grows_part_by_part(spark, tmp_path):
+    """A run that dies keeps what its parts found; the next one asks only the rest."""
+    houses = spark.createDataFrame([(f"House{i}", f"house{i}") for i in range(20)] + [("House1", "house1")], "house string, slug string")
+    path, calls = str(tmp_path / "cache"), str(tmp_path / "calls")
+
+    def ask(q):
+        with open(calls, "a") as f:
+            f.write(q + "\n")
+        return [(f"escudo {q.split()[-1]}.svg", q)]
+
+    part = houses.where(F.pmod(F.xxhash64("slug"), F.lit(4)) == 0)
+    assert search.lookup_into(part, path, ask, chunks=4).count() == part.select("slug").distinct().count()
+    before = len(open(calls).readlines())
+    whole = search.lookup_into(houses, path, ask, chunks=4).collect()
+    assert len(whole) == 20 and all(r.found for r in whole) and len(open(calls).readlines()) == 20 >= before
+
+
 def test_discover(spark, tmp_path):
     for name in ("Árbol Uno.txt", "b.pdf", "c.md"):
         (tmp_path / name).write_text("x")
