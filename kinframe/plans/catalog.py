@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinframe.functions import display, naming, rules
@@ -12,6 +12,7 @@ from kinframe.functions import text as T
 from kinframe.operators import graph, matching, merge, outline, reports
 from kinframe.operators.asof import asof_header, asof_parent
 from kinframe.plans.relations import EDGES, LAYERS, OUTLINE, PEDIGREE, PEOPLE, SOURCES, oracle, plain, relation, spread
+from kinframe.sources import catalogue, gedcom
 from kinframe.sources import graphs as G
 from kinframe.sources import lines as L
 from kinframe.sources import search
@@ -229,6 +230,79 @@ def _search_scores(spark, sf):
     return _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), search.score(title, house, slug).cast("long").alias("score"))
 
 
+def _pictures(query: str) -> list[tuple[str, str]]:
+    """A search client that knows two of three houses, one of them by its picture's second name alone."""
+    word = query.split()[-1]
+    number = int(word[1:])
+    return [] if number % 3 == 0 else [(f"File:Escudo {word}.svg", f"u{number}")] if number % 3 == 1 else [(f"{word}.jpg", f"v{number}"), (f"Escudo {word}.pdf", "none")]
+
+
+@query("lookup_best", """SELECT 's' || CAST(s_suppkey AS VARCHAR) AS slug, CASE s_suppkey % 3 WHEN 1 THEN 'Escudo s' || CAST(s_suppkey AS VARCHAR) || '.svg' WHEN 2 THEN 's' || CAST(s_suppkey AS VARCHAR) || '.jpg' END AS title,
+CASE s_suppkey % 3 WHEN 1 THEN 'u' || CAST(s_suppkey AS VARCHAR) WHEN 2 THEN 'v' || CAST(s_suppkey AS VARCHAR) END AS url,
+CAST(CASE s_suppkey % 3 WHEN 0 THEN -1 ELSE 12 + CASE WHEN s_suppkey > 9 THEN 4 ELSE 0 END + CASE s_suppkey % 3 WHEN 1 THEN 5 ELSE 0 END END AS BIGINT) AS score FROM supplier WHERE s_suppkey % 5 <> 0""")
+def _lookup_best(spark, sf):
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    houses = _t(spark, sf, "supplier").select(F.upper(name).alias("house"), name.alias("slug"), "s_suppkey")
+    cache = houses.where("s_suppkey % 5 = 0").select("slug")
+    return search.lookup(houses.drop("s_suppkey"), cache, [_pictures, _pictures]).select("slug", "title", "url", "score")
+
+
+# ---- files --------------------------------------------------------------------
+
+
+def _gedcom(spark, sf):
+    """A GEDCOM record of five lines per part, and a family per order, in bounded files."""
+    text = lambda c: F.col(c).cast("string")
+    lines = lambda *parts: F.posexplode(F.array(*(F.concat(*p) for p in parts))).alias("k", "line")
+    lit = F.lit
+    born = (1500 + F.col("p_partkey") % 300).cast("string")
+    people = _t(spark, sf, "part").select(F.concat(lit("p"), F.floor(F.col("p_partkey") / 1000).cast("string")).alias("src"), F.col("p_partkey").alias("n"), lines(
+        [lit("0 @I"), text("p_partkey"), lit("@ INDI")], [lit("1 NAME "), F.col("p_name"), lit(" /"), F.col("p_brand"), lit("/")], [lit("1 BIRT")],
+        [lit("2 DATE 3 MAY "), born], [lit("2 PLAC "), F.col("p_type")], [lit("1 FAMC @F"), text("p_partkey"), lit("@")]))
+    families = _t(spark, sf, "orders").select(F.concat(lit("f"), F.floor(F.col("o_orderkey") / 1000).cast("string")).alias("src"), F.col("o_orderkey").alias("n"), lines(
+        [lit("0 @F"), text("o_orderkey"), lit("@ FAM")], [lit("1 HUSB @I"), text("o_custkey"), lit("@")], [lit("1 CHIL @I"), (F.col("o_custkey") + 1).cast("string"), lit("@")], [lit("1 CHIL @I"), text("o_orderkey"), lit("@")]))
+    return people.unionByName(families).select("src", (F.col("n") * 10 + F.col("k")).alias("pos"), "line")
+
+
+@query("gedcom_people", """SELECT '@I' || CAST(p_partkey AS VARCHAR) || '@' AS ged_id, trim(regexp_replace(p_name || ' ' || p_brand, '\\s+', ' ', 'g')) AS name, CAST(1500 + p_partkey % 300 AS BIGINT) AS birth, p_type AS place,
+'@F' || CAST(p_partkey AS VARCHAR) || '@' AS family FROM part""")
+def _gedcom_people(spark, sf):
+    found = gedcom.individuals(_gedcom(spark, sf))
+    return found.select("ged_id", F.array_join("names", ";").alias("name"), T.first_year(F.col("birth_date")).alias("birth"), F.col("birth_place").alias("place"), F.array_join("famc", ";").alias("family"))
+
+
+@query("gedcom_families", """SELECT '@F' || CAST(o_orderkey AS VARCHAR) || '@' AS fam_id, '@I' || CAST(o_custkey AS VARCHAR) || '@' AS husb, CAST(NULL AS VARCHAR) AS wife,
+'@I' || CAST(o_custkey + 1 AS VARCHAR) || '@;@I' || CAST(o_orderkey AS VARCHAR) || '@' AS chil FROM orders""")
+def _gedcom_families(spark, sf):
+    return gedcom.families(_gedcom(spark, sf)).select("fam_id", "husb", "wife", F.array_join("chil", ";").alias("chil"))
+
+
+@query("catalogue_entries", """SELECT c_custkey % 90000 + 1 AS num, 'Juan Mozo ' || chr(CAST(65 + c_custkey % 26 AS INTEGER)) || 'ez' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Soria' ELSE 'Toro' END AS origin,
+CASE c_custkey % 3 WHEN 0 THEN 'Chile' WHEN 1 THEN 'Perú' ELSE 'Nueva España (México)' END AS destination, CAST(1510 + c_nationkey AS BIGINT) AS year, CAST(1 + c_custkey % 28 AS BIGINT) AS day, CAST(CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE 10 END AS BIGINT) AS month, 'II' AS vol FROM customer""")
+def _catalogue_entries(spark, sf):
+    """Volumes of bounded size, a header with the year and an entry per customer."""
+    k = F.col("c_custkey")
+    entry = F.concat(
+        (k % 90000 + 1).cast("string"), F.lit(". — Juan Mozo "), F.char((65 + k % 26).cast("int")), F.lit("ez, natural de "), F.when(k % 2 == 0, "Soria").otherwise("Toro"),
+        F.when(k % 3 == 0, ", a Chile. — ").when(k % 3 == 1, ", al Perú. — ").otherwise(", a la Nueva España. — "), (1 + k % 28).cast("string"), F.when(k % 4 == 0, " marzo").otherwise(" octubre"),
+    )
+    own = _t(spark, sf, "customer").select("c_nationkey", F.floor(k / 1000).alias("part"), F.struct("c_custkey", entry.alias("line")).alias("e"))
+    whole = own.groupBy("c_nationkey", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e.line), "\n").alias("entries"))
+    volumes = whole.select(F.concat_ws("_", F.lit("Volumen_II"), "c_nationkey", "part").alias("src"), F.concat(F.lit("AÑO "), (1510 + F.col("c_nationkey")).cast("string"), F.lit("\n"), F.col("entries")).alias("value"))
+    return catalogue.entries(volumes).select("num", "name", "origin", "destination", "year", "day", "month", "vol")
+
+
+@query("graph_nodes", f"""WITH {WITH_PEOPLE} SELECT id, name, CAST(coalesce(gen, 0) AS BIGINT) AS gen, CAST(birth AS BIGINT) AS birth, CASE WHEN id % 2 = 0 THEN cat ELSE 'untitled' END AS cat, CASE WHEN id % 2 = 0 THEN house ELSE '' END AS house, CASE WHEN id % 2 = 0 THEN mult ELSE 1 END AS mult FROM n""")
+def _graph_nodes(spark, sf):
+    """People written as graph JSON inside pages, of newer and older files, and read again."""
+    people = relation(spark, sf, PEOPLE)
+    newer = people.where("id % 2 = 0").groupBy(F.floor(F.col("id") / 1000).alias("f")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name", "gen", "birth", "cat", "house", "mult")).alias("nodes"), F.array().alias("edges"))).alias("json"))
+    older = people.where("id % 2 = 1").groupBy(F.floor(F.col("id") / 1000).alias("f")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name", "gen", "birth")).alias("nodes"), F.array().alias("edges"))).alias("json"))
+    pages = newer.unionByName(older).select(F.lit("f").alias("src"), F.concat(F.lit("<script>const GRAPH = "), F.col("json"), F.lit(";</script>")).alias("html"))
+    found = G.nodes_of(pages.select("src", G.graph_of(G.payload(F.col("html"))).alias("graph")))
+    return found.select("id", "name", "gen", "birth", "cat", "house", "mult")
+
+
 # ---- graph ------------------------------------------------------------------
 
 WITH_PEDIGREE = f"d AS ({oracle(PEDIGREE)})"
@@ -411,12 +485,14 @@ def _incremental_keys(spark, sf):
     return merge.increment(o.where("src < 50").select("key").distinct(), o.where("src >= 50"))
 
 
-@query("incremental_merge")
+@query("incremental_merge", """SELECT lower(l_returnflag) || ' person ' || CAST(l_partkey % 97 AS VARCHAR) || '|' || CAST(1500 + l_partkey % 97 AS VARCHAR) AS key, CAST(min(1 + l_partkey % 6) AS BIGINT) AS gen, count(*) AS mult, 'untitled' AS cat
+FROM lineitem GROUP BY l_returnflag, l_partkey % 97""")
 def _incremental_merge(spark, sf):
     """Outline lines made of all line items, in two batches."""
     name = F.concat_ws(" ", F.col("l_returnflag"), F.lit("Person"), (F.col("l_partkey") % 97).cast("string"))
     line = F.concat((1 + F.col("l_partkey") % 6).cast("string"), F.lit(". "), name, F.lit(" b. "), (1500 + F.col("l_partkey") % 97).cast("string"))
-    rows = _t(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), line.alias("line"))
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"))
+    rows = _t(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), place.cast("long").alias("pos"), line.alias("line"))
     first = merge_batch(None, rows.where("src < 's5'"))
     return merge_batch(first, rows.where("src >= 's5'"))[0].select("key", "gen", "mult", "cat")
 
