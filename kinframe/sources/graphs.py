@@ -110,22 +110,31 @@ def write_pages(pages: DataFrame, path: str, slug: str = "slug", html: str = "ht
     pages.select(slug, html).write.mode("overwrite").partitionBy(slug).text(path)
 
 
-def house_pages(stats: DataFrame, members: DataFrame) -> DataFrame:
-    """(slug, html) of each house, made by expressions alone."""
+def house_pages(stats: DataFrame, members: DataFrame, intro: DataFrame | None = None) -> DataFrame:
+    """(slug, html) of each house, made by expressions alone.
+
+    ``intro`` (house, intro) is what stands before the members (``pages.house_page_parts``).
+    """
     from kinframe.functions import text as T
 
     cell = lambda c: F.concat(F.lit("<td>"), T.escape_html(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), *(cell(c) for c in ("name", "birth", "death", "gen", "cat")), F.lit("</tr>"))
     table = members.withColumn("row", row).groupBy("house").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "row"))), lambda r: r.row), "").alias("rows"))
-    page = F.concat(F.lit("<!DOCTYPE html><html><body><h1>"), T.escape_html(F.col("house")), F.lit("</h1><p>"), F.col("era"), F.lit("</p><table>"), F.col("rows"), F.lit("</table></body></html>"))
-    return stats.join(table, "house").select("slug", page.alias("html"))
+    told = stats.join(table, "house").withColumn("intro", F.lit(""))
+    if intro is not None:
+        told = told.drop("intro").join(intro.select("house", "intro"), "house", "left")
+    page = F.concat(F.lit("<!DOCTYPE html><html><body><h1>"), T.escape_html(F.col("house")), F.lit("</h1><p>"), F.col("era"), F.lit("</p>"), F.coalesce("intro", F.lit("")), F.lit("<table>"), F.col("rows"), F.lit("</table></body></html>"))
+    return told.select("slug", page.alias("html"))
 
 
 def index_page(ranked: DataFrame) -> str:
-    """A page of all houses in rank order; one line per house."""
-    rows = ranked.orderBy("rank").select("slug", "house", "members", "era").collect()
-    lines = "".join(f'<li><a href="{r.slug}.html">{escape(r.house)}</a> {r.members} {r.era}</li>' for r in rows)
-    return f"<!DOCTYPE html><html><body><ul>{lines}</ul></body></html>"
+    """A page of all houses in rank order: totals, and a card per house with its types."""
+    from kinframe.functions import display
+
+    kind = display.house_type(F.col("n_royal"), F.col("n_noble"), F.col("n_military"))
+    rows = ranked.orderBy("rank").select("slug", "house", "members", "era", kind.alias("kind")).collect()
+    cards = "".join(f'<li class="card {escape(r.kind.split(",")[0].lower())}"><a href="{r.slug}.html">{escape(r.house)}</a> {r.members} {escape(r.era)} <i>{escape(r.kind)}</i></li>' for r in rows)
+    return f"<!DOCTYPE html><html><body><p>{len(rows)} houses, {sum(r.members for r in rows)} members</p><ul>{cards}</ul></body></html>"
 
 
 def metrics_json(root: int, by_generation: DataFrame, summary: DataFrame, f: float | None) -> str:

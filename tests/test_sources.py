@@ -175,3 +175,38 @@ def test_pdf_reader_uses_the_given_extractor(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"1. Ana\n2. Luis")
     rows = lines.read_outline_pdf(spark, str(tmp_path), extract=lambda b: b.decode().splitlines())
     assert outline.stitch(rows).count() == 2
+
+
+def test_report_pages(spark):
+    """The data sets are embedded whole, in order, and can't end their script."""
+    import re
+
+    from kinframe.operators import reports
+    from kinframe.sources import pages
+
+    def data(page):
+        return json.loads(re.search(r"const DATA = (\{.*?\}); const TABLES", page, re.S).group(1).replace("<\\/", "</"))
+
+    conflicts = spark.createDataFrame([(3, "Ana </script>", 2, 3, [1, 2], [4]), (1, "Luis", 1, 5, [7], [8, 9])], "id long, name string, gen int, n_parents int, group_a array<long>, group_b array<long>")
+    decided = spark.createDataFrame([(1, "a")], "id long, decision string")
+    page = pages.conflict_page(conflicts, decided)
+    assert [(r["id"], r["decision"], r["name"]) for r in data(page)["conflicts"]] == [(1, "a", "Luis"), (3, None, "Ana </script>")] and page.count("</script>") == 2
+    clusters = spark.createDataFrame([("ana", 2, [1, 2], False), ("luis", 1, [3, 4, 5], True)], "norm string, gen int, ids array<long>, is_orphan boolean")
+    page = pages.review_page(clusters)
+    assert [r["norm"] for r in data(page)["clusters"]] == ["ana", "luis"] and "<b>5</b> people" in page
+    points = spark.createDataFrame([(1, "Ana", 1500, 1.5, 2.5, "noble"), (2, "Luis", None, None, None, "noble")], "id long, name string, birth int, lat double, lng double, cat string")
+    flows = spark.createDataFrame([(1, 2, 3)], "from_lat int, to_lat int, n int")
+    assert data(pages.map_page(points, flows)) == {"people": [{"id": 1, "name": "Ana", "birth": 1500, "lat": 1.5, "lng": 2.5, "cat": "noble"}], "flows": [{"from_lat": 1, "to_lat": 2, "n": 3}]}
+    matches = spark.createDataFrame([(2, 1540, "B", "Lara", 2), (1, 1530, "A", "Lara", 1)], "num int, year int, name string, display string, priority int")
+    top = spark.createDataFrame([("Chile", 1), ("Peru", 4)], "destination string, n long")
+    got = data(pages.voyage_page(matches, matches, top))
+    assert [r["num"] for r in got["matches"]] == [1, 2] and [r["destination"] for r in got["top"]] == ["Peru", "Chile"]
+
+    nodes = spark.createDataFrame([(i, f"P{i}", 1500 + i, None, i, "royal", "Lara & Co") for i in range(4)], "id long, name string, birth int, death int, gen int, cat string, house string")
+    stats = reports.house_stats(nodes)
+    way = spark.createDataFrame([("Lara & Co", i, f"<P{i}>", 1500 + i, i) for i in range(20)], "house string, step int, name string, birth int, gen int")
+    intro = pages.house_page_parts(reports.history_sentence(stats), way, spark.createDataFrame([("lara-co", 'http://x/"a')], "slug string, url string"))
+    (page,) = graphs.house_pages(stats, reports.house_members(nodes), intro).collect()
+    assert "&lt;P0&gt;, b. 1500, gen 0" in page.html and "… 6 more …" in page.html and "P10" not in page.html.split("<table>")[0] and "badge royal" in page.html and "&quot;a" in page.html
+    assert "The house of Lara &amp; Co was a royal house" in page.html and page.html.count("<tr>") == 4
+    assert "1 houses, 4 members" in graphs.index_page(reports.house_rank(stats))
