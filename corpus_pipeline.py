@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. ``run`` writes each stage's result as Parquet in
 the shared folder and reads it again as the next one's documents.
+
+Defined results, for every stage: other columns of ``docs`` are ignored, whatever their
+names; an empty table gives an empty one; rows with null or empty texts, languages,
+sources or counts are rows like any other; texts are handled whole, however long.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored as empty ones; repeated rows are scored alike and all
+    stay or go; a row with a null id is scored too; without usable labels all stay (0.5).
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_scores(docs, model, keep=tuple(COLUMNS)).where("predicted = 1").select(COLUMNS)
 
@@ -30,7 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, 0.8) stays.
 
-    It is the one with the smallest doc_id; rows equal in id and text count as one.
+    It is the one with the smallest doc_id; rows equal in id and text count as one. Texts
+    without words are linked with nothing and stay; rows with a null id stay as well.
     """
     groups = ngram_jaccard(docs, size=5, num=80, den=100)
     kept = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id", F.col("text_md5").alias("md5"))
@@ -42,19 +51,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go.
+
+    Texts without words hold none; repeated rows all stay or go; benchmark items without
+    words, or with null texts, match nothing.
+    """
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(c for c in COLUMNS if c != "doc_id"))
     return found.where("NOT contaminated").select(COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kinds."""
+    """Personal data are replaced by their kinds; every row stays.
+
+    A null text becomes an empty one; ``n_chars`` is the length of the new text.
+    """
     found = find_pii(docs, keep=("lang", "source"), redacted=True)
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the remaining documents."""
+    """Token counts and digests of the remaining documents, one row each; a null text has no tokens."""
     return bpe_codec(docs, VOCABULARY)
 
 
