@@ -38,6 +38,7 @@ from kinframe.llm._work import put, tidy
 MAX_TEST_BYTES = 32 << 20
 #: Bytes of text after which a shard is searched.
 SHARD_BYTES = 4 << 20
+OUT = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "runs", "longest_match", "longest_at", "text_md5")
 #: Pairs of document and item that are gathered before repeats are dropped.
 GATHERED = 1 << 20
 
@@ -255,8 +256,9 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
     runs (disjoint word ranges), longest_match (words), longest_at (word index),
-    text_md5; before them the ``keep`` columns of the documents (none of these names).
+    text_md5; before them the ``keep`` columns of the documents, but for those of these names.
     """
+    keep = tuple(c for c in keep if c not in OUT)
     tests = tests.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total * 5 // (4 * max_test_bytes))) if total > max_test_bytes else 1

@@ -15,9 +15,10 @@
    part, so any share of the rows may agree.
 2. *R-tree.* Each set is a point: its shingles hashed into groups (about one for
    eight shingles) and counted. In a group, or a pair of blocks of a large one, the
-   points are packed into leaves; the overlap of two sets is at most the sum of their
-   coordinate minima, that of two leaves at most that of their upper corners. Leaf
-   pairs, then point pairs, below the needed overlap are dropped. Surviving pairs are
+   points are packed into an R-tree; the overlap of two sets is at most the sum of their
+   coordinate minima, that of two nodes at most that of their upper corners. Trees are
+   gone down together: pairs of nodes, then pairs of points, below the needed overlap are
+   dropped with all below them. Surviving pairs are
    verified; their connected parts are the only sets whose shingles are shipped.
 3. *Verification.* Surviving pairs are verified exactly on the shingle sets. A task
    returns one edge from each member to its part, never all pairs. In both steps groups
@@ -220,33 +221,79 @@ def _cells(docs: DataFrame, size: int, t: Threshold, hot: np.ndarray, parts: int
     return dealt.groupBy("pid").applyInArrow(tidy_group(meet), "a long, b long").where("a <> b").distinct()
 
 
+class RTree:
+    """Points packed into nodes, level by level: each node is halved along its widest
+    coordinate until it has at most ``LEAF`` points. A node keeps the upper corner of
+    its points and the least of their sizes."""
+
+    def __init__(self, coarse: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> None:
+        level = [rows]
+        self.corner: list[np.ndarray] = []
+        self.least: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []  # a node's first child in the level below; one more at the end
+        while True:
+            self.corner.append(np.stack([coarse[x].max(0) for x in level]))
+            self.least.append(np.array([sizes[x].min() for x in level]))
+            if all(len(x) <= LEAF for x in level):
+                break
+            below: list[np.ndarray] = []
+            first = []
+            for x in level:
+                first.append(len(below))
+                if len(x) <= LEAF:
+                    below.append(x)
+                    continue
+                whole = np.c_[coarse[x], sizes[x]]
+                axis = int(np.argmax(whole.max(0) - whole.min(0)))
+                order = x[np.argsort(whole[:, axis], kind="stable")]
+                below += [order[: len(order) // 2], order[len(order) // 2 :]]
+            self.first.append(np.array([*first, len(below)]))
+            level = below
+        self.leaves = level
+
+    def children(self, depth: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first child of each node and the number of its children; below the leaves a node is its own child."""
+        if depth >= len(self.first):
+            return node, np.ones(len(node), np.int64)
+        first = self.first[depth]
+        return first[node], first[node + 1] - first[node]
+
+
+def meeting_leaves(left: RTree, right: RTree, t: Threshold) -> list[tuple[int, int]]:
+    """Pairs of leaves that the nodes above them don't rule out: both trees are gone down
+    together, and a pair of nodes whose corners bound the overlap below what is needed is
+    dropped with all below it. A tree is held against itself once per pair."""
+    i = j = np.zeros(1, np.int64)
+    for depth in range(max(len(left.corner), len(right.corner))):
+        at, of = min(depth, len(left.corner) - 1), min(depth, len(right.corner) - 1)
+        if depth:
+            a, many = left.children(depth - 1, i)
+            b, other = right.children(depth - 1, j)
+            pairs = [(a[m] + x, b[m] + y) for x in (0, 1) for y in (0, 1) if (m := (x < many) & (y < other)).any()]
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (i[:0], j[:0])
+            if left is right:
+                i, j = i[i <= j], j[i <= j]
+        bound = np.minimum(left.corner[at][i], right.corner[of][j]).sum(1)
+        near = bound >= t.needed(left.least[at][i] + right.least[of][j])
+        i, j = i[near], j[near]
+    return list(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def survivors(vectors: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, t: Threshold) -> np.ndarray:
     """Mask of the pairs whose summed coordinate minima reach the needed overlap.
 
     Rows of side 0 are held against those of side 1, or all against all if there are
-    none. Each side is packed into the leaves of an R-tree by size and then by the
-    widest coordinate; leaf pairs are tested by their corners first.
+    none: R-trees rule out pairs of nodes first, then points are held against points.
     """
     n = len(vectors)
     coarse = np.stack([fold(v, DIMENSIONS) for v in vectors]).astype(np.int32)
-
-    def leaves(rows: np.ndarray) -> list[np.ndarray]:
-        if len(rows) <= LEAF:
-            return [rows]
-        whole = np.c_[coarse[rows], sizes[rows]]
-        axis = int(np.argmax(whole.max(0) - whole.min(0)))
-        order = rows[np.argsort(whole[:, axis], kind="stable")]
-        half = len(order) // 2
-        return leaves(order[:half]) + leaves(order[half:])
-
     both = bool(side.any())
-    left = leaves(np.flatnonzero(side == 0))
-    right = leaves(np.flatnonzero(side == 1)) if both else left
+    sides = [np.flatnonzero(side == k) for k in range(1 + both)]
     mask = np.zeros((n, n), bool)
-    if not (len(left[0]) and len(right[0])):
+    if not all(len(x) for x in sides):
         return mask
-    corner_l, corner_r = (np.stack([coarse[x].max(0) for x in side_]) for side_ in (left, right))
-    least_l, least_r = (np.array([sizes[x].min() for x in side_]) for side_ in (left, right))
+    trees = [RTree(coarse, sizes, x) for x in sides]
+    left, right = trees[0], trees[-1]
     folded: dict[tuple[int, int, int], np.ndarray] = {}
 
     def points(which: int, k: int, rows: np.ndarray, dim: int) -> np.ndarray:
@@ -254,18 +301,14 @@ def survivors(vectors: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, t:
             folded[which, k, dim] = np.stack([fold(vectors[i], dim) for i in rows])
         return folded[which, k, dim]
 
-    dims = [[min(len(vectors[i]) for i in rows) for rows in side_] for side_ in (left, right)]
-    for i, a in enumerate(left):
-        bound = np.minimum(corner_l[i], corner_r).sum(1)
-        for j in np.flatnonzero(bound >= t.needed(least_l[i] + least_r)).tolist():
-            if not both and j < i:
-                continue
-            b = right[j]
-            dim = min(dims[0][i], dims[1][j])
-            x, y = points(0, i, a, dim), points(int(both), j, b, dim)
-            near = np.minimum(x[:, None, :], y[None, :, :]).sum(2, dtype=np.int32) >= t.needed(sizes[a][:, None] + sizes[b][None, :])
-            mask[np.ix_(a, b)] = near
-            mask[np.ix_(b, a)] = near.T
+    dims = [[min(len(vectors[i]) for i in rows) for rows in tree.leaves] for tree in trees]
+    for i, j in meeting_leaves(left, right, t):
+        a, b = left.leaves[i], right.leaves[j]
+        dim = min(dims[0][i], dims[-1][j])
+        x, y = points(0, i, a, dim), points(int(both), j, b, dim)
+        near = np.minimum(x[:, None, :], y[None, :, :]).sum(2, dtype=np.int32) >= t.needed(sizes[a][:, None] + sizes[b][None, :])
+        mask[np.ix_(a, b)] = near
+        mask[np.ix_(b, a)] = near.T
     np.fill_diagonal(mask, False)
     return mask
 

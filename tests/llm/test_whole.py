@@ -23,3 +23,29 @@ def test_repeated_articles_keep_their_wrapped_prose(spark):
     rows = [(10 * i + k, f"http://{tag}.example/", f"<body><p>menu {i}</p><{tag}>{story}</{tag}></body>") for k, tag in enumerate(("article", "main")) for i in range(8)]
     got = site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 16 and {r.text for r in got} == {"The very same story. one two"}
+
+
+def test_trees_lose_no_pair():
+    """Every pair with the needed overlap survives, within one side and between two."""
+    rng = np.random.default_rng(1)
+    t = ngram_join.Threshold(4, 5)
+    sets = []
+    for _ in range(300):
+        if sets and rng.random() < 0.6:
+            b = sets[rng.integers(len(sets))]
+            sets.append(np.unique(np.concatenate([b[rng.random(len(b)) < 0.93], rng.integers(0, 1 << 63, max(1, len(b) // 25), dtype=np.uint64)])))
+        else:
+            sets.append(np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64)))
+    sizes = np.array([len(s) for s in sets])
+    found = 0
+    for side in (np.zeros(300, int), rng.integers(0, 2, 300)):
+        mask = ngram_join.survivors([ngram_join.vector_of(s) for s in sets], sizes, side, t)
+        assert (mask == mask.T).all() and not mask.diagonal().any()
+        for i in range(300):
+            for j in range(i):
+                if side.any() and side[i] == side[j]:
+                    assert not mask[i, j]
+                elif len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= t.needed(int(sizes[i] + sizes[j])):
+                    assert mask[i, j]
+                    found += 1
+    assert found > 200
