@@ -104,3 +104,20 @@ def test_naming(spark):
 def test_best_name(spark):
     df = spark.createDataFrame([(["Ana Ana Sol", "Ana (vieja)", "Ana Sol"],), ([],)], "v array<string>")
     assert [r[0] for r in df.select(T.best_name(F.col("v"), F.col("v"))).collect()] == ["Ana Sol", ""]
+
+
+def test_long_sources_are_shared_by_stretches(spark):
+    """Links and headers are the same however a source is cut, over stretches without any too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kinframe.operators.asof import asof_header
+
+    rng = random.Random(5)
+    rows = [(f"s{s}", p, rng.choice([1, 2, 3, 3, 4]), f"k{p}") for s in range(3) for p in sorted(rng.sample(range(2000), 150))] + [(None, 5, 1, "k5"), (None, 900, 2, "k900")]
+    df = spark.createDataFrame(rows, "src string, pos long, gen int, key string")
+    head = F.when(F.col("gen") == 4, F.col("key"))
+    for stretch in (1, 7, 300, 10**6):
+        assert sorted(asof_parent(df, stretch=stretch).collect(), key=repr) == sorted(asof_parent(df).collect(), key=repr)
+        assert sorted(asof_header(df, head, stretch=stretch).collect(), key=repr) == sorted(asof_header(df, head).collect(), key=repr)
