@@ -23,8 +23,9 @@ more than half of the words of the one above it.
   node, else one found on the page alone in the same way. Headings that repeat the
   page's title, and what holds one, are kept;
 * class names are weak features. One whose head is telling ("cookie-notice", not
-  "social-history") counts for a container with a small share outside ``article``;
-  inside, only a whole telling name does, and reader comments go by whole name.
+  "social-history") counts for a container with a small share outside ``article``, or
+  with any share beside ``article`` and ``main`` elements; inside ``article``, only a whole
+  telling name of a container with a small share does. Reader comments go by whole name.
 
 Everything else is kept in page order. Shares and importances are those of the host's
 tree, where it has the node, else of the page.
@@ -286,6 +287,7 @@ class Page:
                 k = self.parent[k]
         share = lambda k: tree.about[self.path[k]][0] if self.path[k] in tree.about else self.words[k] / total
         whole = max(share(k) for k in content)
+        by_element = self.tag[content[0]] in ("article", "main")
         title = self.title.casefold()
         titles = [0] * len(self.parent)  # headings in the branch that repeat the title
         for k, text in self.blocks:
@@ -314,7 +316,7 @@ class Page:
             elif above[up] and tag not in _HEADINGS and not titles[k] or container:
                 low = container and tree.about.get(self.path[k], (0, 1))[1] < LOW
                 aside = not titles[k] and share(k) < BESIDE * whole and (above[up] and tag in _BLOCKS)
-                cut[k] = low or aside or container and bool(known & _TELLING) and share(k) < NAMED
+                cut[k] = low or aside or container and bool(known & _TELLING) and (by_element or share(k) < NAMED)
         return " ".join(text for k, text in self.blocks if not cut[k])
 
     def facts(self) -> list[tuple[int, int, int, int, int, int, bool]]:
