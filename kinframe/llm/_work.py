@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Most rows and bytes that a worker handles at once; Spark itself bounds the bytes of the
-#: batches it sends (spark.sql.execution.arrow.maxBytesPerBatch), and no setting is changed.
+#: Most rows and bytes that a worker handles at once. Spark itself bounds the bytes of the batches
+#: it sends (spark.sql.execution.arrow.maxBytesPerBatch); no setting stays changed.
 PIECE_ROWS = 512
 PIECE_BYTES = 4 << 20
 
@@ -46,11 +46,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Short batches for what is planned and run inside, to spare executors' memory; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PIECE_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def put(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back (cuts lineage)."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with short_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

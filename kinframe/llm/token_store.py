@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
 from kinframe.llm._units import UnitCoder
-from kinframe.llm._work import fresh_path, tidy
+from kinframe.llm._work import fresh_path, short_batches, tidy
 
 MAGIC = b"KFT1"
 SAMPLE = 512
@@ -232,7 +232,8 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str | None = None,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(tidy(run), "part int, number int, base long, n_ids long, shard binary").write.mode("overwrite").parquet(path)
+    with short_batches(spark):
+        dealt.mapInArrow(tidy(run), "part int, number int, base long, n_ids long, shard binary").write.mode("overwrite").parquet(path)
     return path
 
 

@@ -36,7 +36,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm._work import forget, fresh_path, put, qualified, tidy
+from kinframe.llm._work import forget, fresh_path, put, qualified, short_batches, tidy
 
 ARCHIVE_BYTES = 128 << 20
 GAP_BYTES = 64 << 10
@@ -167,7 +167,8 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
                 out.close()
 
     joined = own.join(again, "page_id", "left").select("page_id", "url", "html", "again")
-    joined.mapInArrow(tidy(run), INDEX).write.mode("overwrite").parquet(f"{base}/index")
+    with short_batches(spark):
+        joined.mapInArrow(tidy(run), INDEX).write.mode("overwrite").parquet(f"{base}/index")
     forget(small, first)
     return base
 

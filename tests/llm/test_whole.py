@@ -49,3 +49,18 @@ def test_trees_lose_no_pair():
                     assert mask[i, j]
                     found += 1
     assert found > 200
+
+
+def test_settings_of_the_session_stay(spark):
+    """Batches are short while tables are written, and the session's setting is put back, after a failure too."""
+    import pytest
+
+    from kinframe.llm._work import PIECE_ROWS, put, short_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = put(spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", [b.num_rows]) for b in batches), "id long"), "sizes")
+    assert max(r.id for r in sizes.collect()) == PIECE_ROWS and spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), short_batches(spark):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before
