@@ -6,15 +6,15 @@ the visited set and all results stay distributed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kinframe.operators.tables import cut, cut_counted, drop
 
 #: Levels between written tables.
-EVERY = 3
+EVERY = 6
 #: Levels of a search after which what was found is written as one table.
-TOGETHER = 16
+TOGETHER = 4
 
 
 def bfs(edges: DataFrame, roots: DataFrame, up: bool = True, max_depth: int | None = None, keep_path: bool = False, start: int = 0) -> DataFrame:
@@ -178,11 +178,12 @@ def kinship(edges: DataFrame, ranks: DataFrame, pairs: DataFrame, unknown_parent
         fresh = ordered(beyond(peers))
         lower = pool.where(F.col("ra") < rank).unionByName(fresh.where(F.col("ra") < rank))
         uneven = cut(needs(mine.where("ra > rb").unionByName(fresh.where(F.col("ra") == rank)).distinct()))
-        rest = cut(lower.unionByName(ordered(beyond(uneven))).distinct())
+        oldest = Observation()
+        rest = cut(lower.unionByName(ordered(beyond(uneven))).distinct().observe(oldest, F.max("ra").alias("rank")))
         told += [peers, uneven]
         drop(pool)
         pool, was = rest, rank
-        rank = pool.agg(F.max("ra")).first()[0]
+        rank = oldest.get["rank"]
         if rank is not None and rank >= was:
             raise ValueError("the pairs lead into a cycle")
     known: list[DataFrame] = []
