@@ -40,9 +40,11 @@ def work_dir(spark: SparkSession) -> str:
     return qualified(spark, base.rstrip("/"))
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; what is there is deleted when the driver ends unless ``keep``."""
     path = f"{work_dir(spark)}/kinframe-{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path))
+    if not keep:
+        _made.append((spark, path))
     return path
 
 

@@ -78,6 +78,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.time_partitions import clicks_in_time
+
+    return clicks_in_time(table(spark, sf_dir, "clicks"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
+        "op11_time_partitions": op11_time_partitions,
         "pipeline": pipeline,
     }
 
