@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-#: The vocabulary file; a parameter of the operators, never copied.
+#: The vocabulary file of bytes; a parameter of the operators, never copied.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The second vocabulary, of pieces.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,18 @@ def op11_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks_in_time(table(spark, sf_dir, "clicks"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.token_align import align_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), VOCABULARY, PIECES).documents
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,6 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
         "op11_time_partitions": op11_time_partitions,
+        "op12_token_align": op12_token_align,
+        "op13_packing": op13_packing,
         "pipeline": pipeline,
     }
 
