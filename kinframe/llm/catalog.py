@@ -36,9 +36,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm._work import fresh_path
     from kinframe.llm.token_store import read_tokens, write_tokens
 
-    path = write_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+    path = write_tokens(table(spark, sf_dir, "documents"), VOCABULARY, fresh_path(spark, "tokens", keep=True))
     return read_tokens(spark, path)
 
 
@@ -49,9 +50,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinframe.llm._work import fresh_path
     from kinframe.llm.warc import read_warc, write_warc
 
-    base = write_warc(table(spark, sf_dir, "pages"), min_payload_bytes=0)
+    base = write_warc(table(spark, sf_dir, "pages"), fresh_path(spark, "warc", keep=True), min_payload_bytes=0)
     return read_warc(spark, base)
 
 

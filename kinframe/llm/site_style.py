@@ -60,7 +60,7 @@ from kinframe.llm._work import put, tidy, tidy_group
 GAMMA = 0.9
 #: Branches with all composite importances below this are cut.
 LOW = 0.2
-#: Branches beside the content with less than this part of its share are cut.
+#: Branches beside the content with less than this part of its share are cut unless they are the page's own text.
 BESIDE = 0.4
 #: Share of a page's words below which a telling name cuts a branch beside the content, or inside it.
 NAMED, NAMED_INSIDE = 0.4, 0.2
@@ -70,6 +70,7 @@ _BLOCKS = frozenset("address article aside blockquote body button canvas caption
 _CONTAINERS = frozenset("aside center details dir div dl fieldset figure form menu nav ol section table ul".split())
 _WRAPPERS = frozenset("# html body article center div main section table tbody tr td".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | frozenset("blockquote dd p pre".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea iframe noframes xmp".split())
 _CUT = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noscript object script select style svg template textarea title video xmp noframes".split())
@@ -85,6 +86,7 @@ _CLOSED_BY = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "
 
 _MARK = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_UNQUOTED = re.compile(r"=[^\s\"']*/\s*$")  # a value that ends in a slash, not the slash of an empty element
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _FULL = (1 << 62) - 1
 _MILLION = 1_000_000
@@ -154,16 +156,31 @@ class Page:
         self.parent, self.tag, self.path, self.sign, self.known = [-1], ["#"], [17], [0], [0]
         self.gone = [False]  # by element or role, whatever the tree says
         self.article = [False]
+        self.link = [False]  # within a link
         self.blocks: list[tuple[int, str]] = []  # node, text
+        self.linked: list[int] = []  # words of each block that are in links
         self.title = ""
         stack, parts = [0], []
         seen: dict[tuple[str, str], tuple] = {}
         tags, gone, at, end = self.tag, self.gone, 0, len(html)
 
+        in_links = 0
+
+        def add(text: str) -> None:
+            nonlocal in_links
+            k = stack[-1]
+            if not gone[k]:
+                parts.append(text)
+                if self.link[k]:
+                    in_links += len(text.split())
+
         def flush() -> None:
+            nonlocal in_links
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
+            linked, in_links = in_links, 0
             if text:
+                self.linked.append(linked)
                 self.blocks.append((next(k for k in reversed(stack) if k == 0 or tags[k] in _BLOCKS), text))
 
         def close(down_to: int) -> None:
@@ -174,15 +191,13 @@ class Page:
         while at < end:
             mark = html.find("<", at)
             if mark < 0:
-                if not gone[stack[-1]]:
-                    parts.append(html[at:])
+                add(html[at:])
                 break
-            if mark > at and not gone[stack[-1]]:
-                parts.append(html[at:mark])
+            if mark > at:
+                add(html[at:mark])
             m = _MARK.match(html, mark)
             if not m:
-                if not gone[stack[-1]]:
-                    parts.append("<")
+                add("<")
                 at = mark + 1
                 continue
             at = m.end()
@@ -230,6 +245,7 @@ class Page:
             # an article's own header holds its title; the page's header doesn't
             gone.append(gone[up] or bool(known & _GOES or known & _HEADER and not self.article[up]))
             self.article.append(self.article[up] or name == "article")
+            self.link.append(self.link[up] or name == "a")
             if name in _RAW:
                 stop = re.compile(f"</{name}", re.I).search(html, at)
                 if name == "title" and not self.title:
@@ -238,7 +254,7 @@ class Page:
                 if stop:
                     at = (html.find(">", at) + 1) or end
                 continue
-            if not attributes.rstrip().endswith("/") or name in _BLOCKS:
+            if name in _BLOCKS or not attributes.rstrip().endswith("/") or _UNQUOTED.search(attributes):
                 stack.append(k)
         close(1) if len(stack) > 1 else flush()
         if parts:
@@ -273,6 +289,28 @@ class Page:
                 below.setdefault(self.parent[k], []).append(k)
         return [content_node(0, lambda k: below.get(k, ()), self.words.__getitem__, lambda k: times[self.path[k]] == 1)]
 
+    def _own(self, content: list[int], above: list[bool], tree: Tree) -> list[bool]:
+        """Branches that are the page's own text by what they hold or where they are, however short.
+
+        They have prose outside links, or are in the branch that the headline shares with the
+        content. On a page that has neither headline nor tree, all but lists of links are.
+        """
+        prose = self._sums(max(0, text.count(" ") + 1 - n) if self.tag[k] in _PROSE else 0 for (k, text), n in zip(self.blocks, self.linked, strict=True))
+        plain = self._sums(max(0, text.count(" ") + 1 - n) for (_, text), n in zip(self.blocks, self.linked, strict=True))
+        title = self.title.casefold()
+        heads = [(text.casefold() not in title if title else self.tag[k] != "h1", i, k) for i, (k, text) in enumerate(self.blocks) if self.tag[k] in _HEADINGS]
+        headline = min(heads)[2] if heads else None
+        near = [False] * len(self.parent)
+        k = headline
+        while k is not None and k > 0 and not above[k] and k not in content:
+            k = self.parent[k]
+        if k and self.tag[k] not in ("html", "body"):
+            near[k] = True
+        alone = tree.root is None and headline is None
+        for k in range(1, len(near)):
+            near[k] |= near[self.parent[k]]
+        return [near[k] or prose[k] > 0 or alone and plain[k] > 0 for k in range(len(near))]
+
     def text(self, tree: Tree) -> str:
         """The blocks that aren't cut, joined by one space."""
         if not self.blocks:
@@ -295,6 +333,7 @@ class Page:
                 titles[k] += 1
         for k in range(len(titles) - 1, 0, -1):
             titles[self.parent[k]] += titles[k]
+        own = self._own(content, above, tree)
         cut = [False] * len(self.parent)
         prose = [False] * len(self.parent)
         for k in range(1, len(self.parent)):
@@ -315,7 +354,7 @@ class Page:
                 cut[k] = low or container and bool(named)
             elif above[up] and tag not in _HEADINGS and not titles[k] or container:
                 low = container and tree.about.get(self.path[k], (0, 1))[1] < LOW
-                aside = not titles[k] and share(k) < BESIDE * whole and (above[up] and tag in _BLOCKS)
+                aside = not titles[k] and share(k) < BESIDE * whole and (above[up] and tag in _BLOCKS) and (by_element or not own[k])
                 cut[k] = low or aside or container and bool(known & _TELLING) and (by_element or share(k) < NAMED)
         return " ".join(text for k, text in self.blocks if not cut[k])
 

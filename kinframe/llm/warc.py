@@ -123,11 +123,10 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
     small = put(small.groupBy("page_id", "digest", "n").agg(F.count("*").alias("copies")), "digests")
     first = small.where(F.col("n") >= min_payload_bytes).groupBy("digest", "n").agg(F.min_by(F.struct("page_id", "copies"), "page_id").alias("first"), F.max("page_id").alias("last"))
     first = put(first.where("first.page_id < last").select("digest", "n", F.col("first.page_id").alias("refers_to"), (F.col("first.copies") == 1).alias("known")), "first")
-    again = small.join(first, ["digest", "n"]).where("page_id > refers_to").select("page_id", "digest", "copies", "refers_to", "known")
+    # one row per id and payload, so an id that is repeated with many payloads meets each row once
+    again = small.join(first, ["digest", "n"], "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("refers_to"), F.col("refers_to")))
     # several equal rows can't share a record id
-    twice = small.where("copies > 1").select("page_id", "digest", "copies", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("known"))
-    # ids may repeat with another payload, so the digest is compared again in the task
-    again = again.union(twice).groupBy("page_id").agg(F.collect_list(F.struct("digest", "copies", "refers_to", "known")).alias("again"))
+    again = again.where("copies > 1 OR refers_to IS NOT NULL").select("page_id", "digest", "copies", "refers_to", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open_store(base)
@@ -135,13 +134,9 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, text, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page_id, url, text, copies, refers, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     payload = (text or "").encode()
-                    hexed = hashlib.sha1(payload).hexdigest()
-                    digest = base64.b32encode(bytes.fromhex(hexed)).decode()
-                    told = [a for a in again or () if a["digest"] == hexed]
-                    revisit = next((a for a in told if a["refers_to"] is not None), None)
-                    refers = revisit["refers_to"] if revisit else None
+                    digest = digest32(payload)
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         store.create_dir(folder, recursive=True)
@@ -149,9 +144,9 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
                         opening = _gzip(warcinfo(name))
                         out.write(opening)
                         at = len(opening)
-                    alone = page_id is not None and not any(a["copies"] > 1 for a in told)
+                    alone = page_id is not None and (copies or 1) == 1
                     own_id = record_id(page_id, digest) if alone else record_id(page_id, digest, name, at)
-                    other_id = record_id(refers, digest) if revisit and revisit["known"] else None
+                    other_id = record_id(refers, digest) if refers is not None and known else None
                     member = _gzip(record(page_id, url, payload, digest, refers, own_id, other_id))
                     out.write(member)
                     rows.append((page_id, url, name, at, len(member), digest, "response" if refers is None else "revisit", refers))
@@ -166,7 +161,8 @@ def write_warc(pages: DataFrame, base: str | None = None, min_payload_bytes: int
             if out is not None:
                 out.close()
 
-    joined = own.join(again, "page_id", "left").select("page_id", "url", "html", "again")
+    own = own.withColumn("digest", F.sha1(html.cast("binary")))
+    joined = own.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "copies", "refers_to", "known")
     with short_batches(spark):
         joined.mapInArrow(tidy(run), INDEX).write.mode("overwrite").parquet(f"{base}/index")
     forget(small, first)

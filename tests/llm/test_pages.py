@@ -112,6 +112,21 @@ def test_records_can_be_followed(spark):
     assert got[2].refers_to == 1 and got[5].refers_to == 4 and got[3].payload_bytes == 3_000_000 and got[None].record_type == "response"
 
 
+def test_one_page_id_with_many_payloads(spark):
+    """40,000 rows of one id, each payload twice: linear, and every second is a revisit of that id's equals."""
+    import time
+
+    df = spark.range(40_000).selectExpr("if(id % 4 = 0, 6, 7) AS page_id", "'http://x.example/' AS url", "concat('<p>', cast(id % 20000 AS string)) AS html")
+    began = time.perf_counter()
+    got = warc.read_warc(spark, warc.write_warc(df)).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert time.perf_counter() - began < 60
+    # payloads of ids 0, 4, 8, ... belong to page 6 on both rows, the others to page 7, so nothing refers to a smaller id
+    assert {(r.page_id, r.record_type, r.refers_to): r["count"] for r in got} == {(6, "response", None): 10_000, (7, "response", None): 30_000}
+    mixed = spark.range(3000).selectExpr("if(id < 1500, 1, 2) AS page_id", "'http://x.example/' AS url", "concat('<p>', cast(id % 1500 AS string)) AS html")
+    got = warc.read_warc(spark, warc.write_warc(mixed)).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert {(r.page_id, r.record_type, r.refers_to): r["count"] for r in got} == {(1, "response", None): 1500, (2, "revisit", 1): 1500}
+
+
 def test_ranges_are_coalesced():
     assert warc.coalesce_ranges([(0, 10), (10, 5), (100, 5), (1000, 5)], gap=90, most=120) == [(0, 105, 3), (1000, 5, 1)]
 
@@ -155,6 +170,51 @@ def test_the_tree_finds_the_content_of_opaque_pages(spark):
     assert all(alone[i] == want[i] for i in range(24) if i % 4)
 
 
+def test_short_parts_of_the_story_stay(spark):
+    """Leads, second sections, standfirsts and closing paragraphs are kept whatever their share, by the tree and without."""
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(120))
+    host = [(i, f"http://lead.example/{i}", f"<div class=a><h1>Head {i}</h1><p>LEAD {i} of the story.</p><div class=b>{body(i)}</div><div class=c><h2>More {i}</h2><p>SECOND {i} section.</p></div></div>") for i in range(20)]
+    alone = [
+        (100, "http://one.example/", f"<body><p>Standfirst in short.</p><div class=x>{body(1)}</div></body>"),
+        (101, "http://two.example/", f"<body><div class=x>{body(2)}</div><p>Closing words.</p></body>"),
+        (102, "http://three.example/", f"<body><div class=x><p>{body(3)}</p></div><div class=y><p>The shorter section.</p></div></body>"),
+        (103, "http://four.example/", f"<body><div class=s>A standfirst in a box.</div><div class=x>{body(4)}</div><div class=l><a href=/>one</a> <a href=/>two</a></div></body>"),
+    ]
+    want = {i: f"Head {i} LEAD {i} of the story. {body(i)} More {i} SECOND {i} section." for i in range(20)}
+    want |= {100: f"Standfirst in short. {body(1)}", 101: f"{body(2)} Closing words.", 102: f"{body(3)} The shorter section.", 103: f"A standfirst in a box. {body(4)}"}
+    assert told(spark, host + alone) == want
+    df = spark.createDataFrame(host + alone, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in site_style.main_text(df, use_trees=False).collect()} == want
+
+
+def test_generated_sites(spark):
+    """Sites of many parts: boxes that a host repeats go, every text of a page's own stays, in order."""
+    import random
+
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice("amber birch cedar dune ember frost grove heath iris juniper kelp lark moss".split()) + str(rng.randrange(10**6)) for _ in range(n))
+    rows, want, without = [], {}, 0
+    for site in range(6):
+        boxes = [f"<div class='q{rng.randrange(9)}'><p>{words(rng.randint(2, 25))}</p></div>" for _ in range(rng.randint(1, 3))]
+        wrap = rng.choice(["<div class='k1'>{}</div>", "<div class='k1'><div class='k2'>{}</div></div>", "{}"])
+        before = rng.randint(0, len(boxes))
+        for i in range(14):
+            parts, told_parts = [], []
+            head = words(4)
+            for part in range(rng.randint(1, 5)):
+                text = words(rng.choice([3, 12, 90]))
+                told_parts.append(text)
+                parts.append(rng.choice(["<p>{}</p>", "<div class='s{n}'><p>{}</p></div>", "<section><p>{}</p></section>", "<blockquote>{}</blockquote>"]).replace("{n}", str(part)).format(text))
+            page = 100 * site + i
+            want[page] = " ".join([head, *told_parts])
+            story = wrap.format(f"<h1>{head}</h1>" + "".join(parts))
+            rows.append((page, f"http://site{site}.example/{i}", f"<title>{head}</title><body>{''.join(boxes[:before])}{story}{''.join(boxes[before:])}</body>"))
+    assert told(spark, rows) == want
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    without = sum(r.text != want[r.page_id] for r in site_style.main_text(df, use_trees=False).collect())
+    assert without > len(rows) / 2  # the boxes are known by the trees alone
+
+
 def test_importances_by_brute_force(spark):
     """Entropies, shares and the content node, worked out page by page."""
     import math
