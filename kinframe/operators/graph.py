@@ -13,6 +13,8 @@ from kinframe.operators.tables import cut, cut_counted, drop
 
 #: Levels between written tables.
 EVERY = 6
+#: Generations after which a count without a bound looks for cycles.
+LOOK_FOR_CYCLES = 48
 #: Levels of a search after which what was found is written as one table.
 TOGETHER = 4
 
@@ -58,7 +60,9 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
 def path_counts(edges: DataFrame, root: int, max_gen: int | None = 25, mode: str = "exact") -> DataFrame:
     """(id, depth, ways): number of lines of descent of each length from the root.
 
-    Up to ``max_gen`` generations, or to the last one (None; such graphs must have no cycle).
+    Up to ``max_gen`` generations, or to the last one (None). Without a bound a cycle above
+    the root raises: a count that goes on beyond ``LOOK_FOR_CYCLES`` generations looks for
+    cycles among what it still counts, once.
 
     ``exact`` counts every path. ``bfs`` reproduces the order-dependent variant in
     which a contribution passes on only to nodes discovered later in breadth-first order.
@@ -75,7 +79,7 @@ def path_counts(edges: DataFrame, root: int, max_gen: int | None = 25, mode: str
         passes = everyone = cut(step)
     start = edges.sparkSession.createDataFrame([(root,)], "id long")
     frontier, levels = start.select("id", F.lit(0).alias("depth"), F.lit(1).cast("decimal(38,0)").alias("ways")), []
-    depth, left = 0, 1
+    depth, left, looked = 0, 1, False
     while left and (max_gen is None or depth < max_gen):
         depth += 1
         to = lambda s, f: f.join(s, "id").groupBy("to").agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
@@ -84,10 +88,23 @@ def path_counts(edges: DataFrame, root: int, max_gen: int | None = 25, mode: str
         frontier = told if passes is everyone else to(passes, frontier).select(F.col("to").alias("id"), F.lit(depth).alias("depth"), "ways")
         if depth % EVERY == 0:
             frontier, left = cut_counted(frontier)
+            if left and max_gen is None and not looked and depth >= LOOK_FOR_CYCLES:
+                looked = True
+                _refuse_cycles(everyone, frontier)
             levels = [cut(_all([*levels[:-1], frontier] if passes is everyone else levels))]
     return _all(levels)
 
 
+def _refuse_cycles(step: DataFrame, frontier: DataFrame) -> None:
+    from kinframe.operators.linking import cycles
+
+    above = bfs(step.select(F.col("id").alias("t"), F.col("to").alias("s")), frontier.select("id").distinct())
+    inside = step.join(above.select("id"), "id", "left_semi")
+    some = [str(r.id) for r in cycles(inside.select(F.col("to").alias("s"), F.col("id").alias("t"))).orderBy("id").limit(20).collect()]
+    if some:
+        raise ValueError(f"lines of descent run into a cycle, with the ids {', '.join(some)}")
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -292,9 +309,13 @@ def over_parented(edges: DataFrame, most: int = 2) -> DataFrame:
 def contract(nodes: DataFrame, edges: DataFrame, remap: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge duplicates into canonical nodes: remap (dup, canon). Gaps of the canonical are filled.
 
-    Chains of remaps must be resolved by the caller. Edges are rewritten, loops dropped.
+    Chains of remaps are followed to their end, cycles go to their least id. Where the
+    canonical isn't a node itself, the least of its duplicates gives the fields. Edges are
+    rewritten, loops dropped.
     """
-    r = remap.select(F.col("dup").alias("id"), "canon")
+    from kinframe.operators.linking import flatten
+
+    r = flatten(remap).withColumnRenamed("dup", "id")
     pointed = nodes.join(r, "id", "left").withColumn("canon", F.coalesce("canon", "id"))
     own = F.struct((F.col("id") != F.col("canon")).alias("other"), "id")
     fields = [c for c in nodes.columns if c != "id"]

@@ -710,3 +710,6 @@ def _conflict_decisions(spark, sf):
 @query("source_tags", f"WITH {WITH_PEOPLE} SELECT id, CASE WHEN id < 1000 THEN 'first' ELSE 'second' END AS source FROM n")
 def _source_tags(spark, sf):
     return reports.tag_source(relation(spark, sf, PEOPLE), 1000).select("id", "source")
+
+
+from kinframe.plans import structure  # noqa: E402,F401  registers its queries
