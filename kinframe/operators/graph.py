@@ -227,12 +227,63 @@ def kinship(edges: DataFrame, ranks: DataFrame, pairs: DataFrame, unknown_parent
 
 
 def inbreeding(nodes: DataFrame, edges: DataFrame, ids: DataFrame, unknown_parent: str = "renormalise") -> DataFrame:
-    """(id, f, status): Wright's F, the kinship of the two parents; null with fewer than two."""
-    two = first_parents(edges).join(ids.select(F.col("id").alias("t")), "t", "left_semi").groupBy("t").agg(F.sort_array(F.collect_list("s")).alias("ps"))
-    pairs = cut(two.where(F.size("ps") == 2).select(F.col("t").alias("id"), F.col("ps")[0].alias("a"), F.col("ps")[1].alias("b")))
-    phi = kinship(edges, topo_rank(nodes, edges), pairs.select("a", "b").distinct(), unknown_parent)
-    known = pairs.join(phi, ["a", "b"]).select("id", F.col("phi").alias("f"))
-    out = ids.select("id").join(known, "id", "left")
+    """(id, f, status): Wright's F, the kinship of the two parents; null with fewer than two.
+
+    The relationship matrix is A = L D L', so no pairs of people are made: each person has a row
+    of L, the shares of its ancestors (its own 1, and half of each parent's row), and a variance
+    d that Mendelian sampling adds. With the rows l, m of the two parents F is half the sum of
+    l m d over the ancestors that they share, and d follows from the parents' F. Ranks are solved
+    ancestors first; a rank takes the rows of its parents, with d carried along, and keeps the
+    rows of those that have children here. Work and space follow the number of (person, ancestor)
+    pairs of those above ``ids``.
+    """
+    wanted = cut(ids.select("id").distinct())
+    parents = first_parents(edges).select("s", "t")
+    above = wanted if ids is nodes else bfs(parents, wanted).select("id")  # of all people there is nobody above
+    own = cut(parents.join(above.withColumnRenamed("id", "t"), "t", "left_semi"))
+    ranks = topo_rank(above, own)
+    about = cut(above.join(own.groupBy(F.col("t").alias("id")).agg(F.sort_array(F.collect_list("s")).alias("ps")), "id", "left")
+                .select("id", F.coalesce("ps", F.array().cast("array<long>")).alias("ps"))
+                .join(own.select(F.col("s").alias("id")).distinct().withColumn("has", F.lit(True)), "id", "left").join(ranks, "id"))
+    if not about.where("cyclic").isEmpty():
+        raise ValueError("the people lie on or below a cycle")
+    last = about.agg(F.max("rank")).first()[0]
+    rows: list[DataFrame] = []  # (x, anc, l, d) of people with children
+    known: list[DataFrame] = []  # (id, f) of everyone
+    for rank in range(0 if last is None else last + 1):
+        mine = about.where(F.col("rank") == rank)
+        if not rows:  # nobody has parents
+            told = mine.select("id", F.lit(0.0).alias("f"))
+            made = mine.where("has").select(F.col("id").alias("x"), F.col("id").alias("anc"), F.lit(1.0).alias("l"), F.lit(1.0).alias("d"))
+            known, rows = [cut(told)], [cut(made)]
+            continue
+        each = mine.select("id", F.size("ps").alias("many"), "has", F.posexplode("ps").alias("k", "p"))
+        of_parents = each.join(_all(known).select(F.col("id").alias("p"), F.col("f").alias("fp")), "p").groupBy("id").agg(F.first("many").alias("many"), F.sum("fp").alias("fs"), F.first("has").alias("has"))
+        alone = -F.col("fs") if unknown_parent == "renormalise" else 0.75 - 0.25 * F.col("fs")
+        new_d = of_parents.select("id", "has", F.when(F.col("many") == 2, 0.5 - 0.25 * F.col("fs")).otherwise(alone).alias("d"))
+        met = each.join(_all(rows).withColumnRenamed("x", "p"), "p").groupBy("id", "anc").agg(
+            F.first("has").alias("has"), F.first("many").alias("many"), F.first("d").alias("d"), F.sum(F.when(F.col("k") == 0, F.col("l")).otherwise(0.0)).alias("l0"), F.sum(F.when(F.col("k") == 1, F.col("l")).otherwise(0.0)).alias("l1"))
+        met = cut(met)
+        told = met.groupBy("id").agg(F.sum(0.5 * F.col("l0") * F.col("l1") * F.col("d")).alias("f"))
+        share = F.when(F.col("many") == 2, F.lit(0.5)).otherwise(1.0 if unknown_parent == "renormalise" else 0.5)
+        inherited = met.where("has").select(F.col("id").alias("x"), "anc", (share * (F.col("l0") + F.col("l1"))).alias("l"), "d")
+        itself = new_d.where("has").select(F.col("id").alias("x"), F.col("id").alias("anc"), F.lit(1.0).alias("l"), "d")
+        known.append(cut(told))
+        if rank < last:
+            rows.append(cut(inherited.unionByName(itself)))
+        drop(met)
+        for tables in (known, rows):
+            if len(tables) > TOGETHER:
+                one = cut(_all(tables))
+                drop(*tables)
+                tables[:] = [one]
+    two = about.where(F.size("ps") == 2).select("id", F.lit(True).alias("_two"))
+    found = wanted.join(two, "id", "left")
+    if known:
+        found = found.join(_all(known), "id", "left")
+    else:
+        found = found.withColumn("f", F.lit(None).cast("double"))
+    out = ids.select("id").join(found.select("id", F.when(F.col("_two"), F.col("f")).alias("f")), "id", "left")
     return out.select("id", "f", F.when(F.col("f").isNull(), "undefined").otherwise("ok").alias("status"))
 
 

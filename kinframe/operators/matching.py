@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinframe.functions import text as T
-from kinframe.operators.tables import cut, filled
+from kinframe.operators.tables import cut, cut_counted, drop, filled
 
 #: fixed values: what stands for no region
 JUNK_REGIONS = ("", "?", "unknown", "n/a", "-")
@@ -27,27 +27,48 @@ def match_by_position(people: DataFrame, person_edges: DataFrame, nodes: DataFra
 
     people: ged_id, first, ord; nodes: id, first; edges: s parent, t child. One-to-one;
     competing candidates go by ord, then by node id. Repeats until nothing is found, or
-    ``max_passes`` times.
+    ``max_passes`` times. A pass joins only the matches of the last one; candidates that lost
+    wait, and go when either side is matched.
     """
     found = cut(matched.select("ged_id", "id"))
     p = people.select(F.col("ged_id").alias("g"), F.col("first").alias("fw"), "ord")
     n = nodes.select(F.col("id").alias("h"), F.col("first").alias("fw"))
-    passes = 0
+    up = person_edges.select(F.col("s").alias("g"), F.col("t").alias("ged_id"))
+    node_up = node_edges.select(F.col("s").alias("h"), F.col("t").alias("child"))
+    new, pool, passes = found, None, 0
     while max_passes is None or passes < max_passes:
         passes += 1
-        open_parents = person_edges.select(F.col("s").alias("g"), F.col("t").alias("ged_id")).join(found.select(F.col("ged_id").alias("g")), "g", "left_anti")
-        at_child = open_parents.join(found, "ged_id").select("g", F.col("id").alias("child"))
-        free = node_edges.select(F.col("s").alias("h"), F.col("t").alias("child")).join(found.select(F.col("id").alias("h")), "h", "left_anti")
-        candidates = at_child.join(free, "child").join(p, "g").join(n, ["h", "fw"]).select("g", "h", "ord").distinct()
-        per_person = candidates.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where("k = 1")
+        # only what the last pass has matched brings candidates; those of before wait in the pool
+        fresh = up.join(new, "ged_id").select("g", F.col("id").alias("child")).join(node_up, "child").join(p, "g").join(n, ["h", "fw"]).select("g", "h", "ord").distinct()
+        fresh = _free(fresh, found)
+        waiting = fresh if pool is None else _free(pool, new).unionByName(fresh).distinct()
+        waiting = cut(waiting)
+        if pool is not None:
+            drop(pool)
+        pool = waiting
+        per_person = pool.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where("k = 1")
         one = per_person.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("ord", "g"))).where("k = 1")
-        new = cut(one.select(F.col("g").alias("ged_id"), F.col("h").alias("id")))
-        if new.isEmpty():
+        matches, many = cut_counted(one.select(F.col("g").alias("ged_id"), F.col("h").alias("id")))
+        if new is not found:
+            drop(new)
+        if not many:
+            drop(matches)
             break
-        found = cut(found.unionByName(new))
+        new = matches
+        more = cut(found.unionByName(new))
+        drop(found)
+        found = more
+    if pool is not None:
+        drop(pool)
     return found
 
 
+def _free(candidates: DataFrame, matched: DataFrame) -> DataFrame:
+    """Candidates (g, h) neither of which is matched."""
+    taken = matched.select(F.col("ged_id").alias("g")), matched.select(F.col("id").alias("h"))
+    return candidates.join(taken[0], "g", "left_anti").join(taken[1], "h", "left_anti")
+
+
 def _change(field: str, old: Column, new: Column, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(field).alias("field"), old.cast("string").alias("old"), new.cast("string").alias("new")))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from kinframe.operators import graph, linking
+from kinframe.operators import graph, linking, merge, outline
+from kinframe.operators.tables import work_dir
 from kinframe.plans.catalog import query
-from kinframe.plans.relations import oracle, relation
+from kinframe.plans.relations import OUTLINE, oracle, relation
+from kinframe.streaming import buckets, keyed
 
 #: One file per supplier, holding its parts as people, each with generations of its own zero.
 FILES = """
@@ -87,3 +91,40 @@ r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t)
 SELECT a.s AS id, min(a.t) AS cycle FROM r a JOIN r b ON b.s = a.t AND b.t = a.s GROUP BY a.s""")
 def _cycle_members(spark, sf):
     return linking.cycles(relation(spark, sf, RINGS))
+
+
+def _new_folder(spark, name: str) -> str:
+    """A folder of this call alone, which stays."""
+    return f"{work_dir(spark)}/kinframe-{uuid.uuid4().hex}/{name}"
+
+
+#: Client records as people: one person per master, seen by several sources.
+CLIENTS = """
+SELECT 'm' || CAST(COALESCE(master_id, client_id) AS STRING) AS key, COALESCE(source, 'none') AS src, CAST(client_id AS BIGINT) AS pos, name, CAST(nation_id AS INT) AS gen,
+       CAST(NULL AS INT) AS birth, CAST(NULL AS INT) AS death, city AS country, segment AS region, email AS house
+FROM {clients}
+"""
+
+
+@query("keyed_master")
+def _keyed_master(spark, sf):
+    """The clients as a stream into keyed state, whose changed nodes go into a bucketed master; what the master holds."""
+    raw = spark.read.parquet(f"{sf}/clients.parquet")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{sf}/client[s].parquet")  # as a pattern the table may be one file, too
+    people = spark.sql(CLIENTS, clients=stream)
+    path = _new_folder(spark, "keyed")
+    running = keyed.maintain(spark, people, f"{path}/master", f"{path}/checkpoint")
+    running.awaitTermination()
+    return buckets.BucketStore(spark, f"{path}/master").read("nodes")
+
+
+@query("bucket_master")
+def _bucket_master(spark, sf):
+    """The outlines in three batches into a bucketed master; what its last version holds."""
+    people = relation(spark, sf, OUTLINE)
+    store = buckets.BucketStore(spark, _new_folder(spark, "buckets"))
+    for n in range(3):
+        nodes = outline.collapse(people.where(F.col("src") % 3 == n)).drop("first_seen")
+        least = lambda a, b: merge.merge_nodes(a.withColumn("file_ord", F.lit(0)).unionByName(b.withColumn("file_ord", F.lit(1))), gen="min").select(a.columns)
+        store.commit(n, {"nodes": buckets.Change(nodes, F.regexp_extract("key", r"^(.*)\\|", 1), least)})
+    return store.read("nodes").select("key", "gen", "mult")

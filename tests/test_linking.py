@@ -162,3 +162,23 @@ def test_path_counts_end_on_cycles(spark):
     assert {(r.id, r.ways) for r in graph.path_counts(below, 0, max_gen=None).collect()} == {(1, 1), (2, 1)}
     line = spark.createDataFrame([(i + 1, i) for i in range(60)], "s long, t long")  # long, without a cycle
     assert graph.path_counts(line, 0, max_gen=None).count() == 60
+
+
+@pytest.mark.parametrize("unknown", ["renormalise", "half"])
+def test_inbreeding_equals_kinship_of_parents(spark, unknown):
+    """Rows of ancestors give what the pairs give, with one, two and no known parents."""
+    rng = random.Random(5)
+    edges = [(p, c) for c in range(24) for p in rng.sample(range(c + 1, min(c + 9, 30)), rng.choice([0, 1, 2, 2, 2]))]
+    e = spark.createDataFrame(edges, "s long, t long")
+    nodes = spark.createDataFrame([(i,) for i in range(30)], "id long")
+    got = {r.id: (r.f, r.status) for r in graph.inbreeding(nodes, e, nodes, unknown).collect()}
+    parents = {}
+    for p, c in edges:
+        parents.setdefault(c, []).append(p)
+    pairs = spark.createDataFrame([(min(ps), max(ps)) for ps in parents.values() if len(ps) == 2], "a long, b long").distinct()
+    phi = {(r.a, r.b): r.phi for r in graph.kinship(e, graph.topo_rank(nodes, e), pairs, unknown).collect()}
+    for i in range(30):
+        ps = parents.get(i, [])
+        assert got[i] == ((pytest.approx(phi[min(ps), max(ps)], abs=1e-12), "ok") if len(ps) == 2 else (None, "undefined"))
+    assert any(f > 0 for f, _ in got.values() if f)
+    assert graph.inbreeding(nodes, e, nodes.limit(0)).collect() == []

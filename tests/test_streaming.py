@@ -138,3 +138,30 @@ def test_ingest_into_buckets(spark, tmp_path):
     found, edges = buckets.read_merged(buckets.BucketStore(spark, f"file://{tmp_path}/m", 4))
     assert {(r.key, r.mult) for r in found.collect()} == {("ana prueba|1900", 2), ("luis prueba|1870", 1), ("marta solar|1880", 1)}
     assert {(r.s, r.t) for r in edges.collect()} == {("luis prueba|1870", "ana prueba|1900"), ("marta solar|1880", "ana prueba|1900")}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_registered_queries(spark):
+    """Clients in keyed state, and outlines in buckets, against plain groupings."""
+    from kinframe.plans import catalog
+    from kinframe.plans.relations import OUTLINE, relation
+
+    got = {r.key: (r.name, r.gen, r.country, r.mult) for r in catalog.queries()["keyed_master"](spark, SF).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/clients.parquet").collect():
+        if r.client_id is None:
+            continue
+        key = f"m{r.client_id if r.master_id is None else r.master_id}"
+        want.setdefault(key, {}).setdefault(("none" if r.source is None else r.source, r.client_id), r)
+    assert set(got) == set(want)
+    for key, rows in want.items():
+        first = rows[min(rows)]
+        name, gen, _, mult = got[key]
+        assert mult == len(rows) and gen == min((r.nation_id for r in rows.values() if r.nation_id is not None), default=None)
+        assert name == first.name
+    made = {tuple(r) for r in catalog.queries()["bucket_master"](spark, SF).collect()}
+    plain = relation(spark, SF, OUTLINE).groupBy("key").agg(F.min("gen").alias("gen"), F.count("*").alias("mult"))
+    assert made == {tuple(r) for r in plain.collect()}
