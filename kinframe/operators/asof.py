@@ -11,6 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions of a stretch where readers cut their sources.
+STRETCH = 1 << 20
+
+
+def last_seen(rows: DataFrame, value: Column, keys: list[str], position: str, name: str, to: int = 0, stretch: int | None = STRETCH) -> DataFrame:
+    """Adds ``name``: the last non-null ``value`` of the same keys, up to the row ``to`` places off.
+
+    A scan in segments: windows look no further than a stretch of positions, and the last value
+    of each stretch is carried to the later ones, so the rows of one source are shared by tasks.
+    Null keys are a source of their own; rows without a position come before all others.
+    """
+    placed = rows.withColumn("_told", value).withColumn("_at", F.coalesce(F.col(position), F.lit(-(2**40))))
+    return _last_before(placed, "_told", keys, "_at", to, stretch).drop("_told", "_at").withColumnRenamed("_seen", name)
+
+
 def _last_before(rows: DataFrame, value: str, keys: list[str], position: str, to: int, stretch: int | None) -> DataFrame:
     """Adds ``_seen``: the last non-null value of the same keys, up to the row ``to`` places off."""
     if stretch is None:

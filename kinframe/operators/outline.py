@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import rules
 from kinframe.functions import text as T
-from kinframe.operators.asof import asof_parent
+from kinframe.operators.asof import STRETCH, asof_parent, last_seen
 from kinframe.operators.tables import cut, filled, first_known
 
 ENTRY = r"^\s*(\d+)\.\s+(.*\S)\s*$"
 HEADER = r"^(Ancestors of|Exported from)\b"
 
 
-def stitch(lines: DataFrame, entry: str = ENTRY, header: str = HEADER) -> DataFrame:
+def stitch(lines: DataFrame, entry: str = ENTRY, header: str = HEADER, stretch: int | None = STRETCH) -> DataFrame:
     """(src, pos, line) to occurrences (src, pos, gen, raw_text).
 
     A line that matches ``entry`` opens an occurrence; later lines are appended with a
-    blank; blank lines, headers and lines before the first entry are dropped.
+    blank; blank lines, headers and lines before the first entry are dropped. Each line finds
+    the last entry at or before it; ``stretch`` positions of a source are one task's at a time,
+    and an entry may go on over any number of them.
     """
     kept = lines.where((F.trim("line") != "") & ~F.col("line").rlike(header))
-    running = Window.partitionBy("src").orderBy("pos")
-    opened = kept.withColumn("opens", F.col("line").rlike(entry)).withColumn("grp", F.sum(F.col("opens").cast("int")).over(running))
+    marked = kept.withColumn("opens", F.col("line").rlike(entry))
+    opened = last_seen(marked, F.when(F.col("opens"), F.col("pos")), ["src"], "pos", "grp", stretch=stretch)
     part = F.struct("pos", F.when(F.col("opens"), F.regexp_extract("line", entry, 2)).otherwise(F.trim("line")).alias("t"))
-    grouped = opened.where("grp > 0").groupBy("src", "grp").agg(
+    grouped = opened.where("grp IS NOT NULL").groupBy("src", "grp").agg(
         F.min("pos").alias("pos"),
         F.max(F.when(F.col("opens"), F.regexp_extract("line", entry, 1).cast("int"))).alias("gen"),
         F.array_sort(F.collect_list(part)).alias("parts"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.functions import text as T
+from kinframe.operators.asof import STRETCH, last_seen
 
 # ---- fixed values -----------------------------------------------------------
 
@@ -85,7 +86,7 @@ def clean_name(raw: Column, is_late: Column) -> Column:
     return F.when(is_late & (name == F.upper(name)) & (F.length(name) > 2), F.initcap(F.lower(name))).otherwise(name)
 
 
-def entries(volumes: DataFrame, only_short_months: bool = False) -> DataFrame:
+def entries(volumes: DataFrame, only_short_months: bool = False, stretch: int | None = STRETCH) -> DataFrame:
     """Entries of whole volumes (src, value).
 
     A volume is late if more late than early entry marks are found. A character that
@@ -101,8 +102,7 @@ def entries(volumes: DataFrame, only_short_months: bool = False) -> DataFrame:
     header = F.filter(header, lambda y: y.between(1490, 1620))
     line = F.transform(F.filter(F.split("piece", "\n"), lambda x: x.rlike(YEAR_LINE)), lambda x: F.trim(x).try_cast("int"))
     last_year = F.coalesce(F.try_element_at(line, F.lit(-1)), F.try_element_at(header, F.lit(-1)))
-    before = Window.partitionBy("src").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = pieces.withColumn("year", F.last(last_year, ignorenulls=True).over(before))
+    rows = last_seen(pieces, last_year, ["src"], "pos", "year", to=-1, stretch=stretch)
     head = F.when(F.col("is_late"), F.lit(r"^\s*(\d{1,5})\s*[.,]\s+")).otherwise(F.lit(r"^\s*(\d{1,5})\s*[.·]\s*[—\-–]"))
     number = F.when(F.col("is_late"), F.regexp_extract("piece", r"^\s*(\d{1,5})\s*[.,]\s+", 1)).otherwise(F.regexp_extract("piece", r"^\s*(\d{1,5})\s*[.·]\s*[—\-–]", 1)).try_cast("int")
     rows = rows.withColumn("num", number).where("num IS NOT NULL").withColumn("joined", join_lines(F.regexp_replace(F.col("piece"), head, F.lit(""))))

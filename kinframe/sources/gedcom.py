@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinframe.functions import text as T
+from kinframe.operators.asof import STRETCH, last_seen
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Lines with level, tag, value, the record they belong to and the tag of level 1 above."""
+def _records(lines: DataFrame, stretch: int | None = STRETCH) -> DataFrame:
+    """Lines with level, tag, value, the record they belong to and the tag of level 1 above.
+
+    A file is shared by tasks in stretches of its positions; records may span them.
+    """
     line = F.regexp_replace(F.regexp_replace("line", "﻿", ""), r"[\r\n]+$", "")
     parts = F.split(line, " ", 3)
     rows = lines.withColumn("level", F.get(parts, F.lit(0)).try_cast("int")).withColumn("tag", F.get(parts, F.lit(1))).withColumn("val", F.trim(F.coalesce(F.get(parts, F.lit(2)), F.lit(""))))
     rows = rows.where("level IS NOT NULL AND tag IS NOT NULL")
-    so_far = Window.partitionBy("src").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     opens = (F.col("level") == 0) & F.col("tag").startswith("@") & F.col("val").isin("INDI", "FAM")
     # a level-0 line of any other kind closes the record: an empty id stands for none
     rid = F.when(opens, F.struct(F.col("tag").alias("id"), F.col("val").alias("kind"))).when(F.col("level") == 0, F.struct(F.lit("").alias("id"), F.lit("").alias("kind")))
-    rows = rows.withColumn("rec", F.last(rid, ignorenulls=True).over(so_far)).where("rec.id <> ''")
+    rows = last_seen(rows, rid, ["src"], "pos", "rec", stretch=stretch).where("rec.id <> ''")
     in_record = Window.partitionBy("src", "rec.id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("top", F.last(F.when(F.col("level") == 1, F.col("tag")), ignorenulls=True).over(in_record))
 

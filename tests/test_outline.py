@@ -121,3 +121,34 @@ def test_long_sources_are_shared_by_stretches(spark):
     for stretch in (1, 7, 300, 10**6):
         assert sorted(asof_parent(df, stretch=stretch).collect(), key=repr) == sorted(asof_parent(df).collect(), key=repr)
         assert sorted(asof_header(df, head, stretch=stretch).collect(), key=repr) == sorted(asof_header(df, head).collect(), key=repr)
+
+
+def test_records_span_stretches(spark):
+    """Outlines, GEDCOM files and catalogues give the same however their sources are cut."""
+    import random
+
+    from kinframe.sources import catalogue, gedcom
+
+    rng = random.Random(3)
+    rows = [(s, i, rng.choice(["1. Ana", "2. Luis b. 1870", "goes on", "", "  and on", "Ancestors of x", "14. Rosa"])) for s in ("a", "b", None) for i in range(120)]
+    lines = spark.createDataFrame(rows, "src string, pos long, line string")
+    want = sorted(outline.stitch(lines, stretch=None).collect(), key=repr)
+    assert len(want) > 50
+    for stretch in (1, 7, 50):
+        assert sorted(outline.stitch(lines, stretch=stretch).collect(), key=repr) == want
+    tags = ["0 @I{}@ INDI", "1 NAME N{}", "1 BIRT", "2 DATE 19{}", "0 TRLR", "1 DEAT", "0 @F{}@ FAM"]
+    ged = spark.createDataFrame([(s, i, rng.choice(tags).format(rng.randrange(10, 40))) for s in ("a", "b") for i in range(150)], "src string, pos long, line string")
+    told = lambda stretch: sorted((repr(r) for r in gedcom._records(ged, stretch).collect()))
+    assert told(None) == told(1) == told(9) and len(told(None)) > 50
+    volume = "AÑO 1534\n" + "\n".join(f"{i}. — Juan Ficticio, natural de Soria, a la Nueva España. — 4 octubre" + ("\nAÑO 15%02d" % (i % 90 + 1) if i % 5 == 0 else "") for i in range(1, 60))
+    volumes = spark.createDataFrame([("v1", volume), ("v2", volume[:900])], "src string, value string")
+    told = lambda stretch: sorted(repr(r) for r in catalogue.entries(volumes, stretch=stretch).collect())
+    assert told(None) == told(1) == told(8) and len({r.year for r in catalogue.entries(volumes).collect()}) > 5
+
+
+def test_one_long_source_uses_many_tasks(spark):
+    """A source of 400,000 lines is cut into stretches: no task holds them all."""
+    lines = spark.range(400_000).selectExpr("'one' AS src", "id AS pos", "if(id % 10 = 0, concat(1 + id % 7, '. Person ', id), 'more') AS line")
+    whole = outline.stitch(lines, stretch=20_000)
+    assert whole.count() == 40_000
+    assert whole.agg(F.min(F.length("raw_text")), F.countDistinct("pos")).first()[1] == 40_000
