@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kinframe.operators import graph, linking, merge, outline
+from kinframe.operators import deep, graph, linking, merge, outline
 from kinframe.operators.tables import work_dir
 from kinframe.plans.catalog import query
 from kinframe.plans.relations import OUTLINE, oracle, relation
@@ -128,3 +128,36 @@ def _bucket_master(spark, sf):
         least = lambda a, b: merge.merge_nodes(a.withColumn("file_ord", F.lit(0)).unionByName(b.withColumn("file_ord", F.lit(1))), gen="min").select(a.columns)
         store.commit(n, {"nodes": buckets.Change(nodes, F.regexp_extract("key", r"^(.*)\\|", 1), least)})
     return store.read("nodes").select("key", "gen", "mult")
+
+
+#: Lines of 100; the last of a line has two parents who begin lines of their own, and every third couple
+#: shares one with the next line: the depth is 100 times the logarithm of the number of lines.
+LONG = """
+SELECT CAST(p_partkey + 1 AS BIGINT) AS s, CAST(p_partkey AS BIGINT) AS t FROM {part} WHERE p_partkey % 100 <> 99 AND p_partkey + 1 < (SELECT COUNT(*) FROM {part})
+UNION SELECT s, t FROM (
+  SELECT CAST(100 * (2 * ((p_partkey - p_partkey % 100) / 100) + k) AS BIGINT) AS s, CAST(p_partkey AS BIGINT) AS t FROM {part}
+  CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) AS y WHERE p_partkey % 100 = 99 AND (k < 3 OR p_partkey % 300 = 99)
+) AS x WHERE s < (SELECT COUNT(*) FROM {part})
+"""
+
+WITH_LONG = f"WITH RECURSIVE l AS ({oracle(LONG)})"
+
+
+@query("deep_bfs", f"""{WITH_LONG}, b(id, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT l.s, b.depth + 1 FROM b JOIN l ON l.t = b.id),
+m AS (SELECT id, min(depth) AS depth FROM b GROUP BY id)
+SELECT m.id, m.depth, min(p.id) AS pred FROM m LEFT JOIN l ON l.s = m.id LEFT JOIN m p ON p.id = l.t AND p.depth = m.depth - 1 GROUP BY m.id, m.depth""")
+def _deep_bfs(spark, sf):
+    return deep.deep_bfs(relation(spark, sf, LONG), spark.createDataFrame([(0,)], "id long"))
+
+
+@query("deep_ranks", f"""{WITH_LONG}, b(id, rank) AS (SELECT p_partkey, CAST(0 AS BIGINT) FROM part WHERE p_partkey NOT IN (SELECT t FROM l) UNION SELECT l.t, b.rank + 1 FROM b JOIN l ON l.s = b.id)
+SELECT id, max(rank) AS rank, false AS cyclic FROM b GROUP BY id""")
+def _deep_ranks(spark, sf):
+    return deep.deep_ranks(relation(spark, sf, "SELECT CAST(p_partkey AS BIGINT) AS id FROM {part}"), relation(spark, sf, LONG))
+
+
+@query("deep_counts", f"""{WITH_LONG}, b(id, depth, ways) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS HUGEINT)
+  UNION ALL SELECT l.s, b.depth + 1, CAST(sum(b.ways) AS HUGEINT) FROM b JOIN l ON l.t = b.id GROUP BY l.s, b.depth + 1)
+SELECT id, depth, CAST(ways AS BIGINT) AS ways FROM b WHERE depth > 0""")
+def _deep_counts(spark, sf):
+    return deep.deep_counts(relation(spark, sf, LONG), 0)
