@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import time
 from collections.abc import Callable, Sequence
@@ -49,17 +50,48 @@ def queries_for(house: Column, slug: Column) -> Column:
     return F.array(*(F.concat(F.lit(h), words) for h in HEADS), F.concat(F.lit("coat of arms "), house), house)
 
 
+#: A row of a cache. A null url is a search without result; files of caches that hold less are read with nulls.
+CACHE = "slug string, url string, found boolean, title string, source string, caption string, score int"
+_TOLD = ("found", "score", "url", "title", "source", "caption")
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row per slug: a result before none, then the best score, then by value."""
+    return rows.groupBy("slug").agg(F.max(F.struct(*_TOLD)).alias("best")).select("slug", "best.url", "best.found", "best.title", "best.source", "best.caption", "best.score")
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, url, found) of a cache, one row per slug; an absent one is empty. A null url is a search without result."""
-    schema = "slug string, url string, found boolean"
+    """The rows of a cache (``CACHE``), one per slug; an absent one is empty."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(path)
-    return rows.groupBy("slug").agg(F.max_by("url", "found").alias("url"), F.max("found").alias("found"))
+        return spark.createDataFrame([], CACHE)
+    return _one_each(spark.read.schema(CACHE).parquet(path))
+
+
+def slots(rate: float) -> Callable[[], None]:
+    """A wait for the next request of this task, of ``rate`` a second among all tasks of its barrier stage.
 
+    Time is dealt in slots of 1 / rate, in turn to the tasks, counted from the moment at which
+    all have met; so no clocks are compared. A request waits for its task's next slot; slots
+    that went by meanwhile are lost, never made up for.
+    """
+    from pyspark import BarrierTaskContext
+
+    context = BarrierTaskContext.get()
+    many, mine = len(context.getTaskInfos()), context.partitionId()
+    context.barrier()
+    began, turn = time.monotonic(), -1
+
+    def wait() -> None:
+        nonlocal turn
+        passed = (time.monotonic() - began) * rate
+        turn = max(turn + 1, math.ceil((passed - mine) / many))
+        time.sleep(max(0.0, began + (turn * many + mine) / rate - time.monotonic()))
 
-def best_of(house: str, slug: str, queries: Sequence[str], wikis: Sequence[Client], delay: float, failures: type | tuple = OSError) -> tuple[str | None, str | None, int, int, int]:
+    return wait
+
+
+def best_of(house: str, slug: str, queries: Sequence[str], wikis: Sequence[Client], delay: float, failures: type | tuple = OSError, wait: Callable[[], None] = lambda: None) -> tuple[str | None, str | None, int, int, int]:
     """Title, url and score of the best file, its wiki's number, and how many requests failed.
 
     Each wiki is asked its share of the searches until a result reaches ``STOP``; a later
@@ -71,6 +103,7 @@ def best_of(house: str, slug: str, queries: Sequence[str], wikis: Sequence[Clien
         if k and best[2] >= FALL_BACK:
             break
         for q in queries[: ASKED[min(k, 1)]]:
+            wait()
             try:
                 hits = client(q)
             except failures:  # a failed request is an empty one; any other error is the client's bug
@@ -85,26 +118,39 @@ def best_of(house: str, slug: str, queries: Sequence[str], wikis: Sequence[Clien
     return (*best, failed) if best[2] >= ACCEPT else (None, None, best[2], -1, failed)
 
 
-def lookup(houses: DataFrame, cache: DataFrame, client: Client | Sequence[Client], delay: float = 0.0) -> DataFrame:
-    """Search the houses (house, slug) missing from the cache; (slug, title, url, score, wiki, failed).
+def lookup(houses: DataFrame, cache: DataFrame, client: Client | Sequence[Client], delay: float = 0.0, rate: float | None = None, tasks: int = 4, sources: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Search the houses (house, slug) missing from the cache; (slug, title, url, score, wiki, failed, source, caption).
 
     ``client(query)`` returns (title, url) pairs and is called on the executors; of
     several clients the later ones are fallbacks. A result needs a score of ``ACCEPT``.
-    ``delay`` is the pause after each request, in seconds; time-outs are the client's.
+    ``sources`` names the clients, each by a key and the title that ends captions (else
+    ``wiki0`` and so on). ``delay`` is the pause after each request, in seconds; time-outs
+    are the client's.
+
+    ``rate`` is the most requests a second of the whole cluster. The search is then one barrier
+    stage of ``tasks`` tasks that share the time (``slots``): as many cores must be free, and
+    the cluster may not allocate executors dynamically. A lost task begins the stage anew.
     """
     import pyarrow as pa
 
     wikis = [client] if callable(client) else list(client)
+    names = [*sources, *((f"wiki{k}", f"wiki{k}") for k in range(len(sources), len(wikis)))]
     todo = houses.join(cache.select("slug"), "slug", "left_anti").select("house", "slug", queries_for(F.col("house"), F.col("slug")).alias("queries"))
 
     def run(batches):
+        wait = slots(rate) if rate else lambda: None
         for batch in batches:
-            out = [(slug, *best_of(house, slug, queries, wikis, delay)) for house, slug, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["slug", "title", "url", "score", "wiki", "failed"])
+            out = []
+            for house, slug, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                best = best_of(house, slug, queries, wikis, delay, wait=wait)
+                told = (names[best[3]][0], f"Arms of the House of {house} — {names[best[3]][1]}") if best[1] else (None, None)
+                out.append((slug, *best, *told))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["slug", "title", "url", "score", "wiki", "failed", "source", "caption"])
 
-    return todo.mapInArrow(run, "slug string, title string, url string, score int, wiki int, failed int")
+    schema = "slug string, title string, url string, score int, wiki int, failed int, source string, caption string"
+    return todo.repartition(tasks).mapInArrow(run, schema, barrier=True) if rate else todo.mapInArrow(run, schema)
 
 
 def extend_cache(cache: DataFrame, found: DataFrame, keep_failed: bool = True) -> DataFrame:
@@ -113,11 +159,12 @@ def extend_cache(cache: DataFrame, found: DataFrame, keep_failed: bool = True) -
     Without ``keep_failed`` those whose requests failed are left out, to be asked again.
     """
     told = found if keep_failed else found.where("failed = 0 OR url IS NOT NULL")
-    rows = cache.unionByName(told.select("slug", "url", F.col("url").isNotNull().alias("found")))
-    return rows.groupBy("slug").agg(F.max_by("url", "found").alias("url"), F.max("found").alias("found"))
+    empty = cache.sparkSession.createDataFrame([], CACHE)
+    new = told.select("slug", "url", F.col("url").isNotNull().alias("found"), "title", "source", "caption", "score")
+    return _one_each(empty.unionByName(cache, allowMissingColumns=True).unionByName(new))
 
 
-def lookup_into(houses: DataFrame, path: str, client: Client | Sequence[Client], chunks: int = 16, delay: float = 0.0, keep_failed: bool = True) -> DataFrame:
+def lookup_into(houses: DataFrame, path: str, client: Client | Sequence[Client], chunks: int = 16, delay: float = 0.0, keep_failed: bool = True, rate: float | None = None, tasks: int = 4, sources: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """The cache at ``path`` after searching all houses that it lacks.
 
     Houses are searched in ``chunks`` parts by the hash of their slug; each part's results
@@ -126,6 +173,6 @@ def lookup_into(houses: DataFrame, path: str, client: Client | Sequence[Client],
     spark = houses.sparkSession
     for k in range(chunks):
         part = houses.where(F.pmod(F.xxhash64("slug"), F.lit(chunks)) == k).dropDuplicates(["slug"])
-        found = lookup(part, read_cache(spark, path), client, delay)
-        extend_cache(spark.createDataFrame([], "slug string, url string, found boolean"), found, keep_failed).write.mode("append").parquet(path)
+        found = lookup(part, read_cache(spark, path), client, delay, rate, tasks, sources)
+        extend_cache(spark.createDataFrame([], CACHE), found, keep_failed).write.mode("append").parquet(path)
     return read_cache(spark, path)

@@ -150,6 +150,44 @@ def test_the_cache_grows_part_by_part(spark, tmp_path):
     assert len(whole) == 20 and all(r.found for r in whole) and len(open(calls).readlines()) == 20 >= before
 
 
+def test_the_cache_keeps_what_a_page_shows(spark, tmp_path):
+    houses = spark.createDataFrame([("Lara", "lara"), ("Nadie", "nadie")], "house string, slug string")
+    path = str(tmp_path / "cache")
+    older = spark.createDataFrame([("old", "u0", True)], "slug string, url string, found boolean")
+    older.write.parquet(path)  # of a cache that held less
+    first, second = lambda q: [], lambda q: [("File:Escudo de Lara.svg", "u1")] if "lara" in q.lower() else []
+    search.lookup_into(houses, path, [first, second], chunks=2, sources=[("arms", "arms.example"), ("commons", "Commons")])
+    got = {r.slug: r for r in search.read_cache(spark, path).collect()}
+    assert set(got) == {"old", "lara", "nadie"} and (got["old"].url, got["old"].title) == ("u0", None)
+    lara = got["lara"]
+    assert (lara.title, lara.source, lara.caption, lara.found) == ("Escudo de Lara.svg", "commons", "Arms of the House of Lara — Commons", True)
+    assert lara.score == search.score_of("Escudo de Lara.svg", "Lara", "lara") and not got["nadie"].found and got["nadie"].source is None
+
+
+def test_all_tasks_share_one_rate(spark, tmp_path):
+    """Four tasks, each alone able to ask at once, keep the stated rate together."""
+    import time
+
+    houses = spark.createDataFrame([(f"House{i}", f"house{i}") for i in range(60)], "house string, slug string")
+    calls, rate = tmp_path / "calls", 20.0
+    calls.mkdir()
+
+    def ask(q):
+        from pyspark import TaskContext
+
+        with open(calls / str(TaskContext.get().partitionId()), "a") as f:
+            f.write(f"{time.monotonic()}\n")
+        return [(f"escudo {q.split()[-1]}.svg", q)]
+
+    found = search.lookup(houses, search.read_cache(spark, str(tmp_path / "none")), ask, rate=rate, tasks=4)
+    assert found.where("url IS NOT NULL").count() == 60
+    per_task = [[float(x) for x in f.read_text().split()] for f in calls.iterdir()]
+    at = sorted(t for own in per_task for t in own)
+    assert len(per_task) == 4 and len(at) == 60
+    for window in (0.25, 0.5, 1.0):
+        assert max(sum(t <= u < t + window for u in at) for t in at) <= window * rate + 4  # a late start may fall into the next slots
+
+
 def test_discover(spark, tmp_path):
     for name in ("Árbol Uno.txt", "b.pdf", "c.md"):
         (tmp_path / name).write_text("x")
