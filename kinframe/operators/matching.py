@@ -132,13 +132,17 @@ def branch(people: DataFrame, person_edges: DataFrame, start: str) -> DataFrame:
     """A person's ancestors with dense ids in breadth-first order (ged_id, gen, id)."""
     from kinframe.operators.outline import dense_ids
 
-    seen = cut(people.where(F.col("ged_id") == start).select("ged_id", F.lit(0).alias("gen")))
-    frontier, gen = seen, 0
-    while not frontier.isEmpty():
+    up = cut(person_edges.select(F.col("t").alias("ged_id"), "s").distinct())
+    frontier, many = cut_counted(people.where(F.col("ged_id") == start).select("ged_id", F.lit(0).alias("gen")).distinct())
+    seen, gen, written = frontier, 0, [up, frontier]
+    while many:
         gen += 1
-        up = frontier.join(person_edges.withColumnRenamed("t", "ged_id"), "ged_id").select(F.col("s").alias("ged_id")).distinct()
-        frontier = cut(up.join(seen.select("ged_id"), "ged_id", "left_anti").select("ged_id", F.lit(gen).alias("gen")))
+        found = frontier.join(up, "ged_id").select(F.col("s").alias("ged_id")).distinct()
+        frontier, many = cut_counted(found.join(seen.select("ged_id"), "ged_id", "left_anti").select("ged_id", F.lit(gen).alias("gen")))
+        written.append(frontier)
         seen = seen.unionByName(frontier)
+    seen = cut(seen)
+    drop(*written)
     return dense_ids(seen.withColumn("first_seen", F.struct("gen", "ged_id"))).drop("first_seen")
 
 

@@ -712,4 +712,4 @@ def _source_tags(spark, sf):
     return reports.tag_source(relation(spark, sf, PEOPLE), 1000).select("id", "source")
 
 
-from kinframe.plans import structure  # noqa: E402,F401  registers its queries
+from kinframe.plans import readers, structure  # noqa: E402,F401  register their queries

@@ -56,3 +56,20 @@ def test_batches_merge_like_one(spark):
     assert pick(whole) == pick(parts)
     assert {tuple(r) for r in whole[1].collect()} == {tuple(r) for r in parts[1].collect()}
     assert whole[0].agg(F.sum("mult")).first()[0] == len(rows)
+
+
+def test_outlines_come_back_from_files(spark):
+    """What was written as text is read as it was: every line in its source, at its place."""
+    from kinframe.plans.relations import OUTLINE, relation
+
+    columns = ["src", "pos", "gen", "name", "birth"]
+    want = relation(spark, SF, OUTLINE).select(columns).collect()
+    assert canon(tuple(r) for r in catalog.queries()["outline_files"](spark, SF).select(columns).collect()) == canon(tuple(r) for r in want)
+
+
+def test_graphs_come_back_from_files(spark):
+    from kinframe.plans.relations import PEOPLE, relation
+
+    columns = ["id", "name", "gen", "birth", "cat", "mult"]
+    want = relation(spark, SF, PEOPLE).select(columns).collect()
+    assert canon(tuple(r) for r in catalog.queries()["graph_files"](spark, SF).select(columns).collect()) == canon(tuple(r) for r in want)
