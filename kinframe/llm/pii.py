@@ -7,13 +7,16 @@ adds ``secret``, ``iban`` and ``ssn`` spans: a candidate segment of at most
 digit share, variety, known heads), of the words and marks around it, and by the labels
 of neighbouring segments (transition weights); dynamic programming over the tokens
 chooses boundaries and types jointly. The bound on an entity is in tokens alone: a run of
-word characters is one token however long it is, so no secret is too long.
+word characters is one token however long it is, so no secret is too long. What follows a
+telling name and a mark of assignment (``password =``) is one token too, whatever marks
+it has and however short it is: up to the closing quote, or else up to white space. So is
+a private key in PEM form, from its first mark to its last.
 
-Only neighbourhoods of *cores* are decoded, elsewhere "outside" is the only label: runs
-of at least ``MIN_CORE`` word characters with a digit or several changes from lower to
-upper case, whatever follows a telling name and a mark of assignment (``password =``),
-and groups of four as IBANs have. Letters in one case with no telling name before them
-look like any word and aren't candidates.
+Only neighbourhoods of *cores* are decoded, elsewhere "outside" is the only label: such
+values and keys, runs of at least ``MIN_CORE`` word characters with a digit or several
+changes from lower to upper case, and groups as spaced IBANs have; segments with blanks
+are candidates in that form alone. Letters in one case with no telling name before them
+look like any word and aren't candidates, nor are shorter runs without one.
 
 The weights are trained here, by stochastic gradient on the log-likelihood
 (forward-backward over segments and labels), on sentences generated by rule from
@@ -112,12 +115,16 @@ _SPACED = re.compile(r"\b[A-Z]{2}[0-9]{2} [0-9A-Z]{4} [0-9A-Z]{2}")
 _WITH_DIGIT = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+")
 _LETTERS = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z_+/-]{16,}+(?![0-9])")
 _TURN = re.compile(r"[a-z][A-Z]")
+_MARKS = re.compile(r"[^\sA-Za-z0-9_+/.-]+")
 _WORDY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
 _SYMBOLS, _DIGITS, _UPPER, _LOWER = (re.compile(x) for x in (r"[^A-Za-z0-9]+", r"[0-9]+", r"[A-Z]+", r"[a-z]+"))
-_SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "key", "pass", "bearer", "credential", "authorization")
+_SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "key", "pass", "kennwort", "bearer", "credential", "authorization")
 _CUES = (*_SECRET_CUES, "iban", "ssn", "account", "social", "security")
 _OTHER_CUES = ("commit", "sha", "md5", "checksum", "digest", "uuid", "hash", "etag", "revision", "blob", "order", "ref", "id")
-_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|credentials?)[\"']?[ \t]{0,3}(?:[:=]{1,2}|=>)[ \t]{0,3}[\"']?")
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwort|kennwort|passphrase|passcode|pwd|key|credentials?)[\"']?[ \t]{0,3}(?:[:=]{1,2}|=>)[ \t]{0,3}([\"']?)")
+_UNQUOTED = re.compile(r"(?:(?![&;,][\w.-]{1,40}[:=])\S)+")
+_PEM = re.compile(r"-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----")
+_GROUPS = re.compile(r"[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4})*(?: [0-9A-Z]{1,4})")
 _HEADS = ("AKI", "ASI", "ghp", "gho", "xox", "eyJ", "sk_", "sk-", "pk_", "AIz")  # fixed values: heads of well-known keys
 OUTSIDE = "outside"
 LABELS = (OUTSIDE, *ADDED)
@@ -128,14 +135,72 @@ def _shape(s: str) -> str:
     return out if len(out) <= 5 else "mixed" + "".join(sorted(set(out)))
 
 
-def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
+def values(text: str) -> list[tuple[int, int]]:
+    """Assigned values and private keys, in order and apart from each other; in linear time."""
+    keys, begin = [], -1
+    for m in _PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
+        if m.group(1) == "BEGIN":
+            begin = m.start()
+        elif begin >= 0:
+            keys.append((begin, m.end()))
+            begin = -1
+    out, at, low = keys, 0, text.lower()
+    if any(c in low for c in _SECRET_CUES):
+        out, k = [], 0
+        while m := _ASSIGNED.search(text, at):
+            a = at = m.end()
+            while k < len(keys) and keys[k][1] <= a:
+                k += 1
+            if k < len(keys) and keys[k][0] < a:
+                continue
+            line = text.find("\n", a) if m.group(1) else -1
+            b = text.find(m.group(1), a, line if line >= 0 else len(text)) if m.group(1) else -1
+            if b < 0:
+                b = a + len((found.group() if (found := _UNQUOTED.match(text, a)) else "").rstrip(".,;:)]}>\"'"))
+            b = min(b, keys[k][0]) if k < len(keys) else b
+            if a < b and text[a:b].strip():
+                out.append((a, b))
+                at = b
+        out = sorted(out + keys)
+    return out
+
+
+def tokenize(text: str, lo: int = 0, hi: int | None = None, whole: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Tokens between two places, with each value in ``whole`` as one."""
+    hi = len(text) if hi is None else hi
+    out: list[tuple[int, int]] = []
+    for a, b in (*(values(text) if whole is None else whole), (hi, hi)):
+        out += [(x + lo, y + lo) for x, y in (m.span() for m in _TOKEN.finditer(text[lo:a]))]
+        if a < b:
+            out.append((a, b))
+        lo = b
+    return out
+
+
+def surroundings(text: str, tokens: list[tuple[int, int]], i: int) -> tuple[str, bool, bool, str]:
+    """The cue before token i, whether it is right before it, another name, and the marks between."""
+    before = [text[a : min(b, a + 24)].lower() for a, b in tokens[max(0, i - 5) : i]]
+    marks = ""
+    while before and not before[-1][0].isalnum() and len(marks) < 3:
+        marks = before.pop()[0] + marks
+    words = [w for w in before if w[0].isalnum()][-3:]
+    cue = next((w for w in reversed(words) for c in _CUES if c in w), "")
+    told = next((c for c in _CUES if cue and c in cue), "")
+    close = bool(words) and any(c in words[-1] for c in _CUES)
+    return told, close, bool(words) and any(c in words[-1] for c in _OTHER_CUES) and not close, marks
+
+
+def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, about: tuple[str, bool, bool, str], value: bool) -> list[str]:
     """Features of the segment of tokens i..j-1 as a whole, and of its surroundings."""
-    s = text[tokens[i][0] : tokens[j - 1][1]]
+    a, b = tokens[i][0], tokens[j - 1][1]
+    s = text[a:b]
     solid = _SYMBOLS.sub("", s)
     n = len(solid)
     digits = n - len(_DIGITS.sub("", solid))
     kinds = set(solid)
-    if kinds <= frozenset("0123456789abcdef"):
+    if not n:
+        alphabet = "marks"
+    elif kinds <= frozenset("0123456789abcdef"):
         alphabet = "digits" if digits == n else "hex"
     elif kinds <= frozenset("0123456789ABCDEF"):
         alphabet = "HEX"
@@ -143,20 +208,13 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> l
         alphabet = "upper" if digits else "UPPER"
     else:
         alphabet = ("lower" if digits else "letters") if solid == solid.lower() else "mixed" if digits else "Letters"
-    before = [text[a : min(b, a + 24)].lower() for a, b in tokens[max(0, i - 5) : i]]
-    marks = ""
-    while before and not before[-1][0].isalnum() and len(marks) < 3:
-        marks = before.pop()[0] + marks
-    words = [w for w in before if w[0].isalnum()][-3:]
-    cue = next((w for w in reversed(words) for c in _CUES if c in w), "")
-    told = next((c for c in _CUES if cue and c in cue), "")
-    close = bool(words) and any(c in words[-1] for c in _CUES)
-    other = bool(words) and any(c in words[-1] for c in _OTHER_CUES) and not close
+    told, close, other, marks = about
+    assigned = close and marks[:1] in ("=", ":")
     groups = s.replace("-", " ").replace(".", " ").split()
-    head = s[:3] if s[:3] in _HEADS else ""
-    a, b = tokens[i][0], tokens[j - 1][1]
+    head = "PEM" if s.startswith("-----BEGIN") else s[:3] if s[:3] in _HEADS else ""
     goes_on = text[b : b + 1] in (".", "-") and text[b + 1 : b + 2].isalnum() or a > 1 and text[a - 1] in ".-" and text[a - 2].isalnum()
     size = min(n, 48) // 4
+    inner = sum(map(len, _MARKS.findall(s))) if value and len(s) < 200 else 0
     return [
         "bias",
         f"shape {_shape(s)}",
@@ -166,15 +224,18 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> l
         f"digits {round(4 * digits / max(1, n))}" if alphabet not in ("hex", "HEX") else "digits hex",
         f"variety {min(5, len(kinds) // 4)}",
         f"tokens {j - i}",
-        f"groups {len(groups)} {len(groups[0]) if len(groups) > 1 else 0}",
+        f"groups {min(9, len(groups))} {min(9, len(groups[0])) if len(groups) > 1 else 0}",
         f"start {_shape(solid[:4]) if solid[:1].isupper() else ''} {alphabet}",
         f"head {head}",
         f"goes on {goes_on} {head}",
         f"cue {told}",
         f"cue and marks {close} {marks}",
         f"cue, marks and alphabet {close} {marks[:1]} {alphabet}",
-        f"cue, assignment and alphabet {told} {close and marks[:1] in ('=', ':')} {alphabet}",
+        f"cue, assignment and alphabet {told} {assigned} {alphabet}",
         f"other cue {other} {alphabet}",
+        f"value {value} {alphabet} {size} {told in ('key', 'token', 'secret')}",
+        f"marks inside {min(inner, 3)} {alphabet} {value}",
+        f"blanks {value} {' ' in s}",
     ]
 
 
@@ -183,22 +244,29 @@ class SemiCrf:
 
     def __init__(self) -> None:
         self.weights: dict[tuple[str, str], float] = {}
+        self._rows: dict[str, list[float]] = {}
+        self._rows_of: object = None
 
     @staticmethod
-    def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-        """Segments that may be entities, with their features."""
+    def candidates(text: str, tokens: list[tuple[int, int]], whole: frozenset[tuple[int, int]] = frozenset()) -> list[tuple[int, int, list[str]]]:
+        """Segments that may be entities, with their features; tokens in ``whole`` are assigned values."""
         out = []
-        for i, (a, _) in enumerate(tokens):
-            if not text[a].isalnum():
+        for i, (a, b) in enumerate(tokens):
+            value = (a, b) in whole
+            if not (value or text[a].isalnum()):
                 continue
+            about = None
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
                 c, d = tokens[j - 1]
                 gap = c - tokens[j - 2][1] if j - 1 > i else 0
-                mark = not text[c].isalnum()
+                mark = not text[c].isalnum() and j > i + 1
                 if gap > 1 or mark and (text[c] not in "-." or gap or j == len(tokens) or text[c] == "." and tokens[j][0] != d):
                     break
-                if not mark and d - a >= MIN_CORE and (j == i + 1 or _DIGIT.search(text, a, d)):
-                    out.append((i, j, span_features(text, tokens, i, j)))
+                if gap and not _GROUPS.fullmatch(text, a, d):
+                    break
+                if value and j == i + 1 or not mark and d - a >= MIN_CORE and (j == i + 1 or _DIGIT.search(text, a, d)):
+                    about = about or surroundings(text, tokens, i)
+                    out.append((i, j, span_features(text, tokens, i, j, about, value and j == i + 1)))
         return out
 
     def score(self, label: str, features: list[str]) -> float:
@@ -209,12 +277,16 @@ class SemiCrf:
         """Weights of label pairs, previous label first."""
         return [[self.weights.get((y, f"after {x}"), 0.0) for y in LABELS] for x in LABELS]
 
-    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
+    def decode(self, text: str, tokens: list[tuple[int, int]], whole: frozenset[tuple[int, int]] = frozenset()) -> list[Span]:
         """The best segmentation and labels: entities among the tokens."""
         ending: dict[int, list] = {}
-        for i, j, features in self.candidates(text, tokens):
-            for y, label in enumerate(ADDED, 1):
-                s = self.score(label, features)
+        if self._rows_of is not self.weights:
+            names = {f for _, f in self.weights}
+            self._rows = {f: [self.weights.get((y, f), 0.0) for y in ADDED] for f in names}
+            self._rows_of = self.weights
+        get, none = self._rows.get, [0.0] * len(ADDED)
+        for i, j, features in self.candidates(text, tokens, whole):
+            for y, s in enumerate(map(sum, zip(*(get(f, none) for f in features), strict=True)), 1):
                 if s > -20:
                     ending.setdefault(j, []).append((i, y, s))
         if not ending:
@@ -245,8 +317,9 @@ class SemiCrf:
         squares: dict[tuple[str, str], float] = {}
         lattices = []
         for text, gold in examples:
-            tokens = [m.span() for m in _TOKEN.finditer(text)]
-            segments = self.candidates(text, tokens)
+            whole = values(text)
+            tokens = tokenize(text, whole=whole)
+            segments = self.candidates(text, tokens, frozenset(whole))
             wanted = {(a, b): LABELS.index(y) for y, a, b in gold}
             truth = [wanted.get((tokens[i][0], tokens[j - 1][1]), 0) for i, j, _ in segments]
             lattices.append((len(tokens), segments, truth))
@@ -321,7 +394,19 @@ def training_sentences(count: int = 1000, seed: int = 11) -> list[tuple[str, lis
         return made if _DIGIT.search(made) else digit_in(make)
 
     def secret() -> tuple[str, str, str]:
-        form = rng.randrange(8)
+        form = rng.randrange(12)
+        if form == 8:  # a key in PEM form
+            kind = pick(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
+            lines = "\n".join(some(every + "+/", 64) for _ in range(rng.randint(1, 6)))
+            return pick(("", "", "key = \"", "private_key: ")), f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----", ""
+        if form > 8:  # short, or with marks
+            body = some(every, rng.randint(3, 12)) + some("0123456789", rng.randint(1, 4))
+            body = word() + some("0123456789", rng.randint(1, 4)) if rng.random() < 0.4 else body
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randint(0, len(body) - 1)
+                body = body[:at] + pick("!@#$%^&*?~=|(") + body[at:]
+            name, quote = pick(("password", "passwd", "pwd", "passwort", "kennwort", "passphrase", "secret", "db_password", "user_pwd")), pick(('"', "'", "", ""))
+            return f"{name}{pick(('=', ': ', ' = ', ':'))}{quote}", body, quote
         if form == 0:
             return "", pick("AG") + pick("KS") + "I" + pick("AP") + digit_in(lambda: some(uppers, 16)), ""
         if form == 1:
@@ -355,6 +440,8 @@ def training_sentences(count: int = 1000, seed: int = 11) -> list[tuple[str, lis
             lambda: f"{rng.randint(1000000, 99999999)} {word()}", lambda: f"{word()}{word()}{rng.randint(1000, 9999)}",
             lambda: pick(("", "commit ", "sha256 ", "md5: ", "checksum ", "revision ")) + digest(), lambda: pick(("", "uuid ", "id=")) + "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12)),
             lambda: f"{cue()} {word()}{pick(('ation', 'ing', 'ed', 'ment'))}", lambda: f"{cue()}{pick((': ', ' = ', '='))}{pick(('required', 'none', 'null', 'invalid', 'optional', 'disabled', 'unchanged', 'incorrect'))}",
+            lambda: f"{cue()}{pick((': ', ' = ', '='))}{word()[:8]}", lambda: f'{cue()}{pick((": ", " = ", "="))}"{" ".join(word() for _ in range(rng.randint(1, 6)))}"'.replace('"', pick(('"', "'"))), lambda: f"{cue()}: {pick(('(', '[', '$', '%', '<', '{'))}{word()}{pick((')', ']', '}', '>', ''))}", lambda: f"{cue()}{pick((': ', '=', ' = '))}{pick(('${', '{{', '$', '%'))}{word().upper()}{pick(('', '_' + word().upper()))}{pick(('}', '}}', '%', ''))}", lambda: f"{pick(('Key', 'key', 'token', 'Password'))}{pick((': ', ' = '))}{pick((some(uppers[:26], rng.randint(1, 3)), word().title(), word().upper()))}",
+            lambda: f"{pick(('key', 'sort_key', 'foreign key'))}{pick((': ', '='))}{pick((word() + '_id', str(rng.randint(1, 9999)), word() + '.' + word()))}",
             lambda: f"{word()}{rng.randint(1, 99)}.{word()}.com", lambda: f"{word()}.{rng.randint(2000, 2030)}.pdf", lambda: f"{rng.randint(1, 999)}.{some('0123456789', 6)}", lambda: f"{word()}{word().title()}{word().title()}{pick(('', '2'))}",
             lambda: f"{word()}{word()}{word()}", lambda: f"https://{word()}.org/{word()}/{rng.randint(1000, 99999999)}",
         ))()
@@ -382,7 +469,7 @@ def trained() -> dict[tuple[str, str], float]:
     return {k: w for k, w in model.weights.items() if abs(w) > 1e-3}
 
 
-def _cores(text: str) -> list[tuple[int, int]]:
+def _cores(text: str, whole: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Merged neighbourhoods of the places where an entity can be."""
     n = len(text)
     found: list[tuple[int, int]] = []
@@ -390,13 +477,7 @@ def _cores(text: str) -> list[tuple[int, int]]:
         found += [m.span() for m in _WITH_DIGIT.finditer(text) if m.end() - m.start() >= MIN_CORE]
         found += [(m.start(), min(n, m.end() + 40)) for m in _SPACED.finditer(text)]
     found += [m.span() for m in _LETTERS.finditer(text) if len(_TURN.findall(text, m.start(), m.end())) > 2]
-    low = text.lower()
-    if any(c in low for c in _SECRET_CUES):
-        for m in _ASSIGNED.finditer(text):
-            b = m.end()
-            while b < n and text[b] in _WORDY:
-                b += 1
-            found.append((m.start(), b))
+    found += whole
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         lo, hi = max(0, a - AROUND), min(n, b + AROUND)
@@ -414,9 +495,14 @@ def _cores(text: str) -> list[tuple[int, int]]:
 def added_spans(text: str, model: SemiCrf, base: list[Span]) -> list[Span]:
     """Spans that the model adds beside the base spans."""
     out: list[Span] = []
-    for lo, hi in _cores(text):
-        tokens = [(a + lo, b + lo) for a, b in (m.span() for m in _TOKEN.finditer(text[lo:hi]))]
-        out += model.decode(text, tokens)
+    whole = values(text)
+    within, at = frozenset(whole), 0
+    for lo, hi in _cores(text, whole):
+        upto = at
+        while upto < len(whole) and whole[upto][1] <= hi:
+            upto += 1
+        out += model.decode(text, tokenize(text, lo, hi, whole[at:upto]), within)
+        at = upto
     if not out or not base:
         return out
     begins = [a for _, a, _ in base]
