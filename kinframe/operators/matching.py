@@ -151,20 +151,28 @@ def surname_matches(entries: DataFrame, surnames: DataFrame, text: Column) -> Da
 
     A key may have several words or marks between them. It is an equi join of the entry's
     runs of as many words as keys have (the few lengths that occur), never a theta join;
-    what meets is held against the key with its marks, between word boundaries.
+    what meets is held against the key with its marks, between word boundaries. Runs carry
+    the number of their entry alone, and only what meets is joined with the entries again:
+    a text is moved once, not once per word.
     """
     word = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
     keys = surnames.select("surname", "display", "priority", T.norm_voyage(F.col("surname")).alias("_key")).withColumn("_words", word(F.col("_key"))).where(F.size("_words") > 0)
-    keys = keys.withColumn("_run", F.array_join("_words", " ")).dropDuplicates(["_key", "display"])
-    lengths = sorted(r[0] for r in keys.select(F.size("_words")).distinct().collect())
-    rows = entries.withColumn("_text", T.norm_voyage(text)).withColumn("_words", word(F.col("_text")))
+    keys = cut(keys.withColumn("_run", F.array_join("_words", " ")).dropDuplicates(["_key", "display"]))
+    plain = F.col("_key").rlike(r"(?U)^\w+$")
+    kinds = keys.select(F.size("_words"), plain).distinct().collect()
+    lengths = sorted({n for n, _ in kinds})
+    # written once, so that both joins speak of the same numbers
+    rows = cut(entries.withColumn("_id", F.monotonically_increasing_id()))
+    worded = rows.select("_id", word(T.norm_voyage(text)).alias("_words"))
 
     def runs(n: int) -> Column:
         begin = F.sequence(F.lit(1), F.size("_words") - n + 1)
         return F.when(F.size("_words") >= n, F.transform(begin, lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     runs_of = F.col("_words") if lengths == [1] else F.concat(*(runs(n) for n in lengths)) if lengths else F.array().cast("array<string>")
-    met = rows.withColumn("_run", F.explode(F.array_distinct(runs_of))).drop("_words").join(keys.drop("_words"), "_run")
-    plain = F.col("_key").rlike(r"(?U)^\w+$")
-    bounded = F.concat(F.lit(r"(?U)\b\Q"), F.col("_key"), F.lit(r"\E\b"))
-    return met.where(plain | F.regexp_like("_text", bounded)).drop("_run", "_key", "_text")
+    met = worded.select("_id", F.explode(F.array_distinct(runs_of)).alias("_run")).join(keys.drop("_words"), "_run")
+    found = rows.join(met, "_id")
+    if not all(alone for _, alone in kinds):
+        bounded = F.concat(F.lit(r"(?U)\b\Q"), F.col("_key"), F.lit(r"\E\b"))
+        found = found.where(plain | F.regexp_like(T.norm_voyage(text), bounded))
+    return found.drop("_id", "_run", "_key")

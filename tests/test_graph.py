@@ -252,3 +252,17 @@ def test_duplicate_clusters_by_a_sequential_model(spark):
     nodes = spark.createDataFrame(people, "id long, name string, gen int, birth int")
     got = reports.duplicate_clusters(nodes, spark.createDataFrame([(1, 2)], "s long, t long")).collect()
     assert {(r.gen, tuple(r.ids)) for r in got} == want and all(r.is_orphan != (1 in r.ids or 2 in r.ids) for r in got)
+
+
+def test_surnames_move_texts_once(spark):
+    """The rows made of words carry no texts."""
+    import re
+
+    from kinframe.operators.matching import surname_matches
+
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200)) + " lara") for i in range(20)], "i int, text string")
+    got = surname_matches(rows, spark.createDataFrame([("lara", "Lara", 1), ("l'or", "L'Or", 1)], "surname string, display string, priority int"), F.col("text"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = plan[next(i for i, line in enumerate(plan) if "Generate explode" in line) + 1]
+    assert "Project" in below and not re.search(r"(\[|, )_?text#\d+(,|\])", below)
+    assert sorted((r.i, r.display) for r in got.collect()) == [(i, "Lara") for i in range(20)]
