@@ -5,7 +5,7 @@ whole sequences, the first piece being the shorter one. The pieces are dealt at
 groups of bounded size. In each group a best-fit packing of the pieces by falling length is
 improved by swap-based local search: from the emptiest bins pieces are moved, exchanged one for
 one, or two for one (either way) with fuller bins, always so that the sum of the squared fills
-grows, until bins are empty and go. The bins that are not full are then dealt into new groups,
+grows, until bins are empty and go; all pieces and pairs of the two bins are tried. The bins that are not full are then dealt into new groups,
 so that room that is left over in one group meets that of others, until a round empties hardly
 any bin; within a round every group is a task of its own, whatever the number of documents.
 
@@ -32,7 +32,7 @@ from kinframe.llm.token_store import _library
 
 #: Pieces of a group, on average.
 GROUP = 4096
-#: Emptiest bins from which a search takes pieces before it gives up.
+#: The search ends when so many of the emptiest bins have no step; each is tried with all its pieces and pairs against all bins.
 DONORS = 6
 #: A further round is made if the last one emptied one in so many bins.
 WORTH = 2000
@@ -121,40 +121,62 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, donors: int =
         stuck.clear()
 
 
+def _pairs(where: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All pairs of neighbours in ``where`` (sorted, as are the sizes in it), as rows of two places; a size counts twice at most."""
+    kept = np.flatnonzero(np.r_[[True] * min(2, len(size)), (where[2:] != where[:-2]) | (size[2:] != size[:-2])])
+    own, found = where[kept], []
+    for lag in range(1, len(kept)):
+        same = np.flatnonzero(own[lag:] == own[:-lag])
+        if not len(same):
+            break
+        found.append(np.stack([kept[same], kept[same + lag]], 1))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
+def _sizes(parts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different sums of the rows of pieces, rising, and a row for each."""
+    size, first = np.unique(lengths[parts].sum(1), return_index=True)
+    return size, parts[first]
+
+
 def _step(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, left: np.ndarray, donor: int):
-    """(pieces out, pieces back, bin) of the step that adds most to the squared fills, or None."""
-    own = np.flatnonzero(bins == donor)
-    # other bins' pieces that may come back, one or two of a bin; their bins have room
-    other = np.flatnonzero((bins != donor) & (left[bins] > 0))
-    if not len(other):
+    """(pieces out, pieces back, bin) of the step to a bin with room that adds most to the squared fills, or None.
+
+    All pieces and all pairs count. For what comes back from a bin the largest net that has room
+    there gains most, so the sizes that the donor can give are searched, not tried one by one.
+    """
+    target = (fill > 0) & (left > 0)
+    target[donor] = False
+    to = np.flatnonzero(target)
+    if not len(to):
         return None
-    other = other[np.argsort(bins[other], kind="stable")]
-    beside = np.flatnonzero(bins[other][1:] == bins[other][:-1])
-    singles, pairs = [(i,) for i in own.tolist()], [(i, j) for k, i in enumerate(own.tolist()) for j in own.tolist()[k + 1 :]]
-    if len(pairs) > 400:
-        pairs = pairs[:400]
-    fullest = np.flatnonzero((fill > 0) & (left > 0))
-    fullest = fullest[fullest != donor]
+    own = np.flatnonzero(bins == donor)
+    own = own[np.argsort(lengths[own], kind="stable")]
+    one, two = (_sizes(parts, lengths) for parts in (own[:, None], own[_pairs(np.zeros(len(own), np.int64), lengths[own])]))
+    # other bins' pieces that may come back, by bin and length
+    other = np.flatnonzero(target[bins])
+    other = other[np.lexsort((lengths[other], bins[other]))]
     top, choice = 0, None
 
-    def weigh(parts: list[tuple], back: np.ndarray, back_size: np.ndarray, to: np.ndarray):
+    def weigh(given: tuple[np.ndarray, np.ndarray], back: np.ndarray, to: np.ndarray):
         nonlocal top, choice
-        if not parts or not len(to):
+        size, parts = given
+        if not len(size) or not len(to):
             return
-        size = np.array([lengths[list(p)].sum() for p in parts])
-        net = size[:, None] - back_size[None, :]
+        back_size = lengths[back].sum(1)
+        at = np.searchsorted(size, back_size + left[to], "right") - 1
+        net = size[at] - back_size
         # 2 net (fill(to) - fill(donor) + net) is what the squares gain
-        gain = np.where((net > 0) & (net <= left[to]), net * (fill[to] - fill[donor] + net), 0)
-        at = int(gain.argmax())
-        if gain.flat[at] > top:
-            i, j = divmod(at, len(to))
-            top, choice = int(gain.flat[at]), (list(parts[i]), back[j].tolist(), int(to[j]))
-
-    weigh(singles, np.empty((len(fullest), 0), np.int64), np.zeros(len(fullest), np.int64), fullest)
-    weigh(singles, other[:, None], lengths[other], bins[other])
-    weigh(pairs, other[:, None], lengths[other], bins[other])
-    two = np.stack([other[beside], other[beside + 1]], 1)
-    weigh(singles, two, lengths[two].sum(1), bins[two[:, 0]] if len(two) else np.empty(0, np.int64))
+        gain = np.where((at >= 0) & (net > 0), net * (fill[to] - fill[donor] + net), 0)
+        k = int(gain.argmax())
+        if gain[k] > top:
+            top, choice = int(gain[k]), (parts[at[k]].tolist(), back[k].tolist(), int(to[k]))
+
+    weigh(one, np.empty((len(to), 0), np.int64), to)
+    weigh(one, other[:, None], bins[other])
+    weigh(two, other[:, None], bins[other])
+    both = other[_pairs(bins[other], lengths[other])]
+    weigh(one, both, bins[both[:, 0]])
     return choice
 
 

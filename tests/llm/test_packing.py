@@ -97,6 +97,39 @@ def test_exchanges():
         assert len(set(got.tolist())) == -(-sum(lengths) // capacity)
 
 
+def test_steps_try_all_pairs():
+    """The best step over all pieces and pairs, also those of bins of many pieces and of pieces that lie apart."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    # the pair 7, 8 of the donor is beyond 400 others; 10 and 13 lie apart in their bin
+    cases = [([2, 4, 6] * 14 + [7, 8, 14, 300], [0] * 44 + [1, 1], 315), ([25, 10, 12, 13, 60], [0, 1, 1, 1, 1], 97)]
+    for _ in range(200):
+        n = int(rng.integers(8, 60))
+        cases.append((rng.integers(40, 400, n).tolist(), rng.integers(0, 4, n).tolist(), None))
+    for lengths, bins, capacity in cases:
+        lengths, bins = np.array(lengths), np.array(bins)
+        fill = np.bincount(bins, lengths, 4).astype(np.int64)
+        capacity = capacity or int(fill.max()) + 2
+        left, donor = capacity - fill, int(bins[0])
+        own = np.flatnonzero(bins == donor).tolist()
+        ones, best = [(i,) for i in own], 0
+        for to in set(bins.tolist()) - {donor}:
+            there = np.flatnonzero(bins == to).tolist()
+            for outs, backs in ((ones, [(), *((j,) for j in there), *combinations(there, 2)]), (list(combinations(own, 2)), [(j,) for j in there])):
+                for net in {int(lengths[list(o)].sum() - lengths[list(b)].sum()) for o in outs for b in backs}:
+                    if 0 < net <= left[to]:
+                        best = max(best, net * (int(fill[to]) - int(fill[donor]) + net))
+        got = packing._step(lengths, bins, fill, left, donor)
+        if got is None:
+            assert best == 0
+            continue
+        out, back, to = got
+        assert set(bins[out].tolist()) == {donor} and set(bins[back].tolist()) <= {to} and len(set(out)) == len(out) and len(set(back)) == len(back)
+        net = int(lengths[out].sum() - lengths[back].sum())
+        assert net <= left[to] and net * (int(fill[to]) - int(fill[donor]) + net) == best
+
+
 def test_sequences_hold_the_ids(spark):
     made = packing.write_pieces(docs(spark), catalog.VOCABULARY, keep_ids=True)
     packed = packing.pack(made)
