@@ -17,11 +17,6 @@ from kinframe.sources import lines as L
 # ---- files ------------------------------------------------------------------
 
 
-def _paths(spark, folder: str) -> list[str]:
-    """Files below a folder; their names alone come to the driver."""
-    return [r.path for r in L.discover(spark, folder, "*.txt").select("path").collect()]
-
-
 @query("outline_files")
 def _outline_files(spark, sf):
     """Outlines written as text files, one per source, found and read again, put together and cleaned."""
@@ -29,8 +24,8 @@ def _outline_files(spark, sf):
     born = F.when(F.col("birth").isNotNull(), F.concat(F.lit(" b. "), F.col("birth").cast("string"))).otherwise("")
     folder = _new_folder(spark, "outlines")
     text = people.select("src", "pos", F.concat(F.col("gen").cast("string"), F.lit(". "), "name", born).alias("value"))
-    text.repartition("src").sortWithinPartitions("src", "pos").drop("pos").write.partitionBy("src").text(folder)
-    read = outline.clean(outline.stitch(L.read_outline(spark, _paths(spark, folder))))
+    L.write_files(text.repartition("src").sortWithinPartitions("src", "pos").drop("pos"), "src", folder)
+    read = outline.clean(outline.stitch(L.split_lines(L.read_folder(spark, folder))))
     return read.select(F.regexp_extract("src", r"/src=(\d+)/", 1).cast("long").alias("src"), (F.col("pos") + 1).alias("pos"), "gen", "name", "birth")
 
 
@@ -41,8 +36,8 @@ def _graph_files(spark, sf):
     whole = people.groupBy("file").agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name", "gen", "birth", "cat", "mult")).alias("nodes"), F.array().alias("edges"))).alias("json"))
     page = F.concat(F.lit("<script>const GRAPH = "), F.col("json"), F.lit(";</script>"))
     folder = _new_folder(spark, "graphs")
-    whole.select("file", F.when(F.col("file") % 2 == 0, F.col("json")).otherwise(page).alias("value")).write.partitionBy("file").text(folder)
-    return G.nodes_of(G.read_graphs(spark, _paths(spark, folder))).select("id", "name", "gen", "birth", "cat", "mult")
+    L.write_files(whole.select("file", F.when(F.col("file") % 2 == 0, F.col("json")).otherwise(page).alias("value")), "file", folder)
+    return G.nodes_of(G.graphs_in(L.read_folder(spark, folder))).select("id", "name", "gen", "birth", "cat", "mult")
 
 
 @query("legend_meta", """SELECT CAST(c_custkey AS BIGINT) AS id, 'Line of ' || c_custkey AS title, 'segment ' || c_nationkey AS subtitle, 'k' || c_nationkey || ';royal' AS keys, 'Label ' || c_custkey || ';Royalty' AS labels FROM customer""")

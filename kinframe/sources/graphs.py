@@ -30,7 +30,11 @@ def graph_of(source: Column) -> Column:
 
 def read_graphs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(src, graph) of JSON files or pages, by what they hold."""
-    files = read_text(spark, paths)
+    return graphs_in(read_text(spark, paths))
+
+
+def graphs_in(files: DataFrame) -> DataFrame:
+    """(src, graph) of files (src, value) of either kind."""
     found = F.when(F.ltrim("value").startswith("{"), F.col("value")).otherwise(payload(F.col("value")))
     return files.select("src", graph_of(found).alias("graph")).where("graph IS NOT NULL")
 

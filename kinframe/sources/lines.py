@@ -24,6 +24,20 @@ def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("src"), "value")
 
 
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """Whole text files below a folder with their paths: (src, value); no list of paths is made."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return files.text(folder, wholetext=True).select(F.input_file_name().alias("src"), "value")
+
+
+def write_files(rows: DataFrame, by: str, folder: str) -> None:
+    """Text files (value), one folder for each value of ``by``, in a new folder.
+
+    Each task puts its own files in place: the plain committer leaves that to the driver, one after another.
+    """
+    rows.write.partitionBy(by).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+
+
 def read_outline_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of outline text files."""
     return split_lines(read_text(spark, paths))
