@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -64,14 +65,23 @@ def trim_chars(c: Column, chars: str) -> Column:
     return F.regexp_replace(c, f"^[{inside}]+|[{inside}]+$", "")
 
 
-def split_vitals(raw: Column) -> tuple[Column, Column, Column]:
-    """Name, birth and death segment of an outline entry.
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def vital_at(raw: Column) -> Column:
+    """Where the first `` b. `` or `` d. `` of an outline entry begins, behind a blank in front; else 0."""
+    return F.regexp_instr(F.concat(F.lit(" "), raw), F.lit(r"\s[bd]\.\s"))
+
+
+def split_vitals(raw: Column, at: Column | None = None) -> tuple[Column, Column, Column]:
+    """Name, birth and death segment of an outline entry; ``at`` is ``vital_at(raw)`` if it is known.
 
     The first `` b. `` or `` d. `` ends the name. A ``d.`` inside the rest ends the
     birth segment; a rest that begins with ``d.`` is the death segment alone.
     """
-    padded = F.concat(F.lit(" "), raw)
-    at = F.regexp_instr(padded, F.lit(r"\s[bd]\.\s"))
+    at = vital_at(raw) if at is None else at
     cut = F.greatest(at - 2, F.lit(0))  # characters of raw before the mark
     name = F.when(at == 0, F.trim(raw)).otherwise(trim_chars(F.substring(raw, F.lit(1), cut), " ,;"))
     vital = F.trim(F.substring(raw, cut + 1, F.length(raw)))

@@ -64,11 +64,13 @@ def fold_yearless(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns nodes and the remap (dup, canon) of keys for the edges.
     """
-    split = nodes.withColumn("prefix", F.regexp_extract("key", r"^(.*)\|", 1)).withColumn("yearless", F.col("key").endswith("|?"))
-    mergeable = ~F.col("key").startswith("_u")
-    best = split.where(mergeable & ~F.col("yearless")).groupBy("prefix").agg(F.min_by("key", F.struct(-F.col("mult"), "key")).alias("canon"))
-    remap = split.where(mergeable & F.col("yearless")).join(best, "prefix").select(F.col("key").alias("dup"), "canon")
-    pointed = nodes.join(remap.withColumnRenamed("dup", "key"), "key", "left").withColumn("to", F.coalesce("canon", "key"))
+    mergeable, yearless = ~F.col("key").startswith("_u"), F.col("key").endswith("|?")
+    # a window, not a join with the groups' best: what the nodes are made of is worked out once
+    group = Window.partitionBy(F.when(mergeable, F.regexp_extract("key", r"^(.*)\|", 1)), F.when(~mergeable, F.col("key")))
+    best = F.min_by("key", F.when(mergeable & ~yearless, F.struct(-F.col("mult"), "key"))).over(group)
+    named = nodes.withColumn("canon", F.when(mergeable & yearless, best))
+    remap = named.where("canon IS NOT NULL").select(F.col("key").alias("dup"), "canon")
+    pointed = named.withColumn("to", F.coalesce("canon", "key"))
     own = F.when(F.col("key") == F.col("to"), F.lit(0)).otherwise(1)
     fixed = [c for c in nodes.columns if c not in ("key", "mult", "gen", "birth", "death")]
     folded = pointed.groupBy("to").agg(

@@ -36,24 +36,28 @@ def stitch(lines: DataFrame, entry: str = ENTRY, header: str = HEADER, stretch:
 
 def clean(occurrences: DataFrame) -> DataFrame:
     """Names, years, country, region and house of occurrences."""
-    name, born, died = T.split_vitals(F.col("raw_text"))
-    rows = occurrences.select("src", "pos", "gen", F.coalesce(filled(name), F.lit("Unknown")).alias("name"), born.alias("b"), died.alias("d"))
+    # columns of their own for what is used more than once, as Spark works out a column once
+    placed = occurrences.withColumn("_at", T.vital_at(F.col("raw_text")))
+    name, born, died = T.split_vitals(F.col("raw_text"), F.col("_at"))
+    rows = placed.select("src", "pos", "gen", name.alias("_name"), born.alias("b"), died.alias("d"))
+    rows = rows.withColumn("name", F.coalesce(filled(F.col("_name")), F.lit("Unknown"))).withColumn("_country", rules.country_of(F.col("b")))
     return rows.select(
         "src", "pos", "gen", "name",
         T.parse_year(F.col("b")).alias("birth"),
         T.parse_year(F.col("d")).alias("death"),
-        F.coalesce(filled(rules.country_of(F.col("b"))), rules.country_of(F.col("d"))).alias("country"),
+        F.coalesce(filled(F.col("_country")), rules.country_of(F.col("d"))).alias("country"),
         rules.region_of(F.col("name")).alias("region"),
         rules.house_of(F.col("name")).alias("house"),
     )
 
 
-def node_key(name: Column, birth: Column, unique: Column, dedupe: bool = True, bilingual: bool = False) -> Column:
+def node_key(name: Column, birth: Column, unique: Column, dedupe: bool = True, bilingual: bool = False, normal: Column | None = None) -> Column:
     """Identity of a person: normal name and birth year, or ``unique`` for placeholders.
 
-    ``bilingual`` drops prepositions and unifies title words, for rebuilt graphs.
+    ``bilingual`` drops prepositions and unifies title words, for rebuilt graphs; ``normal`` is
+    the normal name if it is known.
     """
-    normal = T.norm(name)
+    normal = T.norm(name) if normal is None else normal
     alone = rules.is_placeholder(normal, rules.WIDE_PLACEHOLDER if bilingual else rules.PLACEHOLDER, 4)
     shown = rules.language_key(normal) if bilingual else normal
     own = F.concat(F.lit("_u"), unique.cast("string"), F.lit("::"), F.coalesce(filled(normal), F.lit("unknown")))
@@ -63,7 +67,9 @@ def node_key(name: Column, birth: Column, unique: Column, dedupe: bool = True, b
 
 def keyed(people: DataFrame, dedupe: bool = True) -> DataFrame:
     """People with their keys; placeholders never fuse, as their key holds source and place."""
-    return people.withColumn("key", node_key(F.col("name"), F.col("birth"), F.concat_ws(":", "src", "pos"), dedupe))
+    named = people.withColumn("_normal", T.norm(F.col("name")))
+    key = node_key(F.col("name"), F.col("birth"), F.concat_ws(":", "src", "pos"), dedupe, normal=F.col("_normal"))
+    return named.withColumn("key", key).drop("_normal")
 
 
 def edges_of(keyed_people: DataFrame) -> DataFrame:

@@ -182,3 +182,12 @@ def test_inbreeding_equals_kinship_of_parents(spark, unknown):
         assert got[i] == ((pytest.approx(phi[min(ps), max(ps)], abs=1e-12), "ok") if len(ps) == 2 else (None, "undefined"))
     assert any(f > 0 for f, _ in got.values() if f)
     assert graph.inbreeding(nodes, e, nodes.limit(0)).collect() == []
+
+
+def test_folding_works_the_nodes_out_once(spark):
+    """Years that a key lacks are found without a second copy of what the nodes are made of; keys of nobody stay alone."""
+    rows = [("a|?", "a", 2, None, None, 1), ("a|1500", "a", 1, 1500, None, 2), ("a|1600", "a", 3, 1600, None, 2), ("b|?", "b", 1, None, None, 1), ("_us:1::x|?", "x", 1, None, None, 1), ("_us:2::y", "y", 1, None, None, 1)]
+    folded, remap = merge.fold_yearless(spark.createDataFrame(rows, "key string, name string, gen int, birth int, death int, mult long"))
+    assert "Join" not in folded._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in remap.collect()] == [("a|?", "a|1500")]
+    assert {(r.key, r.gen, r.birth, r.mult) for r in folded.collect()} == {("a|1500", 1, 1500, 3), ("a|1600", 3, 1600, 2), ("b|?", 1, None, 1), ("_us:1::x|?", 1, None, 1), ("_us:2::y", 1, None, 1)}
