@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinframe.functions.text import once
+
 # ---- fixed values -----------------------------------------------------------
 
 PARTICLES = "de del da das do dos di e el du des van von af zu of la le les lo los las y".split()
@@ -50,10 +52,13 @@ def translate_title(title: Column) -> Column:
     said = reduce(lambda c, rule: F.regexp_replace(c, "(?iu)(?U)" + rule[0], rule[1]), TITLES, t)
     said = reduce(lambda c, rule: F.regexp_replace(c, "(?U)" + rule[0], rule[1]), TITLE_PLACES, said)
     said = F.trim(F.regexp_replace(said, " {2,}", " "))
-    head, first = F.substring(said, 1, 1), F.lower(F.split_part(said, F.lit(" "), F.lit(1)))
-    lower = (head != F.upper(head)) & ~first.isin(LOWER_STARTS)
-    said = F.when(lower, F.concat(F.upper(head), F.substring(said, F.lit(2), F.length(said)))).otherwise(said)
-    return F.when(t.isin(*KEEP_TITLES), t).otherwise(said)
+
+    def opened(said: Column) -> Column:
+        head, first = F.substring(said, 1, 1), F.lower(F.split_part(said, F.lit(" "), F.lit(1)))
+        lower = (head != F.upper(head)) & ~first.isin(LOWER_STARTS)
+        return F.when(lower, F.concat(F.upper(head), F.substring(said, F.lit(2), F.length(said)))).otherwise(said)
+
+    return F.when(t.isin(*KEEP_TITLES), t).otherwise(once(said, opened))
 
 
 def fix_token(token: Column, is_first: Column) -> Column:
@@ -62,17 +67,22 @@ def fix_token(token: Column, is_first: Column) -> Column:
     left = F.regexp_extract(token, r"^(\(?\"?'?«?)", 1)
     rest = F.substring(token, F.length(left) + 1, F.length(token))
     right = F.regexp_extract(rest, r"(,?»?'?\"?\)?)$", 1)
-    bare = F.substring(rest, F.lit(1), F.length(rest) - F.length(right))
-    upper, lower = F.upper(bare), F.lower(bare)
-    capital = F.concat(F.substring(upper, 1, 1), F.substring(lower, F.lit(2), F.length(lower)))
-    shown = (
-        F.when(upper.isin(ROMANS), upper)
-        .when(~is_first & lower.isin(PARTICLES), lower)
-        .when((F.length(bare) >= 2) & (bare == upper) & (bare != lower) & bare.rlike(r"^\p{L}+$"), capital)
-        .otherwise(bare)
-    )
-    keep = token.isin(*KEEP_TOKENS) | token.rlike(ORDINAL) | token.rlike("^N{2,}$") | (bare == "")
-    return F.when(keep, token).otherwise(F.concat(left, shown, right))
+
+    def cased(parts: Column) -> Column:
+        left, right = parts["left"], parts["right"]
+        bare = F.substring(token, F.length(left) + 1, F.length(token) - F.length(left) - F.length(right))
+        upper, lower = F.upper(bare), F.lower(bare)
+        capital = F.concat(F.substring(upper, 1, 1), F.substring(lower, F.lit(2), F.length(lower)))
+        shown = (
+            F.when(upper.isin(ROMANS), upper)
+            .when(~is_first & lower.isin(PARTICLES), lower)
+            .when((F.length(bare) >= 2) & (bare == upper) & (bare != lower) & bare.rlike(r"^\p{L}+$"), capital)
+            .otherwise(bare)
+        )
+        return F.when(bare == "", token).otherwise(F.concat(left, shown, right))
+
+    keep = token.isin(*KEEP_TOKENS) | token.rlike(ORDINAL) | token.rlike("^N{2,}$")
+    return F.when(keep, token).otherwise(once(F.struct(left.alias("left"), right.alias("right")), cased))
 
 
 def fix_name(name: Column) -> Column:
