@@ -7,7 +7,7 @@ few joins and groupings, cut by written tables, and only counts reach the driver
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kinframe.operators.merge import align, merge_nodes
@@ -78,8 +78,9 @@ def file_links(nodes: DataFrame) -> DataFrame:
     give the same shift.
     """
     own = nodes.where("key IS NOT NULL AND gen IS NOT NULL").groupBy("file_ord", "key").agg(F.min("gen").alias("gen"))
-    first = own.groupBy("key").agg(F.min(F.struct("file_ord", "gen")).alias("first"), F.count(F.lit(1)).alias("files")).where("files > 1")
-    met = own.join(first, "key").where(F.col("file_ord") > F.col("first.file_ord")).select(
+    # a window, not a join with the groups' first: rows are made and sorted once
+    first = F.min(F.struct("file_ord", "gen")).over(Window.partitionBy("key"))
+    met = own.withColumn("first", first).where(F.col("file_ord") > F.col("first.file_ord")).select(
         F.col("file_ord").alias("a"), F.col("first.file_ord").alias("b"), (F.col("first.gen") - F.col("gen")).cast("long").alias("shift"), F.col("first.gen").alias("gen"), "key")
     # summed by shift first: few rows per pair of files go on
     by_shift = met.groupBy("a", "b", "shift").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("gen", "key")).alias("least"))
@@ -88,6 +89,7 @@ def file_links(nodes: DataFrame) -> DataFrame:
 
 def file_offsets(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(file_ord, root, offset) for every file; a file that shares nobody is its own root."""
+    nodes = cut(nodes.select("file_ord", *(["key", "gen"] if links is None else [])))  # read for links and files
     found = offsets(file_links(nodes) if links is None else links)
     files = nodes.select("file_ord").where("file_ord IS NOT NULL").distinct()
     named = found.withColumnRenamed("id", "file_ord")
@@ -102,6 +104,7 @@ def merge_many(nodes: DataFrame) -> DataFrame:
     own generations until all are shifted together, as there. Rows with a null file stay
     unshifted and come last.
     """
+    nodes = cut(nodes)  # read for offsets and for the merge
     shifted = nodes.join(file_offsets(nodes).select("file_ord", "offset"), "file_ord", "left")
     moved = shifted.withColumn("gen", (F.col("gen") + F.coalesce("offset", F.lit(0))).cast(dict(nodes.dtypes)["gen"])).drop("offset")
     moved = moved.withColumn("file_ord", F.coalesce("file_ord", F.lit(_LAST)))

@@ -184,6 +184,14 @@ def test_inbreeding_equals_kinship_of_parents(spark, unknown):
     assert graph.inbreeding(nodes, e, nodes.limit(0)).collect() == []
 
 
+def test_file_links_make_their_rows_once(spark):
+    """What a person's files have is grouped once, not once for the person's first file again."""
+    nodes = spark.createDataFrame(node_rows([[(0, 1), (1, 2)], [(1, 5), (2, 6)], [(2, 1), (0, 9)]]), SCHEMA)
+    got = linking.file_links(nodes)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, -3, 1, 1), (2, 0, -8, 1, 1), (2, 1, 5, 1, 1)]
+
+
 def test_folding_works_the_nodes_out_once(spark):
     """Years that a key lacks are found without a second copy of what the nodes are made of; keys of nobody stay alone."""
     rows = [("a|?", "a", 2, None, None, 1), ("a|1500", "a", 1, 1500, None, 2), ("a|1600", "a", 3, 1600, None, 2), ("b|?", "b", 1, None, None, 1), ("_us:1::x|?", "x", 1, None, None, 1), ("_us:2::y", "y", 1, None, None, 1)]
