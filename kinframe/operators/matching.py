@@ -157,7 +157,7 @@ def surname_matches(entries: DataFrame, surnames: DataFrame, text: Column) -> Da
     """
     word = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
     keys = surnames.select("surname", "display", "priority", T.norm_voyage(F.col("surname")).alias("_key")).withColumn("_words", word(F.col("_key"))).where(F.size("_words") > 0)
-    keys = cut(keys.withColumn("_run", F.array_join("_words", " ")).dropDuplicates(["_key", "display"]))
+    keys = cut(keys.withColumn("_run", F.array_join("_words", " ")).dropDuplicates(["_key", "display"]), merged=False)
     plain = F.col("_key").rlike(r"(?U)^\w+$")
     kinds = keys.select(F.size("_words"), plain).distinct().collect()
     lengths = sorted({n for n, _ in kinds})

@@ -27,11 +27,12 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, merged: bool = True) -> DataFrame:
     """``df`` as a table in the shared folder.
 
-    A written table survives lost executors, is computed once, and tells its size, so
-    later joins can choose to broadcast it. Loops delete those that they no longer read
+    A written table survives lost executors and is computed once. Joins with it are merged,
+    so that no round of a loop sends it to the driver; only with ``merged=False`` may those
+    choose to broadcast it by its size. Loops delete those that they no longer read
     (``drop``); the others are deleted when the driver ends.
     """
     spark = df.sparkSession
@@ -39,6 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     _written.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.hint("merge") if merged else out
     out._written_to = path
     return out
 

@@ -184,6 +184,17 @@ def test_inbreeding_equals_kinship_of_parents(spark, unknown):
     assert graph.inbreeding(nodes, e, nodes.limit(0)).collect() == []
 
 
+def test_joins_of_written_tables_are_merged(spark):
+    """A table that a loop wrote is never sent to the driver, however small it is."""
+    from kinframe.operators.tables import cut, cut_counted
+
+    a, b = cut(spark.range(50)), cut_counted(spark.range(20).withColumnRenamed("id", "t"))[0]
+    for df in (spark.range(9).join(a, "id"), a.join(b.selectExpr("t AS id").distinct(), "id", "left_anti")):
+        assert df.count() > 0
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_file_links_make_their_rows_once(spark):
     """What a person's files have is grouped once, not once for the person's first file again."""
     nodes = spark.createDataFrame(node_rows([[(0, 1), (1, 2)], [(1, 5), (2, 6)], [(2, 1), (0, 9)]]), SCHEMA)
