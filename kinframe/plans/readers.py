@@ -8,7 +8,7 @@ from kinframe.functions import display, rules
 from kinframe.functions import text as T
 from kinframe.operators import graph, matching, outline, reports
 from kinframe.plans.catalog import _BFS, _STATS, WITH_OUTLINE, WITH_PEOPLE, _t, query
-from kinframe.plans.relations import LAYERS, OUTLINE, PEDIGREE, PEOPLE, oracle, relation
+from kinframe.plans.relations import LAYERS, OUTLINE, PEDIGREE, PEOPLE, oracle, relation, spread
 from kinframe.plans.structure import _new_folder
 from kinframe.sources import gedcom
 from kinframe.sources import graphs as G
@@ -89,7 +89,7 @@ def _gedcom_names(spark, sf):
     rows = F.array_compact(F.array(
         line(lit("0 @I"), k, lit("@ INDI")), line(lit("1 NAME "), "p_name", lit(" /"), "p_brand", lit("/")), line(lit("2 GIVN "), "p_type"), lit("2 SURN Sol"), married,
         line(lit("1 NAME "), "p_name", lit(" /"), "p_brand", lit("/ (el viejo)")), lit("1 BIRT"), line(lit("2 DATE 3 MAY "), (1500 + F.col("p_partkey") % 300).cast("string")), lit("2 ADDR"), lit("3 CTRY Spain")))
-    lines = _t(spark, sf, "part").select(F.floor(F.col("p_partkey") / 1000).cast("string").alias("src"), "p_partkey", F.posexplode(rows).alias("i", "line"))
+    lines = spread(_t(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")).select(F.floor(F.col("p_partkey") / 1000).cast("string").alias("src"), "p_partkey", F.posexplode(rows).alias("i", "line"))
     found = gedcom.people(gedcom.individuals(lines.select("src", (F.col("p_partkey") * 20 + F.col("i")).alias("pos"), "line")))
     return found.select("ged_id", "name", "birth", "country")
 

@@ -18,11 +18,15 @@ def _records(lines: DataFrame, stretch: int | None = STRETCH) -> DataFrame:
     parts = F.split(line, " ", 3)
     rows = lines.withColumn("level", F.get(parts, F.lit(0)).try_cast("int")).withColumn("tag", F.get(parts, F.lit(1))).withColumn("val", F.trim(F.coalesce(F.get(parts, F.lit(2)), F.lit(""))))
     rows = rows.where("level IS NOT NULL AND tag IS NOT NULL")
-    opens = (F.col("level") == 0) & F.col("tag").startswith("@") & F.col("val").isin("INDI", "FAM")
     # a level-0 line of any other kind closes the record: an empty id stands for none
-    rid = F.when(opens, F.struct(F.col("tag").alias("id"), F.col("val").alias("kind"))).when(F.col("level") == 0, F.struct(F.lit("").alias("id"), F.lit("").alias("kind")))
-    rows = last_seen(rows, rid, ["src"], "pos", "rec", stretch=stretch).where("rec.id <> ''")
-    in_record = Window.partitionBy("src", "rec.id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("tag").startswith("@") & F.col("val").isin("INDI", "FAM")
+    told = F.when(opens, F.struct(F.col("tag").alias("id"), F.col("val").alias("kind"))).otherwise(F.struct(F.lit("").alias("id"), F.lit("").alias("kind")))
+    # the place of that line, a number, is carried from stretch to stretch: the last of several texts would be found by sorting all lines of a split
+    start = F.when(F.col("level") == 0, F.coalesce(F.col("pos").cast("long"), F.lit(-(2**40))))
+    rows = last_seen(rows, start, ["src"], "pos", "_start", stretch=stretch).where("_start IS NOT NULL")
+    of_start = Window.partitionBy("src", "_start").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("rec", F.first(F.when(F.col("level") == 0, told), ignorenulls=True).over(of_start)).drop("_start").where("rec.id <> ''").withColumn("_rid", F.col("rec.id"))
+    in_record = Window.partitionBy("src", "_rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("top", F.last(F.when(F.col("level") == 1, F.col("tag")), ignorenulls=True).over(in_record))
 
 
@@ -53,14 +57,14 @@ def individuals(lines: DataFrame) -> DataFrame:
     for e, p in (("BIRT", "birth"), ("DEAT", "death")):
         agg += [date(e).alias(f"{p}_date"), _first(event(e, 2, "PLAC", "ADDR")).alias(f"{p}_place"), _first(event(e, 3, "STAE")).alias(f"{p}_state"), _first(event(e, 3, "CTRY")).alias(f"{p}_country")]
     agg.append(_first(event("BIRT", 3, "CITY")).alias("birth_city"))
-    return rows.groupBy("src", F.col("rec.id").alias("ged_id")).agg(*agg)
+    return rows.groupBy("src", "_rid").agg(*agg).withColumnRenamed("_rid", "ged_id")
 
 
 def families(lines: DataFrame) -> DataFrame:
     """(src, fam_id, husb, wife, chil)."""
     rows = _records(lines).where("rec.kind = 'FAM' AND level = 1")
     last = lambda t: F.max_by("val", F.when(F.col("tag") == t, F.col("pos")))
-    return rows.groupBy("src", F.col("rec.id").alias("fam_id")).agg(last("HUSB").alias("husb"), last("WIFE").alias("wife"), _listed(F.col("tag") == "CHIL").alias("chil"))
+    return rows.groupBy("src", "_rid").agg(last("HUSB").alias("husb"), last("WIFE").alias("wife"), _listed(F.col("tag") == "CHIL").alias("chil")).withColumnRenamed("_rid", "fam_id")
 
 
 def people(individuals_: DataFrame) -> DataFrame:
