@@ -121,10 +121,12 @@ def _keyed_master(spark, sf):
 @query("bucket_master")
 def _bucket_master(spark, sf):
     """The outlines in three batches into a bucketed master; what its last version holds."""
-    people = relation(spark, sf, OUTLINE)
+    items, parts = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "part"))
     store = buckets.BucketStore(spark, _new_folder(spark, "buckets"))
     for n in range(3):
-        nodes = outline.collapse(people.where(F.col("src") % 3 == n)).drop("first_seen")
+        # a batch is made of the items of its own sources: a remainder isn't pushed below the window that numbers them
+        people = spark.sql(OUTLINE, lineitem=items.where(F.col("l_suppkey") % 3 == n), part=parts)
+        nodes = outline.collapse(people).drop("first_seen")
         least = lambda a, b: merge.merge_nodes(a.withColumn("file_ord", F.lit(0)).unionByName(b.withColumn("file_ord", F.lit(1))), gen="min").select(a.columns)
         store.commit(n, {"nodes": buckets.Change(nodes, F.regexp_extract("key", r"^(.*)\\|", 1), least)})
     return store.read("nodes").select("key", "gen", "mult")

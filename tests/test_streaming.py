@@ -143,6 +143,26 @@ def test_ingest_into_buckets(spark, tmp_path):
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_a_batch_numbers_its_own_sources_only(spark, monkeypatch):
+    """The three batches of bucket_master choose their line items before these are sorted, and leave none out."""
+    from kinframe.plans import catalog
+
+    plans, counts = [], []
+
+    def seen(self, batch, changes):
+        rows = changes["nodes"].rows
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        counts.append(rows.agg(F.sum("mult")).first()[0])
+
+    with monkeypatch.context() as m:
+        m.setattr(buckets.BucketStore, "commit", seen)
+        m.setattr(buckets.BucketStore, "read", lambda self, table: spark.createDataFrame([], "key string, gen int, mult long"))
+        catalog.queries()["bucket_master"](spark, SF)
+    assert [p.index(" % 3) = ") > p.index("Window ") for p in plans] == [True] * 3
+    assert sum(counts) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and min(counts) > 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
 def test_registered_queries(spark):
     """Clients in keyed state, and outlines in buckets, against plain groupings."""
