@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Fields that take the first known value, and those that take the first row's value.
@@ -28,27 +28,40 @@ NODE = StructType(
     [StructField("key", StringType()), StructField("name", StringType()), StructField("gen", IntegerType())]
     + [StructField(c, _KINDS[c]) for c in ("birth", "death", "country", "region", "house")] + [StructField("mult", LongType())]
 )
-#: Of each field its value and the place (source, position) that gave it.
-_STATE = StructType([StructField("gen", IntegerType()), StructField("mult", LongType())] + [f for c in (*FIRST, *FIRST_KNOWN) for f in (StructField(c, _KINDS[c]), StructField(f"{c}_src", StringType()), StructField(f"{c}_pos", LongType()))])
 _PLACE = StructType([StructField("src", StringType()), StructField("pos", LongType())])
+#: So many places stand beside a person's fields; further ones have an entry each in a map.
+HELD = 16
+#: Of each field its value and the place (source, position) that gave it; the first places taken in.
+_STATE = StructType([StructField("gen", IntegerType()), StructField("mult", LongType())] + [f for c in (*FIRST, *FIRST_KNOWN) for f in (StructField(c, _KINDS[c]), StructField(f"{c}_src", StringType()), StructField(f"{c}_pos", LongType()))] + [StructField("held", ArrayType(_PLACE))])
 _SEEN = StructType([StructField("seen", IntegerType())])
 
 
 class PersonState(StatefulProcessor):
-    """The state of one person: the merged fields, and the places already taken in."""
+    """The state of one person: the merged fields, and the places already taken in.
+
+    Every call to the state is a message to the JVM and back, which costs more than the merging,
+    so the places of most people are read and written with their fields.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.node = handle.getValueState("node", _STATE)
         self.places = handle.getMapState("places", _PLACE, _SEEN)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = dict(zip(_STATE.names, self.node.get(), strict=True)) if self.node.exists() else dict.fromkeys(_STATE.names)
+        there = self.node.get()  # None for a new person
+        now = dict.fromkeys(_STATE.names) if there is None else dict(zip(_STATE.names, there, strict=True))
+        held = {tuple(p) for p in now["held"] or ()}
         changed = False
         for r in rows:
             place = (r.src, r.pos)
-            if self.places.containsKey(place):
+            if place in held:
+                continue
+            if len(held) < HELD:  # until then the map is empty
+                held.add(place)
+            elif self.places.containsKey(place):
                 continue
-            self.places.updateValue(place, (1,))
+            else:
+                self.places.updateValue(place, (1,))
             changed = True
             now["mult"] = (now["mult"] or 0) + 1
             if r.gen is not None and (now["gen"] is None or r.gen < now["gen"]):
@@ -61,6 +74,7 @@ class PersonState(StatefulProcessor):
                 if at[0] is None or place < at:
                     now[c], now[f"{c}_src"], now[f"{c}_pos"] = value, *place
         if changed:
+            now["held"] = sorted(held)
             self.node.update(tuple(now[c] for c in _STATE.names))
             told = {c: now[c] for c in NODE.names if c in now} | {"key": key[0]}
             for c in ("region", "house"):

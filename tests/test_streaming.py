@@ -61,6 +61,58 @@ def test_keyed_state(spark, tmp_path):
     assert os.path.isdir(f"{tmp_path}/check/state")
 
 
+def test_few_calls_to_the_state():
+    """A person of few places costs one read and one write; of many, no place is lost, and repeats change nothing."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Value:
+        now = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.now is not None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, value):
+            calls.append("update")
+            self.now = value
+
+    class Map(dict):
+        def containsKey(self, k):
+            calls.append("containsKey")
+            return k in self
+
+        def updateValue(self, k, v):
+            calls.append("updateValue")
+            self[k] = v
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getMapState(self, name, *schemas):
+            return Map()
+
+    def fed(state, *places):
+        calls.clear()
+        return list(state.handleInputRows(("k",), iter([Row(src=s, pos=p, name=f"{s}{p}", gen=p, birth=None, death=None, country="", region="", house="") for s, p in places]), None))
+
+    few, many = keyed.PersonState(), keyed.PersonState()
+    few.init(Handle())
+    many.init(Handle())
+    assert [(r.name, r.gen, r.mult) for r in fed(few, ("b", 2), ("a", 3), ("b", 2))] == [("a3", 2, 2)] and calls == ["get", "update"]
+    assert fed(few, ("a", 3)) == [] and calls == ["get"]
+    places = [("s", i) for i in range(100, 140)]
+    assert [r.mult for r in fed(many, *places[20:], *places[25:30])] == [20]
+    assert [(r.name, r.mult) for r in fed(many, *places)] == [("s100", 40)]
+    assert fed(many, *places) == []
+
+
 def lines(rows):
     return [(s, i, t) for s, texts in rows.items() for i, t in enumerate(texts)]
 
