@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm._work import put
+from kinframe.llm._work import among, marks, put
 from kinframe.llm.bpe import bpe_codec
 from kinframe.llm.catalog import VOCABULARY
 from kinframe.llm.decontaminate import decontaminate
@@ -41,13 +41,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It is the one with the smallest doc_id; rows equal in id and text count as one. Texts
     without words are linked with nothing and stay; rows with a null id stay as well.
     """
-    groups = ngram_jaccard(docs, size=5, num=80, den=100)
-    kept = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id", F.col("text_md5").alias("md5"))
-    kept = put(kept, "kept").withColumnRenamed("doc_id", "id")
+    docs = docs.select(COLUMNS)
+    groups = put(ngram_jaccard(docs, size=5, num=80, den=100).withColumn("kept", F.expr("doc_id IS NULL OR doc_id = component_id")), "groups")
+    # a document that is kept and there once is told by its id, without shuffling its text
+    unsure = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).where("doc_id IS NULL OR rows > 1 OR NOT kept")
+    told = put(marks(unsure, "doc_id"), "marks")
+    kept = groups.where("kept").select(F.col("doc_id").alias("id"), F.col("text_md5").alias("md5"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_md5").eqNullSafe(F.col("md5"))
     # merged at any size: what is kept follows the input, and so should the plan
-    found = docs.select(*COLUMNS, F.md5("text").alias("text_md5")).join(kept.hint("merge"), same, "left_semi")
-    return found.dropDuplicates(["doc_id", "text_md5"]).select(COLUMNS)
+    found = among(docs, "doc_id", told).withColumn("text_md5", F.md5("text")).join(kept.hint("merge"), same, "left_semi")
+    return among(docs, "doc_id", told, "left_anti").union(found.dropDuplicates(["doc_id", "text_md5"]).select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

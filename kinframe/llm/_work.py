@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most rows and bytes that a worker handles at once. Spark itself bounds the bytes of the batches
 #: it sends (spark.sql.execution.arrow.maxBytesPerBatch); no setting stays changed.
@@ -82,6 +83,30 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def marks(df: DataFrame, name: str) -> DataFrame:
+    """(mark_at, mark_bits): the hashes of a column's values in 2^24 bits, 64 in a row.
+
+    It has 2^18 rows at most, whatever the size of ``df``, so it may be broadcast.
+    """
+    at, bit = _mark(name)
+    return df.select(at.alias("mark_at"), bit.alias("bit")).groupBy("mark_at").agg(F.bit_or("bit").alias("mark_bits"))
+
+
+def among(df: DataFrame, name: str, told: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose value may be among those that ``marks`` was made of; by ``left_anti`` those whose value isn't.
+
+    Rows that share a mark by chance come along, so a join has to follow; what surely has no
+    match needn't be shuffled for it.
+    """
+    at, bit = _mark(name)
+    return df.join(F.broadcast(told), (at == F.col("mark_at")) & (bit.bitwiseAND(F.col("mark_bits")) != 0), how)
+
+
+def _mark(name: str) -> tuple[Column, Column]:
+    at = F.shiftrightunsigned(F.xxhash64(name), 6).bitwiseAND(F.lit((1 << 18) - 1))
+    return at, F.expr(f"shiftleft(1L, cast(xxhash64({name}) & 63 AS int))")
+
+
 def pieces(batches: Iterator) -> Iterator:
     """The batches in pieces of at most ``PIECE_ROWS`` rows and about ``PIECE_BYTES`` bytes."""
     for batch in batches:

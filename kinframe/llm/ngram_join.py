@@ -10,9 +10,11 @@
    all documents (counted over all of them) are left out of the parts, so that common
    lines connect nothing: that keeps the guarantee for every set that still has more
    parts than can be spoiled, and the others, made of common lines, take part with
-   whole parts too (and, should too many be empty, with single shingles). Sets that agree on a part are connected, through one of them, and
-   connected sets form a group. Map tasks combine first and pass on one member per
-   part, so any share of the rows may agree.
+   their rarest shingles too (prefix filter). Sets that agree on a part are connected with
+   the least of them, and connected sets form a group; one above ``BLOCK`` members, mostly
+   a chain of sets with a few shingles in common by chance, is parted into stars, a set
+   and all that agree with it on a part of which it is the least. Equal sets count once in
+   a map task; a part that many sets agree on takes 16 bytes for each in one task.
 2. *R-tree.* Each set is a point: its shingles hashed into groups (about one for
    eight shingles) and counted. In a group, or a pair of blocks of a large one, the
    points are packed into an R-tree; the overlap of two sets is at most the sum of their
@@ -23,7 +25,8 @@
 3. *Verification.* Surviving pairs are verified exactly on the shingle sets. A task
    returns one edge from each member to its part, never all pairs. In both steps groups
    above ``BLOCK`` members are cut by size band and salt; blocks are first held against a
-   pivot block, and only blocks whose members are still apart against each other.
+   pivot block, and only blocks whose members are still apart against each other. Texts
+   that surely have no near copy are told by a map of bits and not shuffled.
 
 Words and shingles are compared by 64-bit hashes; equal sets are one class,
 identified by a 64-bit sum of hashes and the size.
@@ -45,7 +48,7 @@ from pyspark.sql import functions as F
 
 from kinframe.llm import _words as W
 from kinframe.llm._components import components
-from kinframe.llm._work import put, tidy, tidy_group
+from kinframe.llm._work import among, forget, marks, put, tidy, tidy_group
 
 #: Coordinates at least, and shingles per coordinate at most, of a count vector.
 DIMENSIONS = 32
@@ -127,83 +130,76 @@ def fold(v: np.ndarray, dim: int) -> np.ndarray:
     return out.astype(np.uint16) if out.max() < 1 << 16 else out
 
 
-def keys_of(s: np.ndarray, t: Threshold, hot: np.ndarray) -> np.ndarray:
-    """Keys of a set: its rare parts; its whole parts, if too few are rare; and its first
-    shingles, if too many parts are empty. Linked sets have a key in common.
+def keys_of(s: np.ndarray, t: Threshold, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Keys of a set: its rare parts; and its rarest shingles, if too few parts are rare.
 
-    Of two linked sets one with more non-empty parts than can be spoiled has an
-    unspoiled one, which the other has too. Where neither has enough rare parts both
-    give whole parts, and where neither has enough of these both give first shingles
-    (prefix filter).
+    ``rank`` has the places of the common shingles, the rarer first. Of two linked sets
+    one with more rare parts than can be spoiled has an unspoiled one, which the other has
+    too. Where neither has enough both give their first shingles in one order of all
+    shingles, the rarest first (prefix filter).
     """
     n, out, short = len(s), [], False
     band = n.bit_length() - 1
     value = W.mix(s ^ np.uint64(0x5851F42D4C957F2D))
-    rare = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s if len(hot) else np.ones(n, bool)
-    mixed = not rare.all()
+    place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    rare = hot[place] != s if len(hot) else np.ones(n, bool)
     lowest = max(1, -(-t.num * n // t.den)).bit_length() - 1  # the band of the smallest set that can be linked
     for at in range(band, lowest - 1, -1):
         m = t.groups(at)
-        spoiled = min(t.spoiled(n), t.spoiled((2 << at) - 1))
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         name = (part[begin] * np.uint64(64) + np.uint64(at)) * np.uint64(0x9E3779B97F4A7C15)
-        if mixed:
-            left = np.add.reduceat(rare.astype(np.int64), begin) > 0
-            out.append(W.mix(np.add.reduceat(value * rare, begin)[left] + name[left]))
-            if left.sum() > spoiled:
-                continue
-        out.append(W.mix(np.add.reduceat(value, begin) + name))
-        short |= len(begin) <= spoiled
+        left = np.add.reduceat(rare.astype(np.int64), begin) > 0
+        out.append(W.mix(np.add.reduceat(value * rare, begin)[left] + name[left]))
+        short |= left.sum() <= min(t.spoiled(n), t.spoiled((2 << at) - 1))
     if short:
-        out.append(W.mix(s[: t.prefix(n)] ^ np.uint64(0x2545F4914F6CDD1D)))
+        common = s[~rare][np.argsort(rank[place[~rare]], kind="stable")] if len(hot) else s[:0]
+        out.append(W.mix(np.r_[s[rare], common][: t.prefix(n)] ^ np.uint64(0x2545F4914F6CDD1D)))
     return np.concatenate(out)
 
 
-def combine(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One member of each key, and the edges from it to the others."""
+def combine(keys: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Distinct pairs of the least member of a key and another one."""
     order = np.lexsort((members, keys))
     keys, members = keys[order], members[order]
     if not len(keys):
-        return keys, members, members, members
+        return np.empty((0, 2), np.int64)
     head = np.r_[True, keys[1:] != keys[:-1]]
     first = members[np.flatnonzero(head)][np.cumsum(head) - 1]
     other = members != first
-    return keys[head], members[head], first[other], members[other]
+    return _distinct(np.stack([first[other], members[other]], 1))
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
     return np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
 
 
-def _cells(docs: DataFrame, size: int, t: Threshold, hot: np.ndarray, parts: int) -> DataFrame:
-    """Distinct edges (a, b) that connect the classes agreeing on a part."""
+def _cells(docs: DataFrame, size: int, t: Threshold, hot: np.ndarray, rank: np.ndarray, parts: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes with a common key, a being the least class that has it."""
     import pyarrow as pa
 
-    told = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST shingles at most
+    told = docs.sparkSession.sparkContext.broadcast((hot, rank))  # HOT_MOST shingles at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
-        about: list[int] = []
+        about: dict[int, int] = {}  # by class: equal sets count once
         count = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(k) for k in keys]
-            k, m, a, b = combine(np.concatenate(keys), np.repeat(np.array(about, np.int64), sizes))
+            k, m = np.concatenate(keys), np.repeat(np.array([*about], np.int64), [*about.values()])
             pid = ((k >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(pid, kind="stable")
             cut = np.searchsorted(pid[order], np.arange(parts + 1))
-            k, m, edges = k[order], m[order], _distinct(np.stack([a, b], 1))
-            share = np.linspace(0, len(edges), parts + 1).astype(int)
+            k, m = k[order], m[order]
             keys.clear(), about.clear()
-            split = lambda x, at: pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(parts)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), split(k, cut), split(m, cut), split(edges, share)], names=["pid", "keys", "members", "edges"])
+            split = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in range(parts)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), split(k), split(m)], names=["pid", "keys", "members"])
 
         for batch in batches:
             for s in shingle_sets(W.as_bytes(batch.column(0)), size):
-                if len(s):
-                    keys.append(keys_of(s, t, told.value))
-                    about.append(class_of(s))
+                if len(s) and (cls := class_of(s)) not in about:
+                    keys.append(keys_of(s, t, *told.value))
+                    about[cls] = len(keys[-1])
                     count += len(keys[-1])
                 if count >= FLUSH:
                     yield flush()
@@ -213,12 +209,26 @@ def _cells(docs: DataFrame, size: int, t: Threshold, hot: np.ndarray, parts: int
 
     def meet(group: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-        _, _, a, b = combine(whole("keys", np.uint64), whole("members", np.int64))
-        pair = _distinct(np.concatenate([np.stack([a, b], 1), whole("edges", np.int64).reshape(-1, 2)]))
+        pair = combine(whole("keys", np.uint64), whole("members", np.int64))
         return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
-    dealt = docs.select("text").mapInArrow(tidy(deal), "pid int, keys binary, members binary, edges binary")
-    return dealt.groupBy("pid").applyInArrow(tidy_group(meet), "a long, b long").where("a <> b").distinct()
+    dealt = docs.select("text").mapInArrow(tidy(deal), "pid int, keys binary, members binary")
+    return dealt.groupBy("pid").applyInArrow(tidy_group(meet), "a long, b long").distinct()
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """(cls, grp): groups in which all pairs with a common key meet.
+
+    Classes connected by keys are a group. One of over ``BLOCK`` classes is mostly a chain
+    of sets that share a few chance shingles each, so that all its pairs would be far more
+    than those with a common key; it is parted into stars, a class with all those whose
+    keys it is the least class of.
+    """
+    found = components(shared)
+    wide = put(found.groupBy("component").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK).select("component"), "wide")
+    whole = found.join(wide, "component", "left_anti").select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+    stars = shared.join(found.join(wide, "component", "left_semi").select(F.col("id").alias("a")), "a").select("a", "b")
+    return whole.union(stars.select("b", "a")).union(stars.select("a", F.col("a").alias("grp")).distinct())
 
 
 class RTree:
@@ -491,20 +501,22 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     least = max(16, every.count() // HOT)
     often = told.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     hot = np.array([r["shingle"] for r in often.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).select("shingle").collect()], np.int64)
-    hot = np.sort(hot.view(np.uint64))
+    hot, rank = np.unique(hot[::-1].view(np.uint64), return_index=True)
 
     # candidate groups, then the parts of them that the count vectors can't rule out
-    shared = put(_cells(named, size, t, hot, spread), "cells")
-    groups = components(shared).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+    groups = _candidates(put(_cells(named, size, t, hot, rank, spread), "cells"))
     classes = every.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("vec").alias("vec"))
     first = put(classes.select("cls", "doc_id"), "first")
     points = put(classes.select("cls", "n", "vec").join(groups, "cls"), "points")
     groups = _linked(points, t, False).withColumnRenamed("component", "grp")
+    forget(points)
 
     chosen = put(groups.join(first, "cls"), "chosen")
+    near = among(named, "doc_id", put(marks(chosen, "doc_id"), "marks"))
     # merged at any size: what is chosen follows the input, and so should the plan
-    members = put(_members(named.join(chosen.hint("merge"), "doc_id"), size), "members")
+    members = put(_members(near.join(chosen.hint("merge"), "doc_id"), size), "members")
     linked = _linked(members, t, True)
+    forget(members)
     tied = put(first.join(linked, "cls"), "tied")
     lowest = put(tied.groupBy("component").agg(F.min("doc_id").alias("lowest")), "lowest")
     of_class = tied.join(lowest, "component").select("cls", F.col("lowest").alias("component_id"))
@@ -526,14 +538,17 @@ def _linked(members: DataFrame, t: Threshold, exact: bool) -> DataFrame:
     found = put(_join(small.withColumn("side", F.lit(0)), ["grp"], t, exact).union(_join(_pairs_of_blocks(large, "first"), ["grp", "x", "y"], t, exact)), "links")
     linked = components(found).withColumnRenamed("id", "cls")
     left = large.join(linked, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-    left = put(_uneven(_pairs_of_blocks(left, "rest")), "pairs")
-    if not left.isEmpty():
-        found = put(found.union(_join(left, ["grp", "x", "y"], t, exact)), "links")
+    pairs = put(_uneven(left), "pairs")
+    if not pairs.isEmpty():
+        block = lambda x, side: pairs.select("grp", f"{x}.band", f"{x}.salt", "x", "y", F.lit(side).alias("side"))
+        dealt = large.join(block("x", 0).union(block("y", 1)), ["grp", "band", "salt"])
+        found = put(found.union(_join(dealt, ["grp", "x", "y"], t, exact)), "links")
         linked = components(found).withColumnRenamed("id", "cls")
     return linked
 
 
-def _uneven(pairs: DataFrame) -> DataFrame:
-    """Pairs of blocks whose members aren't all in one part yet."""
-    mixed = pairs.groupBy("grp", "x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp", "x", "y")
-    return pairs.join(mixed, ["grp", "x", "y"], "left_semi")
+def _uneven(left: DataFrame) -> DataFrame:
+    """(grp, x, y): the pairs of blocks left out at first whose members aren't all in one part yet."""
+    blocks = left.groupBy("grp", "band", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("bands").alias("bands"))
+    pairs = _pairs_of_blocks(blocks, "rest").groupBy("grp", "x", "y")
+    return pairs.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("grp", "x", "y")
