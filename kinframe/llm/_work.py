@@ -84,7 +84,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def marks(df: DataFrame, name: str) -> DataFrame:
-    """(mark_at, mark_bits): the hashes of a column's values in 2^24 bits, 64 in a row.
+    """(mark_at, mark_bits): the hashes of a column of ids in 2^24 bits, 64 in a row.
 
     It has 2^18 rows at most, whatever the size of ``df``, so it may be broadcast.
     """
@@ -103,8 +103,8 @@ def among(df: DataFrame, name: str, told: DataFrame, how: str = "left_semi") ->
 
 
 def _mark(name: str) -> tuple[Column, Column]:
-    at = F.shiftrightunsigned(F.xxhash64(name), 6).bitwiseAND(F.lit((1 << 18) - 1))
-    return at, F.expr(f"shiftleft(1L, cast(xxhash64({name}) & 63 AS int))")
+    value = f"xxhash64(cast({name} AS bigint))"  # alike for whole numbers of any type
+    return F.expr(f"shiftrightunsigned({value}, 6) & {(1 << 18) - 1}L"), F.expr(f"shiftleft(1L, cast({value} & 63 AS int))")
 
 
 def pieces(batches: Iterator) -> Iterator:
